@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, line_dedup, near_dups
+from . import bpe, exact, line_dedup, near_dups, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.simhash_components(_documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(_documents(spark, sf_dir), digests=True)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.line_dedup(_documents(spark, sf_dir))
     return left.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -33,8 +37,20 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op5_line_dedup, op7_exact_dedup, op8_bpe)}
-
+    return {f.__name__: f for f in (op3_simhash, op4_substring_dedup, op5_line_dedup, op7_exact_dedup, op8_bpe)}
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS w FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 11)) AS i)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) < doc_id AS dup FROM g),
+c AS (SELECT DISTINCT doc_id, i + o AS p FROM m, (SELECT unnest(range(0, 13)) AS o) WHERE dup),
+r AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id),
+w AS (SELECT d.doc_id, p, ws[p] AS word FROM d, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS p)),
+k AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM w ANTI JOIN c USING (doc_id, p) GROUP BY w.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
 
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -59,4 +75,4 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}
