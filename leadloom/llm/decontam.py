@@ -49,9 +49,9 @@ class Words:
         return out[out != 0]
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """One hash for each run of SHINGLE_WORDS words; of fewer words, one for all of them."""
-    k = min(SHINGLE_WORDS, len(words))
+def shingles(words: np.ndarray, most: int = SHINGLE_WORDS) -> np.ndarray:
+    """One hash for each run of ``most`` words; of fewer words, one for all of them."""
+    k = min(most, len(words))
     if not k:
         return np.zeros(0, np.uint64)
     n = len(words) - k + 1
@@ -87,9 +87,14 @@ class Index:
                 self.bags.append(Counter(h.tolist()))
                 self.prints.append(int(simhash(h)))
         holders: dict[int, set[int]] = {}
+        # Items under SHINGLE_WORDS words are one shingle, which a window of their size equals or doesn't.
+        self.short: dict[int, dict[int, list[int]]] = {}
         for k, bag in enumerate(self.bags):
             for x in bag:
-                holders.setdefault(x, set()).add(k)
+                if self.sizes[k] < SHINGLE_WORDS:
+                    self.short.setdefault(self.sizes[k], {}).setdefault(x, []).append(k)
+                else:
+                    holders.setdefault(x, set()).add(k)
         self.all = np.array(sorted(holders), np.uint64)
         self.holders = {x: sorted(v) for x, v in holders.items()}
         near = [sum(1 << b for b in c) for d in range(RADIUS // BLOCKS + 1) for c in combinations(range(WIDTH), d)]
@@ -106,18 +111,23 @@ class Index:
 
     def best(self, words: np.ndarray) -> tuple[float, int] | None:
         """The highest similarity of any window of a document with any item, and that item; ties: the least id."""
+        best: tuple[float, int] | None = None
+        for size, own in self.short.items():
+            for x in set(shingles(words, size).tolist()) & own.keys() if len(words) >= size else ():
+                for k in own[x]:
+                    if self.within(x, k) and (best is None or self.ids[k] < best[1]):
+                        best = (1.0, self.ids[k])
         h = shingles(words)
         if not len(h) or not len(self.all):
-            return None
+            return best
         at = np.minimum(np.searchsorted(self.all, h), len(self.all) - 1)
         hits = np.flatnonzero(self.all[at] == h)
         if not len(hits):
-            return None
+            return best
         places: dict[int, list[int]] = {}
         for i in hits.tolist():
             for k in self.holders[int(h[i])]:
                 places.setdefault(k, []).append(i)
-        best: tuple[float, int] | None = None
         for k, own in places.items():
             n = max(1, self.sizes[k] - SHINGLE_WORDS + 1)
             need = SIMILARITY * self.bags[k].total()
