@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact, line_dedup, near_dups, secrets, substring
+from . import bpe, decontam, exact, line_dedup, near_dups, secrets, substring, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op3_simhash, op4_substring_dedup, op5_line_dedup, op6_decontamination, op7_exact_dedup, op8_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_simhash, op4_substring_dedup, op5_line_dedup, op6_decontamination, op7_exact_dedup, op8_bpe)}
 
 
 OP4_SQL = """
