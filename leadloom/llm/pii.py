@@ -113,7 +113,7 @@ def labelled_table() -> list[tuple[list[str], list[int]]]:
         ):
             rows.append(([*before, *name, *after], [0] * len(before) + tags + [0] * len(after)))
         plain = [["The", "report", "is", "in", "Paris", "now."], ["It", "is", "on", "Monday", "that", "we", "From", "here."], ["SALE!!", "CALL", "NOW!!"],
-                 ["token", "=", "4f3a", "Then", "the", "name", "of", "it"], ["From", "the", "start", "by", "The", "sea."], ["Contact", "us", "by", "mail"]]
+                 ["token", "=", "4f3a", "Then", "the", "name", "of", "it"], ["From", "the", "start", "at", "The", "sea."], ["Contact", "us", "by", "mail"]]
         for p in plain:
             rows.append((p, [0] * len(p)))
     return rows

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact, line_dedup, near_dups, pii, secrets, substring, toxicity
+from . import bpe, decontam, exact, line_dedup, near_dups, pii, secrets, substring, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +48,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_spans(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_simhash, op4_substring_dedup, op5_line_dedup, op6_decontamination, op7_exact_dedup, op8_bpe, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_simhash, op4_substring_dedup, op5_line_dedup, op6_decontamination, op7_exact_dedup, op8_bpe, op9_token_files, op10_pii)}
 
 
 OP4_SQL = """
