@@ -32,39 +32,31 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def chunked(rows: DataFrame) -> DataFrame:
-    """Adds ``chunks``, array<struct<body, n_lines>>; joined by newlines, the bodies are the text."""
-    held = _held(rows, "lines", F.split("text", "\n", -1))
-    held = _held(held, "hashes", F.transform("lines", _line_hash))
+def chunked(rows: DataFrame, text: Column | None = None, name: str = "chunks") -> DataFrame:
+    """Adds the column ``name``, array<struct<body, n_lines>>; joined by newlines, the bodies are the text."""
+    held = _held(rows, "__lines", F.split(F.col("text") if text is None else text, "\n", -1))
+    held = _held(held, "__hashes", F.transform("__lines", _line_hash))
     # An end at i (counted from 1) puts lines up to i in one chunk; the last line always ends one.
     pairs = F.zip_with(
-        "hashes", F.concat(F.array(F.lit(None).cast("long")), "hashes"), lambda h, before: F.pmod(before * FACTOR + h, F.lit(DIVISOR)) == 0
+        "__hashes", F.concat(F.array(F.lit(None).cast("long")), "__hashes"), lambda h, before: F.pmod(before * FACTOR + h, F.lit(DIVISOR)) == 0
     )
     ends = F.filter(
-        F.transform(F.slice(pairs, 1, F.size("hashes")), lambda end, i: F.when(end | (i + 1 == F.size("hashes")), i + 1)),
+        F.transform(F.slice(pairs, 1, F.size("__hashes")), lambda end, i: F.when(end | (i + 1 == F.size("__hashes")), i + 1)),
         lambda i: i.isNotNull(),
     )
-    held = _held(held, "ends", ends)
+    held = _held(held, "__ends", ends)
     chunks = F.zip_with(
-        F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1)),
-        "ends",
-        lambda start, end: F.struct(F.array_join(F.slice("lines", start + 1, end - start), "\n").alias("body"), (end - start).alias("n_lines")),
+        F.concat(F.array(F.lit(0)), F.slice("__ends", 1, F.size("__ends") - 1)),
+        "__ends",
+        lambda start, end: F.struct(F.array_join(F.slice("__lines", start + 1, end - start), "\n").alias("body"), (end - start).alias("n_lines")),
     )
-    return _held(held, "chunks", chunks).drop("lines", "hashes", "ends")
+    return _held(held, name, chunks).drop("__lines", "__hashes", "__ends")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, text (what is left), n_lines, n_removed (lines).
-
-    A chunk of at least MIN_LINES lines and MIN_CHARS characters is removed
-    wherever it is not the first occurrence, by ascending doc_id, then place.
-    Bodies are grouped by their bytes, not by a hash alone. Null texts count
-    as empty; an empty text has one empty line. Null ids come last. Rows with
-    the same id count as one document: each keeps the first occurrence. An
-    empty table gives an empty result. Other columns are not read.
-    """
-    base = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with __chunks (all chunks of each text) and __left (those that stay)."""
     last = F.lit((1 << 63) - 1)
+    base = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     places = chunked(base).select(
         F.coalesce("doc_id", last).alias("doc"), "text_key", F.posexplode("chunks").alias("at", "chunk")
     )
@@ -78,28 +70,43 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = cut(first.select(F.col("key").alias("k"), F.col("body").alias("b"), "first_doc"), "first")
     marks = (
         bodies.join(first, (F.col("key") == F.col("k")) & (F.col("body") == F.col("b")))
-        .groupBy("doc", "text_key")
-        .agg(F.collect_set(F.struct("at", (F.col("doc") > F.col("first_doc")).alias("later"))).alias("marks"))
-        .withColumnRenamed("text_key", "marked_key")
+        .groupBy(F.col("doc").alias("__doc"), F.col("text_key").alias("__marked"))
+        .agg(F.collect_set(F.struct("at", (F.col("doc") > F.col("first_doc")).alias("later"))).alias("__marks"))
     )
-    marked = base.join(
-        marks, (F.coalesce("doc_id", last) == F.col("doc")) & (F.col("text_key") == F.col("marked_key")), "left"
-    )
-    out = chunked(marked.select("doc_id", "text", "marks"))
-    out = _held(out, "bodies", F.transform("chunks", lambda c: c["body"]))
-    gone_later = F.transform(F.filter("marks", lambda m: m["later"]), lambda m: m["at"])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = (F.coalesce(F.col(id_col).cast("long"), last) == F.col("__doc")) & (F.xxhash64(text) == F.col("__marked"))
+    out = docs.join(marks, own, "left").drop("__doc", "__marked")
+    out = chunked(out, text, "__chunks")
+    out = _held(out, "__bodies", F.transform("__chunks", lambda c: c["body"]))
+    later = F.transform(F.filter("__marks", lambda m: m["later"]), lambda m: m["at"])
     # Within the first document itself only the first place of a chunk stays.
-    own = F.filter("marks", lambda m: ~m["later"])
-    gone_own = F.transform(
-        F.filter(own, lambda m: F.array_position("bodies", F.get("bodies", m["at"])) - 1 < m["at"]), lambda m: m["at"]
-    )
-    gone = F.coalesce(F.concat(gone_later, gone_own), F.array().cast("array<int>"))
-    out = _held(out, "gone", gone)
-    left = F.filter("chunks", lambda c, i: ~F.array_contains(F.col("gone"), i))
-    lines = lambda a: F.aggregate(a, F.lit(0), lambda s, c: s + c["n_lines"])
+    again = F.filter("__marks", lambda m: ~m["later"] & (F.array_position("__bodies", F.get("__bodies", m["at"])) - 1 < m["at"]))
+    out = _held(out, "__gone", F.coalesce(F.concat(later, F.transform(again, lambda m: m["at"])), F.array().cast("array<int>")))
+    left = F.filter("__chunks", lambda c, i: ~F.array_contains(F.col("__gone"), i))
+    return _held(out, "__left", left).drop("__marks", "__bodies", "__gone")
+
+
+def _text(chunks: str) -> Column:
+    return F.array_join(F.transform(chunks, lambda c: c["body"]), "\n")
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, text (what is left), n_lines, n_removed (lines).
+
+    A chunk of at least MIN_LINES lines and MIN_CHARS characters is removed
+    wherever it is not the first occurrence, by ascending doc_id, then place.
+    Bodies are grouped by their bytes, not by a hash alone. Null texts count
+    as empty; an empty text has one empty line. Null ids come last. Rows with
+    the same id count as one document: each keeps the first occurrence. An
+    empty table gives an empty result. Other columns are not read.
+    """
+    lines = lambda a: F.aggregate(a, F.lit(0), lambda s, c: s + c["n_lines"]).cast("long")
+    out = _marked(id_and_text(docs, id_col, text_col), "doc_id", "text")
     return out.select(
-        "doc_id",
-        F.array_join(F.transform(left, lambda c: c["body"]), "\n").alias("text"),
-        lines(F.col("chunks")).cast("long").alias("n_lines"),
-        (lines(F.col("chunks")) - lines(left)).cast("long").alias("n_removed"),
+        "doc_id", _text("__left").alias("text"), lines("__chunks").alias("n_lines"), (lines("__chunks") - lines("__left")).alias("n_removed")
     )
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with what :func:`line_dedup` leaves of their texts."""
+    return _marked(docs, id_col, text_col).withColumn(text_col, _text("__left")).select(*docs.columns)
