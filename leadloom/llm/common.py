@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,12 @@ def cut(df: DataFrame, name: str = "part") -> DataFrame:
     return back
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished steps now, rather than when the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`cut` that no plan reads any more."""
     spark = df.sparkSession

@@ -12,8 +12,9 @@ across a factor's boundary are looked up too.
 Pass 1 counts which anchors occur in two documents, as sums that shrink before
 they shuffle, and packs them into a bitmap of at most 2**MAX_BITS bits; pass 2
 brings together only segments whose anchor is set there. A full bitmap costs
-shuffle, never a result. Equal segments are one row, whatever their number;
-an anchor with very many different segments is taken apart into single runs.
+shuffle, never a result. Equal segments are one row, whatever their number. The
+segments of an anchor in more than CROWD documents are taken apart into single
+runs, each of which is its own anchor, so that no reference block grows large.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, cut, id_and_text, joined, text_slices
+from .common import CACHE_WORDS, cut, id_and_text, joined, let_go, text_slices
 from .exact import filter_bits
 
 WINDOW, ANCHOR_WORDS = 13, 5
 SPAN = WINDOW - ANCHOR_WORDS + 1
-#: From so many different segments an anchor's runs are compared one by one instead of in its reference block.
-WIDE = 2000
+#: In more documents than this, an anchor's runs are compared one by one instead of in its reference block.
+CROWD = 2000
 FACTORS = np.random.default_rng(13).integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
 LAST = (1 << 63) - 1
 
@@ -109,11 +110,18 @@ def unpacked(maps: list[tuple[int, bytes]], bits: int) -> np.ndarray:
     return out
 
 
-def segment_rows(bitmap, bits: int):
-    """(doc, row_key, text) to the segments whose anchor is in the bitmap, as (anchor, runs, doc, row_key, at)."""
+def segment_rows(bitmaps, bits: int):
+    """(doc, row_key, text) to the segments whose anchor is in the first bitmap, as (anchor, runs, doc, row_key, at).
+
+    Those whose anchor is in the second bitmap too are given as single runs.
+    """
+
+    def is_set(maps: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        place = anchor & (bits - 1)
+        return (maps[place >> 3] >> (place & 7)) & 1 == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, maps = Segments(), bitmap.value
+        finder, (shared, crowd) = Segments(), bitmaps.value
         for batch in batches:
             docs, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for first, part in text_slices(batch.column(2)):
@@ -123,14 +131,18 @@ def segment_rows(bitmap, bits: int):
                     if len(words) < WINDOW:
                         continue
                     anchor, start, n = finder.of(words)
-                    place = anchor & (bits - 1)
-                    some = (maps[place >> 3] >> (place & 7)) & 1 == 1
+                    some = is_set(shared, anchor)
                     if not some.any():
                         continue
                     hashes = _run_hashes(words, WINDOW).view(np.int64)
-                    start, n = start[some], n[some]
+                    anchor, start, n = anchor[some], start[some], n[some]
+                    many = is_set(crowd, anchor)
+                    if many.any():
+                        single = np.repeat(start[many] - np.r_[0, np.cumsum(n[many])[:-1]], n[many]) + np.arange(n[many].sum())
+                        anchor = np.r_[anchor[~many], _mixed(hashes[single].view(np.uint64)).view(np.int64)]
+                        start, n = np.r_[start[~many], single], np.r_[n[~many], np.ones(len(single), np.int64)]
                     take = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                    for column, values in zip(rows, (anchor[some], n, hashes[take], np.full(len(n), docs[k]), np.full(len(n), keys[k]), start), strict=True):
+                    for column, values in zip(rows, (anchor, n, hashes[take], np.full(len(n), docs[k]), np.full(len(n), keys[k]), start), strict=True):
                         column.append(values)
                 if rows[0]:
                     anchor, n, hashes, doc, key, start = map(np.concatenate, rows)
@@ -143,7 +155,7 @@ def segment_rows(bitmap, bits: int):
 
 
 def factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, first_doc, runs), in that order, to (anchor, runs, first_doc, mask): bit k is set if run k is in a smaller document."""
+    """(anchor, first_doc, runs, segment), in that order, to (anchor, segment, first_doc, mask): bit k is set if run k is in a smaller document."""
     anchor, block = None, {}
     for batch in batches:
         masks = []
@@ -151,7 +163,7 @@ def factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a != anchor:
                 anchor, block = a, {}
             masks.append(parse(runs, doc, block))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), pa.array(masks, pa.int32())], ["anchor", "runs", "first_doc", "mask"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(1), pa.array(masks, pa.int32())], ["anchor", "segment", "first_doc", "mask"])
 
 
 def parse(runs: bytes, doc: int, block: dict[bytes, tuple[int, bytes]]) -> int:
@@ -181,37 +193,31 @@ def duplicate_runs(rows: DataFrame, expected: int) -> DataFrame:
     spark = rows.sparkSession
     bits = filter_bits(expected)
     anchors = rows.select("doc", "text").mapInArrow(anchor_rows, "anchor long, doc long")
-    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
+    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b")
     place = F.col("anchor").bitwiseAND(F.lit(bits - 1)) + 1
-    maps = shared.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("body"))
-    bitmap = spark.sparkContext.broadcast(unpacked([(r.bucket, bytes(r.body)) for r in maps.collect()], bits))  # 16 MB at most
+    crowd = F.col("n") > CROWD
+    maps = shared.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("body"),
+        F.bitmap_construct_agg(F.when(crowd, F.bitmap_bit_position(place))).alias("crowd"),
+    )
+    found = maps.collect()  # two bitmaps of 16 MB at most
+    bitmaps = spark.sparkContext.broadcast(tuple(unpacked([(r.bucket, bytes(r[k])) for r in found], bits) for k in (1, 2)))
+    del found, maps, shared, anchors
 
     segments = cut(
-        rows.select("doc", "row_key", "text").mapInArrow(segment_rows(bitmap, bits), "anchor long, runs binary, doc long, row_key long, at int"),
+        rows.select("doc", "row_key", "text").mapInArrow(segment_rows(bitmaps, bits), "anchor long, runs binary, doc long, row_key long, at int"),
         "segments",
     )
-    kinds = cut(segments.groupBy("anchor", "runs").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")), "kinds")
-    per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).where("a < b")
-    per_anchor = cut(per_anchor.select("anchor", (F.col("n") > WIDE).alias("wide")), "anchors")
-    kinds = kinds.drop("last_doc").join(per_anchor, "anchor")
-    narrow = (
-        kinds.where("not wide").select("anchor", "first_doc", "runs").repartition("anchor").sortWithinPartitions("anchor", "first_doc", "runs")
-        .mapInArrow(factored, "anchor long, runs binary, first_doc long, mask int")
-    )
-    single = kinds.where("wide").select(
-        "anchor", "runs", "first_doc", F.posexplode(F.expr("transform(sequence(1, length(runs), 8), i -> substring(runs, i, 8))")).alias("k", "one")
-    )
-    first = cut(single.groupBy("anchor", "one").agg(F.min("first_doc").alias("smallest")), "first")
-    wide = (
-        single.join(first, ["anchor", "one"])
-        .groupBy("anchor", "runs", "first_doc")
-        .agg(F.bit_or(F.when(F.col("smallest") < F.col("first_doc"), F.expr("shiftleft(1, k)")).otherwise(0)).alias("mask"))
-    )
-    decided = cut(narrow.unionByName(wide), "decided")
-    whole = F.expr("shiftleft(1, cast(length(runs) / 8 as int)) - 1").cast("int")
+    let_go(spark)
+    kinds = segments.groupBy("anchor", "runs").agg(F.min("doc").alias("first_doc")).withColumn("segment", F.xxhash64("runs"))
+    blocks = kinds.select("anchor", "first_doc", "runs", "segment").repartition("anchor").sortWithinPartitions("anchor", "first_doc", "segment")
+    decided = cut(blocks.mapInArrow(factored, "anchor long, segment long, first_doc long, mask int"), "decided")
+    del kinds, blocks
+    let_go(spark)
+    places = segments.select("anchor", F.xxhash64("runs").alias("segment"), "doc", "row_key", "at", F.expr("shiftleft(1, cast(length(runs) / 8 as int)) - 1").alias("whole"))
     return (
-        segments.join(decided, ["anchor", "runs"])
-        .select("row_key", "at", F.when(F.col("doc") > F.col("first_doc"), whole).otherwise(F.col("mask")).alias("mask"))
+        places.join(decided, ["anchor", "segment"])
+        .select("row_key", "at", F.when(F.col("doc") > F.col("first_doc"), F.col("whole")).otherwise(F.col("mask")).alias("mask"))
         .where("mask <> 0")
     )
 

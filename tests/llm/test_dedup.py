@@ -50,8 +50,8 @@ def test_substring_matches_plain_search(spark):
     assert got == plain_substring(rows)
 
 
-def test_substring_wide_anchors_take_the_other_way(spark, monkeypatch):
-    monkeypatch.setattr(substring, "WIDE", 1)
+def test_substring_takes_crowded_anchors_apart(spark, monkeypatch):
+    monkeypatch.setattr(substring, "CROWD", 1)
     rows = passages(2, vocabulary=8)
     got = sorted(map(tuple, substring_dedup(docs(spark, rows)).select("doc_id", "n_words", "n_removed", "kept").collect()))
     assert got == plain_substring(rows)
