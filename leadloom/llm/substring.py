@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, cut, id_and_text, joined, let_go, text_slices
+from .common import CACHE_WORDS, cut, discard, id_and_text, joined, let_go, text_slices
 from .exact import filter_bits
 
 WINDOW, ANCHOR_WORDS = 13, 5
@@ -189,7 +189,7 @@ def parse(runs: bytes, doc: int, block: dict[bytes, tuple[int, bytes]]) -> int:
 
 
 def duplicate_runs(rows: DataFrame, expected: int) -> DataFrame:
-    """(row_key, at, mask) for each segment of ``rows`` (doc, row_key, text) with runs that a smaller document has."""
+    """(marked, spans) for each row_key of ``rows`` (doc, row_key, text) with runs that a smaller document has."""
     spark = rows.sparkSession
     bits = filter_bits(expected)
     anchors = rows.select("doc", "text").mapInArrow(anchor_rows, "anchor long, doc long")
@@ -215,11 +215,17 @@ def duplicate_runs(rows: DataFrame, expected: int) -> DataFrame:
     del kinds, blocks
     let_go(spark)
     places = segments.select("anchor", F.xxhash64("runs").alias("segment"), "doc", "row_key", "at", F.expr("shiftleft(1, cast(length(runs) / 8 as int)) - 1").alias("whole"))
-    return (
+    spans = (
         places.join(decided, ["anchor", "segment"])
         .select("row_key", "at", F.when(F.col("doc") > F.col("first_doc"), F.col("whole")).otherwise(F.col("mask")).alias("mask"))
         .where("mask <> 0")
     )
+    found = cut(spans.groupBy(F.col("row_key").alias("marked")).agg(F.collect_set(F.struct("at", "mask")).alias("spans")), "spans")
+    discard(segments)
+    discard(decided)
+    del spans, places
+    let_go(spark)
+    return found
 
 
 def remove_words(text: str, spans: list[dict] | None) -> tuple[int, list[bytes]]:
@@ -252,7 +258,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
     # One anchor in five words, a word in six characters.
     expected = docs.select(F.sum(F.length(F.col(text_col))).alias("n")).first()["n"] or 0
-    spans = duplicate_runs(rows, expected // 30 // 4 + 1).groupBy(F.col("row_key").alias("marked")).agg(F.collect_set(F.struct("at", "mask")).alias("spans"))
+    spans = duplicate_runs(rows, expected // 30 // 4 + 1)
 
     body = "kept_sha256" if digests else "kept"
     out = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), (body, pa.string())])
