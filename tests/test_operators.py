@@ -38,10 +38,10 @@ def test_field_status(spark):
 
 def test_rules_hold_on_unknown_and_fail_first(spark):
     icp = spark.createDataFrame([("i", ["Skincare"], ["US"], [], 10, 200, ["VP Marketing"], [], ["casino"])], "icp_id string, industries array<string>, country_codes array<string>, other_places array<string>, min_employees int, max_employees int, titles array<string>, company_types array<string>, excluded array<string>")
-    rows = [("i", "A", None, "skincare", "USA", 50, None, "Vice President of Marketing", None), ("i", "B", None, None, "USA", None, "51-200", "VP Marketing", None), ("i", "Casino X", None, "skincare", "FR", 5000, None, None, None)]
+    rows = [("i", "Acme", None, "skincare", "USA", 50, None, "Vice President of Marketing", None), ("i", "Bolt", None, None, "USA", None, "51-200", "VP Marketing", None), ("i", "Casino X", None, "skincare", "FR", 5000, None, None, None)]
     cands = spark.createDataFrame(rows, "icp_id string, company_name string, domain string, industry string, country string, employee_count int, employee_range string, title string, company_type string")
     got = {r.company_name: (r.overall, r.reasons) for r in P.evaluate(cands, icp).collect()}
-    assert got["A"] == ("PASS", []) and got["B"] == ("HOLD", ["INDUSTRY_UNRESOLVED"])
+    assert got["Acme"] == ("PASS", []) and got["Bolt"] == ("HOLD", ["INDUSTRY_UNRESOLVED"])
     assert got["Casino X"] == ("FAIL", ["GEOGRAPHY_FAILED", "EMPLOYEE_RANGE_FAILED", "EXCLUSIONS_FAILED", "ALLOWED_TITLES_UNRESOLVED"])
 
 
