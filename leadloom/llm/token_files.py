@@ -55,6 +55,8 @@ class Encoder:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str) -> list[int]:
+        if text.isascii() and "<|" not in text:
+            text = text.lower()  # as the vocabulary does; fewer forms to remember
         pieces = text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else [p for p in SPACES.split(text) if p]
         get = self.known.get
         found = list(map(get, pieces))
@@ -69,11 +71,17 @@ class Encoder:
         return list(chain.from_iterable(found))
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One a worker process: tasks after the first find its words known."""
+    return Encoder(path)
+
+
 def encoded(path: str, end_id: int):
     """(doc_id, text) to (doc_id, ids), ids as little-endian 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             for at, part in text_slices(batch.column(1)):
                 raw = [np.array([*encode(t), end_id], "<u4").tobytes() for t in part]
