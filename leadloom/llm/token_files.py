@@ -44,29 +44,40 @@ def library(path: str):
 
 
 class Encoder:
-    """Ids by the tokenizers library; a piece without white space is encoded once and remembered.
+    """Ids by the tokenizers library; a word is encoded once and remembered.
 
     The vocabulary's normalizer and pattern never look across white space, so
-    a text's ids are those of its pieces in turn.
+    a text's ids are those of its pieces in turn; nor do they join a letter or
+    digit to the marks after it, so a piece is its word and its end marks.
     """
 
     def __init__(self, path: str) -> None:
         self.library = library(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+
+    @staticmethod
+    def parts(piece: str) -> tuple[str, str]:
+        """The word, in lower case where that is beyond doubt, and the marks at its end."""
+        word = piece.rstrip(".,;:!?")
+        if not word or not word[-1].isalnum():
+            word = piece
+        marks = piece[len(word) :]
+        return (word.lower() if max(word) < "\u0130" and "<|" not in word else word), marks
 
     def __call__(self, text: str) -> list[int]:
-        if text.isascii() and "<|" not in text:
-            text = text.lower()  # as the vocabulary does; fewer forms to remember
         pieces = text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else [p for p in SPACES.split(text) if p]
-        get = self.known.get
-        found = list(map(get, pieces))
+        found = list(map(self.pieces.get, pieces))
         if None in found:
-            if len(self.known) > CACHE_WORDS:
-                self.known = {}
-                get = self.known.get
-            new = list({p for p, f in zip(pieces, found, strict=True) if f is None})
-            made = {p: tuple(e.ids) for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True)}
-            self.known.update(made)
+            if len(self.pieces) > CACHE_WORDS:
+                self.pieces = {}
+            if len(self.words) > 2 * CACHE_WORDS:
+                self.words = {}
+            new = {p: self.parts(p) for p, f in zip(pieces, found, strict=True) if f is None}
+            words = list({w for pair in new.values() for w in pair if w and w not in self.words})
+            self.words.update((w, tuple(e.ids)) for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True))
+            made = {p: self.words[w] + (self.words[m] if m else ()) for p, (w, m) in new.items()}
+            self.pieces.update(made)
             found = [made[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
         return list(chain.from_iterable(found))
 
