@@ -72,7 +72,7 @@ def term_origins(users: Column, proposed: Column) -> Column:
     """Map of every term to user or ai; a user's claim wins."""
     mine, other = clean_terms(users), clean_terms(proposed)
     rest = F.filter(other, lambda t: ~F.exists(mine, lambda u: F.lower(u) == F.lower(t)))
-    tag = lambda a, name: F.transform(a, lambda t: F.struct(t, F.lit(name)))
+    tag = lambda a, name: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(name).alias("origin")))
     return F.map_from_entries(F.concat(tag(mine, "user"), tag(rest, "ai")))
 
 

@@ -15,6 +15,7 @@ from ..operators import ranking as R
 from ..operators import rules as P
 from ..sources import export as S
 from . import adapters as A
+from . import more_queries as M
 
 NOW = 1_706_745_600_000_000  # 2024-02-01 UTC, in microseconds
 FIELDS = ("click", "error", "purchase", "signup")
@@ -129,7 +130,7 @@ ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in ALL} | M.queries()
 
 
 EVIDENCE = """e AS (SELECT user_id AS entity_id, event_type AS field, (json_extract(props, '$.k')::INT % 2)::VARCHAR AS key, 'p' || (event_id % 3) AS provider,
@@ -194,4 +195,4 @@ def oracle_sql() -> dict[str, str]:
         "feedback_recommendations": f"""WITH {FEEDBACK} SELECT signal, CASE WHEN rate > 0.5 THEN 'PROMOTE' ELSE 'DEMOTE' END AS action, CASE WHEN rate > 0.5 THEN 1.0 ELSE -1.0 END::DOUBLE * CASE sample WHEN 'STRONG' THEN 1.0 WHEN 'MODERATE' THEN 0.5 ELSE 0.2 END::DOUBLE AS magnitude,
             substr(sha256('global|' || CASE WHEN rate > 0.5 THEN 'PROMOTE' ELSE 'DEMOTE' END || '|' || signal || '|'), 1, 32) AS fingerprint FROM k WHERE sample <> 'INSUFFICIENT' AND abs(rate - 0.5) >= 0.15""",
         "export_rows": f"""WITH {SIGNALS} SELECT k::VARCHAR AS lead_id, hard AS hard_rule_result, coalesce(outcome, 'UNKNOWN') AS batch_outcome, CASE WHEN score > 100 THEN 'TRUE' WHEN score IS NULL THEN 'UNKNOWN' ELSE 'FALSE' END AS high FROM t""",
-    }
+    } | M.oracle_sql(SIGNALS, RULES, STATUS, list(R.TIERS))
