@@ -1,4 +1,4 @@
-"""Company candidates to known or new companies.
+"""Company and person candidates to known or new ones.
 
 The result depends on order: a candidate that is new joins the pool which
 later ones are compared with. Only being new changes the pool, and a candidate
@@ -18,9 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import cut
-from ..functions.text import normalize_company_name, normalize_domain
-
-ORD = "struct<tier:int,at:timestamp,id:string>"
+from ..functions.text import normalize_company_name, normalize_domain, normalize_person_name
 
 
 def _key(kind: str, *parts: Column) -> Column:
@@ -29,8 +27,17 @@ def _key(kind: str, *parts: Column) -> Column:
 
 
 def _first(rows: DataFrame, *value: str) -> DataFrame:
-    """The first company of each key."""
-    return rows.where("key is not null").groupBy("key").agg(F.min(F.struct("ord", "company_id", *value)).alias("top")).select("key", "top.*")
+    """The first entity of each key."""
+    return rows.where("key is not null").groupBy("key").agg(F.min(F.struct("ord", "entity", *value)).alias("top")).select("key", "top.*")
+
+
+def _look(rows: DataFrame, table: DataFrame, key: str, *extra: str) -> DataFrame:
+    """Adds by_<key>, the first entity under a key, and what else is asked of it, if it came before the candidate."""
+    c = F.col
+    t = table.select(c("key").alias(key), c("ord").alias("__o"), c("entity").alias("__e"), *[c(x).alias("__" + x) for x in extra])
+    before = c("__o") < c("ord")
+    found = {f"by_{key}": F.when(before, c("__e"))} | {f"{x}_{key}": F.when(before, c("__" + x)) for x in extra}
+    return rows.join(t, key, "left").withColumns(found).drop("__o", "__e", *["__" + x for x in extra])
 
 
 def _new_ones(open_rows: DataFrame) -> DataFrame:
@@ -69,41 +76,34 @@ def resolve_companies(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     cand = cut(cand.withColumn("minted", minted), "candidates")
 
     old = existing.select(
-        c("company_id").cast("string").alias("company_id"), F.struct(F.lit(0).alias("tier"), F.lit(None).cast("timestamp").alias("at"), c("company_id").cast("string").alias("id")).alias("ord"),
+        c("company_id").cast("string").alias("entity"), F.struct(F.lit(0).alias("tier"), F.lit(None).cast("timestamp").alias("at"), c("company_id").cast("string").alias("id")).alias("ord"),
         normalize_domain(c("domain")).alias("domain"), F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), normalize_company_name)).alias("names"),
         F.map_entries(F.coalesce("provider_ids", F.create_map().cast("map<string,string>"))).alias("ids"),
     )
-    old_p = old.select("ord", "company_id", "domain", F.explode("ids").alias("i")).select(_key("p", c("i.key"), c("i.value")).alias("key"), "ord", "company_id", "domain")
-    old_d = old.select(_key("d", c("domain")).alias("key"), "ord", "company_id")
-    old_n = old.select("ord", "company_id", "ids", F.explode("names").alias("name")).where("name is not null")
-    old_q = old_n.select("ord", "company_id", "name", F.explode("ids").alias("i")).select(_key("q", c("i.key"), c("name")).alias("key"), "ord", "company_id")
-    old_n = old_n.select(_key("n", c("name")).alias("key"), "ord", "company_id")
+    old_p = old.select("ord", "entity", "domain", F.explode("ids").alias("i")).select(_key("p", c("i.key"), c("i.value")).alias("key"), "ord", "entity", "domain")
+    old_d = old.select(_key("d", c("domain")).alias("key"), "ord", "entity")
+    old_n = old.select("ord", "entity", "ids", F.explode("names").alias("name")).where("name is not null")
+    old_q = old_n.select("ord", "entity", "name", F.explode("ids").alias("i")).select(_key("q", c("i.key"), c("name")).alias("key"), "ord", "entity")
+    old_n = old_n.select(_key("n", c("name")).alias("key"), "ord", "entity")
 
     known = old_p.select("key").unionByName(old_d.select("key")).unionByName(old_n.select("key")).where("key is not null").distinct()
     blocks = F.array_compact(F.array("p", F.when(c("d").isNotNull(), c("d")).otherwise(c("n"))))
     rows = cand.select("ord", blocks.alias("blocks"), F.array_compact(F.array("p", "d", "n")).alias("gives"))
     met = rows.select("ord", F.explode("blocks").alias("key")).join(known, "key", "left_semi").select("ord").distinct()
     new = _new_ones(rows.join(met, "ord", "left_anti"))
-    made = cand.join(new, "ord", "left_semi").withColumn("company_id", c("minted"))
+    made = cand.join(new, "ord", "left_semi").withColumn("entity", c("minted"))
 
-    p = _first(old_p.unionByName(made.select(c("p").alias("key"), "ord", "company_id", "domain")), "domain")
-    d = _first(old_d.unionByName(made.select(c("d").alias("key"), "ord", "company_id")))
-    q = _first(old_q.unionByName(made.select(c("q").alias("key"), "ord", "company_id")))
-    named = cut(old_n.unionByName(made.select(c("n").alias("key"), "ord", "company_id").where("key is not null")), "names")
+    p = _first(old_p.unionByName(made.select(c("p").alias("key"), "ord", "entity", "domain")), "domain")
+    d = _first(old_d.unionByName(made.select(c("d").alias("key"), "ord", "entity")))
+    q = _first(old_q.unionByName(made.select(c("q").alias("key"), "ord", "entity")))
+    named = cut(old_n.unionByName(made.select(c("n").alias("key"), "ord", "entity").where("key is not null")), "names")
     n1 = _first(named)
-    n2 = _first(named.join(n1.select("key", c("ord").alias("o1")), "key").where(c("ord") > c("o1")).select("key", "ord", "company_id"))
-
-    def look(rows: DataFrame, table: DataFrame, key: str, extra: tuple[str, ...] = ()) -> DataFrame:
-        """The first company under a key, if it came before the candidate."""
-        t = table.select(c("key").alias(key), c("ord").alias("__o"), c("company_id").alias("__c"), *[c(x).alias("__" + x) for x in extra])
-        got = rows.join(t, key, "left")
-        before = c("__o") < c("ord")
-        return got.withColumns({f"by_{key}": F.when(before, c("__c"))} | {f"{x}_{key}": F.when(before, c("__" + x)) for x in extra}).drop("__o", "__c", *["__" + x for x in extra])
+    n2 = _first(named.join(n1.select("key", c("ord").alias("o1")), "key").where(c("ord") > c("o1")).select("key", "ord", "entity"))
 
-    out = look(look(look(look(cand, p, "p", ("domain",)), d, "d"), q, "q"), n1, "n")
-    out = look(out.withColumn("m", c("n")), n2, "m")
+    out = _look(_look(_look(_look(cand, p, "p", "domain"), d, "d"), q, "q"), n1, "n")
+    out = _look(out.withColumn("m", c("n")), n2, "m")
     # A domain match names a conflict unless the company knows the candidate's name.
-    knows = named.select(c("key").alias("n"), c("company_id").alias("by_d"), F.lit(True).alias("knows")).distinct()
+    knows = named.select(c("key").alias("n"), c("entity").alias("by_d"), F.lit(True).alias("knows")).distinct()
     out = out.join(knows, ["n", "by_d"], "left").join(new.withColumn("is_new", F.lit(True)), "ord", "left")
     lone = c("d").isNull()
     reason = (
@@ -119,3 +119,80 @@ def resolve_companies(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     )
     status = F.when(matched, "MATCH").when(is_new, "NEW").otherwise("UNRESOLVED")
     return out.select("candidate_id", status.alias("status"), F.when(matched, by).when(is_new, c("minted")).alias("company_id"), by.alias("matched_company_id"), "reason", conflicts.alias("conflicts"))
+
+
+def resolve_people(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """One row a candidate: status, person_id, matched_person_id, reason, conflicts.
+
+    Takes candidate_id, provider_id, external_id, name, profile_id,
+    company_id and discovered_at, and existing people as person_id, name,
+    aliases, profile_id, company_id, companies (array) and provider_ids (map).
+    Deciding keys are the provider's id, and the profile or, without one, the
+    name within the company (without a company: the name at the provider). A
+    match that contradicts the company, profile or name is UNRESOLVED. Order,
+    nulls and other columns are as for companies.
+    """
+    c = F.col
+    text = lambda x: c(x).cast("string").alias(x)
+    cand = candidates.select(
+        text("candidate_id"), F.struct(F.lit(1).alias("tier"), c("discovered_at").cast("timestamp").alias("at"), c("candidate_id").cast("string").alias("id")).alias("ord"),
+        text("provider_id"), text("external_id"), F.nullif(c("profile_id").cast("string"), F.lit("")).alias("profile"), F.nullif(c("company_id").cast("string"), F.lit("")).alias("company"), normalize_person_name(c("name")).alias("name"),
+    )
+    minted = F.sha2(F.concat_ws("|", F.lit("person"), F.coalesce("provider_id", F.lit("")), F.coalesce("external_id", "candidate_id")), 256)
+    company = c("company").isNotNull()
+    at_provider = F.when(company, _key("r", c("provider_id"), c("name"), c("company"))).otherwise(_key("q", c("provider_id"), c("name")))
+    cand = cand.withColumns({"p": _key("p", c("provider_id"), c("external_id")), "l": _key("l", c("profile")), "n": _key("n", c("name"), c("company")), "q": _key("q", c("provider_id"), c("name")), "r": at_provider, "a": _key("a", c("name"))})
+    cand = cut(cand.withColumn("minted", minted), "people")
+
+    old = existing.select(
+        c("person_id").cast("string").alias("entity"), F.struct(F.lit(0).alias("tier"), F.lit(None).cast("timestamp").alias("at"), c("person_id").cast("string").alias("id")).alias("ord"),
+        F.nullif(c("profile_id").cast("string"), F.lit("")).alias("profile"), c("company_id").cast("string").alias("company"), F.coalesce(c("companies").cast("array<string>"), F.array().cast("array<string>")).alias("companies"),
+        F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), normalize_person_name)).alias("names"),
+        F.map_entries(F.coalesce("provider_ids", F.create_map().cast("map<string,string>"))).alias("ids"),
+    )
+    about = ("profile", "company", "companies")
+    by_name = old.select("ord", "entity", "ids", "companies", F.explode("names").alias("name")).where("name is not null")
+    by_both = by_name.select("ord", "entity", "ids", "name", F.explode(F.array_distinct("companies")).alias("at"))
+    ids = F.explode("ids").alias("i")
+    keys = {
+        "p": old.select("*", ids).select(_key("p", c("i.key"), c("i.value")).alias("key"), "ord", "entity", *about), "l": old.select(_key("l", c("profile")).alias("key"), "ord", "entity", *about),
+        "n": by_both.select(_key("n", c("name"), c("at")).alias("key"), "ord", "entity"), "a": by_name.select(_key("a", c("name")).alias("key"), "ord", "entity"),
+        "q": by_name.select("*", ids).select(_key("q", c("i.key"), c("name")).alias("key"), "ord", "entity"), "r": by_both.select("*", ids).select(_key("r", c("i.key"), c("name"), c("at")).alias("key"), "ord", "entity"),
+    }
+    known = keys["p"].select("key").unionByName(keys["l"].select("key")).unionByName(keys["n"].select("key")).unionByName(keys["q"].select("key")).where("key is not null").distinct()
+    blocks = F.array_compact(F.array("p", F.when(c("l").isNotNull(), c("l")).when(company, c("n")).otherwise(c("q"))))
+    rows = cand.select("ord", blocks.alias("blocks"), F.array_compact(F.array("p", "l", "n", "q")).alias("gives"))
+    met = rows.select("ord", F.explode("blocks").alias("key")).join(known, "key", "left_semi").select("ord").distinct()
+    new = _new_ones(rows.join(met, "ord", "left_anti"))
+    made = cand.join(new, "ord", "left_semi").withColumns({"entity": c("minted"), "companies": F.array_compact(F.array("company"))})
+
+    both = {k: cut(t.unionByName(made.select(c(k).alias("key"), "ord", "entity", *[x for x in about if x in t.columns])).where("key is not null"), f"by-{k}") for k, t in keys.items() if k != "r"}
+    # A new person of a company is found by candidates of that company and by those without one.
+    both["r"] = keys["r"].unionByName(made.where("company is not null").select(c("r").alias("key"), "ord", "entity")).unionByName(both["q"])
+    n1 = _first(both["n"])
+    n2 = _first(both["n"].join(n1.select("key", c("ord").alias("o1")), "key").where(c("ord") > c("o1")).select("key", "ord", "entity"))
+    out = _look(_look(cand, _first(both["p"], *about), "p", *about), _first(both["l"], *about), "l", *about)
+    out = _look(_look(_look(out, _first(both["r"]), "r"), n1, "n"), _first(both["a"]), "a")
+    out = _look(out.withColumn("m", c("n")), n2, "m")
+    knows = both["a"].select(c("key").alias("a"), c("entity").alias("by_l"), F.lit(True).alias("knows")).distinct()
+    out = out.join(knows, ["a", "by_l"], "left")
+
+    def elsewhere(k: str) -> Column:
+        return F.when(company & c(f"company_{k}").isNotNull() & ~F.array_contains(f"companies_{k}", c("company")), "company")
+
+    named = lambda *x: F.array_join(F.array_compact(F.array(*x)), ",")
+    clash_p = named(elsewhere("p"), F.when(c("profile") != c("profile_p"), "linkedin_id"))
+    clash_l = named(elsewhere("l"), F.when(c("name").isNotNull() & c("knows").isNull(), "name"))
+    has_p, has_l, lone = c("by_p").isNotNull(), c("by_l").isNotNull(), c("profile").isNull()
+    clash = F.when(has_p, clash_p).when(has_l, clash_l).otherwise("")
+    reason = (
+        F.when((has_p | has_l) & (clash != ""), "IDENTITY_SIGNAL_CONFLICT").when(has_p, "TRUSTED_PROVIDER_IDENTITY").when(has_l, "LINKEDIN_ID_MATCH").when(~lone, "NEW_UNIQUE_LINKEDIN_ID")
+        .when(c("by_r").isNotNull(), "PROVIDER_IDENTITY_CONFLICT").when(c("by_m").isNotNull(), "AMBIGUOUS_NAME_MULTIPLE_MATCHES").when(c("by_n").isNotNull(), "NAME_AND_COMPANY_INSUFFICIENT")
+        .when(c("by_a").isNotNull(), "NEW_DIFFERENT_COMPANY_CONTEXT").otherwise("NO_IDENTITY_SIGNALS")
+    )
+    out = out.withColumns({"conflicts": clash, "reason": reason})
+    matched, is_new = c("reason").isin("TRUSTED_PROVIDER_IDENTITY", "LINKEDIN_ID_MATCH"), c("reason").startswith("NEW_") | (c("reason") == "NO_IDENTITY_SIGNALS")
+    by = F.when(has_p, c("by_p")).when(has_l, c("by_l")).when(c("reason") == "PROVIDER_IDENTITY_CONFLICT", c("by_r")).when(c("reason") == "NAME_AND_COMPANY_INSUFFICIENT", c("by_n"))
+    conflicts = F.when(c("reason") == "PROVIDER_IDENTITY_CONFLICT", "provider_external_id").when(c("reason") == "AMBIGUOUS_NAME_MULTIPLE_MATCHES", "multiple_matches").otherwise(c("conflicts"))
+    status = F.when(matched, "MATCH").when(is_new, "NEW").otherwise("UNRESOLVED")
+    return out.select("candidate_id", status.alias("status"), F.when(matched, by).when(is_new, c("minted")).alias("person_id"), by.alias("matched_person_id"), "reason", conflicts.alias("conflicts"))

@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 from leadloom.functions.text import normalize_company_name, normalize_domain
-from leadloom.operators.entities import resolve_companies
+from leadloom.operators.entities import resolve_companies, resolve_people
 from pyspark.sql import functions as F
 
 CAND = "candidate_id string, provider_id string, external_id string, name string, domain string, discovered_at timestamp, company_id string"
@@ -59,3 +59,51 @@ def test_a_name_shared_by_all_needs_few_rounds(spark):
 def test_normal_forms_are_used(spark):
     row = spark.range(1).select(normalize_domain(F.lit("HTTPS://www.A.com/x")).alias("d"), normalize_company_name(F.lit("A Inc.")).alias("n")).first()
     assert tuple(row) == ("a.com", "a")
+
+
+PERSON = "candidate_id string, provider_id string, external_id string, name string, profile_id string, company_id string, discovered_at timestamp"
+OLD_PERSON = "person_id string, name string, aliases array<string>, profile_id string, company_id string, companies array<string>, provider_ids map<string,string>"
+
+
+def people_one_by_one(cands, old):
+    pool = [(i, {n, *a}, prof, co, cos, ids) for i, n, a, prof, co, cos, ids in sorted(old)]
+    out = {}
+    for cid, prov, ext, name, prof, co, _ in sorted(cands, key=lambda r: (r[6], r[0])):
+        def away(p):
+            return ["company"] if co and p[3] is not None and co not in p[4] else []
+
+        by_id = [p for p in pool if p[5].get(prov) == ext]
+        by_prof = [p for p in pool if prof and p[2] == prof]
+        named = [p for p in pool if name and name in p[1]]
+        here = [p for p in named if co is not None and co in p[4]]
+        rival = [p for p in named if prov in p[5] and p[5][prov] != ext and (not co or co in p[4])]
+        new = False
+        if by_id or by_prof:
+            p = (by_id or by_prof)[0]
+            clash = away(p) + ((["linkedin_id"] if prof and p[2] and prof != p[2] else []) if by_id else (["name"] if name and name not in p[1] else []))
+            out[cid] = ("UNRESOLVED", p[0], "IDENTITY_SIGNAL_CONFLICT", ",".join(clash)) if clash else ("MATCH", p[0], "TRUSTED_PROVIDER_IDENTITY" if by_id else "LINKEDIN_ID_MATCH", "")
+        elif prof:
+            out[cid], new = ("NEW", None, "NEW_UNIQUE_LINKEDIN_ID", ""), True
+        elif rival:
+            out[cid] = ("UNRESOLVED", rival[0][0], "PROVIDER_IDENTITY_CONFLICT", "provider_external_id")
+        elif len(here) > 1:
+            out[cid] = ("UNRESOLVED", None, "AMBIGUOUS_NAME_MULTIPLE_MATCHES", "multiple_matches")
+        elif here:
+            out[cid] = ("UNRESOLVED", here[0][0], "NAME_AND_COMPANY_INSUFFICIENT", "")
+        else:
+            out[cid], new = ("NEW", None, "NEW_DIFFERENT_COMPANY_CONTEXT" if named else "NO_IDENTITY_SIGNALS", ""), True
+        if new:
+            pool.append((f"new:{cid}", {name}, prof, co, [co] if co else [], {prov: ext}))
+    return out
+
+
+def test_people_against_one_by_one(spark):
+    rnd = random.Random(9)
+    pick = lambda p, n, none: None if rnd.random() < none else f"{p}{rnd.randrange(n)}"
+    for size in (0, 150):
+        old = [(f"h{k}", f"n{rnd.randrange(8)}", [f"n{rnd.randrange(8)}"] if k % 2 else [], pick("l", 20, 0.4), co := pick("c", 4, 0.2), [co] if co else [], {"p1": f"e{rnd.randrange(30)}"} if k % 3 else {}) for k in range(min(size, 6))]
+        cands = [(f"k{k:03d}", f"p{rnd.randrange(3)}", f"e{rnd.randrange(50)}", pick("n", 25, 0.1), pick("l", 25, 0.6), pick("c", 4, 0.2), dt.datetime(2024, 1, 1 + rnd.randrange(9))) for k in range(size)]
+        got = resolve_people(spark.createDataFrame(cands, PERSON), spark.createDataFrame(old, OLD_PERSON)).collect()
+        ids = {r.person_id: f"new:{r.candidate_id}" for r in got if r.status == "NEW"}
+        assert len(got) == len(cands)
+        assert {r.candidate_id: (r.status, ids.get(r.matched_person_id, r.matched_person_id), r.reason, r.conflicts) for r in got} == people_one_by_one(cands, old)
