@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import entities as N
 from ..operators import evidence as E
 from ..operators import pages as W
+from ..operators import provenance as O
 from ..operators import ranking as R
 from ..operators import rules as P
 from ..operators import scores as C
@@ -48,6 +49,39 @@ def resolve_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.resolve_companies(rows, known)
 
 
+def resolve_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as sightings of a person at their part's maker, customers as known people."""
+    line, cust = A.table(spark, sf_dir, "lineitem"), A.table(spark, sf_dir, "customer")
+    k = c("l_orderkey")
+    rows = line.select(
+        F.concat_ws("-", k, "l_linenumber").alias("candidate_id"), F.concat(F.lit("p"), F.pmod("l_linenumber", F.lit(3))).alias("provider_id"), F.concat_ws("/", "l_partkey", F.pmod("l_suppkey", F.lit(5))).alias("external_id"),
+        F.concat(F.lit("Ann Lee "), F.pmod("l_partkey", F.lit(700))).alias("name"), F.when(F.pmod(k, F.lit(3)) == 0, F.concat_ws("-", F.lit("l"), "l_suppkey", F.pmod(k, F.lit(40)))).alias("profile_id"), c("l_suppkey").alias("company_id"), c("l_shipdate").alias("discovered_at"),
+    )
+    known = cust.select(c("c_custkey").alias("person_id"), F.concat(F.lit("ann lee "), F.pmod("c_custkey", F.lit(900))).alias("name"), F.array().cast("array<string>").alias("aliases"), F.concat_ws("-", F.lit("l"), "c_custkey", F.lit("9")).alias("profile_id"),
+                        c("c_nationkey").cast("string").alias("company_id"), F.array(c("c_nationkey").cast("string")).alias("companies"), F.create_map(F.lit("p2"), F.concat_ws("/", "c_custkey", F.lit("3"))).alias("provider_ids"))
+    return N.resolve_people(rows, known)
+
+
+def corroborated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.table(spark, sf_dir, "lineitem").select(F.lit("i").alias("icp_id"), c("l_suppkey").alias("company_id"), F.when(c("l_linestatus") == "F", "industry").otherwise("website").alias("source"), F.array(F.concat("l_returnflag", F.when(c("l_quantity") > 48, "x").otherwise(""))).alias("terms"))
+    return O.corroborated_terms(rows, spark.createDataFrame([("i", ["ax", "RX", "nx"], ["NX"])], "icp_id string, required array<string>, combinations array<string>"))
+
+
+def new_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array("l_returnflag").alias("a"), F.array("l_linestatus").alias("b"))
+    return O.new_provenance(rows.where("l_linenumber >= 4"), rows.where("l_linenumber < 4"), ["l_partkey"], ["a", "b"]).select("l_orderkey", "l_linenumber")
+
+
+def headline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.lead_signals(spark, sf_dir).groupBy("icp_id", O.display_tier(R.tier()).alias("ui_tier")).agg(F.count("*").alias("n"))
+
+
+def quality_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.lead_signals(spark, sf_dir).withColumn("feedback", F.when(F.pmod("lead_id", F.lit(5)) < 3, _pick(V.DECISIONS, c("lead_id"))))
+    made = O.quality_figures(rows, "icp_id")
+    return made.select("icp_id", *[F.round(x, 6).alias(x) for x in made.columns[1:]])
+
+
 def business_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.business_models(_texts(spark, sf_dir)).withColumn("models", F.array_join("models", ","))
 
@@ -194,7 +228,7 @@ def page_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    resolve_companies, business_models, commercial_signals, commercial_scores, evidence_scores, icp_scores, company_quality, identity_confidence, final_scores, parse_verdicts, verdict_gate,
+    resolve_companies, resolve_people, corroborated_terms, new_provenance, headline_counts, quality_figures, business_models, commercial_signals, commercial_scores, evidence_scores, icp_scores, company_quality, identity_confidence, final_scores, parse_verdicts, verdict_gate,
     review_decisions, feedback_checks, readiness_levels, batch_outcomes, run_status, provider_usage, preview_ranking, version_icps, route_providers, recommendation_status,
     effective_configuration, term_lists, page_texts, page_platforms,
 )
@@ -270,6 +304,12 @@ def oracle_sql(signals: str, rules: str, status: str, tiers: list[str]) -> dict[
             SELECT p_partkey AS fingerprint, coalesce(s, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') THEN 'APPROVED' END, 'PENDING') AS status FROM part LEFT JOIN q ON p_partkey = l_partkey""",
         "effective_configuration": f"""WITH q AS (SELECT l_suppkey, l_linestatus, l_partkey::VARCHAR AS f, arg_max(l_returnflag, (l_shipdate, {order_id})) AS s FROM lineitem GROUP BY 1, 2, 3)
             SELECT l_suppkey AS icp_id, l_linestatus AS kind, string_agg(f, ',' ORDER BY f) AS fingerprints FROM q WHERE s = 'N' GROUP BY 1, 2""",
+        "corroborated_terms": """SELECT 'i' AS icp_id, l_suppkey AS company_id FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 48 AND l_returnflag IN ('A', 'R') GROUP BY 2 HAVING count(DISTINCT l_returnflag) = 2""",
+        "new_provenance": """SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_linenumber >= 4 AND (NOT EXISTS (SELECT 1 FROM lineitem s WHERE s.l_linenumber < 4 AND s.l_partkey = l.l_partkey AND s.l_returnflag = l.l_returnflag)
+            OR NOT EXISTS (SELECT 1 FROM lineitem s WHERE s.l_linenumber < 4 AND s.l_partkey = l.l_partkey AND s.l_linestatus = l.l_linestatus))""",
+        "headline_counts": f"""WITH {signals} SELECT icp_id, CASE WHEN tier IN ('ACCEPTED', 'QUALIFIED_STRONG') THEN 'strong' WHEN tier = 'QUALIFIED_WEAK' THEN 'good' WHEN tier = 'HARD_FAILED' THEN 'rejected' ELSE 'weak' END AS ui_tier, count(*) AS n FROM t GROUP BY 1, 2""",
+        "quality_figures": f"""WITH {signals}, k AS (SELECT *, CASE WHEN k % 5 < 3 THEN (['GOOD_FIT', 'WEAK_FIT', 'NOT_FIT', 'HOLD'])[k % 4 + 1] END AS fb FROM o) SELECT icp_id, round(count(*) FILTER (fb = 'GOOD_FIT') / count(fb), 6) AS good_fit_precision,
+            round(count(*) FILTER (fb = 'NOT_FIT') / count(fb), 6) AS false_positive_rate, round(count(*) FILTER (outcome = 'DUPLICATE') / count(*), 6) AS duplicate_rate, round(count(*) FILTER (human = 'REJECT' AND fit = 'GOOD_FIT') / count(human), 6) AS override_rate FROM k GROUP BY 1""",
         "term_lists": """WITH w AS (SELECT p_partkey, string_split(p_type, ' ') AS ws FROM part)
             SELECT p_partkey, array_to_string(ws, '|') || '|Extra term' AS terms, coalesce(ws[3], ws[1]) || '|Extra term' AS kept, array_to_string(list_sort(list_append(ws[2:], 'Extra term')), '|') AS proposed FROM w""",
         "page_platforms": """SELECT page_id, (['Shopify', 'WooCommerce', '', ''])[page_id % 4 + 1] AS ecommerce_platform, (['', 'WordPress', '', ''])[page_id % 4 + 1] AS cms_platform, (['', '', 'HubSpot', ''])[page_id % 4 + 1] AS marketing_crm_platform, '' AS analytics_platform FROM pages""",
