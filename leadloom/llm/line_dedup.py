@@ -4,6 +4,10 @@ A text is cut into lines; a rolling hash over the hashes of two neighbouring
 lines decides from the lines alone whether a chunk ends there, so an insertion
 shifts no boundary but the nearest ones. A chunk of several lines that occurs
 again anywhere in the corpus is removed; its first occurrence stays.
+
+The pipeline goes by passages instead, wherever chunks end: every repeated run
+of lines that is long enough is the union of short windows of lines, each found
+again by its hash and compared by its bytes, so whole runs go.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from .common import cut, id_and_text
 DIVISOR, FACTOR = 3, 31
 #: A chunk counts from so many lines and so many characters.
 MIN_LINES, MIN_CHARS = 2, 40
+#: A single line is a passage from so many words; no window has more lines than SPAN (each newline is a character).
+LONG_WORDS, SPAN = 50, MIN_CHARS + 1
 
 
 def _line_hash(line: Column) -> Column:
@@ -107,6 +113,94 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _enough(lines: Column) -> Column:
+    """Of how many of the first lines a window consists: the fewest that make a passage; null if all are too few."""
+    whole = lambda s: (s["n"] >= MIN_LINES) & (s["chars"] >= MIN_CHARS)
+    return F.aggregate(
+        lines,
+        F.struct(F.lit(0).alias("n"), F.lit(-1).alias("chars")),
+        lambda s, line: F.when(whole(s), s).otherwise(F.struct((s["n"] + 1).alias("n"), (s["chars"] + 1 + F.length(line)).alias("chars"))),
+        lambda s: F.when(whole(s), s["n"]),
+    )
+
+
+def windowed(rows: DataFrame) -> DataFrame:
+    """Adds __lines and __spans, the windows of ``text`` as array<long>: first line (from 0) * (SPAN + 1) + number of lines.
+
+    There is the shortest passage from each line on, the shortest up to each
+    line, and each line of LONG_WORDS words. A run of lines that makes a passage
+    is covered by those inside it, and these depend on nothing outside it.
+    """
+    held = _held(rows, "__lines", F.split("text", "\n", -1))
+    held = _held(held, "__sizes", F.transform("__lines", F.length))
+    pair = lambda i: F.get("__sizes", i) + F.get("__sizes", i + 1) + 1 >= MIN_CHARS
+    code = lambda at, n: (at * (SPAN + 1) + n).cast("long")
+    onward = F.transform("__lines", lambda _, i: code(i, F.when(pair(i), 2).otherwise(_enough(F.slice("__lines", i + 1, SPAN)))))
+    # Where two neighbours suffice, the window up to the second is the one from the first on.
+    start = lambda i: F.greatest(i + 1 - SPAN, F.lit(0))
+    back = lambda i: _enough(F.reverse(F.slice("__lines", start(i) + 1, i + 1 - start(i))))
+    upto = F.transform("__lines", lambda _, i: F.when(pair(i - 1), None).otherwise(F.transform(F.array(back(i)), lambda n: code(i + 1 - n, n))[0]))
+    long = lambda line: (F.length(line) >= 2 * LONG_WORDS - 1) & (F.regexp_count(line, F.lit(r"\S+")) >= LONG_WORDS)
+    single = F.transform("__lines", lambda line, i: F.when(long(line), code(i, F.lit(1))))
+    return _held(held, "__spans", F.filter(F.array_union(F.array_union(onward, upto), single), lambda s: s.isNotNull())).drop("__sizes")
+
+
+def _at(span: Column) -> Column:
+    return F.floor(span / (SPAN + 1)).cast("int")
+
+
+def _lines_of(span: Column) -> Column:
+    return F.pmod(span, F.lit(SPAN + 1)).cast("int")
+
+
+def _body(span: Column) -> Column:
+    return F.array_join(F.slice("__lines", _at(span) + 1, _lines_of(span)), "\n")
+
+
+def _repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__doc, __marked, __gone) of the texts with repeats: id, text hash, and runs of lines to remove as struct<first, last>."""
+    base = id_and_text(docs, id_col, text_col).select(
+        F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("text_key"), "text"
+    )
+    base = windowed(base).drop("text")
+    # Sums per key shrink before they shuffle: a passage of a third of all rows is one row a task.
+    keys = base.select(F.explode(F.transform("__spans", lambda s: F.xxhash64(_body(s)))).alias("key"))
+    seen = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "seen")
+    # Sorted, a window stands behind the one before it in its own text that has the same bytes.
+    own = F.sort_array(F.transform("__spans", lambda s: F.struct(F.xxhash64(_body(s)).alias("key"), _body(s).alias("body"), _at(s).alias("at"), _lines_of(s).alias("n"))))
+    own = _held(base.where(F.size("__spans") > 0), "__own", own)
+    before = F.transform("__own", lambda w, i: F.struct(w.alias("w"), F.when(F.get("__own", i - 1)["body"] == w["body"], F.get("__own", i - 1)["at"]).alias("before")))
+    places = own.select("doc", "text_key", F.explode(before).alias("p")).select(
+        "doc", "text_key", F.col("p.w.key").alias("key"), F.col("p.w.body").alias("body"), F.col("p.w.at").alias("at"), F.col("p.w.n").alias("n"), F.col("p.before").alias("before")
+    )
+    bodies = cut(places.join(seen, "key", "left_semi"), "bodies")
+    first = bodies.groupBy("key", "body").agg(F.min("doc").alias("first_doc"), F.count("*").alias("found")).where("found > 1")
+    first = cut(first.select(F.col("key").alias("k"), F.col("body").alias("b"), "first_doc"), "first")
+    # Within the first document a window's lines go if it stood before, but never a line of that earlier place.
+    begin = F.when(F.col("doc") > F.col("first_doc"), F.col("at")).otherwise(F.greatest(F.col("at"), F.col("before") + F.col("n")))
+    return (
+        bodies.join(first, (F.col("key") == F.col("k")) & (F.col("body") == F.col("b")))
+        .where("doc > first_doc or before is not null")
+        .groupBy(F.col("doc").alias("__doc"), F.col("text_key").alias("__marked"))
+        .agg(F.collect_set(F.struct(begin.alias("first"), (F.col("at") + F.col("n") - 1).alias("last"))).alias("__gone"))
+    )
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, with what :func:`line_dedup` leaves of their texts."""
-    return _marked(docs, id_col, text_col).withColumn(text_col, _text("__left")).select(*docs.columns)
+    """The rows of ``docs``, all columns, without the passages that occurred before, by ascending doc_id, then place.
+
+    A passage is a run of at least MIN_LINES lines and MIN_CHARS characters, or
+    a line of LONG_WORDS words or more; every repeated one goes whole, wherever
+    it stands. The first occurrence of each line stays. Nulls and repeated
+    ids are treated as by :func:`line_dedup`.
+    """
+    last, text = F.lit((1 << 63) - 1), F.coalesce(F.col(text_col), F.lit(""))
+    marks = _repeated_lines(docs, id_col, text_col)
+    own = (F.coalesce(F.col(id_col).cast("long"), last) == F.col("__doc")) & (F.xxhash64(text) == F.col("__marked"))
+    out = docs.join(marks, own, "left")
+    out = _held(out, "__lines", F.when(F.col("__gone").isNotNull(), F.split(text, "\n", -1)))
+    gone = F.flatten(F.transform("__gone", lambda r: F.sequence(r["first"], r["last"])))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone)
+    out = _held(out, "__left", F.when(F.col("__gone").isNotNull(), left))
+    kept = F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n")
+    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(kept)).select(*docs.columns)

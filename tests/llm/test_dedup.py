@@ -3,7 +3,7 @@ import random
 
 from leadloom.llm import substring
 from leadloom.llm.exact import exact_dedup
-from leadloom.llm.line_dedup import line_dedup
+from leadloom.llm.line_dedup import line_dedup, without_repeats
 from leadloom.llm.substring import substring_dedup
 
 
@@ -87,3 +87,48 @@ def test_line_dedup(spark):
     assert (got[10].text, got[10].n_lines, got[11].text) == ("", 1, "")
     assert all(set(got[k].text.split("\n")) >= set(rows[k][1].split("\n")) - set(passage) for k in range(6))
     assert line_dedup(docs(spark, [])).collect() == []
+
+
+def plain_passages(rows):
+    """Lines of repeated runs (two lines and 40 characters, or one line of 50 words) go, all but the first occurrence."""
+    def runs(lines):
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                body = "\n".join(lines[a:b])
+                if b - a >= 2 and len(body) >= 40 or b - a == 1 and len(body.split()) >= 50:
+                    yield a, b, body
+
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        lines, gone, own = t.split("\n"), set(), {}
+        for a, b, body in runs(lines):
+            if body in seen:
+                gone |= set(range(a, b))
+            elif body in own:
+                gone |= set(range(max(a, own[body] + b - a), b))
+            own[body] = a
+        seen |= set(own)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_repeated_passages_go_whole(spark):
+    rnd = random.Random(11)
+    line = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    passages = {k: [line(60 if k == 1 else 27) for _ in range(k)] for k in range(1, 5)}
+    rows = [(i * 10 + k, "\n".join([line(20), line(12), *passage, line(9)])) for k, passage in passages.items() for i in range(12)]
+    got = {r.doc_id: r.text.split("\n") for r in without_repeats(docs(spark, rows)).collect()}
+    for i, text in rows:
+        assert got[i] == [x for x in text.split("\n") if i < 10 or x not in passages[i % 10]]
+
+
+def test_passages_match_plain_search(spark):
+    rnd = random.Random(12)
+    pool = ["", "a", "b", "yes no", "x" * 17, "y" * 38, "é" * 20, "m " * 30 + "end", "n " * 60 + "end", "long " * 9]
+    rows = [(i, "\n".join(rnd.choices(pool, rnd.choices([1, 6], k=len(pool)), k=rnd.randrange(1, 14)))) for i in range(60)]
+    rows += [(100, "\n" * 90), (101, "z\n" * 50), (102, "z\n" * 50 + "q")]
+    got = {r.doc_id: r.text for r in without_repeats(docs(spark, rows).repartition(3)).collect()}
+    assert got == plain_passages(rows)
+    none = {(r.doc_id, r.text) for r in without_repeats(docs(spark, [(None, "x\n" + "y" * 50), (7, None), (8, ""), (9, "x\n" + "y" * 50)])).collect()}
+    assert none == {(None, ""), (7, ""), (8, ""), (9, "x\n" + "y" * 50)}
+    assert without_repeats(docs(spark, [])).collect() == []
