@@ -5,7 +5,8 @@ their KEYS least shingle hashes (all but 0.2 ** KEYS of pairs at the
 threshold), so texts are sharded by those. A shard's fingerprints form a
 BK-tree; what a search finds within RADIUS bits is verified by the exact
 similarity of the two shingle sets, unless links found before already join
-the two. A key of very many texts is split by a second set of least hashes.
+the two. Fingerprints are taken of the sets, as the similarity is: how often
+a shingle repeats moves no bit. A key of very many texts is split by a second set of least hashes.
 Which keys several texts share, and which are such, goes to the tasks as
 bitmaps of at most 16 MB each; a full bitmap costs shuffle, never a result.
 """
@@ -86,13 +87,12 @@ def sketch_rows(maps, bits: int):
                     if owners[k] in seen:
                         continue
                     seen.add(owners[k])
-                    hashes = sketches.shingles(text)
-                    own = np.unique(hashes)
+                    own = np.unique(sketches.shingles(text))
                     keys = sketches.keys(own)
                     keys = keys[is_set(shared, keys)]
                     if not len(keys):
                         continue
-                    fp, body = sketches.fingerprint(hashes), np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes()
+                    fp, body = sketches.fingerprint(own), np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes()
                     for key in keys:
                         shards = [key] if not is_set(crowd, key) else _mixed((sketches.second(own) ^ key).view(np.uint64)).view(np.int64)
                         rows += [(int(s), owners[k], fp, body) for s in shards]

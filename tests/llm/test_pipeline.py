@@ -51,6 +51,17 @@ def test_near_dedup_matches_every_pair(spark, monkeypatch):
     assert near_dedup(docs.limit(0)).collect() == []
 
 
+def test_repeated_passages_move_no_fingerprint(spark):
+    rnd = random.Random(4)
+    rows = []
+    for k in range(40):
+        words = [f"w{rnd.randrange(9000)}" for _ in range(200)]
+        passage = words[:9]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(passage * 100 + words[9:]))]
+    got = sorted(r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain_near_dedup(rows) == list(range(0, 80, 2))
+
+
 def test_stages_on_a_small_corpus(spark, tmp_path):
     rnd = random.Random(9)
     prose = lambda n: "\n".join(" ".join(f"w{rnd.randrange(3000)}" for _ in range(12)) for _ in range(n))
