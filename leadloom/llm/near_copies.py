@@ -13,6 +13,8 @@ bitmaps of at most 16 MB each; a full bitmap costs shuffle, never a result.
 
 from __future__ import annotations
 
+import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from .substring import Segments, _mixed, _run_hashes, unpacked
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 20
 KEYS, CROWD = 4, 2000
+#: A shard's searches hold at most so many hits at once (or those of one search); its sets, so many bytes in memory.
+HITS, HELD = 1_000_000, 64_000_000
 
 
 class Sketches:
@@ -109,46 +113,94 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return shared >= SIMILARITY * (len(a) + len(b) - shared)
 
 
-def verified_links(prints: np.ndarray, bodies: list[np.ndarray]) -> np.ndarray:
-    """For each row of one shard the least row that it reaches by verified links."""
+class Bodies:
+    """The shingle sets of a shard, in memory up to HELD bytes, beyond that in a file without a name."""
+
+    def __init__(self) -> None:
+        self.file, self.ends = tempfile.SpooledTemporaryFile(max_size=HELD), array("q", [0])
+
+    def append(self, body: bytes) -> None:
+        self.file.write(body)
+        self.ends.append(self.ends[-1] + len(body))
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        self.file.seek(self.ends[k])
+        return np.frombuffer(self.file.read(self.ends[k + 1] - self.ends[k]), np.uint32)
+
+
+def _found(who: np.ndarray, prints: np.ndarray, edges: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs within RADIUS of the rows ``who`` and smaller ones, by the BK-tree."""
+    node = np.zeros(len(who), np.int64)
+    left, right = [], []
+    while len(who):
+        far = np.bitwise_count(prints[who] ^ prints[node]).astype(np.int64)
+        near = (far <= RADIUS) & (node < who)
+        left.append(who[near])
+        right.append(node[near])
+        low = np.searchsorted(edges, node * 65 + np.maximum(far - RADIUS, 0))
+        count = np.searchsorted(edges, node * 65 + np.minimum(far + RADIUS, 64), side="right") - low
+        at = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        who, node = np.repeat(who, count), child[at]
+    left, right = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((right, left))
+    return left[order], right[order]
+
+
+def _tried(label: np.ndarray, left: np.ndarray, right: np.ndarray, bodies) -> np.ndarray:
+    """The labels after every row tries its least neighbour that no link joins to it yet, all rows at once, until none is left."""
+    while len(left):
+        apart = label[left] != label[right]
+        left, right = left[apart], right[apart]
+        first = np.flatnonzero(np.r_[True, left[1:] != left[:-1]]) if len(left) else np.zeros(0, np.int64)
+        good = np.array([similar(bodies[a], bodies[b]) for a, b in zip(left[first].tolist(), right[first].tolist(), strict=True)], bool)
+        label = _merge(label, left[first][good], right[first][good])
+        left, right = np.delete(left, first), np.delete(right, first)
+    return label
+
+
+def _parts(rows: np.ndarray, each: int) -> Iterator[np.ndarray]:
+    """``rows`` in parts whose hits are at most HITS if each row has at most ``each``."""
+    step = max(1, HITS // max(1, each))
+    return (rows[k : k + step] for k in range(0, len(rows), step))
+
+
+def verified_links(prints: np.ndarray, bodies) -> np.ndarray:
+    """For each row of one shard the least row that it reaches by verified links.
+
+    A row that is linked to the first row of the largest group so far meets
+    only what lies outside that group: a family is not searched by all its
+    pairs, and no link between groups is left out.
+    """
     n = len(prints)
     label = np.arange(n)
     edges, child, _ = forest(prints, np.zeros(n, np.int64))
     for k in range(0, n, SEARCHES):
-        who = np.arange(k, min(n, k + SEARCHES))
-        node = np.zeros(len(who), np.int64)
-        left, right = [], []
-        while len(who):
-            far = np.bitwise_count(prints[who] ^ prints[node]).astype(np.int64)
-            near = (far <= RADIUS) & (node < who)
-            left.append(who[near])
-            right.append(node[near])
-            low = np.searchsorted(edges, node * 65 + np.maximum(far - RADIUS, 0))
-            count = np.searchsorted(edges, node * 65 + np.minimum(far + RADIUS, 64), side="right") - low
-            at = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-            who, node = np.repeat(who, count), child[at]
-        left, right = np.concatenate(left), np.concatenate(right)
-        order = np.lexsort((right, left))
-        left, right = left[order], right[order]
-        # Every row tries its least neighbour that no link joins to it yet, all rows at once, until none is left to try.
-        while len(left):
-            apart = label[left] != label[right]
-            left, right = left[apart], right[apart]
-            first = np.flatnonzero(np.r_[True, left[1:] != left[:-1]]) if len(left) else np.zeros(0, np.int64)
-            good = np.array([similar(bodies[a], bodies[b]) for a, b in zip(left[first].tolist(), right[first].tolist(), strict=True)], bool)
-            label = _merge(label, left[first][good], right[first][good])
-            left, right = np.delete(left, first), np.delete(right, first)
+        rest = who = np.arange(k, min(n, k + SEARCHES))
+        if k:
+            main = int(np.bincount(label[:k]).argmax())
+            close = who[np.bitwise_count(prints[who] ^ prints[main]) <= RADIUS]
+            own = bodies[main]
+            joined = close[np.array([similar(bodies[x], own) for x in close.tolist()], bool)]
+            label = _merge(label, joined, np.full(len(joined), main))
+            against = np.r_[np.flatnonzero(label[:k] != main), who]
+            for part in _parts(joined, len(against)):
+                near = (np.bitwise_count(prints[part][:, None] ^ prints[against]) <= RADIUS) & (against < part[:, None])
+                left, right = np.nonzero(near & (label[part][:, None] != label[against]))
+                label = _tried(label, part[left], against[right], bodies)
+            rest = np.setdiff1d(who, joined, assume_unique=True)
+        for part in _parts(rest, n):
+            label = _tried(label, *_found(part, prints, edges, child), bodies)
     return label
 
 
 def shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a partition's shards; rows in order of shard and text_key."""
-    shard, keys, prints, bodies = None, [], [], []
+    shard, keys, prints, bodies = None, array("q"), array("q"), Bodies()
 
     def solve() -> pa.RecordBatch | None:
         if len(keys) < 2:
             return None
-        label = verified_links(np.array(prints, np.int64).view(np.uint64), [np.frombuffer(b, np.uint32) for b in bodies])
+        label = verified_links(np.array(prints, np.int64).view(np.uint64), bodies)
         own = np.array(keys, np.int64)
         moved = label != np.arange(len(own))
         return pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[label[moved]])], ["u", "v"]) if moved.any() else None
@@ -158,7 +210,7 @@ def shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if s != shard:
                 if made := solve():
                     yield made
-                shard, keys, prints, bodies = s, [], [], []
+                shard, keys, prints, bodies = s, array("q"), array("q"), Bodies()
             if not keys or keys[-1] != key:
                 keys.append(key)
                 prints.append(fp)

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import corpus_pipeline
+import numpy as np
 from leadloom.llm import near_copies
 from leadloom.llm.near_copies import near_dedup
 
@@ -62,6 +64,42 @@ def test_repeated_passages_move_no_fingerprint(spark):
     assert got == plain_near_dedup(rows) == list(range(0, 80, 2))
 
 
+def test_a_family_is_searched_in_bounded_memory(monkeypatch):
+    rnd = np.random.default_rng(8)
+    base = rnd.choice(1 << 20, 100, replace=False).astype(np.uint32)
+    bodies = [np.unique(np.r_[base, np.uint32((1 << 20) + k)]) for k in range(4000)]
+    prints = np.uint64(12345) ^ (np.uint64(1) << rnd.integers(0, 64, 4000, dtype=np.uint64))
+    want = np.zeros(4000, int)
+    tracemalloc.start()
+    got = near_copies.verified_links(prints, bodies)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and peak < 120e6
+
+
+def test_groups_of_a_shard_match_every_pair(monkeypatch):
+    monkeypatch.setattr(near_copies, "SEARCHES", 16)
+    monkeypatch.setattr(near_copies, "HELD", 1000)
+    for seed, hits in ((1, 1), (2, 50), (3, 1_000_000)):
+        monkeypatch.setattr(near_copies, "HITS", hits)
+        rnd = np.random.default_rng(seed)
+        now = [rnd.choice(5000, 40, replace=False) for _ in range(3)]
+        held, sets, prints = near_copies.Bodies(), [], []
+        for _ in range(200):  # each row is one step further from where its chain began
+            k = rnd.choice(3, p=[0.8, 0.1, 0.1])
+            now[k] = np.r_[now[k][2:], rnd.integers(0, 1 << 30, 2)] if rnd.random() < 0.3 else now[k]
+            sets.append(np.unique(np.r_[now[k], rnd.integers(0, 1 << 30, rnd.integers(0, 8))]).astype(np.uint32))
+            prints.append(np.uint64(rnd.integers(0, 1 << 12)))
+            held.append(sets[-1].tobytes())
+        want = np.arange(200)
+        for a in range(200):
+            for b in range(a):
+                if near_copies.similar(sets[a], sets[b]):
+                    want[want == max(want[a], want[b])] = min(want[a], want[b])
+        assert len(set(want.tolist())) > 3
+        assert (near_copies.verified_links(np.array(prints), held) == want).all()
+
+
 def test_stages_on_a_small_corpus(spark, tmp_path):
     rnd = random.Random(9)
     prose = lambda n: "\n".join(" ".join(f"w{rnd.randrange(3000)}" for _ in range(12)) for _ in range(n))
