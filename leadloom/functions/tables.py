@@ -1,20 +1,81 @@
-"""Tables that cut lineage, in the folder that driver and executors share."""
+"""Tables that cut lineage, in the folder that driver and executors share, and positions within groups."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` (a local folder only where none is set) and read it back."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    On a cluster it must be set. A local session, whose driver is its only
+    executor, gets a folder of its own where none is.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def application_folder(spark: SparkSession) -> str:
+    """Where this application keeps its tables; nothing reads them once its results are written."""
+    return f"{shared_folder(spark)}/leadloom/{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame, name: str = "part") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Lineage ends there, so a lost executor costs at most the tasks since the
+    last cut, and the table's size is known to the optimizer.
+    """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/leadloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _paths[back] = path
+    return back
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by :func:`cut` that no plan reads any more."""
+    _delete(df.sparkSession, _paths.pop(df))
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables of this application, once every result that reads them is written."""
+    _delete(spark, application_folder(spark))
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: 1..n in each group, by ``order``, which should leave no ties.
+
+    Rows are dealt by ranges of (group, order), so that a group of a third of
+    all rows spreads over a third of the tasks; each range counts its own rows,
+    and the counts of the ranges before it, one number a range, are added.
+    """
+    spread = rows.repartitionByRange(*[F.col(g) for g in group], *order)
+    parted = cut(spread.withColumn("__range", F.spark_partition_id()), "ranges")
+    own = F.row_number().over(Window.partitionBy(*group, "__range").orderBy(*order))
+    counts = parted.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
+    upto = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    same = F.col("__range") == F.col("__r")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    made = parted.withColumn("__own", own).join(before, same, "left")
+    return made.withColumn(name, F.col("__own") + F.col("__before")).select(*rows.columns, name)

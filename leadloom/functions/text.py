@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Legal suffixes, countries with their aliases, title abbreviations, words left out of titles.
 LEGAL_SUFFIXES = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "llp", "plc", "gmbh", "srl", "sa", "bv", "ag")
@@ -58,6 +63,36 @@ def country_code(c: Column) -> Column:
     return F.create_map(*pairs)[F.lower(clean_text(c))]
 
 
+def profile_id(attributes: Column) -> Column:
+    """The profile of a person: linkedin_id, or else linkedin_url, of a map, in lower case without scheme, host and slashes at the end; nothing left: null."""
+    raw = F.coalesce(_or_null(attributes["linkedin_id"]), attributes["linkedin_url"])
+    bare = F.regexp_replace(F.regexp_replace(F.lower(clean_text(raw)), r"^[a-z][a-z0-9+.-]*://", ""), r"^(www\.)?linkedin\.com/", "")
+    return _or_null(F.regexp_replace(bare, "/+$", ""))
+
+
+@F.arrow_udf(StringType())
+def _sorted_json(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), sort_keys=True)
+        except ValueError:
+            return text
+
+    for part in texts:
+        yield pa.array(map(one, part.to_pylist()), pa.string())
+
+
+def canonical_json(c: Column) -> Column:
+    """JSON text with sorted keys; text that is no JSON stays. Only objects and lists leave the JVM: other values have one form."""
+    nested = F.substring(F.ltrim(c), 1, 1).isin("{", "[")
+    return F.when(nested, _sorted_json(F.when(nested, c))).otherwise(F.trim(c))
+
+
+def email_confidence(status: Column) -> Column:
+    """What a provider's own status of an address is worth."""
+    return F.when(status == "verified", "HIGH").when(status == "guessed", "LOW").otherwise("UNKNOWN")
+
+
 def title_key(c: Column) -> Column:
     """A job title's words, abbreviations spelled out, connectives dropped, sorted, joined by spaces."""
     words = F.transform(F.regexp_extract_all(F.lower(clean_text(c)), F.lit(r"([a-z0-9.]+)"), 1), lambda w: F.regexp_replace(w, r"\.+$", ""))

@@ -57,6 +57,11 @@ def _new_ones(open_rows: DataFrame) -> DataFrame:
     return found if found is not None else open_rows.select("ord").limit(0)
 
 
+def first_claims(claims: DataFrame) -> DataFrame:
+    """``ord`` of the claims that hold: taken in order, one holds if no earlier one that holds shares a key of its ``keys``."""
+    return _new_ones(claims.select("ord", F.col("keys").alias("blocks"), F.col("keys").alias("gives")))
+
+
 def resolve_companies(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """One row a candidate: status, company_id, matched_company_id, reason, conflicts.
 

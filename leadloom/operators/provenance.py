@@ -1,4 +1,4 @@
-"""How companies were found: terms of sightings, and what several of them prove together; and headline figures."""
+"""What repeat sightings add, how tiers and reason codes are shown, and headline figures."""
 
 from __future__ import annotations
 
@@ -8,21 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def corroborated_terms(sightings: DataFrame, icps: DataFrame) -> DataFrame:
-    """(icp_id, company_id) whose sightings together cover every term a profile requires.
-
-    A sighting (icp_id, company_id, source, terms) counts if its source is
-    ``industry`` and it has one term. ``icps`` (icp_id, required,
-    combinations; few, broadcast) require their terms less the combinations;
-    one with fewer than two terms asks for no corroboration. Nulls cover nothing.
-    """
-    low = lambda a: F.array_distinct(F.transform(F.coalesce(a, F.array().cast("array<string>")), F.lower))
-    need = icps.where(F.size("required") >= 2).select("icp_id", F.array_except(low(F.col("required")), low(F.col("combinations"))).alias("need"))
-    one = sightings.where((F.col("source") == "industry") & (F.size("terms") == 1)).select("icp_id", "company_id", F.lower(F.get("terms", F.lit(0))).alias("term"))
-    hit = one.join(F.broadcast(need), "icp_id").where(F.array_contains("need", F.col("term")))
-    return hit.groupBy("icp_id", "company_id").agg(F.count_distinct("term").alias("n"), F.max(F.size("need")).alias("of")).where("n = of").select("icp_id", "company_id")
-
-
 def new_provenance(repeats: DataFrame, stored: DataFrame, keys: list[str], lists: list[str]) -> DataFrame:
     """Repeat sightings with a term, in any of their lists, that the stored sightings of the key do not have.
 
@@ -35,17 +20,69 @@ def new_provenance(repeats: DataFrame, stored: DataFrame, keys: list[str], lists
     return repeats.join(seen, keys, "left").where(reduce(lambda a, b: a | b, fresh)).select(*repeats.columns)
 
 
+def linked_repeats(repeats: DataFrame, known: DataFrame) -> DataFrame:
+    """Repeats with the company_id that the first resolved sighting of their key is known by; those of unresolved keys are left out.
+
+    ``known`` has provider_id, external_id, candidate_id and company_id.
+    """
+    first = known.where("company_id is not null").groupBy("provider_id", "external_id").agg(F.min_by("company_id", "candidate_id").alias("company_id"))
+    return repeats.join(first, ["provider_id", "external_id"])
+
+
+# What reviewers read for a reason code, and which codes speak for and against a lead.
+LABELS = {
+    "HARD_RULE_FAIL": "Fails a hard requirement", "HARD_RULE_HOLD": "Hard requirement unresolved", "HARD_RULE_PASS": "Meets all hard requirements", "HARD_RULE_UNKNOWN": "Hard requirement result unknown",
+    "HUMAN_ACCEPTED": "Accepted by reviewer", "HUMAN_REJECTED": "Rejected by reviewer", "HUMAN_HELD": "Held by reviewer", "HUMAN_DUPLICATE": "Marked duplicate by reviewer",
+    "QUALIFICATION_GOOD_FIT": "Strong overall fit", "QUALIFICATION_WEAK_FIT": "Some fit, weaker signal", "QUALIFICATION_NOT_FIT": "Not a fit", "QUALIFICATION_HOLD": "Qualification held",
+    "QUALIFICATION_MISSING": "Not yet qualified", "ADVERSARIAL_SURVIVES": "Fit confirmed under review", "ADVERSARIAL_WEAKENED": "Fit weakened under review", "ADVERSARIAL_DISPROVED": "Fit disproved under review",
+    "ADVERSARIAL_HOLD": "Adversarial review held", "ADVERSARIAL_MISSING": "Not yet adversarially reviewed", "SCORE_MISSING": "Not yet scored", "EVIDENCE_CONFLICTS_PRESENT": "Conflicting evidence present",
+    "VERIFICATION_UNRESOLVED": "Verification unresolved", "TIE_BROKEN_BY_EVIDENCE_SCORE": "Tie broken by evidence strength", "TIE_BROKEN_BY_LEAD_ID": "Tie broken by lead id",
+}
+MET = ("HARD_RULE_PASS", "HUMAN_ACCEPTED", "QUALIFICATION_GOOD_FIT", "QUALIFICATION_WEAK_FIT", "ADVERSARIAL_SURVIVES")
+NOT_MET = ("HARD_RULE_FAIL", "HUMAN_REJECTED", "HUMAN_DUPLICATE", "QUALIFICATION_NOT_FIT", "ADVERSARIAL_DISPROVED", "EVIDENCE_CONFLICTS_PRESENT")
+
+
+def reason_label(code: Column) -> Column:
+    """What reviewers read; a code without a label is shown as it is."""
+    return F.coalesce(F.create_map(*[F.lit(x) for p in LABELS.items() for x in p])[code], code)
+
+
+def reason_sentiment(code: Column) -> Column:
+    return F.when(code.isin(*MET), "met").when(code.isin(*NOT_MET), "not_met").otherwise("unknown")
+
+
 def display_tier(tier: Column) -> Column:
     """What reviewers see of the seven tiers."""
     return F.when(tier.isin("ACCEPTED", "QUALIFIED_STRONG"), "strong").when(tier == "QUALIFIED_WEAK", "good").when(tier == "HARD_FAILED", "rejected").otherwise("weak")
 
 
+def headline(leads: DataFrame, key: str) -> DataFrame:
+    """For each key of ``leads`` (company_id, tier): companies found, and leads worth a review."""
+    shown = display_tier(F.col("tier"))
+    return leads.groupBy(key).agg(F.count_distinct("company_id").alias("total_found"), F.count(F.when(shown.isin("strong", "good"), 1)).alias("qualified_found"))
+
+
 def quality_figures(leads: DataFrame, key: str) -> DataFrame:
-    """For each key: share of good fits among judged leads, of false positives, of duplicates and of overruled decisions; null without a base."""
+    """For each key the shares that count; null without a base.
+
+    ``leads`` has outcome, feedback, human_review_decision and completeness.
+    Of accepted leads: those that feedback confirms as good fits, and those it
+    marks as no fits. Completeness: the mean over accepted and held leads.
+    Duplicates: of all. Overrides: of all decisions to accept, hold or reject,
+    those that a review changed.
+    """
+    c = F.col
     n = lambda cond: F.count(F.when(cond, 1))
-    judged, reviewed = F.col("feedback").isNotNull(), F.col("human_review_decision").isNotNull()
-    overruled = (F.col("human_review_decision") == "REJECT") & (F.col("qualification_decision") == "GOOD_FIT")
+    accepted, decided = c("outcome") == "ACCEPTED", c("outcome").isin("ACCEPTED", "HELD", "REJECTED")
+    said = F.create_map(F.lit("ACCEPTED"), F.lit("ACCEPT"), F.lit("HELD"), F.lit("HOLD"), F.lit("REJECTED"), F.lit("REJECT"))[c("outcome")]
     return leads.groupBy(key).agg(
-        F.try_divide(n(F.col("feedback") == "GOOD_FIT"), n(judged)).alias("good_fit_precision"), F.try_divide(n(F.col("feedback") == "NOT_FIT"), n(judged)).alias("false_positive_rate"),
-        F.try_divide(n(F.col("batch_outcome") == "DUPLICATE"), F.count("*")).alias("duplicate_rate"), F.try_divide(n(overruled), n(reviewed)).alias("override_rate"),
+        F.try_divide(n(accepted & (c("feedback") == "GOOD_FIT")), n(accepted)).alias("good_fit_precision"), F.try_divide(n(accepted & (c("feedback") == "NOT_FIT")), n(accepted)).alias("false_positive_rate"),
+        F.avg(F.when(c("outcome").isin("ACCEPTED", "HELD"), c("completeness"))).alias("evidence_completeness"), F.try_divide(n(c("outcome") == "DUPLICATE"), F.count("*")).alias("duplicate_rate"),
+        F.try_divide(n(decided & (c("human_review_decision") != said)), n(decided)).alias("override_rate"),
     )
+
+
+def within_bounds(counts: DataFrame) -> DataFrame:
+    """Adds consistent: whether a batch's outcomes are no more than what it researched."""
+    total = F.col("n_accepted") + F.col("n_held") + F.col("n_rejected") + F.col("n_duplicate")
+    return counts.withColumn("consistent", total <= F.col("n_items"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
-from .ranking import TIERS, latest
+from ..functions.tables import numbered
+from .ranking import latest, tier_index
 
 
 def recommendation_status(recommendations: DataFrame, approvals: DataFrame, applications: DataFrame) -> DataFrame:
@@ -16,10 +17,32 @@ def recommendation_status(recommendations: DataFrame, approvals: DataFrame, appl
     return rows.withColumn("status", F.coalesce("__applied", "__approved", F.lit("PENDING"))).drop("__approved", "__applied")
 
 
-def effective_configuration(events: DataFrame, scope: list[str]) -> DataFrame:
-    """The fingerprints whose last event in a scope is APPLIED, as sorted lists by kind."""
-    last = latest(events.select(*scope, "kind", "fingerprint", "event", "at", "id"), [*scope, "kind", "fingerprint"], "at", "id")
-    return last.where(F.col("event") == "APPLIED").groupBy(*scope, "kind").agg(F.array_sort(F.collect_list("fingerprint")).alias("fingerprints"))
+# The kinds of recommendations that a configuration lists.
+KINDS = ("RANKING_TIE_BREAK_NUDGE", "SOFT_PREFERENCE_WEIGHT_HINT", "PROVIDER_PRIORITY_HINT", "DEEPER_VERIFICATION_HINT")
+
+
+def effective_configuration(versions: DataFrame, events: DataFrame) -> DataFrame:
+    """For each of ``versions`` (icp_id, icp_version): the fingerprints in force, as one sorted list a kind, and whether all are empty.
+
+    ``events`` has fingerprint, kind, event, icp_id, icp_version, is_global,
+    at and id. In scope are a version's own events and the global ones; of a
+    fingerprint's events in scope the last decides, and only APPLIED counts.
+    Global events are few, and the only ones that meet every version.
+    """
+    c, scope = F.col, ["icp_id", "icp_version"]
+    log = events.select("fingerprint", "kind", "event", *scope, "is_global", "at", "id")
+    last = lambda df, keys: df.groupBy(*keys, "fingerprint").agg(F.max(F.struct("at", "id", "kind", "event")).alias("top"))
+    own = last(log.where(~F.coalesce("is_global", F.lit(False))), scope).join(versions.select(*scope).distinct(), scope, "left_semi")
+    shared = last(log.where("is_global"), [])
+    # All global ones are one row, which every version gets.
+    row = shared.agg(F.collect_list(F.struct("fingerprint", "top")).alias("all")).withColumn("__one", F.lit(1))
+    every = versions.select(*scope).distinct().withColumn("__one", F.lit(1)).join(row, "__one").select(*scope, F.inline("all"))
+    top = own.select(*scope, "fingerprint", "top").unionByName(every.select(*scope, "fingerprint", "top")).groupBy(*scope, "fingerprint").agg(F.max("top").alias("top"))
+    lists = [F.array_sort(F.collect_list(F.when((c("top.event") == "APPLIED") & (c("top.kind") == k), c("fingerprint")))).alias(k.lower()) for k in KINDS]
+    made = versions.select(*scope).distinct().join(top.groupBy(*scope).agg(*lists), scope, "left")
+    empty = F.array().cast("array<string>")
+    made = made.select(*scope, *[F.coalesce(k.lower(), empty).alias(k.lower()) for k in KINDS])
+    return made.withColumn("is_default", sum((F.size(k.lower()) for k in KINDS[1:]), F.size(KINDS[0].lower())) == 0)
 
 
 def preview_ranking(ranking: DataFrame, signals: DataFrame, nudges: DataFrame) -> DataFrame:
@@ -30,25 +53,26 @@ def preview_ranking(ranking: DataFrame, signals: DataFrame, nudges: DataFrame) -
     pair counts once.
     """
     moved = signals.select("lead_id", "signal").distinct().join(nudges.groupBy("signal").agg(F.sum("magnitude").alias("magnitude")), "signal").groupBy("lead_id").agg(F.sum("magnitude").alias("adjustment"))
-    order = F.element_at(F.create_map(*[x for k, t in enumerate(TIERS) for x in (F.lit(t), F.lit(k))]), F.col("tier"))
     rows = ranking.join(moved, "lead_id", "left").na.fill(0.0, ["adjustment"])
-    return rows.withColumn("new_position", F.row_number().over(Window.partitionBy("icp_id").orderBy(order, F.col("adjustment").desc(), "position")))
+    return numbered(rows, ["icp_id"], [tier_index(F.col("tier")), F.col("adjustment").desc(), F.col("position")], "new_position")
 
 
 def version_icps(new: DataFrame, existing: DataFrame, created: str, tie: str) -> DataFrame:
     """Adds version: one more than the greatest of the name (case does not count), in order of creation."""
     key = F.lower(F.col("name"))
     top = existing.groupBy(key.alias("__k")).agg(F.max("version").alias("__top"))
-    nth = F.row_number().over(Window.partitionBy("__k").orderBy(created, tie))
-    rows = new.withColumn("__k", key).join(top, "__k", "left")
-    return rows.withColumn("version", (nth + F.coalesce("__top", F.lit(0))).cast("int")).drop("__k", "__top")
+    rows = numbered(new.withColumn("__k", key), ["__k"], [F.col(created), F.col(tie)], "__nth").join(top, "__k", "left")
+    return rows.select(*new.columns, (F.col("__nth") + F.coalesce("__top", F.lit(0))).cast("int").alias("version"))
 
 
 def route_providers(providers: DataFrame, promoted: list[str], demoted: list[str], group: list[str], position: str) -> DataFrame:
-    """Adds route (1..n in a group): providers of promoted signals first, of demoted ones last, else in order."""
+    """Adds route (1..n in a group): providers of a promoted signal first, whatever else they have; of a demoted one last; else in order.
+
+    A group is the providers of one profile and capability: a handful of rows.
+    """
     signals = F.coalesce("signals", F.array().cast("array<string>"))
-    has = lambda names: F.arrays_overlap(signals, F.array(*map(F.lit, names)).cast("array<string>")).cast("int")
-    weight = F.sign(has(demoted) - has(promoted))
+    has = lambda names: F.coalesce(F.arrays_overlap(F.array_compact(signals), F.array(*map(F.lit, names)).cast("array<string>")), F.lit(False))
+    weight = F.when(has(promoted), -1).when(has(demoted), 1).otherwise(0)
     return providers.withColumn("route", F.row_number().over(Window.partitionBy(*group).orderBy(weight, position)))
 
 

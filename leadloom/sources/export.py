@@ -1,30 +1,105 @@
-"""Lead exports and append-only snapshots."""
+"""Lead exports and append-only snapshots. A folder's files, in order of their names, continue each other."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import split_person_name
+
+# The columns of the full export, of the two import layouts, and of the review table with their headers.
+COLUMNS = (
+    "schema_version", "icp_id", "icp_version", "batch_id", "lead_id", "company_id", "company_name", "company_domain", "person_id", "person_name", "person_title", "person_linkedin_id", "hard_rule_result",
+    "hard_rule_reason_codes", "final_score", "icp_score", "commercial_score", "evidence_score", "freshness_score", "identity_confidence", "qualification_decision", "qualification_confidence", "qualification_summary",
+    "adversarial_result", "adversarial_confidence", "verification_status", "human_review_decision", "human_review_reason_codes", "rank", "tier", "ranking_reason_codes", "is_duplicate_occurrence",
+    "evidence_conflicting_fields", "evidence_missing_critical_fields", "evidence_ids", "hard_validation_id", "score_id", "qualification_id", "adversarial_review_id", "verification_ids", "human_review_id",
+    "deduplication_ids", "company_resolution_id", "person_resolution_id", "source_provider_ids", "exported_at",
+)
+SHARED = {
+    "Lead Agent - LinkedIn URL": "person_linkedin_id", "Lead Agent - Qualification Summary": "qualification_summary", "Lead Agent - Final Score": "final_score", "Lead Agent - Rank": "rank", "Lead Agent - Tier": "tier",
+}
+FULL_NAME = "Lead Agent - Full Name (unsplit, authoritative)"
+LAYOUTS = {
+    "hubspot": {"Job Title": "person_title", "Company name": "company_name", "Company domain name": "company_domain"},
+    "salesforce": {"Title": "person_title", "Account Name": "company_name", "Website": "company_domain"},
+}
+REVIEW = {
+    "Company": "company_name", "Company Domain": "company_domain", "Company LinkedIn": "company_linkedin_url", "Person": "person_name", "Title": "title", "Email": "email", "Email Status": "email_status", "Phone": "phone",
+    "Person LinkedIn": "person_linkedin_url", "Tier": "tier", "Final Score": "final_score", "Qualification": "qualification_decision", "Enrichment Status": "enrichment_status",
+}
+
+
+def _shown(name: str, kind: str) -> Column:
+    c = F.col(f"`{name}`")
+    if kind == "boolean":
+        c = F.when(c, "TRUE").otherwise(F.when(c.isNotNull(), "FALSE"))
+    elif kind.startswith("array"):
+        c = F.array_join(c, ";")
+    elif kind == "timestamp":
+        c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return F.coalesce(c.cast("string"), F.lit("UNKNOWN"))
+
 
 def export_values(leads: DataFrame) -> DataFrame:
-    """All columns as export text: null UNKNOWN, booleans TRUE or FALSE, lists joined by semicolons."""
+    """All columns as export text: null UNKNOWN, booleans TRUE or FALSE, lists joined by semicolons, an empty list an empty text."""
+    return leads.select(*[_shown(n, k).alias(n) for n, k in leads.dtypes])
+
+
+def crm_rows(leads: DataFrame, layout: str) -> DataFrame:
+    """Leads as rows that a CRM imports: the split name and the name as it is, twelve columns in all."""
+    kinds, name = dict(leads.dtypes), split_person_name(F.col("person_name"))
+    part = lambda p: F.coalesce(F.nullif(name[p], F.lit("")), F.lit("UNKNOWN"))
+    own = LAYOUTS[layout] | SHARED
+    email = F.coalesce(F.col("verified")["person.email"], F.lit("UNKNOWN"))
+    return leads.select(email.alias("Email"), part("first").alias("First Name"), part("last").alias("Last Name"), _shown("person_name", "string").alias(FULL_NAME), *[_shown(c, kinds[c]).alias(h) for h, c in own.items()])
+
+
+def review_rows(leads: DataFrame) -> DataFrame:
+    """The review table: thirteen columns as text, null empty."""
+    return leads.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(h) for h, c in REVIEW.items()])
+
+
+def _csv(rows: DataFrame, path: str) -> None:
+    rows.write.option("header", True).option("lineSep", "\n").option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def write_csv(leads: DataFrame, path: str, order: list[str] = ["icp_id", "rank"], columns: tuple[str, ...] = COLUMNS) -> None:  # noqa: B006
+    """The full export as CSV with a header, in order of rank."""
+    _csv(export_values(leads.orderBy(*order).select(*columns)), path)
+
+
+def write_crm_csv(leads: DataFrame, path: str, layout: str) -> None:
+    """``layout``: hubspot or salesforce."""
+    _csv(crm_rows(leads.orderBy("icp_id", "rank"), layout), path)
+
+
+def write_review_csv(leads: DataFrame, path: str) -> None:
+    _csv(review_rows(leads.orderBy("rank", "lead_id")), path)
 
-    def shown(name: str, kind: str):
-        c = F.col(name)
-        if kind == "boolean":
-            c = F.when(c, "TRUE").otherwise(F.when(c.isNotNull(), "FALSE"))
-        elif kind.startswith("array"):
-            c = F.array_join(c, ";")
-        return F.coalesce(c.cast("string"), F.lit("UNKNOWN")).alias(name)
 
-    return leads.select(*[shown(n, k) for n, k in leads.dtypes])
+def nested(leads: DataFrame) -> DataFrame:
+    """One struct a lead, as the JSON export nests it."""
+    of = lambda *names: F.struct(*names)
+    return leads.select(
+        "schema_version", "icp_id", "icp_version", "batch_id", "lead_id",
+        of("company_id", "company_name", "company_domain", "person_id", "person_name", "person_title", "person_linkedin_id").alias("identity"),
+        of(F.col("verified").alias("verified_fields"), F.col("evidence_conflicting_fields").alias("conflicting_fields"), F.col("evidence_missing_critical_fields").alias("missing_critical_fields"), "evidence_ids").alias("evidence"),
+        "hard_rule_result", "hard_rule_reason_codes", of("final_score", "icp_score", "commercial_score", "evidence_score", "freshness_score", "identity_confidence").alias("scores"),
+        "qualification_decision", "qualification_confidence", "qualification_summary", "adversarial_result", "adversarial_confidence", "verification_status", "human_review_decision", "human_review_reason_codes",
+        "rank", "tier", "ranking_reason_codes", "is_duplicate_occurrence",
+        of("hard_validation_id", "score_id", "qualification_id", "adversarial_review_id", "verification_ids", "human_review_id", "deduplication_ids", "company_resolution_id", "person_resolution_id", "source_provider_ids").alias("provenance"),
+        "exported_at",
+    )
 
 
-def write_csv(leads: DataFrame, path: str, order: list[str]) -> None:
-    """The export as CSV with a header, sorted; each file of the folder continues the one before."""
-    export_values(leads.orderBy(*order)).write.option("header", True).option("lineSep", "\n").option("escape", '"').csv(path)
+def write_json(leads: DataFrame, path: str) -> None:
+    """The nested export, a lead a line in order of rank, under ``leads``; under ``metadata`` one line a profile with its number of leads."""
+    keep = {"ignoreNullFields": "false"}
+    nested(leads.orderBy("icp_id", "rank")).write.options(**keep).json(f"{path}/leads")
+    heads = leads.groupBy("icp_id").agg(F.max("schema_version").alias("schema_version"), F.max("icp_version").alias("icp_version"), F.max("batch_id").alias("batch_id"), F.count("*").alias("lead_count"), F.max("exported_at").alias("generated_at"))
+    heads.orderBy("icp_id").write.options(**keep).json(f"{path}/metadata")
 
 
 def append_snapshot(rows: DataFrame, path: str, date: str) -> None:
-    """Add a dated copy; what is there is never changed."""
-    rows.withColumn("snapshot_date", F.lit(date)).write.mode("append").partitionBy("snapshot_date").parquet(path)
+    """Add a dated copy by profile; what is there is never changed."""
+    rows.withColumn("snapshot_date", F.lit(date)).write.mode("append").partitionBy("icp_id", "snapshot_date").parquet(path)
