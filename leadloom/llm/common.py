@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,51 +11,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import application_folder, cut, discard, shared_folder
+
+__all__ = ["application_folder", "cut", "discard", "id_and_text", "joined", "let_go", "shared_folder", "text_slices"]
+
 #: Texts are handled inside a task in pieces of about this many characters.
 SLICE_BYTES = 4_000_000
 #: A task forgets its per-word results when it holds this many.
 CACHE_WORDS = 400_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) is a local one made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Lineage ends there, so a lost executor costs at most the tasks since the
-    last cut, and the table's size is known to the optimizer.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/leadloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._cut_path = path
-    return back
-
-
 def let_go(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of finished steps now, rather than when the driver happens to collect garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`cut` that no plan reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs; a null text counts as empty.
 
