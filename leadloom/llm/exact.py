@@ -25,16 +25,13 @@ def filter_bits(rows: int) -> int:
 
 
 def positions(digest: Column, bits: int) -> list[Column]:
-    """Two independent filter positions of a SHA-256 given as hex text."""
-    return [
-        F.pmod(F.conv(F.substring(digest, start, 15), 16, 10).cast("long"), F.lit(bits)).alias(f"p{k}")
-        for k, start in enumerate((1, 17))
-    ]
+    """Two independent filter positions of a digest."""
+    return [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(bits)).alias(f"p{k}") for k in (0, 1)]
 
 
 def repeated_filter(digests: DataFrame, bits: int) -> DataFrame:
     """(bucket, bitmap): the positions that at least two rows hit. Hits are summed before they shuffle."""
-    hits = digests.select(F.explode(F.array(*positions(F.col("text_sha256"), bits))).alias("at"))
+    hits = digests.select(F.explode(F.array(*positions(F.col("sha"), bits))).alias("at"))
     twice = hits.groupBy("at").count().where("count > 1")
     # bitmap_bucket_number counts from 1 and takes 32,768 positions a bucket
     return twice.groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(
@@ -58,10 +55,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     them apart. An empty table gives an empty result; other columns are not
     read.
     """
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-    bits = filter_bits(docs.count())
+    # Texts are read and hashed once; all else goes over ids and hashes.
+    rows = cut(id_and_text(docs, id_col, text_col).select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha")), "digests")
+    bits = filter_bits(rows.count())
     maps = repeated_filter(rows, bits)
-    probed = rows.select("*", *positions(F.col("text_sha256"), bits))
+    probed = rows.select("*", *positions(F.col("sha"), bits))
     for k in (0, 1):
         side = F.broadcast(maps.select(F.col("bucket").alias(f"b{k}"), F.col("bitmap").alias(f"m{k}")))
         at = F.col(f"p{k}")
@@ -70,17 +68,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ).drop(f"b{k}", f"m{k}", f"p{k}")
     probed = probed.withColumn("maybe", F.col("hit0") & F.col("hit1")).drop("hit0", "hit1")
 
+    shown = F.lower(F.hex("sha")).alias("text_sha256")
     alone = probed.where(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), "text_sha256",
+        F.lit(True).alias("kept"), shown,
     )
-    some = probed.where("maybe").select("doc_id", "text_sha256")
-    groups = some.groupBy(F.col("text_sha256").alias("key")).agg(
+    some = probed.where("maybe").select("doc_id", "sha")
+    groups = some.groupBy(F.col("sha").alias("key")).agg(
         F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
     )
     # Read back as a table, the groups meet the rows in an ordinary join, whose hot texts adaptive execution splits.
     groups = cut(groups, "groups")
-    grouped = some.join(groups, some.text_sha256 == groups.key).select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256"
+    grouped = some.join(groups, some.sha == groups.key).select(
+        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), shown
     )
     return alone.unionByName(grouped)
