@@ -35,6 +35,7 @@ WINDOW, ANCHOR_WORDS = 13, 5
 SPAN = WINDOW - ANCHOR_WORDS + 1
 #: In more documents than this, an anchor's runs are compared one by one instead of in its reference block.
 CROWD = 2000
+SECOND = np.random.default_rng(17).integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
 FACTORS = np.random.default_rng(13).integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
 LAST = (1 << 63) - 1
 
@@ -45,11 +46,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+def _run_hashes(words: np.ndarray, length: int, factors: np.ndarray = FACTORS) -> np.ndarray:
     n = len(words) - length + 1
-    total = words[:n] * FACTORS[0]
+    total = words[:n] * factors[0]
     for j in range(1, length):
-        total = total + words[j : j + n] * FACTORS[j]
+        total = total + words[j : j + n] * factors[j]
     return _mixed(total + np.uint64(length))
 
 
@@ -139,7 +140,8 @@ def segment_rows(bitmaps, bits: int):
                     many = is_set(crowd, anchor)
                     if many.any():
                         single = np.repeat(start[many] - np.r_[0, np.cumsum(n[many])[:-1]], n[many]) + np.arange(n[many].sum())
-                        anchor = np.r_[anchor[~many], _mixed(hashes[single].view(np.uint64)).view(np.int64)]
+                        # A single run's anchor is a hash of its own: the two are independent, as with other anchors.
+                        anchor = np.r_[anchor[~many], _run_hashes(_mixed(words), WINDOW, SECOND).view(np.int64)[single]]
                         start, n = np.r_[start[~many], single], np.r_[n[~many], np.ones(len(single), np.int64)]
                     take = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                     for column, values in zip(rows, (anchor, n, hashes[take], np.full(len(n), docs[k]), np.full(len(n), keys[k]), start), strict=True):
@@ -189,7 +191,7 @@ def parse(runs: bytes, doc: int, block: dict[bytes, tuple[int, bytes]]) -> int:
 
 
 def duplicate_runs(rows: DataFrame, expected: int) -> DataFrame:
-    """(marked, spans) for each row_key of ``rows`` (doc, row_key, text) with runs that a smaller document has."""
+    """(marked_doc, marked, spans) for each doc and row_key of ``rows`` (doc, row_key, text) with runs that a smaller document has."""
     spark = rows.sparkSession
     bits = filter_bits(expected)
     anchors = rows.select("doc", "text").mapInArrow(anchor_rows, "anchor long, doc long")
@@ -217,10 +219,10 @@ def duplicate_runs(rows: DataFrame, expected: int) -> DataFrame:
     places = segments.select("anchor", F.xxhash64("runs").alias("segment"), "doc", "row_key", "at", F.expr("shiftleft(1, cast(length(runs) / 8 as int)) - 1").alias("whole"))
     spans = (
         places.join(decided, ["anchor", "segment"])
-        .select("row_key", "at", F.when(F.col("doc") > F.col("first_doc"), F.col("whole")).otherwise(F.col("mask")).alias("mask"))
+        .select("doc", "row_key", "at", F.when(F.col("doc") > F.col("first_doc"), F.col("whole")).otherwise(F.col("mask")).alias("mask"))
         .where("mask <> 0")
     )
-    found = cut(spans.groupBy(F.col("row_key").alias("marked")).agg(F.collect_set(F.struct("at", "mask")).alias("spans")), "spans")
+    found = cut(spans.groupBy(F.col("doc").alias("marked_doc"), F.col("row_key").alias("marked")).agg(F.collect_set(F.struct("at", "mask")).alias("spans")), "spans")
     discard(segments)
     discard(decided)
     del spans, places
@@ -248,7 +250,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Removed is every word covered by a run of WINDOW words that also starts in
     a document with a smaller id; kept words are joined by one space. Words
-    are compared unchanged, by 64-bit hashes of the run and of its anchor.
+    are compared unchanged, by two 64-bit hashes: of the run and of its anchor
+    or, under a crowded anchor, of the run again, independently.
     Null texts have no words; texts under WINDOW words keep all. A null id
     ranks after every other, and rows with the same id do not count as each
     other's predecessors. Repeated rows get the same answer each; an empty
@@ -277,5 +280,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ], fields=list(out)))
             yield joined(done, out)
 
-    marked = rows.select("doc_id", "text", "row_key").join(spans, F.col("row_key") == F.col("marked"), "left")
+    marked = rows.select("doc_id", "doc", "text", "row_key").join(spans, (F.col("row_key") == F.col("marked")) & (F.col("doc") == F.col("marked_doc")), "left")
     return marked.withColumn("r", apply("text", "spans")).select("doc_id", "r.*")
