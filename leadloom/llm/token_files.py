@@ -17,20 +17,27 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, cut, id_and_text, shared_folder, text_slices
+from .common import application_folder, cut, discard, id_and_text
 
 #: Longest code in bits; tokens between checkpoints; tokens in a block, except that a document is never split.
 MAX_CODE, CHECKPOINT, BLOCK_TOKENS = 16, 256, 1 << 18
-#: Code points that the vocabulary's pattern treats as white space; a text is encoded piece by piece between them.
+#: Characters in one call of the library (or one word), and in the texts that are encoded together.
+CALL_CHARS, SLICE = 10_000, 16_000_000
+#: Tokens that are packed at a time: a long document needs no memory for each of its bits.
+PACKED = 1 << 16
+#: White space of the vocabulary's pattern; Arrow's own also takes the four marks from \x1c on.
 SPACES = regex.compile(r"\p{White_Space}+")
+#: Letters that have one lower-case letter each and compose with nothing, and marks that a word may end with.
+LETTERS, MARKS = r"A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}", ".,;:!?"
+WORD = f"^[{LETTERS}]+[{MARKS}]*$"
 
 
 @lru_cache(2)
@@ -43,74 +50,142 @@ def library(path: str):
     return made
 
 
+def joined_runs(flat: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The given runs of a flat array one after another, and where each ends."""
+    sizes = ends - begins
+    upto = np.cumsum(sizes)
+    take = np.repeat(begins - (upto - sizes), sizes)
+    take += np.arange(len(take))
+    return flat[take], upto
+
+
 class Encoder:
-    """Ids by the tokenizers library; a word is encoded once and remembered.
+    """Ids by the tokenizers library, which a word of a slice of texts meets once.
 
     The vocabulary's normalizer and pattern never look across white space, so
-    a text's ids are those of its pieces in turn; nor do they join a letter or
-    digit to the marks after it, so a piece is its word and its end marks.
+    a text's ids are those of the pieces between it in turn. A piece of
+    letters and closing marks is a word, which lower case leaves alike, and
+    its marks; any other piece is one unit. Words go to the library many in
+    one call, parted by spaces: each ends with the one id of its word's end.
+    Other units are parted by a special token.
     """
 
-    def __init__(self, path: str) -> None:
-        self.library = library(path)
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    @staticmethod
-    def parts(piece: str) -> tuple[str, str]:
-        """The word, in lower case where that is beyond doubt, and the marks at its end."""
-        word = piece.rstrip(".,;:!?")
-        if not word or not word[-1].isalnum():
-            word = piece
-        marks = piece[len(word) :]
-        return (word.lower() if max(word) < "\u0130" and "<|" not in word else word), marks
-
-    def __call__(self, text: str) -> list[int]:
-        pieces = text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else [p for p in SPACES.split(text) if p]
-        found = list(map(self.pieces.get, pieces))
-        if None in found:
-            if len(self.pieces) > CACHE_WORDS:
-                self.pieces = {}
-            if len(self.words) > 2 * CACHE_WORDS:
-                self.words = {}
-            new = {p: self.parts(p) for p, f in zip(pieces, found, strict=True) if f is None}
-            words = list({w for pair in new.values() for w in pair if w and w not in self.words})
-            self.words.update((w, tuple(e.ids)) for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True))
-            made = {p: self.words[w] + (self.words[m] if m else ()) for p, (w, m) in new.items()}
-            self.pieces.update(made)
-            found = [made[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
-        return list(chain.from_iterable(found))
+    def __init__(self, path: str, end_id: int) -> None:
+        self.library, self.end_id = library(path), end_id
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
+        special = sorted((i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special)
+        self.mark_id, self.mark = special[-1] if special else (None, "")
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        end = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if end and t.endswith(end)]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+    def call(self, units: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, and where each one's end."""
+        joined = lambda by: pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units), by)[0].as_py()
+        if plain:
+            ids = self.ids(joined(" "))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(units) and ends[-1] == len(ids):
+                return ids, ends
+        if self.mark_id is None or pc.any(pc.match_substring(units, self.mark)).as_py():
+            found = [self.ids(u) for u in units.to_pylist()]
+            return np.concatenate(found), np.cumsum(list(map(len, found)))
+        ids = self.ids(joined(self.mark))
+        between = np.flatnonzero(ids == self.mark_id)
+        return np.delete(ids, between), np.r_[between, len(ids)] - np.arange(len(units))
+
+    def units(self, units: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A flat array of ids, and where those of each unit begin and end in it; a unit that repeats meets the library once."""
+        units = units.dictionary_encode()
+        upto = np.cumsum(np.asarray(pc.binary_length(units.dictionary), dtype=np.int64) + 1)
+        flat, ends, size, at = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0, 0
+        while at < len(upto):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CALL_CHARS)))
+            ids, own = self.call(units.dictionary.slice(at, to - at), plain)
+            flat.append(ids)
+            ends.append(own + size)
+            size += len(ids)
+            at = to
+        ends, rows = np.concatenate(ends), np.asarray(units.indices) if len(units) else np.zeros(0, np.int64)
+        return np.concatenate(flat), ends[rows], ends[rows + 1]
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different pieces, and where each one's end."""
+        plain = pc.match_substring_regex(pieces, WORD)
+        words, others = pieces.filter(plain), pieces.filter(pc.invert(plain))
+        # Two runs a piece: its word and its marks, or the whole of it and nothing.
+        begins, ends = np.zeros((2, len(pieces), 2), np.int64)
+        parts = (
+            (np.asarray(plain), 0, pc.utf8_lower(pc.utf8_rtrim(words, MARKS)), True), (np.asarray(plain), 1, pc.replace_substring_regex(words, f"^[{LETTERS}]+", ""), False),
+            (~np.asarray(plain), 0, others, False),
+        )
+        flats, size = [], 0
+        for who, side, texts, is_plain in parts:
+            flat, begin, end = self.units(texts, is_plain)
+            begins[who, side], ends[who, side] = begin + size, end + size
+            flats.append(flat)
+            size += len(flat)
+        ids, upto = joined_runs(np.concatenate(flats).astype(self.kind), begins.ravel(), ends.ravel())
+        return ids, upto[1::2]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (no nulls), each with the end id, and where each text ends."""
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+            lists = pa.array([SPACES.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            lists = pc.utf8_split_whitespace(texts)
+        pieces = lists.flatten().dictionary_encode()
+        ids, upto = self.pieces(pieces.dictionary)
+        # After all others comes one more piece: a text's end.
+        flat, bounds = np.append(ids, self.kind.type(self.end_id)), np.r_[0, upto, len(ids) + 1]
+        ends = np.asarray(lists.offsets)[1:]
+        rows = np.insert(np.asarray(pieces.indices) if len(pieces) else np.zeros(0, np.int64), ends, len(upto))
+        ids, upto = joined_runs(flat, bounds[rows], bounds[rows + 1])
+        return ids, upto[ends + np.arange(len(ends))]
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    """One a worker process: tasks after the first find its words known."""
-    return Encoder(path)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One a worker process."""
+    return Encoder(path, end_id)
 
 
 def encoded(path: str, end_id: int):
-    """(doc_id, text) to (doc_id, ids), ids as little-endian 32-bit integers."""
+    """(doc_id, text) to (doc_id, ids), ids as little-endian integers of 16 bits, or 32 for a larger vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, end_id)
         for batch in batches:
-            for at, part in text_slices(batch.column(1)):
-                raw = [np.array([*encode(t), end_id], "<u4").tobytes() for t in part]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(raw, pa.binary())], ["doc_id", "ids"])
+            sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(1)), dtype=np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE)))
+                ids, ends = encode(batch.column(1).slice(at, to - at))
+                offsets = np.r_[0, ends * encode.kind.itemsize].astype(np.int32)
+                raw = pa.BinaryArray.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), raw], ["doc_id", "ids"])
+                at = to
 
     return run
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def counted(kind: np.dtype):
     """(ids) to (id, n): a task's counts."""
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
-        own = np.bincount(ids, minlength=len(total))
-        own[: len(total)] += total
-        total = own
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                own = np.bincount(np.frombuffer(raw.as_buffer(), kind), minlength=len(total))
+                own[: len(total)] += total
+                total = own
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
+
+    return run
 
 
 def code_lengths(counts: np.ndarray, longest: int = MAX_CODE) -> np.ndarray:
@@ -156,14 +231,24 @@ class Code:
         self.table[: len(filled)] = filled
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """Payload and the bit offset of every CHECKPOINT-th id."""
-        rows = self.row[ids]
-        sizes, codes = self.lengths[rows], self.codes[rows]
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        which = np.repeat(np.arange(len(ids)), sizes)
-        down = np.repeat(ends, sizes) - 1 - np.arange(int(ends[-1]) if len(ids) else 0)
-        return np.packbits((codes[which] >> down) & 1 == 1).tobytes(), starts[::CHECKPOINT]
+        """Payload and the bit offset of every CHECKPOINT-th id; PACKED ids at a time."""
+        parts, marks, at, carry = [], [], 0, 0
+        for k in range(0, len(ids), PACKED):
+            rows = self.row[ids[k : k + PACKED]]
+            sizes, codes = self.lengths[rows], self.codes[rows]
+            ends = np.cumsum(sizes) + (at & 7)
+            starts = ends - sizes
+            marks.append(starts[::CHECKPOINT] + (at - (at & 7)))
+            # A code and what stands before it in its byte fit three bytes; codes share no bit, so sums put them together.
+            window, byte = codes << (24 - sizes - (starts & 7)), starts >> 3
+            total = sum(np.bincount(byte + j, window >> (16 - 8 * j) & 255, int(ends[-1] >> 3) + 3) for j in range(3)).astype(np.uint8)
+            total[0] |= carry
+            whole = int(ends[-1] >> 3)
+            parts.append(total[:whole].tobytes())
+            carry = int(total[whole])
+            at += int(ends[-1]) - (at & 7)
+        parts.append(bytes([carry]) if at & 7 else b"")
+        return b"".join(parts), np.concatenate(marks) if marks else np.zeros(0, np.int64)
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """The ids of a block; every checkpoint's stretch advances by one id a step."""
@@ -182,10 +267,10 @@ class Code:
         return out[:n]
 
 
-BLOCK = "block int, start long, doc_ids array<long>, sizes array<int>, checkpoints array<int>, payload binary"
+BLOCK = "block int, start long, doc_ids array<long>, sizes array<int>, checkpoints array<long>, payload binary"
 
 
-def coded(code) -> callable:
+def coded(code, kind: np.dtype) -> callable:
     """(doc_id, ids) in order to blocks; start counts the ids before a block in its file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,19 +281,18 @@ def coded(code) -> callable:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
-            payload, marks = own.encode(ids)
-            sizes = [len(x) // 4 for x in held]
+            payload, marks = own.encode(np.frombuffer(b"".join(held), kind))
+            sizes = [len(x) // kind.itemsize for x in held]
             return pa.RecordBatch.from_arrays([
                 pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([docs], pa.list_(pa.int64())),
-                pa.array([sizes], pa.list_(pa.int32())), pa.array([marks.tolist()], pa.list_(pa.int32())), pa.array([payload], pa.binary()),
+                pa.array([sizes], pa.list_(pa.int32())), pa.array([marks.tolist()], pa.list_(pa.int64())), pa.array([payload], pa.binary()),
             ], ["block", "start", "doc_ids", "sizes", "checkpoints", "payload"])
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs.append(doc)
-                held.append(ids)
-                size += len(ids) // 4
+                held.append(raw.as_py())
+                size += len(held[-1]) // kind.itemsize
                 if size >= BLOCK_TOKENS:
                     yield flush()
                     block, start, docs, held, size = block + 1, start + size, [], [], 0
@@ -228,7 +312,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_c
     """
     spark = docs.sparkSession
     tokens = cut(id_and_text(docs, id_col, text_col).mapInArrow(encoded(vocabulary, end_id), "doc_id long, ids binary"), "tokens")
-    counts = tokens.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
+    kind = encoder(vocabulary, end_id).kind
+    counts = tokens.select("ids").mapInArrow(counted(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
     symbols = np.array([r.id for r in counts], np.int64)
     lengths = code_lengths(np.array([r.n for r in counts], np.int64))
     code = spark.sparkContext.broadcast((symbols, lengths))
@@ -236,7 +321,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_c
     spark.createDataFrame(rows).coalesce(1).write.parquet(f"{path}/code")
     files = max(1, tokens.rdd.getNumPartitions())
     ordered = tokens.repartitionByRange(files, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(coded(code), BLOCK).withColumn("file", F.spark_partition_id()).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(coded(code, kind), BLOCK).withColumn("file", F.spark_partition_id()).write.parquet(f"{path}/blocks")
+    discard(tokens)
 
 
 def read_ids(spark, path: str, digests: bool = False) -> DataFrame:
@@ -247,7 +333,7 @@ def read_ids(spark, path: str, digests: bool = False) -> DataFrame:
     """
     table = spark.read.parquet(f"{path}/code").collect()
     code = spark.sparkContext.broadcast((np.array([r.id for r in table], np.int64), np.array([r.length for r in table], np.int64)))
-    blocks = spark.read.schema("block int, start long, doc_ids array<long>, sizes array<int>, checkpoints array<int>, payload binary, file int").parquet(f"{path}/blocks")
+    blocks = spark.read.schema(f"{BLOCK}, file int").parquet(f"{path}/blocks")
     # One row a file: where each file begins.
     totals = blocks.select("file", F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("file").agg(F.sum("n").alias("n"))
     begins, before = [], 0
@@ -260,7 +346,7 @@ def read_ids(spark, path: str, digests: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Code(*code.value)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
                 sizes = np.array(row["sizes"], np.int64)
                 ids = own.decode(row["payload"], np.array(row["checkpoints"]), int(sizes.sum()))
                 ends = np.cumsum(sizes)
@@ -280,6 +366,6 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str =
     """Write a data set to the shared folder and read it back: doc_id, start, n_tokens, ids_crc32."""
 
     spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/leadloom/{spark.sparkContext.applicationId}/ids-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(docs, path, vocabulary, end_id, id_col, text_col)
     return read_ids(spark, path, digests=True)

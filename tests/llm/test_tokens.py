@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from leadloom.llm.bpe import encode_decode, vocabulary
 from leadloom.llm.token_files import Code, Encoder, code_lengths, read_ids, round_trip, write_ids
 from tokenizers import Tokenizer
@@ -28,9 +29,28 @@ def test_byte_bpe_equals_the_library():
 
 
 def test_pieces_equal_whole_texts():
-    own, lib = Encoder(WORDS), Tokenizer.from_file(WORDS)
-    for t in odd_texts():
-        assert own(t) == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    own, lib, texts = Encoder(WORDS, 1), Tokenizer.from_file(WORDS), odd_texts()
+    for t in texts:
+        assert own(pa.array([t]))[0].tolist() == [*lib.encode(t, add_special_tokens=False).ids, 1], repr(t)
+    ids, ends = own(pa.array(texts + texts))
+    for t, part in zip(texts + texts, np.split(ids, ends[:-1]), strict=True):
+        assert part.tolist() == [*lib.encode(t, add_special_tokens=False).ids, 1], repr(t)
+
+
+def test_a_long_document_and_many_words():
+    """Five million tokens in one document; many calls of the library."""
+    rnd = np.random.default_rng(3)
+    words = ["w" + np.base_repr(int(x), 36).lower() for x in rnd.integers(1, 1 << 40, 3000)]
+    own = Encoder(WORDS, 1)
+    lib = Tokenizer.from_file(WORDS)
+    for k in range(0, 3000, 500):
+        text = " ".join(words[k : k + 500])
+        assert own(pa.array([text]))[0].tolist() == [*lib.encode(text, add_special_tokens=False).ids, 1]
+    long = np.tile(own(pa.array(["some words of one very long document"]))[0].astype(np.int64), 620_000)
+    symbols, counts = np.unique(long, return_counts=True)
+    code = Code(symbols, code_lengths(counts))
+    payload, marks = code.encode(long)
+    assert len(long) > 4_900_000 and (code.decode(payload, marks, len(long)) == long).all()
 
 
 def test_code_lengths_are_optimal_and_limited():
@@ -52,7 +72,7 @@ def test_code_lengths_are_optimal_and_limited():
 
 def test_code_round_trip():
     rnd = np.random.default_rng(2)
-    for n in (1, 255, 256, 257, 5000):
+    for n in (1, 255, 256, 257, 5000, 65_536, 65_537, 200_001):
         ids = rnd.zipf(1.3, n) % 5000
         symbols, counts = np.unique(ids, return_counts=True)
         code = Code(symbols, code_lengths(counts))
