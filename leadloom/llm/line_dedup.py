@@ -69,9 +69,11 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     places = places.where((F.col("chunk.n_lines") >= MIN_LINES) & (F.length("chunk.body") >= MIN_CHARS)).select(
         "doc", "text_key", "at", F.col("chunk.body").alias("body"), F.xxhash64("chunk.body").alias("key")
     )
-    # Sums per key shrink before they shuffle: a passage of a third of all rows is one row a task.
-    seen = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    bodies = cut(places.join(seen, "key", "left_semi"), "bodies")
+    # Sums per key shrink before they shuffle: a passage of a third of all rows is one row a task. Read back as a
+    # table, the keys meet the places in an ordinary join, whose hot keys adaptive execution splits; keys grow with the
+    # corpus, so they are never broadcast.
+    seen = cut(places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "seen")
+    bodies = cut(places.join(seen.hint("merge"), "key", "left_semi"), "bodies")
     first = bodies.groupBy("key", "body").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
     first = cut(first.select(F.col("key").alias("k"), F.col("body").alias("b"), "first_doc"), "first")
     marks = (
