@@ -128,7 +128,11 @@ def merge_strategy(icps: DataFrame) -> DataFrame:
     g = lambda n: F.coalesce(n, none)
     lows = F.transform(g("industries"), F.lower)
     fresh = F.filter(g("combination_terms"), lambda t: ~F.array_contains(lows, F.lower(t)))
-    return icps.withColumns({
-        "industries": merge_terms(g("industries"), F.concat(g("industry_terms"), g("combination_terms"))), "combinations": merge_terms(g("combinations"), fresh),
-        "company_types": merge_terms(g("company_types"), g("company_type_terms")), "excluded": merge_terms(g("excluded"), g("exclusion_terms")),
-    }).drop("industry_terms", "combination_terms", "company_type_terms", "exclusion_terms")
+    # New names first: inside a lambda a column's name would mean its new value.
+    made = icps.withColumns({
+        "__industries": merge_terms(g("industries"), F.concat(g("industry_terms"), g("combination_terms"))), "__combinations": merge_terms(g("combinations"), fresh),
+        "__company_types": merge_terms(g("company_types"), g("company_type_terms")), "__excluded": merge_terms(g("excluded"), g("exclusion_terms")),
+    })
+    names = ("industries", "combinations", "company_types", "excluded")
+    kept = [x for x in icps.columns if x not in (*names, "industry_terms", "combination_terms", "company_type_terms", "exclusion_terms")]
+    return made.select(*kept, *[F.col(f"__{n}").alias(n) for n in names])

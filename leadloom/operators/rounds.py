@@ -12,7 +12,7 @@ MOCK = "mock-"
 
 def allowed_source(mode: Column, provider: Column) -> Column:
     """fast leaves web search out, safe uses nothing else; any other mode, or none, uses all sources."""
-    web = provider.isin(*WEB_SEARCH)
+    web = F.coalesce(provider.isin(*WEB_SEARCH), F.lit(False))
     return F.coalesce(F.when(mode == "fast", ~web).when(mode == "safe", web), F.lit(True))
 
 

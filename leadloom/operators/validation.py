@@ -32,7 +32,7 @@ def _terms(c: str) -> Column:
 def eligible_fields(status: DataFrame, names: dict[str, str] = COMPANY) -> DataFrame:
     """One row an entity: its eligible fields as columns of text; ``status`` is that of ``evidence.field_status`` with JSON values."""
     good = status.where(F.col("status").isin(*ELIGIBLE) & F.col("field").isin(*names))
-    text = F.coalesce(value_string(F.col("value")), F.col("value"))
+    text = F.when(F.col("value") != "null", F.coalesce(value_string(F.col("value")), F.col("value")))
     # A JSON string is never a head count, a number never a range.
     wrong = ((F.col("field") == "employee_count") & ~F.col("value").rlike(r"^-?\d+$")) | ((F.col("field") == "employee_range") & value_string(F.col("value")).isNull())
     return good.where(~F.coalesce(wrong, F.lit(False))).groupBy("entity_id").agg(*[F.max(F.when(F.col("field") == f, text)).alias(name) for f, name in names.items()])

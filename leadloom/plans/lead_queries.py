@@ -24,7 +24,6 @@ from ..operators import validation as Z
 from ..sources import export as X
 from ..sources import records as D
 from . import adapters as A
-from .more_queries import FACTS, PEOPLE
 
 c = F.col
 pick = A.pick
@@ -34,6 +33,12 @@ def text_list(name: str):
     return F.array_join(name, ",").alias(name)
 
 
+def _lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Order lines with a number of their own; of those that share it the least."""
+    line = A.table(spark, sf_dir, "lineitem").withColumn("candidate_id", c("l_orderkey") * 10 + c("l_linenumber"))
+    return line.groupBy("candidate_id").agg(F.min(F.struct(*columns)).alias("r")).select("candidate_id", "r.*")
+
+
 # --- evidence
 
 
@@ -120,12 +125,11 @@ def company_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def person_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = c("l_partkey")
-    rows = A.table(spark, sf_dir, "lineitem").select(
-        (c("l_orderkey") * 10 + c("l_linenumber")).alias("candidate_id"), F.concat(F.lit("Ann "), q).alias("name"), F.when(F.pmod(q, F.lit(2)) == 0, "CEO").alias("title"), F.when(F.pmod(q, F.lit(3)) > 0, c("l_suppkey")).alias("company_id"),
+    rows = _lines(spark, sf_dir, "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate").select(
+        "candidate_id", F.concat(F.lit("Ann "), q).alias("name"), F.when(F.pmod(q, F.lit(2)) == 0, "CEO").alias("title"), F.when(F.pmod(q, F.lit(3)) > 0, c("l_suppkey")).alias("company_id"),
         F.when(F.pmod(q, F.lit(4)) == 0, F.create_map(F.lit("linkedin_id"), F.concat(F.lit("IN/p"), q, F.lit("/")))).when(F.pmod(q, F.lit(4)) == 1, F.create_map(F.lit("linkedin_url"), F.concat(F.lit("https://www.LinkedIn.com/in/p"), q))).alias("attributes"),
         c("l_returnflag").alias("provider_id"), F.lit("x").alias("external_id"), c("l_shipdate").alias("discovered_at"), q.alias("person_id"),
     )
-    rows = rows.dropDuplicates(["candidate_id"])
     made = I.person_evidence(rows, rows.select("candidate_id", F.when(c("person_id") > 10, c("person_id")).alias("person_id")))
     return made.groupBy("field", "value_json").agg(F.count("*").alias("n"))
 
@@ -321,7 +325,7 @@ def new_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.table(spark, sf_dir, "lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("candidate_id"), c("l_returnflag").alias("provider_id"), c("l_partkey").alias("external_id"), F.when(F.pmod("l_suppkey", F.lit(3)) > 0, c("l_suppkey")).alias("company_id"), "l_linenumber").dropDuplicates(["candidate_id"])
+    rows = _lines(spark, sf_dir, "l_partkey", "l_suppkey", "l_returnflag", "l_linenumber").select("candidate_id", c("l_returnflag").alias("provider_id"), c("l_partkey").alias("external_id"), F.when(F.pmod("l_suppkey", F.lit(3)) > 0, c("l_suppkey")).alias("company_id"), "l_linenumber")
     return O.linked_repeats(rows.where("l_linenumber > 3").drop("company_id"), rows.where("l_linenumber <= 3")).groupBy("company_id").agg(F.count("*").alias("n"))
 
 
@@ -338,7 +342,7 @@ def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers as companies, every third without a domain; order lines as candidates that matched them. No two of them claim one domain."""
     s = c("s_suppkey")
     old = A.table(spark, sf_dir, "supplier").select(s.alias("company_id"), c("s_name").alias("name"), F.when(F.pmod(s, F.lit(3)) > 0, F.concat(F.lit("s"), s, F.lit(".com"))).alias("domain"), F.array(F.lit("Old name")).alias("aliases"), F.when(F.pmod(s, F.lit(2)) == 0, F.create_map(F.lit("A"), s.cast("string"))).otherwise(F.create_map().cast("map<string,string>")).alias("provider_ids"))
-    line = A.table(spark, sf_dir, "lineitem").withColumn("candidate_id", c("l_orderkey") * 10 + c("l_linenumber")).groupBy("candidate_id").agg(F.min(F.struct("l_suppkey", "l_returnflag", "l_linestatus", "l_partkey", "l_shipdate")).alias("r")).select("candidate_id", "r.*")
+    line = _lines(spark, sf_dir, "l_suppkey", "l_returnflag", "l_linestatus", "l_partkey", "l_shipdate")
     rows = line.select(F.format_string("%09d", "candidate_id").alias("candidate_id"), c("l_suppkey").alias("company_id"), c("l_returnflag").alias("provider_id"), F.pmod("l_partkey", F.lit(4)).cast("string").alias("external_id"), F.concat(pick(("Old NAME", "New ", "new "), c("l_partkey")), F.when(F.pmod("l_partkey", F.lit(3)) > 0, "x").otherwise("")).alias("name"),
                        F.when(c("l_linestatus") == "F", F.concat(F.lit("https://s"), "l_suppkey", F.lit(".com/x"))).when(F.pmod("l_partkey", F.lit(5)) == 0, F.lit("s1.com")).alias("domain"), c("l_shipdate").alias("discovered_at"))
     return old, rows
@@ -358,7 +362,7 @@ def match_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def applied_person_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = c("p_partkey")
     old = A.table(spark, sf_dir, "part").select(q.alias("person_id"), F.lit("Ann").alias("name"), F.lit(None).cast("array<string>").alias("aliases"), F.create_map().cast("map<string,string>").alias("provider_ids"), F.when(F.pmod(q, F.lit(3)) == 0, "in/old").alias("profile_id"), F.when(F.pmod(q, F.lit(2)) == 0, "7").alias("company_id"), F.array(F.lit("7")).alias("companies"))
-    line = A.table(spark, sf_dir, "lineitem").withColumn("candidate_id", c("l_orderkey") * 10 + c("l_linenumber")).groupBy("candidate_id").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")).alias("r")).select("candidate_id", "r.*")
+    line = _lines(spark, sf_dir, "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
     rows = line.select(F.format_string("%09d", "candidate_id").alias("candidate_id"), c("l_partkey").alias("person_id"), c("l_returnflag").alias("provider_id"), F.lit("e").alias("external_id"), F.lit("ANN").alias("name"), F.when(F.pmod("l_suppkey", F.lit(4)) > 0, c("l_suppkey")).alias("company_id"),
                        F.create_map(F.lit("linkedin_id"), F.when(F.pmod("l_suppkey", F.lit(2)) == 0, F.concat(F.lit("in/s"), "l_suppkey")), F.lit("linkedin_url"), F.lit(None).cast("string")).alias("attributes"), c("l_shipdate").alias("discovered_at"))
     made, found = H.apply_person_matches(old, rows)
@@ -373,7 +377,7 @@ def _histories(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Order lines as the histories of leads: the order's customer is the company, its status the profile."""
     o = A.table(spark, sf_dir, "orders")
     members = o.select(c("o_orderstatus").alias("icp_id"), c("o_orderkey").alias("lead_id"), c("o_custkey").alias("company_id"), F.when(F.pmod("o_orderkey", F.lit(3)) == 0, c("o_orderkey") + 1).alias("person_id"))
-    line = A.table(spark, sf_dir, "lineitem").withColumn("id", c("l_orderkey") * 10 + c("l_linenumber")).groupBy("id").agg(F.min(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_tax")).alias("r")).select("id", "r.*")
+    line = _lines(spark, sf_dir, "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_tax").withColumnRenamed("candidate_id", "id")
     rows = line.join(members, c("l_orderkey") == c("lead_id")).withColumn("at", c("l_shipdate"))
     q = c("l_partkey")
     part = lambda m, cols: rows.where(F.pmod("l_suppkey", F.lit(7)) == m).select("icp_id", "lead_id", "company_id", "person_id", "at", "id", *cols)
@@ -486,5 +490,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ALL}
 
 
-def oracle_sql(signals: str) -> dict[str, str]:
-    return {}

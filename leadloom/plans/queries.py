@@ -16,6 +16,7 @@ from ..operators import rules as P
 from ..sources import export as S
 from . import adapters as A
 from . import lead_queries as Q
+from . import lead_sql
 from . import more_queries as M
 
 NOW = 1_706_745_600_000_000  # 2024-02-01 UTC, in microseconds
@@ -229,4 +230,4 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (decision = 'NOT_FIT') AS n_not_fit, count(*) FILTER (decision = 'HOLD') AS n_hold, count(*) AS total FROM f GROUP BY ROLLUP (lang))
             SELECT *, total < 50 AS is_cold_start, CASE WHEN total < 50 THEN 'INSUFFICIENT_DATA' WHEN total < 100 THEN 'LOW' WHEN total < 200 THEN 'MODERATE' ELSE 'HIGH' END AS sample FROM c""",
         "export_rows": f"""WITH {SIGNALS} SELECT k::VARCHAR AS lead_id, hard AS hard_rule_result, coalesce(outcome, 'UNKNOWN') AS batch_outcome, CASE WHEN score > 100 THEN 'TRUE' WHEN score IS NULL THEN 'UNKNOWN' ELSE 'FALSE' END AS high FROM t""",
-    } | M.oracle_sql(SIGNALS, RULES, STATUS, TIERS) | Q.oracle_sql(SIGNALS)
+    } | M.oracle_sql(SIGNALS, RULES, STATUS, TIERS) | lead_sql.oracle_sql(SIGNALS)
