@@ -14,7 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as evidence on users: the type is the field, k modulo 2 the value."""
-    return table(spark, sf_dir, "events").select(
+    return as_evidence(table(spark, sf_dir, "events"))
+
+
+def as_evidence(events: DataFrame) -> DataFrame:
+    return events.select(
         F.lit("COMPANY").alias("entity_type"), F.col("user_id").alias("entity_id"), F.col("event_type").alias("field"),
         F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(2)).cast("string").alias("key"),
         F.concat(F.lit("p"), F.pmod("event_id", F.lit(3))).alias("provider"), F.col("ts").alias("retrieved_at"), F.col("event_id").alias("id"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import application_folder
 from ..operators import assembly as Y
 from ..operators import evidence as E
 from ..operators import feedback as W
@@ -23,6 +25,7 @@ from ..operators import tuning as U
 from ..operators import validation as Z
 from ..sources import export as X
 from ..sources import records as D
+from ..streaming.ingest import create_store, ingest_batch
 from . import adapters as A
 
 c = F.col
@@ -96,6 +99,20 @@ def split_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.split_seen(rows.where("l_linenumber > 3"), rows.where("l_linenumber <= 3")).groupBy("batch_id", "is_repeat").agg(F.count("*").alias("n"))
 
 
+def streamed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of evidence: each batch adds what is new to a store and gives the status of the entities it touched; the last one of each counts."""
+    folder = f"{application_folder(spark)}/stream-{uuid.uuid4().hex}"
+    A.table(spark, sf_dir, "events").repartition(8, "event_id").write.parquet(f"{folder}/source")
+    events = spark.readStream.schema(A.table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/source")
+    stream = A.as_evidence(events).withColumn("external_id", F.lit(None).cast("string"))
+    create_store(spark, f"{folder}/store", stream.schema)
+    keep = lambda status, epoch: status.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{folder}/status")
+    query = stream.writeStream.foreachBatch(ingest_batch(f"{folder}/store", keep, 32)).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{folder}/status")
+    return rows.groupBy("entity_id", "field").agg(F.max_by(F.struct("status", "n_rows"), "epoch").alias("s")).select("entity_id", "field", "s.*")
+
+
 # --- imports
 
 
@@ -479,7 +496,7 @@ def provider_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    comparison_keys, fact_status, all_fields, lead_fields, supported_values, conflicting_facts, supporting_evidence, verified_fields, split_seen, company_evidence, person_evidence, fact_evidence, discovery_matches, corroborated_terms, unprovable_industries,
+    comparison_keys, fact_status, all_fields, lead_fields, supported_values, conflicting_facts, supporting_evidence, verified_fields, split_seen, streamed_status, company_evidence, person_evidence, fact_evidence, discovery_matches, corroborated_terms, unprovable_industries,
     described_terms, validated_leads, cited_rows, profile_errors, canonical_profiles, projected_filters, extracted_filters, merged_strategies, size_buckets, directory_results, resolved_homepages, vendor_facts, vendor_records, profile_ids, branch_sightings,
     allowed_sources, mock_entities, reopened_items, new_memberships, linked_repeats, run_summary, applied_matches, match_conflicts, applied_person_matches, assembled_signals, exported_leads, crm_leads, review_table, filtered_reviews, review_queue,
     newest_values, review_history, verdict_contexts, feedback_observations, provider_signals,

@@ -68,6 +68,8 @@ def oracle_sql(signals: str) -> dict[str, str]:
             SELECT id AS entity_id, field, CASE WHEN status = 'SUPPORTED' THEN 'NOT_TRIGGERED' WHEN n_used = 3 THEN 'NO_INDEPENDENT_PROVIDERS' WHEN n_new = 0 THEN 'ALL_PROVIDERS_FAILED' ELSE 'SUCCESS' END AS execution,
               CASE WHEN status = 'SUPPORTED' THEN NULL WHEN n_new = 0 THEN 'HOLD' WHEN later = 'SUPPORTED' THEN 'RESOLVED' WHEN later = 'CONFLICT' THEN 'HOLD' ELSE 'UNRESOLVED' END AS outcome, status AS original_status,
               CASE WHEN status <> 'SUPPORTED' AND n_new > 0 THEN later ELSE status END AS resulting_status, n_new FROM n""",
+        "streamed_status": """WITH d AS (SELECT user_id, event_type, 'p' || (event_id % 3) AS p, ts, min((((json_extract(props, '$.k')::INT % 2)::VARCHAR), event_id, CASE WHEN value >= 30 THEN 'HIGH' WHEN value >= 20 THEN 'MEDIUM' ELSE 'LOW' END)) AS r FROM events GROUP BY 1, 2, 3, 4)
+            SELECT user_id AS entity_id, event_type AS field, CASE WHEN count(DISTINCT r[1]) > 1 THEN 'CONFLICT' WHEN count(*) >= 2 OR max(r[3]) IN ('MEDIUM', 'HIGH') THEN 'SUPPORTED' ELSE 'INSUFFICIENT' END AS status, count(*) AS n_rows FROM d GROUP BY 1, 2""",
         "split_seen": """WITH a AS (SELECT l_suppkey AS s, l_returnflag AS f, l_partkey % 50 AS e, l_linenumber AS n FROM lineitem), b AS (SELECT s, EXISTS (SELECT 1 FROM a x WHERE x.n <= 3 AND x.s = a.s AND x.f = a.f AND x.e = a.e) AS is_repeat FROM a WHERE n > 3)
             SELECT s AS batch_id, is_repeat, count(*) AS n FROM b GROUP BY 1, 2""",
         "company_evidence": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS u FROM orders WHERE o_custkey % 4 > 0), t AS (SELECT *, CASE WHEN k % 4 = 0 THEN '"industry_match":{"taxonomy_field":"naics","icp_terms":["Skincare","Beauty"]' || CASE WHEN k % 8 = 0 THEN ',"match_scope":"multi_category"' ELSE '' END || ',"branch_total_results":12}' END AS b,

@@ -4,26 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
-from ..operators.evidence import field_status, unseen
+from ..functions.tables import cut, discard
+from ..operators.evidence import ENTITY, field_status, unseen
 
 KEYS = ["entity_type", "entity_id", "field", "provider", "external_id", "retrieved_at"]
 
 
-def ingest_batch(store: str, touched: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function over the Parquet table at ``store``; ``touched`` gets the new status rows.
+def bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` with the bucket of their entity, by which a store is partitioned."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*ENTITY), F.lit(buckets)).cast("int"))
 
-    A batch that is replayed adds nothing, as the anti join has no time bound.
+
+def create_store(spark: SparkSession, store: str, schema: StructType) -> None:
+    """An empty store for evidence of the given schema."""
+    whole = StructType([*schema.fields]).add("bucket", IntegerType())
+    spark.createDataFrame([], whole).write.partitionBy("bucket").parquet(store)
+
+
+def ingest_batch(store: str, touched: Callable[[DataFrame, int], None], buckets: int = 256) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over the store at ``store``; ``touched`` gets the new status rows.
+
+    The store is partitioned by bucket of entity, and a batch reads only the
+    buckets that its entities are in, once. A batch that is replayed adds
+    nothing, as the anti join has no time bound, and gives the same status.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = unseen(batch, spark.read.schema(batch.schema).parquet(store), KEYS)
-        new.write.mode("append").parquet(store)
-        stored = spark.read.schema(batch.schema).parquet(store)
-        entities = batch.select("entity_type", "entity_id").distinct()
-        touched(field_status(stored.join(entities, ["entity_type", "entity_id"], "left_semi")), epoch)
+        rows = cut(bucketed(batch, buckets), "batch")
+        hit = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        stored = spark.read.schema(rows.schema).parquet(store).where(F.col("bucket").isin(hit))
+        new = cut(unseen(rows, stored, [*KEYS, "bucket"]), "new")
+        entities = rows.select(*ENTITY).distinct()
+        whole = stored.join(entities, ENTITY, "left_semi").unionByName(new)
+        status = cut(field_status(whole), "status")
+        new.write.mode("append").partitionBy("bucket").parquet(store)
+        touched(status, epoch)
+        for table in (rows, new, status):
+            discard(table)
 
     return run

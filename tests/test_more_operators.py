@@ -27,19 +27,32 @@ def test_models_and_signals(spark):
 def test_scores(spark):
     one = spark.range(1)
     nothing = F.lit(None).cast("double")
-    row = one.select(C.final_score(*map(F.lit, (100.0, 50.0, 20.0, 80.0)), nothing), C.final_score(*map(F.lit, (100.0, 50.0, 20.0, 80.0, 0.0)))).first()
-    assert abs(row[0] - (40 + 15 + 3 + 4) / 0.9) < 1e-9 and abs(row[1] - 62) < 1e-9
-    none = F.array().cast("array<struct<rule:string,status:string>>")
+    row = one.select(C.final_score(F.lit("PASS"), *map(F.lit, (100.0, 50.0, 20.0, 80.0)), nothing), C.final_score(F.lit("PASS"), *map(F.lit, (100.0, 50.0, 20.0, 80.0, 0.0))), C.final_score(F.lit("HOLD"), *map(F.lit, (100.0,) * 5)), C.final_score(F.lit("PASS"), nothing, *map(F.lit, (1.0,) * 4)), C.clamp(nothing)).first()
+    assert abs(row[0] - (40 + 15 + 3 + 4) / 0.9) < 1e-9 and abs(row[1] - 62) < 1e-9 and row[2] is row[3] is row[4] is None
+    none = F.array().cast("array<struct<rule:string,status:string,reason:string>>")
     ask = lambda hard, decision: C.quality(none, F.lit(hard), F.lit(100.0), F.lit(50.0), F.lit("structured"), F.lit(20), F.lit(decision).cast("string"), nothing)
     got = one.select(ask("FAIL", None).alias("a"), ask("PASS", None).alias("b"), ask("HOLD", "NOT_FIT").alias("c")).first()
     assert tuple(got.a) == (None, "REJECT") and got.b.label == "STRONG" and abs(got.b.score - (40 + 9 + 10 + 10) / 0.8) < 1e-9
+    unknown = one.select(C.quality(none, F.lit("PASS"), nothing, nothing, F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("string"), nothing).alias("q")).first().q
+    assert tuple(unknown) == (None, "REVIEW")
     assert got.c.label == "REVIEW" and abs(got.c.score - (69 + 0.15 * 10) / 0.95) < 1e-9
 
 
 def test_verdicts(spark):
-    raws = [None, "  ", "[", '{"decision": "GOOD_FIT", "confidence": 101}', '{"decision": "NO"}', '{"decision": "HOLD", "evidence_ids": ["z"]}', '{"decision": "WEAK_FIT", "confidence": 3, "evidence_ids": ["a"]}']
-    df = spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, raw string").select("k", V.parse(F.col("raw"), F.array(F.lit("a"))).alias("v")).orderBy("k")
-    assert [r.v.status for r in df.collect()] == ["EMPTY_RESPONSE"] * 2 + ["MALFORMED_OUTPUT", "SCHEMA_INVALID", "SCHEMA_INVALID", "INVALID_EVIDENCE_IDS", "SUCCESS"]
+    good = '{"decision": "WEAK_FIT", "confidence": 3, "summary": "s", "supporting_evidence_ids": ["a"]}'
+    raws = [
+        (None, "EMPTY_RESPONSE"), (" \u00a0 ", "EMPTY_RESPONSE"), ("[", "MALFORMED_OUTPUT"), ("[1]", "SCHEMA_INVALID"), ("5", "SCHEMA_INVALID"), ("{}", "SCHEMA_INVALID"), (good.replace("3", '"high"'), "SCHEMA_INVALID"), (good.replace("3", "null"), "SCHEMA_INVALID"),
+        (good.replace("3", "101"), "SCHEMA_INVALID"), (good.replace("WEAK_FIT", "REJECT"), "SCHEMA_INVALID"), (good.replace('"s"', '""'), "SCHEMA_INVALID"), (good.replace('"s"', '"' + "s" * 2001 + '"'), "SCHEMA_INVALID"), (good.replace('"summary"', '"note"'), "SCHEMA_INVALID"),
+        (good.replace("}", ', "mood": "x"}'), "SCHEMA_INVALID"), (good.replace('["a"]', '"a"'), "SCHEMA_INVALID"), (good.replace('["a"]', "[1]"), "SCHEMA_INVALID"), (good.replace('["a"]', '["z"]'), "INVALID_EVIDENCE_IDS"),
+        (good.replace("}", ', "risk_evidence_ids": ["y"]}'), "INVALID_EVIDENCE_IDS"), (good.replace('["a"]', "[]"), "SUCCESS"), (good, "SUCCESS"),
+    ]
+    df = spark.createDataFrame([(k, r) for k, (r, _) in enumerate(raws)], "k int, raw string").select("k", V.parse(F.col("raw"), F.array(F.lit("a"))).alias("v")).orderBy("k")
+    assert [r.v.status for r in df.collect()] == [s for _, s in raws]
+    second = '{"adversarial_result": "WEAKENED", "confidence": 50.5, "reasoning_summary": "r", "contradicting_evidence_ids": ["a"]}'
+    row = spark.createDataFrame([(second,)], "raw string").select(V.parse(F.col("raw"), F.array(F.lit("a")), V.ADVERSARIAL).alias("v")).first().v
+    assert tuple(row) == ("SUCCESS", "WEAKENED", 50.5, ["a"])
+    gate = spark.createDataFrame([("FAIL",), ("HOLD",), ("PASS",), (None,)], "h string").select(V.adversarial_gate(F.col("h")).alias("g")).collect()
+    assert [r.g and r.g.status for r in gate] == ["HARD_BLOCKED", "HARD_BLOCKED", None, None]
     nil = F.lit(None).cast("string")
     level = spark.range(1).select(V.readiness(nil, F.lit(False), F.lit(None).cast("array<string>"), F.array().cast("array<string>"), nil, nil, nil, nil, F.lit(False)).alias("r")).first().r
     assert (level.level, level.reasons) == ("UNKNOWN", ["NO_PIPELINE_DATA"])
