@@ -1,10 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-A window of an item's length is compared with the item only if the two share
-a shingle, without which their similarity is zero. Its SimHash is looked up by
-blocks: eight blocks of eight bits, each widened to every value within
-RADIUS // 8 bits, so that no fingerprint within RADIUS can be missed. What is
-found is verified by weighted-shingle similarity, min over max of the counts.
+A window of a document is fingerprinted if it holds enough shingles of the
+benchmark to be similar to some item of its size; without that, no item can
+reach SIMILARITY. Eight blocks of eight bits, each widened to every value
+within RADIUS // 8 bits, then give every item of that size whose fingerprint is
+within RADIUS bits: by the pigeonhole principle none is missed. Those are
+verified by weighted-shingle similarity, min over max of the counts, which
+slides along with the window. Memory and time are linear in text and item.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, id_and_text, joined, text_slices
+from .common import CACHE_WORDS, cut, joined, text_slices
 
 #: Words in a shingle, least similarity, and the most differing bits of a candidate's fingerprint.
 SHINGLE_WORDS, SIMILARITY, RADIUS = 5, 0.8, 23
-#: Items that one pass over the documents compares; a longer benchmark takes several passes.
-ITEMS_PER_PASS = 20_000
 BLOCKS, WIDTH = 8, 8
+#: Windows that are fingerprinted at a time; bytes of item texts that one pass over the documents compares.
+STARTS, PASS_BYTES = 4096, 16_000_000
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -73,75 +75,149 @@ def similarity(a: Counter, b: Counter) -> float:
     return shared / (a.total() + b.total() - shared) if shared else 0.0
 
 
+def spread(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all given ranges (ends inclusive), one range after another."""
+    sizes = ends - begins + 1
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def runs_of(starts: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Parts of sorted window starts: windows of n overlap inside a part, which spans no more than STARTS or n places."""
+    most = max(STARTS, n)
+    for near in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
+        yield from np.split(near, np.searchsorted(near, np.arange(near[0] + most, near[-1] + 1, most)))
+
+
+def window_prints(h: np.ndarray, n: int) -> np.ndarray:
+    """The SimHash of every window of n of the shingles ``h``, from running sums of their bits."""
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64)
+    sums = np.zeros((len(h) + 1, 64), np.int32)
+    np.cumsum(bits, axis=0, out=sums[1:])
+    return np.packbits(2 * (sums[n:] - sums[:-n]) > n, axis=1).view(">u8")[:, 0].astype(np.uint64)
+
+
+def sliding_similarity(h: np.ndarray, n: int, bag: Counter) -> list[float]:
+    """The similarity of every window of n of the shingles ``h`` with an item, one shingle in and one out a step."""
+    held, shared, whole, out = Counter(), 0, n + bag.total(), []
+    values, need = h.tolist(), dict(bag)
+    for k, x in enumerate(values):
+        if x in need:
+            held[x] += 1
+            shared += held[x] <= need[x]
+        if k >= n:
+            y = values[k - n]
+            if y in need:
+                shared -= held[y] <= need[y]
+                held[y] -= 1
+        if k >= n - 1:
+            out.append(shared / (whole - shared))
+    return out
+
+
+class Sized:
+    """The items of one number of shingles: their fingerprints in blocks."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.items, self.prints = n, [], []
+
+    def build(self) -> None:
+        self.prints = np.array(self.prints, np.uint64)
+        near = np.array([sum(1 << b for b in c) for d in range(RADIUS // BLOCKS + 1) for c in combinations(range(WIDTH), d)])
+        self.tables = np.zeros((BLOCKS, 1 << WIDTH, len(self.items)), bool)
+        for b in range(BLOCKS):
+            own = (self.prints >> np.uint64(WIDTH * b) & np.uint64(255)).astype(np.int64)
+            for k in range(len(self.items)):
+                self.tables[b, own[k] ^ near, k] = True
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of every pair within RADIUS bits: by a block first, then by all bits."""
+        found = np.zeros((len(prints), len(self.items)), bool)
+        for b in range(BLOCKS):
+            found |= self.tables[b, (prints >> np.uint64(WIDTH * b) & np.uint64(255)).astype(np.int64)]
+        window, item = np.nonzero(found)
+        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
+        return window[close], item[close]
+
+
 class Index:
     """Fingerprints and shingles of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]], finder: Words) -> None:
-        self.ids, self.sizes, self.bags, self.prints = [], [], [], []
+        self.ids, self.bags, self.sized = [], [], {}
+        # Items under SHINGLE_WORDS words are one shingle, which a window of their size equals or doesn't.
+        self.short: dict[int, dict[int, int]] = {}
+        holders: dict[int, list[int]] = {}
         for item, text in items:
             words = finder.of(text)
-            if len(words):
-                h = shingles(words)
-                self.ids.append(item)
-                self.sizes.append(len(words))
-                self.bags.append(Counter(h.tolist()))
-                self.prints.append(int(simhash(h)))
-        holders: dict[int, set[int]] = {}
-        # Items under SHINGLE_WORDS words are one shingle, which a window of their size equals or doesn't.
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for k, bag in enumerate(self.bags):
-            for x in bag:
-                if self.sizes[k] < SHINGLE_WORDS:
-                    self.short.setdefault(self.sizes[k], {}).setdefault(x, []).append(k)
-                else:
-                    holders.setdefault(x, set()).add(k)
+            if not len(words):
+                continue
+            h = shingles(words)
+            if len(words) < SHINGLE_WORDS:
+                own = self.short.setdefault(len(words), {})
+                own[int(h[0])] = min(item, own.get(int(h[0]), item))
+                continue
+            for x in set(h.tolist()):
+                holders.setdefault(x, []).append(len(self.ids))
+            sized = self.sized.setdefault(len(h), Sized(len(h)))
+            sized.items.append(len(self.ids))
+            sized.prints.append(int(simhash(h)))
+            self.ids.append(item)
+            self.bags.append(Counter(h.tolist()))
+        for sized in self.sized.values():
+            sized.build()
         self.all = np.array(sorted(holders), np.uint64)
-        self.holders = {x: sorted(v) for x, v in holders.items()}
-        near = [sum(1 << b for b in c) for d in range(RADIUS // BLOCKS + 1) for c in combinations(range(WIDTH), d)]
-        self.blocks: list[dict[int, set[int]]] = [{} for _ in range(BLOCKS)]
-        for k, p in enumerate(self.prints):
-            for b in range(BLOCKS):
-                own = p >> (WIDTH * b) & 255
-                for mask in near:
-                    self.blocks[b].setdefault(own ^ mask, set()).add(k)
-
-    def within(self, p: int, k: int) -> bool:
-        """Whether item k is found from fingerprint p: by a block first, then by all bits."""
-        return any(k in self.blocks[b].get(p >> (WIDTH * b) & 255, ()) for b in range(BLOCKS)) and (p ^ self.prints[k]).bit_count() <= RADIUS
+        sizes = np.array([len(holders[x]) for x in self.all.tolist()], np.int64)
+        self.begins, self.held = np.r_[0, np.cumsum(sizes)], np.array([k for x in self.all.tolist() for k in holders[x]], np.int64)
+
+    def windows(self, h: np.ndarray) -> dict[int, np.ndarray]:
+        """For each size the starts of windows that hold enough shingles of one item of that size."""
+        at = np.minimum(np.searchsorted(self.all, h), len(self.all) - 1)
+        hits = np.flatnonzero(self.all[at] == h)
+        if not len(hits):
+            return {}
+        row = at[hits]
+        count = self.begins[row + 1] - self.begins[row]
+        owner = self.held[np.repeat(self.begins[row] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
+        place = np.repeat(hits, count)
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order]
+        found: dict[int, list[np.ndarray]] = {}
+        for own in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
+            k = int(owner[own[0]])
+            places, total = place[own], self.bags[k].total()
+            n, last = total, max(0, len(h) - total)
+            low, high = np.clip(places - n + 1, 0, last), np.minimum(places, last)
+            gap = np.flatnonzero(low[1:] > high[:-1] + 1)
+            starts = spread(low[np.r_[0, gap + 1]], high[np.r_[gap, len(high) - 1]])
+            inside = np.searchsorted(places, starts + n) - np.searchsorted(places, starts)
+            starts = starts[inside >= SIMILARITY * total - 1e-9]
+            if len(starts):
+                found.setdefault(n, []).append(starts)
+        return {n: np.unique(np.concatenate(own)) for n, own in found.items()}
 
     def best(self, words: np.ndarray) -> tuple[float, int] | None:
         """The highest similarity of any window of a document with any item, and that item; ties: the least id."""
         best: tuple[float, int] | None = None
         for size, own in self.short.items():
             for x in set(shingles(words, size).tolist()) & own.keys() if len(words) >= size else ():
-                for k in own[x]:
-                    if self.within(x, k) and (best is None or self.ids[k] < best[1]):
-                        best = (1.0, self.ids[k])
+                if best is None or own[x] < best[1]:
+                    best = (1.0, own[x])
         h = shingles(words)
         if not len(h) or not len(self.all):
             return best
-        at = np.minimum(np.searchsorted(self.all, h), len(self.all) - 1)
-        hits = np.flatnonzero(self.all[at] == h)
-        if not len(hits):
-            return best
-        places: dict[int, list[int]] = {}
-        for i in hits.tolist():
-            for k in self.holders[int(h[i])]:
-                places.setdefault(k, []).append(i)
-        for k, own in places.items():
-            n = max(1, self.sizes[k] - SHINGLE_WORDS + 1)
-            need = SIMILARITY * self.bags[k].total()
-            own = np.array(own)
-            last = max(0, len(h) - n)
-            # A similar window holds at least that share of the item's shingles; windows start where that many hits follow.
-            starts = np.unique(np.clip((own[:, None] - np.arange(n)).ravel(), 0, last))
-            held = np.searchsorted(own, starts + n) - np.searchsorted(own, starts)
-            for s in starts[held >= need - 1e-9].tolist():
-                window = h[s : s + n]
-                if self.within(int(simhash(window)), k):
-                    score = similarity(Counter(window.tolist()), self.bags[k])
-                    if score >= SIMILARITY and (best is None or (-score, self.ids[k]) < (-best[0], best[1])):
-                        best = (score, self.ids[k])
+        for n, starts in self.windows(h).items():
+            sized = self.sized[n]
+            for own in runs_of(starts, n):
+                part = h[own[0] : own[-1] + n]
+                n_own = min(n, len(part))  # a document may be shorter than the item
+                window, item = sized.candidates(window_prints(part, n_own)[own - own[0]])
+                window = (own - own[0])[window]
+                for k in np.unique(item).tolist():
+                    scores = sliding_similarity(part, n_own, self.bags[sized.items[k]])
+                    top = max(scores[w] for w in window[item == k].tolist())
+                    who = self.ids[sized.items[k]]
+                    if top >= SIMILARITY and (best is None or (-top, who) < (-best[0], best[1])):
+                        best = (top, who)
         return best
 
 
@@ -149,11 +225,12 @@ OUT = pa.struct([("similarity", pa.float64()), ("item_id", pa.int64())])
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in parts of about ITEMS_PER_PASS, one at a time on the driver."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
-    parts = -(-rows.count() // ITEMS_PER_PASS)
+    """The benchmark in parts of about PASS_BYTES, one at a time on the driver; a repeated item comes once."""
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct()
+    total = rows.agg(F.sum(F.octet_length("t") + 100)).first()[0] or 0
+    parts = -(-total // PASS_BYTES)
     for k in range(parts):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).collect()]
+        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).collect()]
 
 
 def _searcher(shared):
@@ -188,9 +265,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sc = docs.sparkSession.sparkContext
     verdict = "__contamination"
     out = docs.withColumn(verdict, F.lit(None).cast("struct<similarity:double,item_id:bigint>"))
+    shared = None
     for items in _items(benchmark, item_col, item_text_col):
+        if shared is not None:
+            # A benchmark of several parts takes a pass for each, so that one part at a time is held.
+            out = cut(out, "passes")
+            shared.destroy()
         shared = sc.broadcast(items)
-
         one = _searcher(shared)(F.coalesce(F.col(text_col), F.lit("")))
         out = out.withColumn("__one", one)
         better = F.col("__one.similarity").isNotNull() & (

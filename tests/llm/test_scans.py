@@ -1,8 +1,11 @@
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
+from leadloom.llm import decontam as D
 from leadloom.llm.decontam import contamination
 from leadloom.llm.secrets import DIGITS, find_secrets, automaton, secret_spans
 
@@ -71,3 +74,53 @@ def test_contamination_matches_plain_windows(spark):
     assert contamination(docs, bench, keep=True).columns == docs.columns
     assert contamination(docs, bench, keep=True).count() == sum(not v[0] for v in want.values())
     assert contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_no_similar_pair_lies_beyond_the_radius():
+    """5,000 items and windows of equal size at a similarity of 0.80 to 0.86: how many the fingerprints' radius loses; README gives the figure."""
+    rnd, lost, n = random.Random(3), 0, 0
+    while n < 5000:
+        size = rnd.randrange(14, 80)
+        a = rnd.choices(range(1, 1 << 40), k=size)
+        b = list(a)
+        for _ in range(max(1, size // 45)):
+            b[rnd.randrange(size)] = rnd.randrange(1, 1 << 40)
+        ha, hb = (D.shingles(np.array(x, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for x in (a, b))
+        if 0.8 <= D.similarity(Counter(ha.tolist()), Counter(hb.tolist())) <= 0.86:
+            n += 1
+            lost += int(D.simhash(ha) ^ D.simhash(hb)).bit_count() > D.RADIUS
+    print("pairs beyond the radius, of 5,000:", lost)
+    assert lost <= 5
+
+
+def test_blocks_give_every_item_within_the_radius():
+    rnd = np.random.default_rng(5)
+    sized = D.Sized(10)
+    sized.items, sized.prints = list(range(300)), rnd.integers(0, 1 << 64, 300, dtype=np.uint64).tolist()
+    sized.build()
+    prints = np.array([int(sized.prints[k % 300]) ^ sum(1 << int(b) for b in rnd.choice(64, int(rnd.integers(0, 30)), replace=False)) for k in range(600)], np.uint64)
+    want = {(w, i) for w in range(600) for i in range(300) if int(prints[w] ^ sized.prints[i]).bit_count() <= D.RADIUS}
+    assert set(zip(*(x.tolist() for x in sized.candidates(prints)), strict=True)) == want
+
+
+def test_sliding_windows_equal_plain_ones():
+    rnd = np.random.default_rng(6)
+    for n in (1, 2, 7):
+        h = rnd.integers(0, 6, 60).astype(np.uint64)
+        bag = Counter(rnd.integers(0, 6, n).tolist())
+        assert D.sliding_similarity(h, n, bag) == [D.similarity(Counter(h[s : s + n].tolist()), bag) for s in range(60 - n + 1)]
+        assert D.window_prints(h, n).tolist() == [int(D.simhash(h[s : s + n])) for s in range(60 - n + 1)]
+
+
+def test_long_items_and_texts_take_linear_memory():
+    rnd = random.Random(8)
+    item = [f"w{rnd.randrange(50_000)}" for _ in range(20_000)]
+    text = [f"x{rnd.randrange(50_000)}" for _ in range(30_000)] + item + item[:5000]
+    text[31_000] = "changed"
+    finder = D.Words()
+    tracemalloc.start()
+    index = D.Index([(7, " ".join(item))], finder)
+    score, who = index.best(finder.of(" ".join(text)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert who == 7 and score > 0.999 and peak < 200e6
