@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, id_and_text, joined, text_slices
+from .common import CACHE_WORDS, cut, id_and_text, joined, text_slices
 
-#: The model's shape; the labelled rows it may be fitted on at most; texts in which a feature must occur.
+#: The model's shape; the labelled rows, and bytes of their texts, that it may be fitted on at most; texts in which a feature must occur.
 WIDTHS, FILTERS, DIM = (1, 2, 3), 8, 12
-TRAIN_ROWS, MIN_TEXTS, EPOCHS, BATCH = 4000, 4, 6, 32
+TRAIN_ROWS, TRAIN_BYTES, MIN_TEXTS, EPOCHS, BATCH = 4000, 100_000_000, 4, 6, 32
+#: A threshold that no score reaches: without both labels nothing is known, and nothing is rejected.
+NEVER = 2.0
 PREFIXES = (4, 5, 6)
 PUNCTUATION = b".,!?;:\"'()[]{}<>*#$%&-"
 PAD = max(WIDTHS)
@@ -45,6 +47,7 @@ class Model:
     bias: np.ndarray
     out: np.ndarray
     shift: float
+    trained: bool = True
     thresholds: dict[str, float] = field(default_factory=dict)
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
@@ -117,17 +120,21 @@ class Scorer:
         return self.model.score(best)
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
-    """Train on whole texts; without both labels, the model always scores 0.5."""
+def fit(texts: list[str], labels: np.ndarray, seed: int = 7, warm: bool = True) -> Model:
+    """Train on whole texts.
+
+    Without both labels the model is not trained: it gives every text the
+    share of toxic ones, one of each label added, or 0.25 without any label.
+    """
     rnd = np.random.default_rng(seed)
     words = [t.lower().encode("utf-8", "replace").split() for t in texts]
     seen = {w: features(w) for w in set().union(*words)}
     words = [[seen[w] for w in ws] for ws in words]
     n_pos, n = int(labels.sum()), len(labels)
     filters = [rnd.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-    empty = Model(np.zeros(0, np.int64), np.zeros((1, DIM), np.float32), filters, np.zeros(len(WIDTHS) * FILTERS, np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), 0.0)
     if not n_pos or n_pos == n:
-        return empty
+        nothing, share = np.zeros(len(WIDTHS) * FILTERS, np.float32), (n_pos + 1) / (n + 2) if n else 0.25
+        return Model(np.zeros(0, np.int64), np.zeros((1, DIM), np.float32), filters, nothing, nothing, float(np.log(share / (1 - share))), trained=False)
     own = [np.unique(np.array([x for f in ws for x in f], np.int64)) for ws in words]
     keys, at = np.unique(np.concatenate(own), return_inverse=True)
     texts_with = np.bincount(at, minlength=len(keys))
@@ -138,13 +145,15 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     share, weight = n_pos / n, 10.0
     odds = np.log((toxic_with + weight * share) / (texts_with - toxic_with + weight * (1 - share)) / (share / (1 - share)))
     table = rnd.normal(0, 0.02, (len(keys) + 1, DIM)).astype(np.float32)
-    table[:-1, 0] = np.maximum(odds, 0) / 2
+    if warm:
+        table[:-1, 0] = np.maximum(odds, 0) / 2
+        for f in filters:
+            f[:, 0, 0] = 1.0
     table[-1] = 0
-    for f in filters:
-        f[:, 0, 0] = 1.0
     width = len(WIDTHS) * FILTERS
     model = Model(keys, table, filters, np.full(width, -0.1, np.float32), rnd.normal(0, 0.1, width).astype(np.float32), float(np.log(share / (1 - share))))
-    model.out[::FILTERS] = 1.0
+    if warm:
+        model.out[::FILTERS] = 1.0
 
     # Every word as up to four rows of the table, filled up with the zero row; PAD empty words end a text.
     zero, most = len(keys), 1 + len(PREFIXES)
@@ -172,10 +181,10 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
             grad_out = (error[:, None] * np.maximum(best, 0)).sum(axis=0) + 1e-4 * model.out
             lengths = np.diff(np.r_[starts, len(grid)])
             text, unit = np.nonzero(active)
-            spots = np.empty(len(text), np.int64)
-            top = made == np.repeat(best, lengths, axis=0)
-            for k, (t, u) in enumerate(zip(text.tolist(), unit.tolist(), strict=True)):
-                spots[k] = starts[t] + top[starts[t] : starts[t] + lengths[t], u].argmax()
+            place, filled = np.nonzero(made == np.repeat(best, lengths, axis=0))
+            first = np.zeros((len(who), width), np.int64)
+            first[np.repeat(np.arange(len(who)), lengths)[place][::-1], filled[::-1]] = place[::-1]  # of equal ones the first is written last
+            spots = first[text, unit]
             g = grad_best[text, unit]
             grad_rows, grad_values, grad_filters = [], [], [np.zeros_like(f) for f in filters]
             for k, w in enumerate(WIDTHS):
@@ -227,11 +236,12 @@ def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str | None]) -
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", held_out: int = 5) -> Model:
-    """Fit on at most TRAIN_ROWS labelled documents, chosen by a hash of their ids.
+    """Fit on at most TRAIN_ROWS labelled documents of TRAIN_BYTES together, chosen by a hash of their ids.
 
     Documents whose crc32(id as text) mod ``held_out`` is 0 are never used;
-    remainder 1 calibrates the thresholds, the rest trains. The bound keeps
-    the sample, which comes to the driver, at a few thousand texts.
+    remainder 1 calibrates the thresholds, the rest trains. An id that repeats
+    gives its least text; a text that would pass the bound in bytes is left
+    out. A table without languages has one threshold.
     """
     part = F.pmod(F.crc32(F.col("i").cast("string").cast("binary")), F.lit(held_out))
     chosen = (
@@ -239,17 +249,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y")).withColumn("part", part)
         .where("part <> 0").orderBy(F.xxhash64("i"), "i").limit(TRAIN_ROWS)
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(lang_col).alias("l"))
-    sample = sorted(map(tuple, texts.join(F.broadcast(chosen), "i").select("i", "t", "l", "y", "part").collect()), key=lambda r: (r[0], r[1]))
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("t"), lang.alias("l")).alias("v"))
+    sample = texts.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("v").alias("v"), F.first("y").alias("y"), F.first("part").alias("part"))
+    sample = cut(sample.select("i", "v.t", "v.l", "y", "part"), "sample")
+    taken, total = [], 0
+    for r in sample.select("i", F.octet_length("t").alias("n")).orderBy(F.xxhash64("i"), "i").collect():
+        if total + r.n <= TRAIN_BYTES:
+            taken.append(r.i)
+            total += r.n
+    sample = sorted(map(tuple, sample.where(F.col("i").isin(taken)).collect()), key=lambda r: r[0]) if taken else []
     fitting, rest = [r for r in sample if r[4] != 1], [r for r in sample if r[4] == 1]
     model = fit([r[1] for r in fitting], np.array([r[3] for r in fitting], np.float64))
     judged = rest or fitting
-    if judged:
+    if judged and model.trained:
         scorer = Scorer(model)
         scores = np.concatenate([scorer([r[1] for r in judged[k : k + 200]]) for k in range(0, len(judged), 200)])
         model.thresholds = calibrate(scores, np.array([r[3] for r in judged], np.float64), [r[2] for r in judged])
     else:
-        model.thresholds = {"": 0.5}
+        model.thresholds = {"": NEVER}
     return model
 
 
@@ -270,7 +288,7 @@ def threshold_column(model: Model, lang_col: str = "lang"):
     """The calibrated threshold of a row's language; unknown or null languages take the common one."""
     out = F.lit(model.thresholds.get("", 0.5))
     for lang, t in sorted(model.thresholds.items()):
-        if lang:
+        if lang and lang_col:
             out = F.when(F.col(lang_col) == lang, F.lit(t)).otherwise(out)
     return out
 
@@ -279,8 +297,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
     Only texts enter a score. Null and empty texts get the score of a text
-    without words. A null id is not held out. With no usable labels every
-    score is 0.5. Repeated rows are scored each; repeated labels of a document
+    without words. A null id is not held out. Without both labels every text
+    has one score, below 0.5 unless all labels are toxic. Repeated rows are scored each; repeated labels of a document
     count as toxic if one is; an empty table gives an empty result.
     """
     model = train(docs, labels, id_col, text_col, held_out=held_out)
@@ -290,6 +308,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below their language's threshold."""
+    """The rows of ``docs``, all columns, whose score is below their language's threshold; all of them without both labels."""
     model = train(docs, labels, id_col, text_col, lang_col)
-    return docs.where(score_column(docs, model, text_col) < threshold_column(model, lang_col)).select(*docs.columns)
+    return docs.where(score_column(docs, model, text_col) < threshold_column(model, lang_col if lang_col in docs.columns else "")).select(*docs.columns)
