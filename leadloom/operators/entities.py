@@ -8,7 +8,9 @@ ones are found in rounds, each by one minimum a key: a candidate that is the
 first open one under all its deciding keys is new, and what it shares a
 deciding key with later on is not. A key of very many candidates is one
 partial minimum a task; no group is ever gathered. Rounds grow slowly (about
-the square of the logarithm for an order that is independent of the keys).
+the square of the logarithm for an order that is independent of the keys); a
+chain in which each candidate shares a key only with the next one, in their
+very order, takes a round for every two of its links.
 All other decisions follow by equi-joins with one row a key.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import cut
+from ..functions.tables import cut, discard
 from ..functions.text import normalize_company_name, normalize_domain, normalize_person_name
 
 
@@ -52,7 +54,8 @@ def _new_ones(open_rows: DataFrame) -> DataFrame:
         new = cut(left.join(ready.where("ready").select("ord"), "ord", "left_semi"), "new")
         taken = new.select("ord", F.explode("gives").alias("key")).groupBy("key").agg(F.min("ord").alias("by"))
         met = left.select("ord", F.explode("blocks").alias("key")).join(taken, "key").where(F.col("by") <= F.col("ord")).select("ord").distinct()
-        left = cut(left.join(met, "ord", "left_anti").join(new.select("ord"), "ord", "left_anti"), "open")
+        before, left = left, cut(left.join(met, "ord", "left_anti").join(new.select("ord"), "ord", "left_anti"), "open")
+        discard(before)
         found = new.select("ord") if found is None else found.unionByName(new.select("ord"))
     return found if found is not None else open_rows.select("ord").limit(0)
 

@@ -61,6 +61,11 @@ def freshness_score(newest: Column, now: Column, fresh_days: float = 30.0, stale
     return F.when(age <= fresh_days, 100.0).when(age >= stale_days, 0.0).otherwise(100.0 * (stale_days - age) / (stale_days - fresh_days))
 
 
+def is_stale(freshness: Column) -> Column:
+    """Out of date; unknown freshness is not. It never changes a status."""
+    return F.coalesce(freshness <= 0, F.lit(False))
+
+
 def critical_rows(entities: DataFrame, company: tuple[str, ...] = COMPANY_CRITICAL, person: tuple[str, ...] = PERSON_CRITICAL) -> DataFrame:
     """(entity_type, entity_id, field) for each critical field of each entity."""
     lists = F.when(F.col("entity_type") == "PERSON", F.array(*map(F.lit, person))).otherwise(F.array(*map(F.lit, company)))
@@ -155,10 +160,10 @@ def verify_fields(status: DataFrame, evidence: DataFrame, responses: DataFrame,
     c = F.col
     opened = status.where(c("status").isin("CONFLICT", "INSUFFICIENT")).select(*FIELD)
     used = evidence.join(opened, FIELD, "left_semi").select(*FIELD, "provider").where("provider is not null").distinct()
-    free = used.join(F.broadcast(providers.select("provider").distinct()) if providers.limit(1001).count() <= 1000 else providers.select("provider").distinct(), "provider", "left_semi")
-    n_all = providers.select("provider").distinct().count()
+    names = providers.select("provider").distinct()
+    free, n_all = used.join(names, "provider", "left_semi"), names.count()
     n_used = free.groupBy(*FIELD).agg(F.count("*").alias("n_used"))
-    fresh = responses.join(opened, FIELD, "left_semi").join(providers.select("provider").distinct(), "provider", "left_semi").join(used, [*FIELD, "provider"], "left_anti")
+    fresh = responses.join(opened, FIELD, "left_semi").join(names, "provider", "left_semi").join(used, [*FIELD, "provider"], "left_anti")
     columns = [*FIELD, "key", "confidence", "provider", "retrieved_at", "id"]
     fresh = fresh.withColumn("confidence", F.lit("UNKNOWN")).select(*columns)
     both = evidence.join(opened, FIELD, "left_semi").select(*columns).unionByName(fresh)

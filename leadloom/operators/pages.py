@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import html
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Phrases of block pages, the least useful length, and markers of platforms by category.
+# What a page's text leaves out, in this order, and what each run of blanks becomes; phrases of block pages, the least useful length and the most that is kept; markers of platforms by category.
+LEFT_OUT = (r"(?is)<(script|style|noscript|svg|nav|footer|header)[^>]*>.*?</\1>", r"(?s)<!--.*?-->", r"<[^>]+>")
+BLANKS = ((r"[ \t\r\f\x0B]+", " "), (r" *\n *", "\n"), (r"\n\s*\n+", "\n"), (r"(?U)^\s+|\s+$", ""))
+MAX_CHARS = 6000
 BLOCKED = (
     "you have been blocked", "access denied", "are you a human", "enable javascript and cookies", "verify you are human", "unusual traffic",
     "complete the security check", "attention required", "error 403", "forbidden", "requiring captcha", "please enable cookies",
@@ -33,10 +37,8 @@ def _unescaped(texts: pd.Series) -> pd.Series:
 
 def page_text(raw: Column) -> Column:
     """The text between a page's tags, without scripts, styles, navigation and comments; null stays null."""
-    bare = F.regexp_replace(raw, r"(?is)<(script|style|noscript|svg|nav|footer|header)[^>]*>.*?</\1>", " ")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "), r"<[^>]+>", " ")
-    text = F.regexp_replace(_unescaped(bare), r"[ \t\r\f\x0B]+", " ")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r" *\n *", "\n"), r"\n\s*\n+", "\n"), r"(?U)^\s+|\s+$", "")
+    bare = reduce(lambda c, pattern: F.regexp_replace(c, pattern, " "), LEFT_OUT, raw)
+    return reduce(lambda c, pair: F.regexp_replace(c, *pair), BLANKS, _unescaped(bare))
 
 
 def page_state(text: Column) -> Column:
@@ -45,6 +47,11 @@ def page_state(text: Column) -> Column:
     return F.when(blocked, "block_page").when(F.length(F.coalesce(text, F.lit(""))) < LEAST_CHARS, "empty_content").otherwise("ok")
 
 
+def page_excerpt(text: Column, most: int = MAX_CHARS) -> Column:
+    """What is kept of a page for a judge: its first ``most`` characters if it is in order, else null."""
+    return F.when(page_state(text) == "ok", F.substring(text, 1, most))
+
+
 def platforms(raw: Column) -> Column:
     """struct with one platform a category (null: none): the first marker of the table that the page holds; nothing from block pages."""
     low = F.lower(raw)

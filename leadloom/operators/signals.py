@@ -68,6 +68,36 @@ def value_text(value_json: Column) -> Column:
     return F.when(start == "[", F.array_join(items, " ")).when(start == "{", F.array_join(fields, " ")).when(start == '"', F.get_json_object(F.concat(F.lit('{"v":'), value_json, F.lit("}")), "$.v")).otherwise(value_json)
 
 
+def _phrase(text: Column, phrases: tuple[str, ...]) -> Column:
+    """The first of the phrases that a text says, as it stands there; null if none."""
+    return F.nullif(F.regexp_extract(text, r"(?U)\b(" + "|".join(re.escape(p) for p in phrases) + r")\b", 1), F.lit(""))
+
+
+def model_mentions(evidence: DataFrame) -> DataFrame:
+    """(company_id, model, id, phrase) for each row that names a model; those of a company type that others contradict have model null: conflicting rows.
+
+    Ids stay in rows: a model may be named any number of times.
+    """
+    text, is_type = F.lower(clean_text(F.col("text"))), F.coalesce(F.col("field") == "company_type", F.lit(False))
+    usable = ~F.coalesce(F.col("field"), F.lit("")).isin(*NOT_MODEL_FIELDS)
+    rows = evidence.where(usable).select("company_id", "id", text.alias("text"), is_type.alias("is_type"))
+    types = rows.where("is_type").groupBy("company_id").agg((F.min("text") != F.max("text")).alias("split"))
+    named = F.array(*[F.struct(F.lit(m).alias("model"), _phrase(F.col("text"), MODELS[m]).alias("phrase")) for m in sorted(MODELS)])
+    rows = rows.join(types, "company_id", "left").withColumn("clash", F.col("is_type") & F.coalesce("split", F.lit(False)))
+    told = rows.where("not clash").select("company_id", "id", F.inline(F.filter(named, lambda n: n["phrase"].isNotNull()))).select("company_id", "model", "id", "phrase")
+    return told.unionByName(rows.where("clash").select("company_id", F.lit(None).cast("string").alias("model"), "id", F.lit(None).cast("string").alias("phrase")))
+
+
+def signal_mentions(evidence: DataFrame) -> DataFrame:
+    """(company_id, signal, id, says, phrase) for each row that affirms or denies a signal."""
+    def told(s: str) -> Column:
+        no = _phrase(F.col("text"), DENIALS[s]) if s in DENIALS else F.lit(None).cast("string")
+        return F.struct(F.lit(s).alias("signal"), no.isNull().alias("says"), F.coalesce(no, _phrase(F.col("text"), SIGNALS[s])).alias("phrase"))
+
+    rows = evidence.where(F.col("field").isin(*SIGNAL_FIELDS)).select("company_id", "id", F.lower(clean_text(F.col("text"))).alias("text"))
+    return rows.select("company_id", "id", F.inline(F.filter(F.array(*map(told, SIGNALS)), lambda n: n["phrase"].isNotNull())))
+
+
 def business_models(evidence: DataFrame) -> DataFrame:
     """One row a company of ``evidence`` (company_id, field, text): primary, models (sorted), status, confidence.
 

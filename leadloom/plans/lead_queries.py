@@ -94,6 +94,13 @@ def verified_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("entity_id", "field", "execution", "outcome", "original_status", "resulting_status", "n_new")
 
 
+def field_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As of 2002, in which year's first half the newest orders fall out of date."""
+    score = E.freshness_score(c("newest"), F.lit("2002-01-01 00:00:00").cast("timestamp"))
+    made = E.field_status(A.facts(spark, sf_dir)).select("entity_id", "field", score.alias("s"))
+    return made.select("entity_id", "field", F.round("s", 6).alias("freshness"), E.is_stale(c("s")).alias("is_stale"))
+
+
 def split_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", c("l_suppkey").alias("batch_id"), c("l_returnflag").alias("provider_id"), F.pmod("l_partkey", F.lit(50)).alias("external_id"))
     return E.split_seen(rows.where("l_linenumber > 3"), rows.where("l_linenumber <= 3")).groupBy("batch_id", "is_repeat").agg(F.count("*").alias("n"))
@@ -496,7 +503,7 @@ def provider_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    comparison_keys, fact_status, all_fields, lead_fields, supported_values, conflicting_facts, supporting_evidence, verified_fields, split_seen, streamed_status, company_evidence, person_evidence, fact_evidence, discovery_matches, corroborated_terms, unprovable_industries,
+    comparison_keys, fact_status, all_fields, lead_fields, supported_values, conflicting_facts, supporting_evidence, verified_fields, field_freshness, split_seen, streamed_status, company_evidence, person_evidence, fact_evidence, discovery_matches, corroborated_terms, unprovable_industries,
     described_terms, validated_leads, cited_rows, profile_errors, canonical_profiles, projected_filters, extracted_filters, merged_strategies, size_buckets, directory_results, resolved_homepages, vendor_facts, vendor_records, profile_ids, branch_sightings,
     allowed_sources, mock_entities, reopened_items, new_memberships, linked_repeats, run_summary, applied_matches, match_conflicts, applied_person_matches, assembled_signals, exported_leads, crm_leads, review_table, filtered_reviews, review_queue,
     newest_values, review_history, verdict_contexts, feedback_observations, provider_signals,

@@ -70,6 +70,8 @@ def oracle_sql(signals: str) -> dict[str, str]:
               CASE WHEN status <> 'SUPPORTED' AND n_new > 0 THEN later ELSE status END AS resulting_status, n_new FROM n""",
         "streamed_status": """WITH d AS (SELECT user_id, event_type, 'p' || (event_id % 3) AS p, ts, min((((json_extract(props, '$.k')::INT % 2)::VARCHAR), event_id, CASE WHEN value >= 30 THEN 'HIGH' WHEN value >= 20 THEN 'MEDIUM' ELSE 'LOW' END)) AS r FROM events GROUP BY 1, 2, 3, 4)
             SELECT user_id AS entity_id, event_type AS field, CASE WHEN count(DISTINCT r[1]) > 1 THEN 'CONFLICT' WHEN count(*) >= 2 OR max(r[3]) IN ('MEDIUM', 'HIGH') THEN 'SUPPORTED' ELSE 'INSUFFICIENT' END AS status, count(*) AS n_rows FROM d GROUP BY 1, 2""",
+        "field_freshness": f"""WITH {FACTS}, a AS (SELECT id, field, date_diff('microsecond', newest, TIMESTAMP '2002-01-01') / 86400000000.0 AS age FROM st), s AS (SELECT id, field, CASE WHEN age <= 30 THEN 100.0 WHEN age >= 180 THEN 0.0 ELSE 100.0 * (180 - age) / 150 END AS score FROM a)
+            SELECT id AS entity_id, field, round(score::DOUBLE, 6) AS freshness, score <= 0 AS is_stale FROM s""",
         "split_seen": """WITH a AS (SELECT l_suppkey AS s, l_returnflag AS f, l_partkey % 50 AS e, l_linenumber AS n FROM lineitem), b AS (SELECT s, EXISTS (SELECT 1 FROM a x WHERE x.n <= 3 AND x.s = a.s AND x.f = a.f AND x.e = a.e) AS is_repeat FROM a WHERE n > 3)
             SELECT s AS batch_id, is_repeat, count(*) AS n FROM b GROUP BY 1, 2""",
         "company_evidence": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS u FROM orders WHERE o_custkey % 4 > 0), t AS (SELECT *, CASE WHEN k % 4 = 0 THEN '"industry_match":{"taxonomy_field":"naics","icp_terms":["Skincare","Beauty"]' || CASE WHEN k % 8 = 0 THEN ',"match_scope":"multi_category"' ELSE '' END || ',"branch_total_results":12}' END AS b,
@@ -122,7 +124,7 @@ def oracle_sql(signals: str) -> dict[str, str]:
             (0, 'SaaS', 'United States', 'Founder', '', '', '', '', 50, 200, NULL, NULL), (1, 'D2C', 'United Kingdom', '', '', '', 'SaaS Vendors|Agencies|Hospitals', '', NULL, NULL, NULL, NULL),
             (2, '', '', 'Marketing Head', 'Recently raised', 'Marketing', '', '', NULL, NULL, 10000000, 500000000), (3, '', '', '', '', '', '', 'Find firms that actually sell their own products online.', NULL, NULL, NULL, NULL),
             (4, '', '', '', '', '', '', '', 1000, 5000, 5000, 1000000))
-            SELECT o_orderkey, v.* EXCLUDE (i) FROM orders JOIN v ON i = o_orderkey % 5""",
+            SELECT o_orderkey, v.* EXCLUDE (i) REPLACE (min_employees::BIGINT AS min_employees, max_employees::BIGINT AS max_employees, min_revenue::BIGINT AS min_revenue, max_revenue::BIGINT AS max_revenue) FROM orders JOIN v ON i = o_orderkey % 5""",
         "merged_strategies": """WITH p AS (SELECT p_partkey, p_type AS t, string_split(p_name, ' ') AS n FROM part)
             SELECT p_partkey, concat_ws(',', t, CASE WHEN lower(n[1]) <> lower(t) THEN lower(n[1]) END, CASE WHEN lower(n[2]) NOT IN (lower(t), lower(n[1])) THEN lower(n[2]) END, 'Gift') AS industries, 'Gift' AS combinations, 'DTC,B2B' AS company_types, '' AS excluded FROM p""",
         "size_buckets": """WITH b(s, lo, hi) AS (VALUES ('1-10', 1, 10), ('11-50', 11, 50), ('51-200', 51, 200), ('201-500', 201, 500), ('501-1000', 501, 1000), ('1001-5000', 1001, 5000), ('5001-10000', 5001, 10000), ('10001+', 10001, 2000000000)),
@@ -177,7 +179,7 @@ def oracle_sql(signals: str) -> dict[str, str]:
               CASE WHEN open_ THEN 'UNRESOLVED' ELSE 'UNKNOWN' END AS verification_status, coalesce(human, 'UNKNOWN') AS human_review_decision, CASE WHEN human IS NULL THEN '' ELSE 'SEEN' END AS human_review_reason_codes, rank::VARCHAR AS rank, tier, array_to_string(list_concat(why, more), ';') AS ranking_reason_codes,
               CASE WHEN tier = 'DUPLICATE' THEN 'TRUE' ELSE 'FALSE' END AS is_duplicate_occurrence, 'industry' AS evidence_conflicting_fields, '' AS evidence_missing_critical_fields, array_to_string(ids, ';') AS evidence_ids, coalesce(vid::VARCHAR, 'UNKNOWN') AS hard_validation_id, coalesce(sid::VARCHAR, 'UNKNOWN') AS score_id,
               coalesce(qid::VARCHAR, 'UNKNOWN') AS qualification_id, CASE WHEN adv IS NULL THEN 'UNKNOWN' ELSE (qid + 5)::VARCHAR END AS adversarial_review_id, array_to_string(list_filter(ids, lambda v: v::BIGINT % 3 = 0), ';') AS verification_ids, coalesce(rid::VARCHAR, 'UNKNOWN') AS human_review_id,
-              array_to_string(list_filter(ids, lambda v: v::BIGINT % 10 = 1), ';') AS deduplication_ids, co::VARCHAR AS company_resolution_id, coalesce(pe::VARCHAR, 'UNKNOWN') AS person_resolution_id, CASE WHEN pe IS NULL THEN 'pa' ELSE 'pa;pb' END AS source_provider_ids, '2024-02-01T00:00:00Z' AS exported_at FROM c""",
+              array_to_string(list_filter(ids, lambda v: v::BIGINT % 10 = 1), ';') AS deduplication_ids, co::VARCHAR AS company_resolution_id, coalesce(pe::VARCHAR, 'UNKNOWN') AS person_resolution_id, CASE WHEN pe IS NULL THEN 'pa' ELSE 'pa;pb' END AS source_provider_ids, '2024-02-01T00:00:00+00:00' AS exported_at FROM c""",
         "review_table": f"""WITH {REVIEWED} SELECT name AS company, domain AS company_domain, coalesce(clink, '') AS company_linkedin, coalesce(person, '') AS person, coalesce(title::VARCHAR, '') AS title, coalesce(email::VARCHAR, '') AS email, '' AS email_status, coalesce(phone::VARCHAR, '') AS phone, coalesce(plink, '') AS person_linkedin, tier,
             coalesce(score::VARCHAR, '') AS final_score, coalesce(fit, '') AS qualification, CASE WHEN email IS NULL THEN 'not enriched' ELSE 'enriched' END AS enrichment_status FROM rl""",
         "filtered_reviews": f"WITH {REVIEWED} SELECT lead AS lead_id, tier, domain AS company_domain FROM rl WHERE domain LIKE 'c1%' AND tier IN ('ACCEPTED', 'QUALIFIED_STRONG') AND email IS NOT NULL",

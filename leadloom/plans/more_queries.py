@@ -101,6 +101,14 @@ def commercial_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.commercial_signals(_texts(spark, sf_dir)).select("company_id", "signal", "status", "confidence", "n_positive", "n", F.array_join("providers", ",").alias("providers"))
 
 
+def model_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.model_mentions(_texts(spark, sf_dir))
+
+
+def signal_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.signal_mentions(_texts(spark, sf_dir))
+
+
 def commercial_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir)
     wanted = texts.select("company_id").distinct().select(F.lit("i").alias("icp_id"), "company_id", F.array(F.lit("retail"), F.lit("E-commerce?"), F.lit("Funding"), F.lit("consumer brand")).alias("terms"))
@@ -279,7 +287,7 @@ def page_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    resolve_companies, resolve_people, new_provenance, headline_counts, headline_totals, quality_figures, reason_labels, business_models, commercial_signals, commercial_scores, evidence_scores, icp_scores, company_quality, identity_confidence, lead_identity, final_scores, parse_verdicts, prescreens, verdict_gate,
+    resolve_companies, resolve_people, new_provenance, headline_counts, headline_totals, quality_figures, reason_labels, business_models, commercial_signals, model_mentions, signal_mentions, commercial_scores, evidence_scores, icp_scores, company_quality, identity_confidence, lead_identity, final_scores, parse_verdicts, prescreens, verdict_gate,
     review_decisions, feedback_checks, readiness_levels, batch_outcomes, run_status, provider_usage, batch_usage, preview_ranking, version_icps, route_providers, recommendation_status,
     effective_configuration, term_lists, page_texts, page_platforms,
 )
@@ -325,6 +333,12 @@ def oracle_sql(signals: str, rules: str, status: str, tiers: str) -> dict[str, s
     return {
         "business_models": f"WITH {TEXT_SQL} SELECT * FROM bm",
         "commercial_signals": f"WITH {TEXT_SQL} SELECT company_id, signal, status, confidence, n_positive, n, providers FROM cg",
+        "model_mentions": f"""WITH {TEXT_SQL}, y AS (SELECT user_id AS company_id, event_id AS id, event_id % 4 AS f, (event_id // 4) % 10 AS t FROM events WHERE event_id % 4 <> 3),
+            n(t, model, phrase) AS (VALUES (0, 'B2B', 'b2b'), (0, 'MARKETPLACE', 'marketplace'), (2, 'RETAIL', 'retail'), (3, 'DTC', 'direct-to-consumer'), (4, 'CONSULTANCY', 'consulting'), (8, 'WHOLESALE', 'wholesale'))
+            SELECT company_id, model, id, phrase FROM y JOIN sp USING (company_id) JOIN n USING (t) WHERE NOT (f = 2 AND split) UNION ALL SELECT company_id, NULL, id, NULL FROM y JOIN sp USING (company_id) WHERE f = 2 AND split""",
+        "signal_mentions": """WITH n(t, signal, says, phrase) AS (VALUES (1, 'ECOMMERCE', true, 'online store'), (2, 'ECOMMERCE', false, 'no online store'), (3, 'DTC', true, 'direct-to-consumer'), (4, 'INFLUENCER_MARKETING', true, 'influencer campaigns'), (6, 'SUBSCRIPTION', true, 'subscription-based'),
+              (6, 'FUNDING', true, 'raised funding'), (7, 'SUBSCRIPTION', false, 'not a subscription'), (9, 'CONSUMER_BRAND', true, 'consumer brand'))
+            SELECT user_id AS company_id, event_id AS id, signal, says, phrase FROM events JOIN n ON t = (event_id // 4) % 10 WHERE event_id % 4 <> 3""",
         "commercial_scores": f"""WITH {TEXT_SQL}, p AS (SELECT company_id, unnest([
               CASE bm.status WHEN 'CLASSIFIED' THEN CASE WHEN list_contains(string_split(models, ','), 'RETAIL') THEN 100 ELSE 0 END WHEN 'CONFLICTING_EVIDENCE' THEN 20 ELSE 0 END,
               (SELECT coalesce(max(CASE status WHEN 'SUPPORTED' THEN 100 WHEN 'INSUFFICIENT' THEN 55 ELSE 20 END), 0) FROM cg WHERE cg.company_id = bm.company_id AND signal = 'FUNDING'),

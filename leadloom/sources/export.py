@@ -36,7 +36,7 @@ def _shown(name: str, kind: str) -> Column:
     elif kind.startswith("array"):
         c = F.array_join(c, ";")
     elif kind == "timestamp":
-        c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
+        c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssxxx")
     return F.coalesce(c.cast("string"), F.lit("UNKNOWN"))
 
 
