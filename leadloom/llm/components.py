@@ -9,7 +9,7 @@ from .common import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (u, v: longs); component is the least node it reaches.
+    """(node, component) for every node of ``edges`` (u, v of one type that can be compared); component is the least node it reaches.
 
     Each round a node takes the least label among its neighbours, then the
     label of its label. The labels are written to the shared folder after
@@ -37,4 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
         discard(labels)
         labels = after
         if not changed:
+            discard(edges)
             return labels.select("node", F.col("label").alias("component"))

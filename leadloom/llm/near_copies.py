@@ -1,14 +1,14 @@
 """Near copies by shingle similarity: SimHash BK-trees in shards of shared shingles, verified exactly.
 
-Two texts of which SIMILARITY or more is shared almost surely share one of
-their KEYS least shingle hashes (all but 0.2 ** KEYS of pairs at the
-threshold), so texts are sharded by those. A shard's fingerprints form a
-BK-tree; what a search finds within RADIUS bits is verified by the exact
+Texts are sharded by BANDS keys, each of ROWS independent least shingle
+hashes: of pairs whose similarity is SIMILARITY, all but (1 - SIMILARITY **
+ROWS) ** BANDS share a shard, whatever the table's size. A shard's fingerprints
+form a BK-tree; what a search finds within RADIUS bits is verified by the exact
 similarity of the two shingle sets, unless links found before already join
 the two. Fingerprints are taken of the sets, as the similarity is: how often
-a shingle repeats moves no bit. A key of very many texts is split by a second set of least hashes.
-Which keys several texts share, and which are such, goes to the tasks as
-bitmaps of at most 16 MB each; a full bitmap costs shuffle, never a result.
+a shingle repeats moves no bit. Texts are told apart by 128-bit hashes. Which
+keys several texts share goes to the tasks as a bitmap of at most 16 MB; a full
+bitmap costs shuffle, never a result.
 """
 
 from __future__ import annotations
@@ -22,14 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_slices
+from .common import cut, discard, text_slices
 from .components import components
 from .exact import filter_bits
 from .near_dups import SEARCHES, _merge, forest
 from .substring import Segments, _mixed, _run_hashes, unpacked
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 20
-KEYS, CROWD = 4, 2000
+BANDS, ROWS = 8, 2
+#: A task gives a text that it meets again only once, as far as it remembers the last so many.
+REMEMBERED = 100_000
+_rnd = np.random.default_rng(11)
+TURNS = _rnd.integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
+SHIFTS = _rnd.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
 #: A shard's searches hold at most so many hits at once (or those of one search); its sets, so many bytes in memory.
 HITS, HELD = 1_000_000, 64_000_000
 
@@ -47,11 +52,15 @@ class Sketches:
 
     @staticmethod
     def keys(hashes: np.ndarray) -> np.ndarray:
-        return np.sort(hashes)[:KEYS].view(np.int64)
-
-    @staticmethod
-    def second(hashes: np.ndarray) -> np.ndarray:
-        return np.sort(_mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)))[:KEYS].view(np.int64)
+        """One key for each band of a set that isn't empty."""
+        if not len(hashes):
+            return np.zeros(0, np.int64)
+        step = max(1, 1_000_000 // len(TURNS))
+        least = np.min([(hashes[k : k + step] * TURNS + SHIFTS).min(axis=1) for k in range(0, len(hashes), step)], axis=0).reshape(BANDS, ROWS)
+        total = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for j in range(ROWS):
+            total = _mixed(total * np.uint64(0x9E3779B97F4A7C15) ^ least[:, j])
+        return total.view(np.int64)
 
     @staticmethod
     def fingerprint(hashes: np.ndarray) -> int:
@@ -59,49 +68,58 @@ class Sketches:
         return int(np.packbits(2 * ones > len(hashes)).view(np.int64)[0])
 
 
+class Seen:
+    """Whether a text was met before, as far as remembered."""
+
+    def __init__(self) -> None:
+        self.keys: set[bytes] = set()
+
+    def __call__(self, key: bytes) -> bool:
+        if key in self.keys:
+            return True
+        if len(self.keys) >= REMEMBERED:
+            self.keys.clear()
+        self.keys.add(key)
+        return False
+
+
 def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text_key, text) to (key, text_key); a task gives each text once."""
-    sketches, seen = Sketches(), set()
+    """(text_key, text) to (key, text_key)."""
+    sketches, seen = Sketches(), Seen()
     for batch in batches:
         owners = batch.column(0).to_pylist()
         for at, part in text_slices(batch.column(1)):
             keys, own = [], []
             for k, text in enumerate(part, at):
-                if owners[k] not in seen:
-                    seen.add(owners[k])
+                if not seen(owners[k]):
                     found = sketches.keys(np.unique(sketches.shingles(text)))
                     keys.append(found)
-                    own.append(np.full(len(found), owners[k]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(own).astype(np.int64))], ["key", "text_key"])
+                    own += [owners[k]] * len(found)
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(own, pa.binary())], ["key", "text_key"])
 
 
-def sketch_rows(maps, bits: int):
-    """(text_key, text) to (shard, text_key, fp, shingles) for every shard of a text; a task gives each text once."""
+def sketch_rows(shared, bits: int):
+    """(text_key, text) to (shard, text_key, fp, body) for every key that other texts share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketches, seen = Sketches(), set()
-        shared, crowd = maps.value
-        is_set = lambda m, key: m[(key & (bits - 1)) >> 3] >> (key & 7) & 1 == 1
+        sketches, seen, maps = Sketches(), Seen(), shared.value
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
         for batch in batches:
             owners = batch.column(0).to_pylist()
             for at, part in text_slices(batch.column(1)):
-                rows: list[tuple[int, int, int, bytes]] = []
+                rows: list[tuple[int, bytes, int, bytes]] = []
                 for k, text in enumerate(part, at):
-                    if owners[k] in seen:
+                    if seen(owners[k]):
                         continue
-                    seen.add(owners[k])
                     own = np.unique(sketches.shingles(text))
                     keys = sketches.keys(own)
-                    keys = keys[is_set(shared, keys)]
-                    if not len(keys):
-                        continue
-                    fp, body = sketches.fingerprint(own), np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes()
-                    for key in keys:
-                        shards = [key] if not is_set(crowd, key) else _mixed((sketches.second(own) ^ key).view(np.uint64)).view(np.int64)
-                        rows += [(int(s), owners[k], fp, body) for s in shards]
+                    keys = keys[maps[(keys & (bits - 1)) >> 3] >> (keys & 7) & 1 == 1]
+                    if len(keys):
+                        fp, body = sketches.fingerprint(own), own.tobytes()
+                        rows += [(int(s), owners[k], fp, body) for s in keys]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "text_key", "fp", "body"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "text_key", "fp", "body"])
 
     return run
 
@@ -125,7 +143,7 @@ class Bodies:
 
     def __getitem__(self, k: int) -> np.ndarray:
         self.file.seek(self.ends[k])
-        return np.frombuffer(self.file.read(self.ends[k + 1] - self.ends[k]), np.uint32)
+        return np.frombuffer(self.file.read(self.ends[k + 1] - self.ends[k]), np.uint64)
 
 
 def _found(who: np.ndarray, prints: np.ndarray, edges: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,22 +213,21 @@ def verified_links(prints: np.ndarray, bodies) -> np.ndarray:
 
 def shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a partition's shards; rows in order of shard and text_key."""
-    shard, keys, prints, bodies = None, array("q"), array("q"), Bodies()
+    shard, keys, prints, bodies = None, [], array("q"), Bodies()
 
     def solve() -> pa.RecordBatch | None:
         if len(keys) < 2:
             return None
         label = verified_links(np.array(prints, np.int64).view(np.uint64), bodies)
-        own = np.array(keys, np.int64)
-        moved = label != np.arange(len(own))
-        return pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[label[moved]])], ["u", "v"]) if moved.any() else None
+        moved = np.flatnonzero(label != np.arange(len(keys))).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in moved], pa.binary()), pa.array([keys[label[k]] for k in moved], pa.binary())], ["u", "v"]) if moved else None
 
     for batch in batches:
         for s, key, fp, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if s != shard:
                 if made := solve():
                     yield made
-                shard, keys, prints, bodies = s, array("q"), array("q"), Bodies()
+                shard, keys, prints, bodies = s, [], array("q"), Bodies()
             if not keys or keys[-1] != key:
                 keys.append(key)
                 prints.append(fp)
@@ -230,19 +247,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     name, last = "__text_key", F.lit((1 << 63) - 1)
-    rows = docs.withColumn(name, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = docs.withColumn(name, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     texts = rows.select(F.col(name).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bits = filter_bits(KEYS * docs.count())
-    keys = texts.mapInArrow(key_rows, "key long, text_key long").groupBy("key").agg(F.count("*").alias("n"), F.min("text_key").alias("a"), F.max("text_key").alias("b"))
-    shared = cut(keys.where("a <> b").select("key", "n"), "keys")
+    bits = filter_bits(BANDS * docs.count())
+    keys = texts.mapInArrow(key_rows, "key long, text_key binary").groupBy("key").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"))
     place = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1
-    packed = [
-        unpacked([(r.bucket, bytes(r.body)) for r in part.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("body")).collect()], bits)
-        for part in (shared, shared.where(F.col("n") > CROWD))
-    ]
-    maps = spark.sparkContext.broadcast(tuple(packed))
-    sketches = texts.mapInArrow(sketch_rows(maps, bits), "shard long, text_key long, fp long, body binary")
-    edges = sketches.repartition("shard").sortWithinPartitions("shard", "text_key").mapInArrow(shard_links, "u long, v long")
+    maps = keys.where("a <> b").groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("body")).collect()
+    shared = spark.sparkContext.broadcast(unpacked([(r.bucket, bytes(r.body)) for r in maps], bits))
+    sketches = texts.mapInArrow(sketch_rows(shared, bits), "shard long, text_key binary, fp long, body binary")
+    edges = sketches.repartition("shard").sortWithinPartitions("shard", "text_key").mapInArrow(shard_links, "u binary, v binary")
     found = components(edges).select("node", "component")
     ids = rows.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.col(name).alias("text_key"))
     own = ids.groupBy("text_key").agg(F.min("id").alias("id"), F.count("*").alias("n")).join(found, F.col("text_key") == F.col("node"), "left")
@@ -251,5 +264,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Only texts of which some row goes are listed; all other rows pass by the join.
     losing = own.where("linked or n > 1").join(least, "group", "left").select(F.col("text_key").alias("__losing"), F.coalesce("keep", "id").alias("__keep"))
     losing = cut(losing, "losing")
+    discard(own)
     out = rows.join(losing, F.col(name) == F.col("__losing"), "left")
     return out.where(F.col("__losing").isNull() | (F.coalesce(F.col(id_col).cast("long"), last) == F.col("__keep"))).select(*docs.columns)
