@@ -39,7 +39,8 @@ def repeated_filter(digests: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def _is_set(bitmap: Column, at: Column) -> Column:
+def is_set(bitmap: Column, at: Column) -> Column:
+    """Whether a bitmap has the bit of a position of its bucket."""
     offset = F.bitmap_bit_position(at + 1)
     byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(offset, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(offset, F.lit(8)))), F.lit(2)) == 1
@@ -64,7 +65,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         side = F.broadcast(maps.select(F.col("bucket").alias(f"b{k}"), F.col("bitmap").alias(f"m{k}")))
         at = F.col(f"p{k}")
         probed = probed.join(side, F.bitmap_bucket_number(at + 1) == F.col(f"b{k}"), "left").withColumn(
-            f"hit{k}", F.coalesce(_is_set(F.col(f"m{k}"), at), F.lit(False))
+            f"hit{k}", F.coalesce(is_set(F.col(f"m{k}"), at), F.lit(False))
         ).drop(f"b{k}", f"m{k}", f"p{k}")
     probed = probed.withColumn("maybe", F.col("hit0") & F.col("hit1")).drop("hit0", "hit1")
 

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, discard, id_and_text
+from .exact import filter_bits, is_set
 
 #: A chunk ends after a pair of lines whose rolling hash is divisible by this; the factor of that hash.
 DIVISOR, FACTOR = 3, 31
@@ -59,6 +60,23 @@ def chunked(rows: DataFrame, text: Column | None = None, name: str = "chunks") -
     return _held(held, name, chunks).drop("__lines", "__hashes", "__ends")
 
 
+def _repeated(places: DataFrame, keys: DataFrame) -> DataFrame:
+    """A table of the rows of ``places`` whose key repeats among ``keys``, and a few more, without a shuffle of places.
+
+    Keys are summed before they shuffle: a passage of a third of all rows is
+    one row a task. Those that repeat are written, and packed into bitmaps of
+    16 MB together at most, which go to all tasks; a full bitmap lets more rows
+    through, which the comparison of bodies sorts out.
+    """
+    seen = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "seen")
+    at = F.pmod("key", F.lit(filter_bits(seen.count()))) + 1
+    maps = seen.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bitmap"))
+    rows = places.join(F.broadcast(maps), F.bitmap_bucket_number(at) == F.col("__bucket"))
+    bodies = cut(rows.where(is_set(F.col("__bitmap"), at - 1)).select(*places.columns), "bodies")
+    discard(seen)
+    return bodies
+
+
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with __chunks (all chunks of each text) and __left (those that stay)."""
     last = F.lit((1 << 63) - 1)
@@ -69,11 +87,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     places = places.where((F.col("chunk.n_lines") >= MIN_LINES) & (F.length("chunk.body") >= MIN_CHARS)).select(
         "doc", "text_key", "at", F.col("chunk.body").alias("body"), F.xxhash64("chunk.body").alias("key")
     )
-    # Sums per key shrink before they shuffle: a passage of a third of all rows is one row a task. Read back as a
-    # table, the keys meet the places in an ordinary join, whose hot keys adaptive execution splits; keys grow with the
-    # corpus, so they are never broadcast.
-    seen = cut(places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "seen")
-    bodies = cut(places.join(seen.hint("merge"), "key", "left_semi"), "bodies")
+    bodies = _repeated(places, places.select("key"))
     first = bodies.groupBy("key", "body").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
     first = cut(first.select(F.col("key").alias("k"), F.col("body").alias("b"), "first_doc"), "first")
     marks = (
@@ -165,9 +179,7 @@ def _repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("text_key"), "text"
     )
     base = windowed(base).drop("text")
-    # Sums per key shrink before they shuffle: a passage of a third of all rows is one row a task.
     keys = base.select(F.explode(F.transform("__spans", lambda s: F.xxhash64(_body(s)))).alias("key"))
-    seen = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "seen")
     # Sorted, a window stands behind the one before it in its own text that has the same bytes.
     own = F.sort_array(F.transform("__spans", lambda s: F.struct(F.xxhash64(_body(s)).alias("key"), _body(s).alias("body"), _at(s).alias("at"), _lines_of(s).alias("n"))))
     own = _held(base.where(F.size("__spans") > 0), "__own", own)
@@ -175,7 +187,7 @@ def _repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     places = own.select("doc", "text_key", F.explode(before).alias("p")).select(
         "doc", "text_key", F.col("p.w.key").alias("key"), F.col("p.w.body").alias("body"), F.col("p.w.at").alias("at"), F.col("p.w.n").alias("n"), F.col("p.before").alias("before")
     )
-    bodies = cut(places.join(seen, "key", "left_semi"), "bodies")
+    bodies = _repeated(places, keys)
     first = bodies.groupBy("key", "body").agg(F.min("doc").alias("first_doc"), F.count("*").alias("found")).where("found > 1")
     first = cut(first.select(F.col("key").alias("k"), F.col("body").alias("b"), "first_doc"), "first")
     # Within the first document a window's lines go if it stood before, but never a line of that earlier place.
