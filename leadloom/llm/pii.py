@@ -119,6 +119,26 @@ def labelled_table() -> list[tuple[list[str], list[int]]]:
     return rows
 
 
+def marginals(scores: np.ndarray, pairs: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward sums: the log partition sum of each sentence, and the probabilities of labels and of neighbouring pairs.
+
+    ``scores`` is (sentence, place, label); places from a sentence's length on are padding, with probability 0.
+    """
+    n, size, k = scores.shape
+    inside = np.arange(size) < lengths[:, None]
+    alpha, beta = np.zeros((n, size, k)), np.zeros((n, size, k))
+    alpha[:, 0] = scores[:, 0]
+    for t in range(1, size):
+        alpha[:, t] = np.logaddexp.reduce(alpha[:, t - 1, :, None] + pairs, axis=1) + scores[:, t]
+    for t in range(size - 2, -1, -1):
+        beta[:, t] = np.where(inside[:, t + 1, None], np.logaddexp.reduce(pairs + (scores[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2), 0)
+    total = np.logaddexp.reduce(alpha[np.arange(n), lengths - 1], axis=1)
+    with np.errstate(over="ignore"):
+        here = np.where(inside[..., None], np.exp(alpha + beta - total[:, None, None]), 0)
+        both = np.where(inside[:, 1:, None, None], np.exp(alpha[:, :-1, :, None] + pairs + (scores[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]), 0)
+    return total, here, both
+
+
 class Field:
     """The conditional random field: weights of shapes at three places around a word, and of label pairs."""
 
@@ -159,15 +179,7 @@ class Field:
         flat = x.reshape(n * size, -1)
         for step in range(1, self.steps + 1):
             scores = (flat @ w).reshape(n, size, k)
-            alpha, beta = np.zeros((n, size, k)), np.zeros((n, size, k))
-            alpha[:, 0] = scores[:, 0]
-            for t in range(1, size):
-                alpha[:, t] = np.logaddexp.reduce(alpha[:, t - 1, :, None] + pairs, axis=1) + scores[:, t]
-            for t in range(size - 2, -1, -1):
-                beta[:, t] = np.where(inside[:, t + 1, None], np.logaddexp.reduce(pairs + (scores[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2), 0)
-            total = np.logaddexp.reduce(alpha[np.arange(n), lengths - 1], axis=1)
-            here = np.exp(alpha + beta - total[:, None, None]) * inside[..., None]
-            both = np.exp(alpha[:, :-1, :, None] + pairs + (scores[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * inside[:, 1:, None, None]
+            _, here, both = marginals(scores, pairs, lengths)
             grads = [flat.T @ (gold - here).reshape(-1, k) / n - 0.0003 * w, (gold_pairs - both.sum(axis=(0, 1))) / n - 0.0003 * pairs]
             for k2, (p, g) in enumerate(zip((w, pairs), grads, strict=True)):
                 m1[k2] = 0.9 * m1[k2] + 0.1 * g

@@ -3,7 +3,7 @@ import re
 from itertools import product
 
 import numpy as np
-from leadloom.llm.pii import Names, base_spans, field_model, luhn, personal_spans, viterbi
+from leadloom.llm.pii import Names, base_spans, field_model, luhn, marginals, personal_spans, viterbi
 
 
 def plain_base(text):
@@ -48,3 +48,54 @@ def test_query_shape(spark):
     rows = [(1, "é a@b.org"), (2, None), (2, ""), (None, "x" * 100_000)]
     got = sorted(map(repr, ((r.doc_id, r.n_email, r.spans) for r in personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
     assert got == sorted(map(repr, [(1, 1, "email:2:9"), (2, 0, ""), (2, 0, ""), (None, 0, "")]))
+
+
+def test_marginals_match_every_path():
+    rnd = np.random.default_rng(4)
+    pairs, lengths = rnd.normal(size=(3, 3)), np.array([1, 4, 2, 3])
+    scores = rnd.normal(size=(4, 4, 3))
+    total, here, both = marginals(scores, pairs, lengths)
+    for i, n in enumerate(lengths):
+        paths = list(product(range(3), repeat=n))
+        weight = np.exp([sum(scores[i, t, p[t]] for t in range(n)) + sum(pairs[p[t], p[t + 1]] for t in range(n - 1)) for p in paths])
+        assert np.isclose(total[i], np.log(weight.sum()))
+        for t in range(4):
+            for a in range(3):
+                want = sum(w for w, p in zip(weight, paths, strict=True) if t < n and p[t] == a) / weight.sum()
+                assert np.isclose(here[i, t, a], want)
+                for b in range(3):
+                    want = sum(w for w, p in zip(weight, paths, strict=True) if t + 1 < n and (p[t], p[t + 1]) == (a, b)) / weight.sum()
+                    assert t + 1 == 4 or np.isclose(both[i, t, a, b], want)
+
+
+def test_training_gives_the_same_weights():
+    longer, other = field_model(), field_model.__wrapped__()
+    assert np.array_equal(other.weights, longer.weights) and np.array_equal(other.pairs, longer.pairs)
+
+
+def held_out():
+    """Sentences with names that training never saw, announced in other ways and places than there, and capitals that are none."""
+    rnd = random.Random(12)
+    first = ["Pedro", "Ingrid", "Wei", "Aoife", "Bruno", "Chloé", "Dmitri", "Esra", "Fatima", "Goran"]
+    last = ["Almeida", "Bergström", "Çelik", "Duarte", "Eriksen", "Fontaine", "O'Shea", "Smith-Jones", "Novák", "Papadaki"]
+    frames = ["yesterday {} {} spoke to us.", "the letter to {} {} was late", "Then {} {} left, and we stayed.", "it was {} {} again"]
+    titles = ["Mr.", "Mrs", "Dr.", "Prof.", "Herr", "Frau"]
+    rows = []
+    for k in range(400):
+        name = f"{rnd.choice(first)} {rnd.choice(last)}" if k % 2 else rnd.choice(last)
+        if k % 4 == 3:
+            rows.append((f"my name is {name} and I write", [name]))
+        else:
+            rows.append((rnd.choice(frames).format(rnd.choice(titles), name), [name]))
+        rows.append((rnd.choice(["The train to Oslo leaves on Friday.", "From March on the Bank of Spain sells it.", "NEW OFFER from Acme Tea, call now", "it is in the Hague that it was signed"]), []))
+    return rows
+
+
+def test_names_held_out():
+    """Precision and recall of names; README gives the figures."""
+    names, rows = Names(field_model()), held_out()
+    found = [[t[a:b] for a, b, _ in names.spans(t, l)] for (t, _), l in zip(rows, names.labels([t for t, _ in rows]), strict=True)]
+    right = sum(len(set(f) & set(want)) for f, (_, want) in zip(found, rows, strict=True))
+    precision, recall = right / max(1, sum(map(len, found))), right / sum(len(want) for _, want in rows)
+    print("names held out: precision", round(precision, 3), "recall", round(recall, 3))
+    assert precision >= 0.9 and recall >= 0.9
