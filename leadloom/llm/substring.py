@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, cut, discard, id_and_text, joined, let_go, text_slices
@@ -54,6 +54,23 @@ def _run_hashes(words: np.ndarray, length: int, factors: np.ndarray = FACTORS) -
     return _mixed(total + np.uint64(length))
 
 
+#: The hash of the empty word, which stands between two neighbouring blanks.
+NO_WORD = np.uint64(xxhash.xxh64_intdigest(b"", seed=42))
+
+
+def word_hashes(text: Column) -> Column:
+    """The hashes of a text's words as an array, with some of NO_WORD between them; tasks get these in place of texts."""
+    return F.transform(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ", -1), lambda w: F.xxhash64(w))
+
+
+def hashed_texts(column: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes of each row of an Arrow list array."""
+    bounds, values = np.asarray(column.offsets), np.asarray(column.values).view(np.uint64)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = values[a:b]
+        yield own[own != NO_WORD]
+
+
 class Segments:
     """Finds the segments of texts; remembers the hashes of words."""
 
@@ -86,20 +103,17 @@ class Segments:
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to (anchor, doc), each anchor of a document once."""
+    """(doc, words) to (anchor, doc), each anchor of a document once."""
     finder = Segments()
     for batch in batches:
-        docs = np.asarray(batch.column(0))
-        for at, part in text_slices(batch.column(1)):
-            anchors, owners = [], []
-            for k, text in enumerate(part, at):
-                words = finder.words(text)
-                if len(words) >= WINDOW:
-                    found = np.unique(finder.of(words)[0])
-                    anchors.append(found)
-                    owners.append(np.full(len(found), docs[k]))
-            if anchors:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.array(np.concatenate(owners))], ["anchor", "doc"])
+        docs, anchors, owners = np.asarray(batch.column(0)), [], []
+        for k, words in enumerate(hashed_texts(batch.column(1))):
+            if len(words) >= WINDOW:
+                found = np.unique(finder.of(words)[0])
+                anchors.append(found)
+                owners.append(np.full(len(found), docs[k]))
+        if anchors:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.array(np.concatenate(owners))], ["anchor", "doc"])
 
 
 def unpacked(maps: list[tuple[int, bytes]], bits: int) -> np.ndarray:
@@ -111,8 +125,19 @@ def unpacked(maps: list[tuple[int, bytes]], bits: int) -> np.ndarray:
     return out
 
 
+#: Runs of several documents that leave a task together, at least.
+MOST_RUNS = 4_000_000
+
+
+def packed(rows: list[list]) -> pa.RecordBatch:
+    anchor, n, hashes, doc, key, start = map(np.concatenate, rows)
+    ends = np.r_[0, np.cumsum(n)]
+    runs = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(hashes.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(anchor), runs, pa.array(doc), pa.array(key), pa.array(start.astype(np.int32))], ["anchor", "runs", "doc", "row_key", "at"])
+
+
 def segment_rows(bitmaps, bits: int):
-    """(doc, row_key, text) to the segments whose anchor is in the first bitmap, as (anchor, runs, doc, row_key, at).
+    """(doc, row_key, words) to the segments whose anchor is in the first bitmap, as (anchor, runs, doc, row_key, at).
 
     Those whose anchor is in the second bitmap too are given as single runs.
     """
@@ -125,12 +150,13 @@ def segment_rows(bitmaps, bits: int):
         finder, (shared, crowd) = Segments(), bitmaps.value
         for batch in batches:
             docs, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for first, part in text_slices(batch.column(2)):
-                rows: list[list] = [[], [], [], [], [], []]
-                for k, text in enumerate(part, first):
-                    words = finder.words(text)
-                    if len(words) < WINDOW:
-                        continue
+            rows: list[list] = [[], [], [], [], [], []]
+            held = 0
+            for k, words in enumerate(hashed_texts(batch.column(2))):
+                if held > MOST_RUNS:
+                    yield packed(rows)
+                    rows, held = [[], [], [], [], [], []], 0
+                if len(words) >= WINDOW:
                     anchor, start, n = finder.of(words)
                     some = is_set(shared, anchor)
                     if not some.any():
@@ -146,12 +172,9 @@ def segment_rows(bitmaps, bits: int):
                     take = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                     for column, values in zip(rows, (anchor, n, hashes[take], np.full(len(n), docs[k]), np.full(len(n), keys[k]), start), strict=True):
                         column.append(values)
-                if rows[0]:
-                    anchor, n, hashes, doc, key, start = map(np.concatenate, rows)
-                    ends = np.r_[0, np.cumsum(n)]
-                    raw = hashes.tobytes()
-                    runs = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(raw)])
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), runs, pa.array(doc), pa.array(key), pa.array(start.astype(np.int32))], ["anchor", "runs", "doc", "row_key", "at"])
+                    held += len(take)
+            if rows[0]:
+                yield packed(rows)
 
     return run
 
@@ -194,7 +217,7 @@ def duplicate_runs(rows: DataFrame, expected: int) -> DataFrame:
     """(marked_doc, marked, spans) for each doc and row_key of ``rows`` (doc, row_key, text) with runs that a smaller document has."""
     spark = rows.sparkSession
     bits = filter_bits(expected)
-    anchors = rows.select("doc", "text").mapInArrow(anchor_rows, "anchor long, doc long")
+    anchors = rows.select("doc", word_hashes(F.col("text")).alias("words")).mapInArrow(anchor_rows, "anchor long, doc long")
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b")
     place = F.col("anchor").bitwiseAND(F.lit(bits - 1)) + 1
     crowd = F.col("n") > CROWD
@@ -207,7 +230,7 @@ def duplicate_runs(rows: DataFrame, expected: int) -> DataFrame:
     del found, maps, shared, anchors
 
     segments = cut(
-        rows.select("doc", "row_key", "text").mapInArrow(segment_rows(bitmaps, bits), "anchor long, runs binary, doc long, row_key long, at int"),
+        rows.select("doc", "row_key", word_hashes(F.col("text")).alias("words")).mapInArrow(segment_rows(bitmaps, bits), "anchor long, runs binary, doc long, row_key long, at int"),
         "segments",
     )
     let_go(spark)
