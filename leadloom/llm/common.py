@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import application_folder, cut, discard, shared_folder
 
-__all__ = ["application_folder", "cut", "discard", "id_and_text", "joined", "let_go", "shared_folder", "text_slices"]
+__all__ = ["application_folder", "cut", "discard", "id_and_text", "joined", "let_go", "shared_folder", "text_slices", "unused"]
 
 #: Texts are handled inside a task in pieces of about this many characters.
 SLICE_BYTES = 4_000_000
@@ -27,6 +27,13 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that no column of ``df`` has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs; a null text counts as empty.
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, cut, joined, text_slices
+from .common import CACHE_WORDS, cut, joined, text_slices, unused
 
 #: Words in a shingle, least similarity, and the most differing bits of a candidate's fingerprint.
 SHINGLE_WORDS, SIMILARITY, RADIUS = 5, 0.8, 23
@@ -263,7 +263,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     are answered like others; empty tables are fine on either side.
     """
     sc = docs.sparkSession.sparkContext
-    verdict = "__contamination"
+    verdict, one_pass = unused(docs, "__contamination"), unused(docs, "__one")
     out = docs.withColumn(verdict, F.lit(None).cast("struct<similarity:double,item_id:bigint>"))
     shared = None
     for items in _items(benchmark, item_col, item_text_col):
@@ -273,13 +273,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             shared.destroy()
         shared = sc.broadcast(items)
         one = _searcher(shared)(F.coalesce(F.col(text_col), F.lit("")))
-        out = out.withColumn("__one", one)
-        better = F.col("__one.similarity").isNotNull() & (
-            F.col(f"{verdict}.similarity").isNull() | (F.col("__one.similarity") > F.col(f"{verdict}.similarity"))
-            | ((F.col("__one.similarity") == F.col(f"{verdict}.similarity")) & (F.col("__one.item_id") < F.col(f"{verdict}.item_id")))
+        out = out.withColumn(one_pass, one)
+        better = F.col(f"{one_pass}.similarity").isNotNull() & (
+            F.col(f"{verdict}.similarity").isNull() | (F.col(f"{one_pass}.similarity") > F.col(f"{verdict}.similarity"))
+            | ((F.col(f"{one_pass}.similarity") == F.col(f"{verdict}.similarity")) & (F.col(f"{one_pass}.item_id") < F.col(f"{verdict}.item_id")))
         )
-        out = out.withColumn(verdict, F.when(better, F.col("__one")).otherwise(F.col(verdict))).drop("__one")
+        out = out.withColumn(verdict, F.when(better, F.col(one_pass)).otherwise(F.col(verdict))).drop(one_pass)
     bad = F.col(f"{verdict}.similarity").isNotNull()
     if keep:
-        return out.where(~bad).select(*docs.columns)
+        return out.where(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.select(F.col(id_col).alias("doc_id"), bad.alias("contaminated"), F.col(f"{verdict}.item_id").alias("item_id"), F.col(f"{verdict}.similarity").alias("similarity"))

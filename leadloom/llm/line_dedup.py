@@ -208,13 +208,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it stands. The first occurrence of each line stays. Nulls and repeated
     ids are treated as by :func:`line_dedup`.
     """
-    last, text = F.lit((1 << 63) - 1), F.coalesce(F.col(text_col), F.lit(""))
+    last = F.lit((1 << 63) - 1)
     marks = _repeated_lines(docs, id_col, text_col)
-    own = (F.coalesce(F.col(id_col).cast("long"), last) == F.col("__doc")) & (F.xxhash64(text) == F.col("__marked"))
-    out = docs.join(marks, own, "left")
-    out = _held(out, "__lines", F.when(F.col("__gone").isNotNull(), F.split(text, "\n", -1)))
+    # All of a row but its text goes as one column, so that none of its names can clash with those below.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("__row")
+    rows = docs.select(row, F.coalesce(F.col(id_col).cast("long"), last).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    out = rows.join(marks, (F.col("__id") == F.col("__doc")) & (F.xxhash64("__text") == F.col("__marked")), "left")
+    out = _held(out, "__lines", F.when(F.col("__gone").isNotNull(), F.split("__text", "\n", -1)))
     gone = F.flatten(F.transform("__gone", lambda r: F.sequence(r["first"], r["last"])))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone)
     out = _held(out, "__left", F.when(F.col("__gone").isNotNull(), left))
     kept = F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n")
-    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(kept)).select(*docs.columns)
+    whole = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(kept)
+    return out.select(*[(whole if c == text_col else F.col("__row").getField(c)).alias(c) for c in docs.columns])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, text_slices
+from .common import cut, discard, text_slices, unused
 from .components import components
 from .exact import filter_bits
 from .near_dups import SEARCHES, _merge, forest
@@ -246,7 +246,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays are all kept. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    name, last = "__text_key", F.lit((1 << 63) - 1)
+    name, losing_key, kept_id, last = *(unused(docs, n) for n in ("__text_key", "__losing", "__keep")), F.lit((1 << 63) - 1)
     rows = docs.withColumn(name, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     texts = rows.select(F.col(name).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bits = filter_bits(BANDS * docs.count())
@@ -262,8 +262,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = cut(own.select("text_key", "id", "n", F.coalesce("component", "text_key").alias("group"), F.col("node").isNotNull().alias("linked")), "texts")
     least = own.where("linked").groupBy("group").agg(F.min("id").alias("keep"))
     # Only texts of which some row goes are listed; all other rows pass by the join.
-    losing = own.where("linked or n > 1").join(least, "group", "left").select(F.col("text_key").alias("__losing"), F.coalesce("keep", "id").alias("__keep"))
+    losing = own.where("linked or n > 1").join(least, "group", "left").select(F.col("text_key").alias(losing_key), F.coalesce("keep", "id").alias(kept_id))
     losing = cut(losing, "losing")
     discard(own)
-    out = rows.join(losing, F.col(name) == F.col("__losing"), "left")
-    return out.where(F.col("__losing").isNull() | (F.coalesce(F.col(id_col).cast("long"), last) == F.col("__keep"))).select(*docs.columns)
+    out = rows.join(losing, F.col(name) == F.col(losing_key), "left")
+    return out.where(F.col(losing_key).isNull() | (F.coalesce(F.col(id_col).cast("long"), last) == F.col(kept_id))).select(*[F.col(f"`{c}`") for c in docs.columns])
