@@ -16,9 +16,9 @@ COLUMNS = (
     "deduplication_ids", "company_resolution_id", "person_resolution_id", "source_provider_ids", "exported_at",
 )
 SHARED = {
-    "Lead Agent - LinkedIn URL": "person_linkedin_id", "Lead Agent - Qualification Summary": "qualification_summary", "Lead Agent - Final Score": "final_score", "Lead Agent - Rank": "rank", "Lead Agent - Tier": "tier",
+    "LinkedIn URL": "person_linkedin_id", "Qualification Summary": "qualification_summary", "Final Score": "final_score", "Rank": "rank", "Tier": "tier",
 }
-FULL_NAME = "Lead Agent - Full Name (unsplit, authoritative)"
+FULL_NAME = "Full Name (unsplit, authoritative)"
 LAYOUTS = {
     "hubspot": {"Job Title": "person_title", "Company name": "company_name", "Company domain name": "company_domain"},
     "salesforce": {"Title": "person_title", "Account Name": "company_name", "Website": "company_domain"},
@@ -45,13 +45,16 @@ def export_values(leads: DataFrame) -> DataFrame:
     return leads.select(*[_shown(n, k).alias(n) for n, k in leads.dtypes])
 
 
-def crm_rows(leads: DataFrame, layout: str) -> DataFrame:
-    """Leads as rows that a CRM imports: the split name and the name as it is, twelve columns in all."""
+def crm_rows(leads: DataFrame, layout: str, prefix: str = "") -> DataFrame:
+    """Leads as rows that a CRM imports: the split name and the name as it is, twelve columns in all.
+
+    ``prefix`` goes before the headers that no CRM has of its own, such as ``Rank``.
+    """
     kinds, name = dict(leads.dtypes), split_person_name(F.col("person_name"))
     part = lambda p: F.coalesce(F.nullif(name[p], F.lit("")), F.lit("UNKNOWN"))
-    own = LAYOUTS[layout] | SHARED
+    own = LAYOUTS[layout] | {prefix + h: c for h, c in SHARED.items()}
     email = F.coalesce(F.col("verified")["person.email"], F.lit("UNKNOWN"))
-    return leads.select(email.alias("Email"), part("first").alias("First Name"), part("last").alias("Last Name"), _shown("person_name", "string").alias(FULL_NAME), *[_shown(c, kinds[c]).alias(h) for h, c in own.items()])
+    return leads.select(email.alias("Email"), part("first").alias("First Name"), part("last").alias("Last Name"), _shown("person_name", "string").alias(prefix + FULL_NAME), *[_shown(c, kinds[c]).alias(h) for h, c in own.items()])
 
 
 def review_rows(leads: DataFrame) -> DataFrame:
@@ -68,9 +71,9 @@ def write_csv(leads: DataFrame, path: str, order: list[str] = ["icp_id", "rank"]
     _csv(export_values(leads.orderBy(*order).select(*columns)), path)
 
 
-def write_crm_csv(leads: DataFrame, path: str, layout: str) -> None:
+def write_crm_csv(leads: DataFrame, path: str, layout: str, prefix: str = "") -> None:
     """``layout``: hubspot or salesforce."""
-    _csv(crm_rows(leads.orderBy("icp_id", "rank"), layout), path)
+    _csv(crm_rows(leads.orderBy("icp_id", "rank"), layout, prefix), path)
 
 
 def write_review_csv(leads: DataFrame, path: str) -> None:

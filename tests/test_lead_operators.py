@@ -101,9 +101,9 @@ def test_exports_are_read_back(spark, tmp_path):
     places = [(r["icp_id"], int(r["rank"])) for r in read]
     assert places == sorted(places)
     for layout, third in (("hubspot", "Company name"), ("salesforce", "Account Name")):
-        X.write_crm_csv(leads, f"file://{tmp_path}/{layout}", layout)
+        X.write_crm_csv(leads, f"file://{tmp_path}/{layout}", layout, "Own - ")
         made = [r for part in sorted(Path(f"{tmp_path}/{layout}").glob("part-*.csv")) for r in csv.DictReader(part.open(newline=""))]
-        assert len(made) == len(rows) and len(made[0]) == 12 and third in made[0] and {r["Email"] for r in made} == {"a@b.c", "UNKNOWN"}
+        assert len(made) == len(rows) and len(made[0]) == 12 and {third, "Own - Rank", "Own - Full Name (unsplit, authoritative)"} <= set(made[0]) and {r["Email"] for r in made} == {"a@b.c", "UNKNOWN"}
     X.write_json(leads, f"file://{tmp_path}/json")
     told = [json.loads(x) for part in sorted(Path(f"{tmp_path}/json/leads").glob("part-*")) for x in part.open()]
     assert [(r["icp_id"], r["rank"]) for r in told] == places and told[0]["identity"]["person_title"] is None and told[0]["batch_id"] is None
