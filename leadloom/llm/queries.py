@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact, line_dedup, near_dups, pii, secrets, substring, token_files, toxicity
+from . import bpe, decontam, exact, line_dedup, manifest, mixing, near_dups, pii, secrets, substring, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_spans(_documents(spark, sf_dir))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_documents(spark, sf_dir))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_simhash, op4_substring_dedup, op5_line_dedup, op6_decontamination, op7_exact_dedup, op8_bpe, op9_token_files, op10_pii)}
+    found = (
+        op1_toxicity, op2_secrets, op3_simhash, op4_substring_dedup, op5_line_dedup, op6_decontamination, op7_exact_dedup, op8_bpe, op9_token_files, op10_pii,
+        op12_mixing, op13_manifest,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP4_SQL = """
