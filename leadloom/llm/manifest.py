@@ -174,7 +174,7 @@ def completed(shared: DataFrame) -> DataFrame:
     """All nodes of ``shared`` (tree, level, at, digest, n) and those above them, up to each tree's root, level by level."""
     nodes = cut(shared, "nodes")
     known, level = [nodes], 0
-    top = max(0, *[height(n) for (n,) in [nodes.agg(F.max("n")).first()] if n])
+    top = height(nodes.agg(F.max("n")).first()[0] or 0)
     row = nodes.where("level = 0")
     while level < top:
         made = row.groupBy("tree", F.floor(F.col("at") / FAN).alias("up"), "n").agg(F.sort_array(F.collect_list(F.struct("at", "digest"))).alias("run"))

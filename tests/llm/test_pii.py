@@ -1,8 +1,10 @@
 import random
 import re
+import time
 from itertools import product
 
 import numpy as np
+from leadloom.llm import pii
 from leadloom.llm.pii import Names, base_spans, field_model, luhn, marginals, personal_spans, viterbi
 
 
@@ -99,3 +101,20 @@ def test_names_held_out():
     precision, recall = right / max(1, sum(map(len, found))), right / sum(len(want) for _, want in rows)
     print("names held out: precision", round(precision, 3), "recall", round(recall, 3))
     assert precision >= 0.9 and recall >= 0.9
+
+
+def test_long_runs_without_blanks_take_seconds():
+    """Runs of five million characters, which no expression may begin anew at each character."""
+    began = time.time()
+    assert pii.base_spans("7" * 5_000_000) == [] and pii.base_spans("x" * 5_000_000 + "@") == []
+    assert [s[2] for s in pii.base_spans("8" * 2_000_000 + ".1.1.1 1.2.3.4")] == ["ip"]
+    assert pii.base_spans("+1" + "(" * 2_000_000) == [] and pii.base_spans("1." * 1_000_000)[0][2] == "ip"
+    assert time.time() - began < 60
+
+
+def test_addresses_are_those_of_the_plain_expression():
+    rnd, plain = random.Random(8), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(20_000):
+        text = "".join(rnd.choices("0012.. a", k=rnd.randrange(24)))
+        want = [m.span() for m in plain.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [s[:2] for s in pii.base_spans(text) if s[2] == "ip"] == want
