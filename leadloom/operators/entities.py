@@ -3,14 +3,15 @@
 The result depends on order: a candidate that is new joins the pool which
 later ones are compared with. Only being new changes the pool, and a candidate
 is new exactly if no company known before it shares one of its deciding keys:
-its provider's id, and its domain or, without a domain, its name. So the new
-ones are found in rounds, each by one minimum a key: a candidate that is the
-first open one under all its deciding keys is new, and what it shares a
-deciding key with later on is not. A key of very many candidates is one
-partial minimum a task; no group is ever gathered. Rounds grow slowly (about
-the square of the logarithm for an order that is independent of the keys); a
-chain in which each candidate shares a key only with the next one, in their
-very order, takes a round for every two of its links.
+its provider's id, and its domain or, without a domain, its name. It goes in
+rounds. A
+candidate that is the first open one under all its deciding keys is new. One
+that has a single open candidate before it is new if and only if that one is
+not, so chains of such links are followed to their ends by pointer doubling, and
+a chain of any length takes a logarithm of joins. What shares a deciding key with
+a new one before it is not new. A key of very many candidates is one partial
+minimum a task; no group is ever gathered. A candidate with several open ones
+before it waits for the next round.
 All other decisions follow by equi-joins with one row a key.
 """
 
@@ -42,22 +43,52 @@ def _look(rows: DataFrame, table: DataFrame, key: str, *extra: str) -> DataFrame
     return rows.join(t, key, "left").withColumns(found).drop("__o", "__e", *["__" + x for x in extra])
 
 
+def _settled(links: DataFrame) -> DataFrame:
+    """(ord, root, odd) for links (ord, to, odd): where each one's way ends, and whether in an odd number of steps.
+
+    Ways double in each round, so a chain of any length takes a logarithm of rounds.
+    """
+    while True:
+        on = links.select(F.col("ord").alias("to"), F.col("to").alias("next"), F.col("odd").alias("more"))
+        further = cut(links.join(on, "to", "left").select(
+            "ord", F.coalesce("next", "to").alias("to"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"), F.col("next").isNotNull().alias("moved")
+        ), "ways")
+        discard(links)
+        links = further
+        if not links.where("moved").limit(1).count():
+            return links.select("ord", F.col("to").alias("root"), "odd")
+
+
 def _new_ones(open_rows: DataFrame) -> DataFrame:
-    """``ord`` of the candidates that are new; takes ord, blocks (deciding keys) and gives (all keys)."""
-    found = None
-    left = cut(open_rows, "open")
-    while left.limit(1).count():
-        lead = left.select("ord", F.explode("gives").alias("key")).groupBy("key").agg(F.min("ord").alias("first"))
-        ready = left.select("ord", F.explode_outer("blocks").alias("key")).join(lead, "key", "left").groupBy("ord").agg(
-            F.bool_and(F.col("key").isNull() | (F.col("first") == F.col("ord"))).alias("ready")
-        )
-        new = cut(left.join(ready.where("ready").select("ord"), "ord", "left_semi"), "new")
-        taken = new.select("ord", F.explode("gives").alias("key")).groupBy("key").agg(F.min("ord").alias("by"))
-        met = left.select("ord", F.explode("blocks").alias("key")).join(taken, "key").where(F.col("by") <= F.col("ord")).select("ord").distinct()
-        before, left = left, cut(left.join(met, "ord", "left_anti").join(new.select("ord"), "ord", "left_anti"), "open")
+    """``ord`` of the candidates that are new; takes ord, blocks (deciding keys, all of them among gives) and gives (all keys)."""
+    keys = open_rows.select("ord", F.explode("gives").alias("key"), "blocks").select("ord", "key", F.array_contains("blocks", F.col("key")).alias("decides"))
+    keys = cut(keys, "keys")
+    found = [open_rows.where(F.size("blocks") == 0).select("ord")]
+    while keys.where("decides").limit(1).count():
+        # Of each key the first that is open; a key of two leaves its second one candidate before it.
+        tops = keys.groupBy("key").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+        behind = F.col("first") < F.col("ord")
+        each = cut(
+            keys.where("decides").join(tops, "key").groupBy("ord").agg(
+                F.min(F.when(behind, F.col("first"))).alias("one"), F.max(F.when(behind, F.col("first"))).alias("other"), F.max(behind & (F.col("n") > 2)).alias("many")
+            ), "each",
+        )
+        ready = each.where("one is null").select("ord")
+        # Who has one open candidate before it is new if that one is not.
+        links = cut(each.where("one = other and not many").select("ord", F.col("one").alias("to"), F.lit(True).alias("odd")), "links")
+        ends = cut(_settled(links).join(ready.withColumnRenamed("ord", "root"), "root", "left_semi"), "ends")
+        fresh = cut(ready.unionByName(ends.where("not odd").select("ord")), "new")
+        found.append(fresh)
+        # What a new one gives is taken from all that come later and are decided by it.
+        taken = keys.join(fresh, "ord", "left_semi").groupBy("key").agg(F.min("ord").alias("by"))
+        lost = keys.where("decides").join(taken, "key").where(F.col("by") < F.col("ord")).select("ord")
+        gone = lost.unionByName(ends.where("odd").select("ord")).unionByName(fresh).distinct()
+        before, keys = keys, cut(keys.join(gone, "ord", "left_anti"), "keys")
         discard(before)
-        found = new.select("ord") if found is None else found.unionByName(new.select("ord"))
-    return found if found is not None else open_rows.select("ord").limit(0)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def first_claims(claims: DataFrame) -> DataFrame:

@@ -17,8 +17,6 @@ from .imports import read_provenance
 from .rules import judged, profile_keys, text_key
 
 COMPANY = {"company_identity": "company_name", "domain": "domain", "industry": "industry", "country": "country", "employee_count": "employee_count", "employee_range": "employee_range", "company_type": "company_type"}
-#: Which company fields each rule rests on; an exact count goes before a range.
-CITED = {"employee_range": ("employee_count", "employee_range"), "geography": ("country",), "industry": ("industry",), "company_type": ("company_type",)}
 
 
 def _none() -> Column:
@@ -38,12 +36,12 @@ def eligible_fields(status: DataFrame, names: dict[str, str] = COMPANY) -> DataF
     return good.where(~F.coalesce(wrong, F.lit(False))).groupBy("entity_id").agg(*[F.max(F.when(F.col("field") == f, text)).alias(name) for f, name in names.items()])
 
 
-def covered_by_keywords(evidence: DataFrame, asked: DataFrame, icps: DataFrame) -> DataFrame:
-    """(icp_id, company_id, corroborated): the values of sightings that together cover what a profile requires.
+def covering_sightings(evidence: DataFrame, asked: DataFrame, icps: DataFrame) -> DataFrame:
+    """(icp_id, company_id, value, term, evidence_id, need): sightings of an industry that cover a term of the company's profile.
 
     A sighting covers a term of the profile if it is its only keyword that
     comes from the industry list (all keywords, where sources do not match
-    them one by one). Required are the industries less the combination terms;
+    them one by one). Needed are the industries less the combination terms;
     a profile of fewer than two industries asks for no corroboration.
     """
     c = F.col
@@ -51,10 +49,15 @@ def covered_by_keywords(evidence: DataFrame, asked: DataFrame, icps: DataFrame)
     p = read_provenance(c("evidence_text"))["keyword_match"]
     sourced = F.when(F.size(p["term_sources"]) == F.size(p["terms"]), F.transform(F.filter(F.arrays_zip(p["terms"].alias("t"), p["term_sources"].alias("s")), lambda z: z["s"] == "industry"), lambda z: z["t"])).otherwise(p["terms"])
     one = evidence.where((c("entity_type") == "COMPANY") & (c("field") == "industry")).select(
-        c("entity_id").alias("company_id"), F.coalesce(value_string(c("value_json")), c("value_json")).alias("value"), F.when(F.size(sourced) == 1, text_key(F.get(sourced, F.lit(0)))).alias("term")
+        c("entity_id").alias("company_id"), F.coalesce(value_string(c("value_json")), c("value_json")).alias("value"), F.when(F.size(sourced) == 1, text_key(F.get(sourced, F.lit(0)))).alias("term"), c("id").alias("evidence_id")
     )
-    # Equal statements of a company are one row before they meet its profiles.
-    rows = one.where("term is not null").distinct().join(asked.select("icp_id", "company_id").distinct(), "company_id").join(need, "icp_id").where(F.array_contains("own", c("term")))
+    rows = one.where("term is not null").join(asked.select("icp_id", "company_id").distinct(), "company_id").join(need, "icp_id")
+    return rows.where(F.array_contains("own", c("term"))).select("icp_id", "company_id", "value", "term", "evidence_id", "need")
+
+
+def covered_by_keywords(evidence: DataFrame, asked: DataFrame, icps: DataFrame) -> DataFrame:
+    """(icp_id, company_id, corroborated): the values of :func:`covering_sightings` that together cover what a profile needs."""
+    rows = covering_sightings(evidence, asked, icps)
     made = rows.groupBy("icp_id", "company_id").agg(F.collect_set("term").alias("covered"), F.array_sort(F.collect_set("value")).alias("corroborated"), F.first("need").alias("need"))
     return made.where(F.size(F.array_except("need", "covered")) == 0).select("icp_id", "company_id", "corroborated")
 
@@ -85,17 +88,12 @@ def described(evidence: DataFrame, asked: DataFrame, icps: DataFrame, terms: str
     return made.where("n = of").select("icp_id", "company_id", "stated")
 
 
-def validate(asked: DataFrame, icps: DataFrame, evidence: DataFrame, status: DataFrame) -> DataFrame:
-    """Each asked (icp_id, company_id, person_id; null: no person) judged by its evidence: results, overall, reasons.
+def decided(asked: DataFrame, icps: DataFrame, evidence: DataFrame, status: DataFrame) -> DataFrame:
+    """Each asked row with the candidate its evidence makes, and with what every value came from.
 
-    ``icps`` are profiles with industries, combinations (terms that need no
-    proof of their own) and the columns of ``rules.evaluate``; ``evidence``
-    has entity_type, entity_id, field, value_json and evidence_text, and
-    ``status`` is its field status with values. An industry that cannot be
-    proved, or is missing, may be replaced by corroborated terms, then by
-    what descriptions state. A person's title counts only if its association
-    with this very company is SUPPORTED; without a person the title rule does
-    not apply. Without evidence everything holds that the profile constrains.
+    industry_by and type_by say whether a value is that of the FIELD, was
+    CORROBORATED by several sightings, or is what descriptions state
+    (DESCRIBED); null: an industry that cannot be proved and nothing replaces.
     """
     c = F.col
     company = eligible_fields(status.where(c("entity_type") == "COMPANY")).withColumnRenamed("entity_id", "company_id")
@@ -110,30 +108,80 @@ def validate(asked: DataFrame, icps: DataFrame, evidence: DataFrame, status: Dat
     rows = rows.join(unprovable_industries(evidence, asked, icps).withColumn("unprovable", F.lit(True)), pair, "left")
     rows = rows.join(described(evidence, asked, icps, "industries").withColumnRenamed("stated", "stated_industry"), pair, "left")
     rows = rows.join(described(evidence, asked, icps, "company_types").withColumnRenamed("stated", "stated_type"), pair, "left")
-    proved = F.when(~(c("unprovable").isNotNull() & c("corroborated").isNull()), c("industry"))
-    industry = F.coalesce(proved, F.get("corroborated", F.lit(0)), c("stated_industry"))
+    suppressed = c("unprovable").isNotNull() & c("corroborated").isNull() & c("industry").isNotNull()
+    proved = F.when(~suppressed, c("industry"))
+    industry_by = (
+        F.when(proved.isNotNull(), "FIELD").when(c("corroborated").isNotNull(), "CORROBORATED").when(c("stated_industry").isNotNull(), "DESCRIBED").when(~suppressed, "FIELD")
+    )
+    type_by = F.when(c("company_type").isNull() & c("stated_type").isNotNull(), "DESCRIBED").otherwise("FIELD")
+    at_this = F.coalesce(c("at_company") == c("company_id").cast("string"), F.lit(False))
+    return rows.withColumns({"industry_by": industry_by, "type_by": type_by, "at_this": at_this}).withColumns({
+        "industry": F.coalesce(proved, F.get("corroborated", F.lit(0)), c("stated_industry")), "company_type": F.coalesce("company_type", "stated_type"),
+        "employee_count": c("employee_count").try_cast("int"), "title": F.when(at_this, c("held_title")),
+    })
+
+
+def validate(asked: DataFrame, icps: DataFrame, evidence: DataFrame, status: DataFrame) -> DataFrame:
+    """Each asked (icp_id, company_id, person_id; null: no person) judged by its evidence: results, overall, reasons.
+
+    ``icps`` are profiles with industries, combinations (terms that need no
+    proof of their own) and the columns of ``rules.evaluate``; ``evidence``
+    has entity_type, entity_id, field, value_json, evidence_text and id, and
+    ``status`` is its field status with values. An industry that cannot be
+    proved, or is missing, may be replaced by corroborated terms, then by
+    what descriptions state. A person's title counts only if its association
+    with this very company is SUPPORTED; without a person the title rule does
+    not apply. Without evidence everything holds that the profile constrains.
+    """
+    c = F.col
+    rows = decided(asked, icps, evidence, status).join(profile_keys(icps), "icp_id")
     # What was corroborated counts as allowed.
-    rows = rows.withColumns({
-        "industry": industry, "company_type": F.coalesce("company_type", "stated_type"), "employee_count": c("employee_count").try_cast("int"),
-        "title": F.when(c("at_company") == c("company_id").cast("string"), c("held_title")),
-    }).join(profile_keys(icps), "icp_id")
     widened = F.array_union("industry_keys", F.transform(F.coalesce("corroborated", _none()), text_key))
     rows = rows.withColumns({"industry_keys": F.when(F.size("industry_keys") > 0, widened).otherwise(c("industry_keys")), "title_keys": F.when(c("person_id").isNull(), _none()).otherwise(c("title_keys"))})
     return judged(rows).select("icp_id", "company_id", "person_id", "results", "overall", "reasons")
 
 
-def cited_rows(asked: DataFrame, evidence: DataFrame, status: DataFrame) -> DataFrame:
-    """(icp_id, company_id, rule, evidence_id): the rows of eligible company fields that each rule rests on.
+def cited_rows(asked: DataFrame, icps: DataFrame, evidence: DataFrame, status: DataFrame) -> DataFrame:
+    """(icp_id, company_id, person_id, rule, evidence_id): the rows of the branch that decided each rule.
 
-    The employee rule cites counts where there are any eligible, else ranges.
+    A rule cites the rows of its eligible field; the employee rule those of the
+    count where the candidate has one, else of the range. An industry cites the
+    sightings that corroborated it, or the descriptions that state it, where
+    those decided in the field's place, and nothing if it could not be proved.
+    The title rule cites the person's titles if they count. Exclusions cite
+    whatever the company's name, domain, industry, place and type, and the
+    title, rest on, each row once. Citations are rows: a field may have any
+    number of them.
     """
     c = F.col
-    good = status.where((c("entity_type") == "COMPANY") & c("status").isin(*ELIGIBLE) & c("field").isin(*[f for fs in CITED.values() for f in fs])).select("entity_id", "field")
-    counted = good.where(c("field") == "employee_count").select("entity_id").withColumn("counted", F.lit(True))
-    good = good.join(counted, "entity_id", "left").where((c("field") != "employee_range") | c("counted").isNull()).drop("counted")
-    rule = F.create_map(*[x for r, fs in CITED.items() for f in fs for x in (F.lit(f), F.lit(r))])[c("field")]
-    rows = evidence.where(c("entity_type") == "COMPANY").join(good, ["entity_id", "field"]).select(c("entity_id").alias("company_id"), rule.alias("rule"), c("id").alias("evidence_id"))
-    return asked.select("icp_id", "company_id").distinct().join(rows, "company_id").select("icp_id", "company_id", "rule", "evidence_id")
+    field = lambda entity, name: F.struct(entity.cast("string").alias("entity"), F.lit(name).alias("source"))
+    company, person = c("company_id"), c("person_id")
+    described_ = field(company, "DESCRIBED")
+    industry = F.when(c("industry_by") == "FIELD", field(company, "industry")).when(c("industry_by") == "CORROBORATED", field(company, "CORROBORATED")).when(c("industry_by") == "DESCRIBED", described_)
+    kind = F.when(c("type_by") == "FIELD", field(company, "company_type")).otherwise(described_)
+    title = F.when(c("at_this"), field(person, "current_title"))
+    place = field(company, "country")
+    bases = {
+        "industry": F.array(industry), "geography": F.array(place), "company_type": F.array(kind), "allowed_titles": F.array(title),
+        "employee_range": F.array(F.when(c("employee_count").isNotNull(), field(company, "employee_count")).otherwise(field(company, "employee_range"))),
+        "exclusions": F.array_distinct(F.array(field(company, "company_identity"), field(company, "domain"), industry, place, kind, title)),
+    }
+
+    def of(rule: str) -> Column:
+        return F.transform(F.array_compact(bases[rule]), lambda s: F.struct(F.lit(rule).alias("rule"), s["entity"].alias("entity"), s["source"].alias("source")))
+
+    every = F.flatten(F.array(*map(of, bases)))
+    keys = ["icp_id", "company_id", "person_id"]
+    wanted = decided(asked, icps, evidence, status).select(*keys, F.explode(every).alias("w")).select(*keys, "w.*")
+
+    good = status.where(c("status").isin(*ELIGIBLE)).select("entity_type", "entity_id", "field")
+    fields = evidence.join(good, ["entity_type", "entity_id", "field"]).where((c("entity_type") == "PERSON") == (c("field") == "current_title"))
+    texts = evidence.where((c("entity_type") == "COMPANY") & (c("field") == "description") & (value_string(c("value_json")) != ""))
+    pool = fields.select(c("entity_id").alias("entity"), c("field").alias("source"), c("id").alias("evidence_id")).unionByName(texts.select(c("entity_id").alias("entity"), F.lit("DESCRIBED").alias("source"), c("id").alias("evidence_id")))
+    seen = covering_sightings(evidence, asked, icps).select("icp_id", c("company_id").cast("string").alias("entity"), "evidence_id")
+    out = [*keys, "rule", "evidence_id"]
+    covered = wanted.where("source = 'CORROBORATED'").join(seen, ["icp_id", "entity"]).select(*out)
+    return wanted.where("source <> 'CORROBORATED'").join(pool, ["entity", "source"]).select(*out).unionByName(covered)
 
 
 def profile_errors(icps: DataFrame) -> DataFrame:

@@ -196,8 +196,8 @@ def validated_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, status = _with_values(spark, sf_dir, False)
-    return Z.cited_rows(A.asked(spark, sf_dir), rows, status)
+    rows, status = _with_values(spark, sf_dir)
+    return Z.cited_rows(A.asked(spark, sf_dir), A.evidence_profiles(spark), rows, status)
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

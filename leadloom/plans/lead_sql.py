@@ -107,8 +107,19 @@ def oracle_sql(signals: str) -> dict[str, str]:
             y AS (SELECT *, [r1, r2, r3, r4, r5, r6] AS rs FROM z)
             SELECT icp_id, company_id, person_id, CASE WHEN len(list_filter(rs, lambda r: r LIKE 'F:%')) > 0 THEN 'FAIL' WHEN len(list_filter(rs, lambda r: r LIKE 'H:%')) > 0 THEN 'HOLD' ELSE 'PASS' END AS overall,
               array_to_string(list_transform(list_concat(list_filter(rs, lambda r: r LIKE 'F:%'), list_filter(rs, lambda r: r LIKE 'H:%')), lambda r: r[3:]), ',') AS reasons FROM y""",
-        "cited_rows": f"""WITH {FACTS}, {ASKED}, g AS (SELECT id, field FROM st WHERE status = 'SUPPORTED'), e AS (SELECT g.* FROM g WHERE field IN ('industry', 'country', 'company_type', 'employee_count') OR (field = 'employee_range' AND NOT EXISTS (SELECT 1 FROM g x WHERE x.id = g.id AND x.field = 'employee_count')))
-            SELECT icp_id, company_id, CASE field WHEN 'country' THEN 'geography' WHEN 'employee_count' THEN 'employee_range' ELSE field END AS rule, k AS evidence_id FROM l JOIN w ON w.id = company_id JOIN e USING (id, field)""",
+        "cited_rows": f"""WITH {FACTS}, {PEOPLE}, {ASKED}, {COVERED}, ok AS (SELECT id, field FROM st WHERE status = 'SUPPORTED'), hit AS (SELECT id, list(field) AS fs FROM ok GROUP BY 1),
+            x AS (SELECT l.icp_id, l.company_id, person_id, CASE WHEN list_contains(fs, 'industry') AND NOT (un.company_id IS NOT NULL AND cv.vals IS NULL) THEN 'industry' WHEN cv.vals IS NOT NULL THEN 'COVERED' WHEN d1.stated IS NOT NULL THEN 'DESCRIBED' END AS ind,
+                CASE WHEN d2.stated IS NOT NULL AND NOT coalesce(list_contains(fs, 'company_type'), false) THEN 'DESCRIBED' ELSE 'company_type' END AS kind, CASE WHEN list_contains(fs, 'employee_count') THEN 'employee_count' ELSE 'employee_range' END AS emp,
+                CASE WHEN EXISTS (SELECT 1 FROM ps WHERE ps.id = person_id AND field = 'company_association' AND status = 'SUPPORTED' AND value = l.company_id) THEN 'current_title' END AS ttl
+              FROM l LEFT JOIN hit ON hit.id = l.company_id LEFT JOIN cv USING (icp_id, company_id) LEFT JOIN un USING (icp_id, company_id) LEFT JOIN ds d1 ON d1.company_id = l.company_id AND d1.icp_id = l.icp_id AND d1.list = 'industries'
+              LEFT JOIN ds d2 ON d2.company_id = l.company_id AND d2.icp_id = l.icp_id AND d2.list = 'company_types'),
+            y AS (SELECT icp_id, company_id, person_id, 'industry' AS rule, ind AS src FROM x UNION ALL SELECT icp_id, company_id, person_id, 'geography', 'country' FROM x UNION ALL SELECT icp_id, company_id, person_id, 'company_type', kind FROM x
+              UNION ALL SELECT icp_id, company_id, person_id, 'allowed_titles', ttl FROM x UNION ALL SELECT icp_id, company_id, person_id, 'employee_range', emp FROM x
+              UNION ALL SELECT DISTINCT icp_id, company_id, person_id, 'exclusions', unnest(['company_identity', 'domain', ind, 'country', kind, ttl]) FROM x),
+            po AS (SELECT id, field AS src, k AS evidence_id FROM w JOIN ok USING (id, field) UNION ALL SELECT id, 'DESCRIBED', k FROM w WHERE field = 'description'
+              UNION ALL SELECT id, 'current_title', l_orderkey * 10 + l_linenumber FROM (SELECT *, 'q' || l_partkey AS id FROM lineitem WHERE l_linenumber % 2 = 1) JOIN ps USING (id) WHERE field = 'current_title' AND status = 'SUPPORTED')
+            SELECT icp_id, company_id, person_id, rule, evidence_id FROM y JOIN po ON po.src = y.src AND po.id = CASE WHEN y.src = 'current_title' THEN person_id ELSE company_id END
+            UNION ALL SELECT icp_id, company_id, person_id, rule, k FROM y JOIN w ON id = company_id WHERE src = 'COVERED' AND field = 'industry' AND told IN (0, 1)""",
         "profile_errors": """SELECT c_custkey AS icp_id, concat_ws(',', CASE WHEN c_custkey % 14 = 0 THEN 'EMPLOYEE_RANGE_REVERSED' END,
             CASE WHEN c_custkey % 3 > 0 AND c_custkey % 4 > 0 AND c_custkey % 5 > 0 AND c_custkey % 7 > 0 AND c_custkey % 2 > 0 THEN 'PROFILE_EMPTY' END, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 = 0 THEN 'GEOGRAPHY_REPEATED' END,
             CASE WHEN c_custkey % 9 = 0 THEN 'EXCLUSION_IS_ALLOWED' END) AS errors FROM customer""",

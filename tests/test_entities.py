@@ -2,7 +2,8 @@ import datetime as dt
 import random
 
 from leadloom.functions.text import normalize_company_name, normalize_domain
-from leadloom.operators.entities import resolve_companies, resolve_people
+from leadloom.operators import entities
+from leadloom.operators.entities import first_claims, resolve_companies, resolve_people
 from pyspark.sql import functions as F
 
 CAND = "candidate_id string, provider_id string, external_id string, name string, domain string, discovered_at timestamp, company_id string"
@@ -107,3 +108,38 @@ def test_people_against_one_by_one(spark):
         ids = {r.person_id: f"new:{r.candidate_id}" for r in got if r.status == "NEW"}
         assert len(got) == len(cands)
         assert {r.candidate_id: (r.status, ids.get(r.matched_person_id, r.matched_person_id), r.reason, r.conflicts) for r in got} == people_one_by_one(cands, old)
+
+
+def in_turn(claims):
+    """Claims one after another: (order, keys that decide, keys given)."""
+    given, held = set(), []
+    for order, blocks, gives in sorted(claims):
+        if not given & set(blocks):
+            held.append(order)
+            given |= set(gives)
+    return held
+
+
+def test_a_chain_takes_a_logarithm_of_rounds(spark, monkeypatch):
+    """100,000 claims, each of which shares a key with the next one only, in their order."""
+    rounds = []
+    cut = entities.cut
+    monkeypatch.setattr(entities, "cut", lambda df, name="part": rounds.append(name) or cut(df, name))
+    n = 100_000
+    got = first_claims(spark.range(n).select(F.col("id").alias("ord"), F.array(F.concat(F.lit("k"), "id"), F.concat(F.lit("k"), F.col("id") + 1)).alias("keys")))
+    row = got.agg(F.count("*"), F.min("ord"), F.max("ord"), F.sum((F.col("ord") % 2).cast("int"))).first()
+    assert tuple(row) == (n // 2, 0, n - 2, 0)
+    assert rounds.count("ways") < 25 and rounds.count("each") <= 2
+
+
+def test_claims_of_all_shapes_are_those_of_a_loop(spark):
+    """Chains, stars, keys that are only given, and hubs on chains."""
+    rnd = random.Random(3)
+    for keys in (8, 40, 400):
+        rows = []
+        for k in range(300):
+            gives = [f"k{x}" for x in rnd.sample(range(keys), rnd.randrange(1, 4))] + [f"chain{k // 2}", f"chain{(k + 1) // 2}x"][: rnd.randrange(3)]
+            rows.append((k, rnd.sample(gives, rnd.randrange(len(gives) + 1)), gives))
+        rnd.shuffle(rows)
+        got = entities._new_ones(spark.createDataFrame(rows, "ord long, blocks array<string>, gives array<string>"))
+        assert sorted(r.ord for r in got.collect()) == in_turn(rows)

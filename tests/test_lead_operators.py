@@ -167,3 +167,37 @@ def test_routes_prefer_promotion(spark):
     df = spark.createDataFrame([(1, 1, ["down"]), (1, 2, None), (1, 3, ["down", "up"]), (1, 4, [None])], "g int, at int, signals array<string>")
     got = [r["at"] for r in U.route_providers(df, ["up"], ["down"], ["g"], "at").orderBy("route").collect()]
     assert got == [3, 2, 4, 1]
+
+
+def test_rules_cite_the_branch_that_decided(spark):
+    """Fields, corroboration over a conflict, descriptions in place of what cannot be proved, titles and exclusions."""
+    from leadloom.operators import evidence as E
+    from leadloom.operators import validation as Z
+
+    branch = '{"industry_match": {"taxonomy_field": "naics", "icp_terms": ["skincare"], "match_scope": "single_category", "branch_total_results": 2}}'
+    word = lambda t: f'{{"keyword_match": {{"terms": ["{t}"], "term_sources": ["industry"]}}}}'
+    facts = [
+        ("a", "industry", '"Retail"', branch), ("a", "industry", '"Retail"', branch), ("a", "description", '"Skincare for beauty"', None), ("a", "description", '""', None),
+        ("b", "industry", '"Skin"', word("skincare")), ("b", "industry", '"Bath"', word("Beauty")), ("b", "industry", '"Other"', word("toys")), ("b", "description", '"skincare beauty"', None),
+        ("c", "industry", '"Skincare"', None), ("c", "industry", '"skincare"', None), ("c", "employee_count", "12", None), ("c", "employee_count", "12", None), ("c", "employee_range", '"11-50"', None), ("c", "employee_range", '"11-50"', None),
+        ("d", "industry", '"Retail"', branch), ("d", "industry", '"Retail"', branch), ("d", "description", '"A DTC Brand"', None), ("d", "domain", '"d.com"', None), ("d", "domain", '"d.com"', None),
+    ]
+    people = [("p", "company_association", '"c"'), ("p", "company_association", '"c"'), ("p", "current_title", '"CEO"'), ("p", "current_title", '"CEO"'), ("q", "company_association", '"z"'), ("q", "company_association", '"z"'), ("q", "current_title", '"CEO"'), ("q", "current_title", '"CEO"')]
+    kind = "entity_type string, entity_id string, field string, value_json string, evidence_text string, id long"
+    rows = [("COMPANY", e, f, v, t, k) for k, (e, f, v, t) in enumerate(facts)] + [("PERSON", e, f, v, None, 100 + k) for k, (e, f, v) in enumerate(people)]
+    df = spark.createDataFrame(rows, kind).selectExpr("*", "lower(value_json) AS key", "value_json AS value", "'p1' AS provider", "'UNKNOWN' AS confidence", "timestamp '2024-01-01' AS retrieved_at")
+    icps = spark.createDataFrame(
+        [("i", ["Skincare", "Beauty"], [], ["US"], [], 1, 99, ["CEO"], ["DTC brand"], ["toys"])],
+        "icp_id string, industries array<string>, combinations array<string>, country_codes array<string>, other_places array<string>, min_employees int, max_employees int, titles array<string>, company_types array<string>, excluded array<string>",
+    )
+    asked = spark.createDataFrame([("i", "a", None), ("i", "b", None), ("i", "c", "p"), ("i", "c", "q"), ("i", "d", None)], "icp_id string, company_id string, person_id string")
+    got = {}
+    for r in Z.cited_rows(asked, icps, df, E.field_status(df)).collect():
+        got.setdefault((r.company_id, r.person_id), {}).setdefault(r.rule, []).append(r.evidence_id)
+    got = {k: {rule: sorted(ids) for rule, ids in v.items()} for k, v in got.items()}
+    assert got[("a", None)] == {"industry": [2], "exclusions": [2]}
+    assert got[("b", None)] == {"industry": [4, 5], "exclusions": [4, 5]}
+    company = {"industry": [8, 9], "employee_range": [10, 11]}
+    assert got[("c", "p")] == company | {"allowed_titles": [102, 103], "exclusions": [8, 9, 102, 103]}
+    assert got[("c", "q")] == company | {"exclusions": [8, 9]}
+    assert got[("d", None)] == {"company_type": [16], "exclusions": [16, 17, 18]}
