@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Collection, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +31,15 @@ TERMS = {
     "funding": {"recently raised": "Recently raised", "raised funding": "Recently raised", "series [a-e]": "Recently raised"},
     "hiring": {"hiring (?:for )?marketing": "Marketing", "hiring marketing leaders": "Marketing"},
 }
-CLAUSE = r"(?is)\b(?:excluding|exclude[sd]?|except(?:\s+for)?|not\s+including)\b(.*?)(?=[.;]|\bthat\s+(?:are|have|require)\b|\bwith\s+\d|$)"
+TRIGGER = r"\b(?:excluding|exclude[sd]?|except(?:\s+for)?|not\s+including)\b"
+CLAUSE_END = r"[.;]|\bthat\s+(?:are|have|require)\b|\bwith\s+\d"
 INT = r"(\d{1,3}(?:,\d{3})*|\d+)"
-EMPLOYEES = rf"(?i){INT}\s*(?:[-–—]|to)\s*{INT}\s*employees"
-AMOUNTS = rf"\$?{INT}(?:\.\d+)?\s*([kmb])?\s*(?:[-–—]|to)\s*\$?{INT}(?:\.\d+)?\s*([kmb])?"
-REVENUE = (rf"(?i){AMOUNTS}\s*(?:in )?revenue", rf"(?i)revenue\s*(?:of |is |around |estimated )*{AMOUNTS}")
+EMPLOYEES = rf"{INT}\s*(?:[-–—]|to)\s*{INT}\s*employees"
+AMOUNTS = rf"\$?{INT}(?:\.\d+)?\s*+([kmb])?\s*+(?:[-–—]|to)\s*\$?{INT}(?:\.\d+)?\s*+([kmb])?"
+REVENUE = (rf"{AMOUNTS}\s*+(?:in )?revenue", rf"revenue\s*(?:of |is |around |estimated )*{AMOUNTS}")
+UNITS = {"k": 1_000, "m": 1_000_000, "b": 1_000_000_000}
 REQUIREMENT = r"\w[\w\s/-]{11,}\w"
+FILLERS = ("find", "with", "that", "are", "the", "for")
 
 
 def project(criteria: DataFrame) -> DataFrame:
@@ -61,46 +70,152 @@ def project(criteria: DataFrame) -> DataFrame:
     return made.select("icp_id", "errors", *[F.when(fine, c(x)).alias(x) for x in made.columns if x not in ("icp_id", "errors")])
 
 
-def _found(text: Column, key: str) -> Column:
-    """Labels of a key's terms in a text, in table order, each once."""
-    return F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), label) for p, label in TERMS[key].items()])))
-
-
-def _number(digits: Column, unit: Column | None = None) -> Column:
-    n = F.regexp_replace(digits, ",", "").try_cast("long")
-    if unit is None:
-        return n
-    return n * F.when(F.lower(unit) == "k", 1_000).when(F.lower(unit) == "m", 1_000_000).when(F.lower(unit) == "b", 1_000_000_000).otherwise(1)
-
-
-def extract(text: Column) -> Column:
-    """struct of what a free text asks for: a list for each of TERMS, exclusions, min_ and max_employees, min_ and max_revenue, requirements.
-
-    Terms inside an exclusion clause are no positive ones; its items, as they
-    stand, are the exclusions. A sentence that nothing was found in is a
-    requirement of its own. Null text asks for nothing.
+SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("low", pa.int64()), ("high", pa.int64())])
+SPANS = "array<struct<start: int, end: int, kind: string, value: string, low: long, high: long>>"
+#: A number begins where no digit stands before it, or where its groups of thousands may: long runs of digits are begun once.
+BEGIN = r"(?:(?<!\d)|(?=\d{1,3},))"
+
+
+class Scanner:
+    """Finds, by position, what a text asks for."""
+
+    def __init__(self, keys: Collection[str]) -> None:
+        made = lambda pattern: re.compile(pattern, re.I | re.A)
+        self.keys = set(keys)
+        self.terms = [(k, made(p), label) for k, terms in TERMS.items() if k in self.keys for p, label in terms.items()]
+        self.labels = {label.lower(): label for terms in TERMS.values() for label in terms.values()}
+        self.trigger, self.clause_end, self.employees = made(TRIGGER), made(CLAUSE_END), made(BEGIN + EMPLOYEES)
+        self.revenue = (made(rf"(?:(?=\$)|{BEGIN}){REVENUE[0]}"), made(REVENUE[1]))
+        self.item, self.word, self.requirement = made(r",|\band\b|\bor\b"), re.compile(r"\b\w", re.A), re.compile(REQUIREMENT, re.A)
+        self.sentence, self.fragment = re.compile(r"(?<=[.!?])\s+"), made(r"[.,;]|\band\b")
+        self.lead = made(r"(?:and|or)\s+")
+
+    def clauses(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end of the trigger, end) of each clause that excludes; one may stand in another."""
+        ends = [m.start() for m in self.clause_end.finditer(text)]
+        out = []
+        for m in self.trigger.finditer(text):
+            k = bisect_left(ends, m.end())
+            out.append((m.start(), m.end(), ends[k] if k < len(ends) else len(text)))
+        return out
+
+    def parts(self, text: str, begin: int, end: int, separator: re.Pattern) -> Iterator[tuple[int, int]]:
+        """Where the pieces of a stretch stand, without the blanks around them."""
+        at = begin
+        for m in [*separator.finditer(text, begin, end), None]:
+            piece = text[at : m.start() if m else end]
+            start = at + len(piece) - len(piece.lstrip())
+            yield start, start + len(piece.strip())
+            at = m.end() if m else end
+
+    def items(self, text: str, clauses: list[tuple[int, int, int]]) -> Iterator[tuple]:
+        for _, begin, end in clauses:
+            for a, b in self.parts(text, begin, end, self.item):
+                m = self.lead.match(text, a, b)
+                a = m.end() if m else a
+                if b - a > 1:
+                    own = text[a:b]
+                    yield a, b, "exclusions", self.labels.get(own.lower()) or self.word.sub(lambda w: w[0].upper(), own), None, None
+
+    def ranges(self, text: str) -> Iterator[tuple]:
+        """The first range of employees, and the first of revenue in the first wording that occurs."""
+        number = lambda digits, unit=None: int(digits.replace(",", "")[:30]) * UNITS.get((unit or "").lower(), 1)
+        held = lambda n: n if n < 1 << 63 else None
+        low = text.lower()
+        m = self.employees.search(text) if "employee_range" in self.keys and "employees" in low else None
+        if m:
+            yield m.start(), m.end(), "employee_range", m[0], held(number(m[1])), held(number(m[2]))
+        found = (p.search(text) for p in self.revenue) if "revenue" in self.keys and "revenue" in low else ()
+        m = next((m for m in found if m), None)
+        if m:
+            yield m.start(), m.end(), "revenue", m[0], held(number(m[1], m[2])), held(number(m[3], m[4]))
+
+    def __call__(self, text: str) -> list[tuple]:
+        clauses = self.clauses(text)
+        inside = lambda at: any(a <= at < b for a, _, b in clauses)
+        out, claimed = [], []
+        for key, group in groupby(self.terms, key=lambda t: t[0]):
+            own = []
+            for _, pattern, label in group:
+                # Of each term the first mention outside every clause.
+                m = next((m for m in pattern.finditer(text) if not inside(m.start())), None)
+                if m:
+                    own.append((m.start(), m.end(), key, label, None, None))
+            out += own
+            if own:
+                claimed.append(", ".join(text[a:b] for a, b, *_ in own))
+        excluded = list(self.items(text, clauses)) if "exclusions" in self.keys else []
+        found = list(self.ranges(text))
+        claimed += [s[3] for s in found]
+        return out + excluded + found + list(self.leftovers(text, clauses if excluded else [], claimed))
+
+    def leftovers(self, text: str, clauses: list[tuple[int, int, int]], claimed: list[str]) -> Iterator[tuple]:
+        """Sentences that nothing was found in, and fragments of what else is left.
+
+        Claimed wordings go where they first stand; the terms of one key count as
+        one wording, joined by commas.
+        """
+        left, place = list(text), list(range(len(text)))
+        for a, _, b in clauses:
+            left[a:b] = " " * (b - a)
+        rest = "".join(left)
+
+        def drop(a: int, b: int) -> None:
+            nonlocal rest
+            rest = rest[:a] + " " + rest[b:]
+            place[a:b] = [place[a]] if a < len(place) else []
+
+        for wording in claimed:
+            m = re.search(re.escape(wording), rest, re.I)
+            if m:
+                drop(*m.span())
+        if "custom" in self.keys:
+            pieces = self.sentence.split(rest)
+            bare = lambda s: len("".join(s.split()))
+            at = 0
+            for piece, m in zip(pieces, [*self.sentence.finditer(text), None][: len(pieces)], strict=False):
+                own = text[at : m.start() if m else len(text)]
+                if self.requirement.search(piece.strip()) and bare(piece) >= bare(own) * 0.8:
+                    begin = at + len(own) - len(own.lstrip())
+                    yield begin, begin + len(own.strip()), "custom", own.strip(), None, None
+                    k = rest.find(piece)
+                    drop(k, k + len(piece))
+                at = m.end() if m else len(text)
+        for a, b in self.parts(rest, 0, len(rest), self.fragment):
+            if b - a > 3 and rest[a:b].lower() not in FILLERS:
+                yield place[a], place[b - 1] + 1, "unmatched", rest[a:b], None, None
+
+
+def spans(text: Column, keys: Collection[str] = tuple(CATALOG)) -> Column:
+    """What a free text asks for, as array<struct<start, end, kind, value, low, high>>; places are code points, ends exclusive.
+
+    Kinds are the filters among ``keys``: terms with their labels, each where
+    it first stands outside every clause that excludes (a clause may stand in
+    another); the items of such clauses; ranges with their bounds (null: too
+    large for a long); ``custom``, a whole sentence that nothing was found in;
+    and ``unmatched``, what else is left. Null text asks for nothing.
     """
-    outside = F.regexp_replace(text, CLAUSE, " ")
-    labels = {v.lower(): v for terms in TERMS.values() for v in terms.values()}
-    known = F.create_map(*[F.lit(x) for p in labels.items() for x in p])
-    items = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(CLAUSE), 1), lambda s: F.split(s, r"(?i),|\band\b|\bor\b")))
-    items = F.filter(F.transform(items, lambda i: F.trim(F.regexp_replace(F.trim(i), r"(?i)^(?:and|or)\s+", ""))), lambda i: F.length(i) > 1)
-    capital = lambda s: F.array_join(F.transform(F.split(s, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " ")
-    excluded = F.array_distinct(F.transform(items, lambda i: F.coalesce(known[F.lower(i)], capital(i))))
-    part = lambda k, pattern: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
-    pattern = lambda k: F.when(text.rlike(REVENUE[0]), part(k, REVENUE[0])).otherwise(part(k, REVENUE[1]))
-    masks = [CLAUSE, EMPLOYEES, *REVENUE, *[f"(?i){p}" for terms in TERMS.values() for p in terms]]
-
-    def masked(s: Column) -> Column:
-        for m in masks:
-            s = F.regexp_replace(s, m, " ")
-        return s
-
-    bare = lambda s: F.length(F.regexp_replace(s, r"\s+", ""))
-    sentences = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: masked(s).rlike(REQUIREMENT) & (bare(masked(s)) >= bare(s) * 0.8))
-    return F.struct(
-        *[_found(outside, k).alias(k) for k in TERMS], excluded.alias("exclusions"), _number(part(1, EMPLOYEES)).alias("min_employees"), _number(part(2, EMPLOYEES)).alias("max_employees"),
-        _number(pattern(1), pattern(2)).alias("min_revenue"), _number(pattern(3), pattern(4)).alias("max_revenue"), F.transform(sentences, lambda s: F.trim(s)).alias("requirements"),
+    names = sorted(keys)
+
+    @F.arrow_udf(SPANS)
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scanner = Scanner(names)
+        fields = SPAN.names
+        for texts in batches:
+            yield pa.array([[dict(zip(fields, s, strict=True)) for s in scanner(t)] if t is not None else [] for t in texts.to_pylist()], pa.list_(SPAN))
+
+    return scan(text)
+
+
+def extracted(rows: DataFrame, text: str, keys: Collection[str] = tuple(CATALOG)) -> DataFrame:
+    """``rows`` with spans and what follows from them: a list for each of TERMS, exclusions, min_ and max_employees, min_ and max_revenue, requirements, unmatched."""
+    found = rows.withColumn("spans", spans(F.col(text), keys))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    values = lambda kind: F.transform(of(kind), lambda s: s["value"])
+    bound = lambda kind, side: F.get(of(kind), F.lit(0))[side]
+    return found.select(
+        "*", *[F.array_distinct(values(k)).alias(k) for k in (*TERMS, "exclusions")], bound("employee_range", "low").alias("min_employees"), bound("employee_range", "high").alias("max_employees"),
+        bound("revenue", "low").alias("min_revenue"), bound("revenue", "high").alias("max_revenue"), values("custom").alias("requirements"), values("unmatched").alias("unmatched"),
     )
 
 

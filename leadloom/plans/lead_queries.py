@@ -232,16 +232,28 @@ def projected_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("icp_id", text_list("errors"), text_list("industry"), text_list("geography"), text_list("exclusions"), "min_employees", "max_employees", labels("custom_rules"), labels("other_preferences"))
 
 
-ASKS = (
-    "SaaS founders in the United States with 50-200 employees.", "D2C brands, excluding SaaS vendors, agencies and hospitals. UK only.", "Companies hiring marketing leaders, series B, $10M-$500M revenue", "Find firms that actually sell their own products online.",
-    "Estimated revenue 5k to 1,000k; 1,000 to 5,000 employees",
-)
+def asking_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as what somebody asks for in a few sentences of their own segment, nation and name."""
+    k, segment = c("c_custkey"), F.lower("c_mktsegment")
+    when = lambda m, r, text: F.when(F.pmod(k, F.lit(m)) == r, text).otherwise("")
+    text = F.concat(
+        F.lit("Find "), when(5, 0, F.lit("saas and d2c ")), segment, F.lit(" companies in "), pick(("canada", "uae", "france", "the us"), c("c_nationkey")), F.lit(" with "), k, F.lit("-"), k + 500, F.lit(" employees"),
+        when(3, 0, F.concat(F.lit(". Excluding "), segment, F.lit(" vendors, SaaS except for e-commerce shops"))), when(4, 1, F.concat(F.lit(". Revenue of $"), k, F.lit("M to $2B"))),
+        when(2, 0, F.concat(F.lit(". They sell to every "), segment, F.lit(" buyer as "), "c_name")), F.lit("."),
+    )
+    return A.table(spark, sf_dir, "customer").select(k.alias("icp_id"), text.alias("text"))
 
 
 def extracted_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = A.table(spark, sf_dir, "orders").select("o_orderkey", K.extract(pick(ASKS, c("o_orderkey"))).alias("x"))
-    lists = [F.array_join(f"x.{n}", "|").alias(n) for n in (*K.TERMS, "exclusions", "requirements")]
-    return made.select("o_orderkey", *lists, "x.min_employees", "x.max_employees", "x.min_revenue", "x.max_revenue")
+    made = K.extracted(asking_texts(spark, sf_dir), "text")
+    lists = [F.array_join(n, "|").alias(n) for n in (*K.TERMS, "exclusions", "requirements", "unmatched")]
+    return made.select("icp_id", *lists, "min_employees", "max_employees", "min_revenue", "max_revenue")
+
+
+def filter_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms, clauses and ranges in every turn of every conversation, by place."""
+    made = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(K.spans(c("text"))).alias("s"))
+    return made.select("conv_id", "turn", "s.*")
 
 
 def merged_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -504,7 +516,7 @@ def provider_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     comparison_keys, fact_status, all_fields, lead_fields, supported_values, conflicting_facts, supporting_evidence, verified_fields, field_freshness, split_seen, streamed_status, company_evidence, person_evidence, fact_evidence, discovery_matches, corroborated_terms, unprovable_industries,
-    described_terms, validated_leads, cited_rows, profile_errors, canonical_profiles, projected_filters, extracted_filters, merged_strategies, size_buckets, directory_results, resolved_homepages, vendor_facts, vendor_records, profile_ids, branch_sightings,
+    described_terms, validated_leads, cited_rows, profile_errors, canonical_profiles, projected_filters, extracted_filters, filter_spans, merged_strategies, size_buckets, directory_results, resolved_homepages, vendor_facts, vendor_records, profile_ids, branch_sightings,
     allowed_sources, mock_entities, reopened_items, new_memberships, linked_repeats, run_summary, applied_matches, match_conflicts, applied_person_matches, assembled_signals, exported_leads, crm_leads, review_table, filtered_reviews, review_queue,
     newest_values, review_history, verdict_contexts, feedback_observations, provider_signals,
 )

@@ -131,11 +131,12 @@ def oracle_sql(signals: str) -> dict[str, str]:
               max(10) FILTER (i = 2) AS lo, max(p) FILTER (i = 2) AS hi, coalesce(max('Custom requirement=sells online') FILTER (i = 4), '') AS custom, coalesce(max('Funding=in: t' || p) FILTER (i = 5), '') AS other FROM b GROUP BY 1)
             SELECT o AS icp_id, errors, CASE WHEN errors = '' THEN industry END AS industry, CASE WHEN errors = '' THEN geography END AS geography, CASE WHEN errors = '' THEN exclusions END AS exclusions, CASE WHEN errors = '' THEN lo END AS min_employees, CASE WHEN errors = '' THEN hi END AS max_employees,
               CASE WHEN errors = '' THEN custom END AS custom_rules, CASE WHEN errors = '' THEN other END AS other_preferences FROM g""",
-        "extracted_filters": """WITH v(i, industry, geography, allowed_titles, funding, hiring, exclusions, requirements, min_employees, max_employees, min_revenue, max_revenue) AS (VALUES
-            (0, 'SaaS', 'United States', 'Founder', '', '', '', '', 50, 200, NULL, NULL), (1, 'D2C', 'United Kingdom', '', '', '', 'SaaS Vendors|Agencies|Hospitals', '', NULL, NULL, NULL, NULL),
-            (2, '', '', 'Marketing Head', 'Recently raised', 'Marketing', '', '', NULL, NULL, 10000000, 500000000), (3, '', '', '', '', '', '', 'Find firms that actually sell their own products online.', NULL, NULL, NULL, NULL),
-            (4, '', '', '', '', '', '', '', 1000, 5000, 5000, 1000000))
-            SELECT o_orderkey, v.* EXCLUDE (i) REPLACE (min_employees::BIGINT AS min_employees, max_employees::BIGINT AS max_employees, min_revenue::BIGINT AS min_revenue, max_revenue::BIGINT AS max_revenue) FROM orders JOIN v ON i = o_orderkey % 5""",
+        "extracted_filters": """WITH t AS (SELECT c_custkey AS k, lower(c_mktsegment) AS seg, c_name, (['canada', 'uae', 'france', 'the us'])[c_nationkey % 4 + 1] AS place, c_custkey % 5 = 0 AS both_ FROM customer),
+            m AS (SELECT *, CASE WHEN place = 'the us' AND seg = 'household' THEN 'ho ehold' ELSE seg END AS seg_left, CASE WHEN place IN ('canada', 'uae') THEN ' ' WHEN place = 'the us' AND seg <> 'household' THEN 'the  ' ELSE place END AS place_left FROM t)
+            SELECT k AS icp_id, CASE WHEN both_ THEN 'D2C|SaaS' ELSE '' END AS industry, CASE place WHEN 'canada' THEN 'Canada' WHEN 'uae' THEN 'UAE' WHEN 'the us' THEN 'United States' ELSE '' END AS geography, '' AS allowed_titles, '' AS funding, '' AS hiring,
+              CASE WHEN k % 3 = 0 THEN upper(seg[1]) || seg[2:] || ' Vendors|SaaS Except For E-Commerce Shops|E-Commerce Shops' ELSE '' END AS exclusions, CASE WHEN k % 2 = 0 THEN 'They sell to every ' || seg || ' buyer as ' || c_name || '.' ELSE '' END AS requirements,
+              CASE WHEN both_ THEN 'Find saas|d2c ' ELSE 'Find ' END || seg_left || ' companies in ' || place_left || ' with' AS unmatched, k AS min_employees, k + 500 AS max_employees,
+              CASE WHEN k % 4 = 1 THEN k * 1000000 END AS min_revenue, CASE WHEN k % 4 = 1 THEN 2000000000 END::BIGINT AS max_revenue FROM m""",
         "merged_strategies": """WITH p AS (SELECT p_partkey, p_type AS t, string_split(p_name, ' ') AS n FROM part)
             SELECT p_partkey, concat_ws(',', t, CASE WHEN lower(n[1]) <> lower(t) THEN lower(n[1]) END, CASE WHEN lower(n[2]) NOT IN (lower(t), lower(n[1])) THEN lower(n[2]) END, 'Gift') AS industries, 'Gift' AS combinations, 'DTC,B2B' AS company_types, '' AS excluded FROM p""",
         "size_buckets": """WITH b(s, lo, hi) AS (VALUES ('1-10', 1, 10), ('11-50', 11, 50), ('51-200', 51, 200), ('201-500', 201, 500), ('501-1000', 501, 1000), ('1001-5000', 1001, 5000), ('5001-10000', 5001, 10000), ('10001+', 10001, 2000000000)),

@@ -159,8 +159,8 @@ def test_empty_evidence_holds_whatever_is_constrained(spark):
 
 
 def test_a_null_text_asks_for_nothing(spark):
-    row = spark.createDataFrame([(None,), ("",)], "t string").select(K.extract(F.col("t")).alias("x")).collect()
-    assert row[0].x.min_employees is None and row[1].x.exclusions == [] and row[1].x.industry == []
+    row = K.extracted(spark.createDataFrame([(None,), ("",)], "t string"), "t").collect()
+    assert row[0].min_employees is None and row[1].exclusions == [] and row[1].industry == [] and row[0].unmatched == []
 
 
 def test_routes_prefer_promotion(spark):
