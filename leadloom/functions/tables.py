@@ -79,3 +79,24 @@ def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str)
         same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
     made = parted.withColumn("__own", own).join(before, same, "left")
     return made.withColumn(name, F.col("__own") + F.col("__before")).select(*rows.columns, name)
+
+
+def before_target(rows: DataFrame, group: list[str], order: list[Column], counted: Column, target: int) -> DataFrame:
+    """The rows of each group, by ``order``, before which fewer than ``target`` rows are ``counted``.
+
+    As for :func:`numbered`, rows are dealt by ranges of (group, order), and a
+    range knows what the ranges before it count, one number each. Ranges that
+    begin beyond the target are left out unread; only those before it are
+    counted row by row, so no task ever walks through a whole group.
+    """
+    c = F.col
+    parted = cut(rows.withColumn("__c", F.coalesce(counted.cast("int"), F.lit(0))).repartitionByRange(*[c(g) for g in group], *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sums = parted.groupBy(*group, "__range").agg(F.sum("__c").alias("__n"))
+    upto = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    begun = sums.select(*[c(g).alias(f"__{g}") for g in group], c("__range").alias("__r"), F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__begun")).where(c("__begun") < target)
+    same = c("__range") == c("__r")
+    for g in group:
+        same = same & c(g).eqNullSafe(c(f"__{g}"))
+    own = Window.partitionBy(*group, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    near = parted.join(begun, same).withColumn("__own", F.coalesce(F.sum("__c").over(own), F.lit(0)))
+    return near.where(c("__begun") + c("__own") < target).select(*rows.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import before_target
+
 
 def union_sightings(sources: list[DataFrame], keys: list[str], order: str) -> DataFrame:
     """All sources' rows; of rows with the same key the first stays."""
@@ -67,6 +69,5 @@ def first_per_batch(rows: DataFrame, batch: str, order: list[str], most: int) ->
 
 
 def until_target(rows: DataFrame, batch: str, order: list[str], accepted: str, target: int) -> DataFrame:
-    """Rows that are processed before a batch has ``target`` accepted ones."""
-    before = F.sum(F.col(accepted).cast("int")).over(Window.partitionBy(batch).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < target).drop("__before")
+    """Rows that are processed before a batch has ``target`` accepted ones (null: not accepted); a batch of any size spreads over tasks."""
+    return before_target(rows, [batch], [F.col(o) for o in order], F.col(accepted), target)

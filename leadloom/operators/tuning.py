@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
-from ..functions.tables import numbered
+from ..functions.tables import cut, numbered
 from .ranking import latest, tier_index
 
 
@@ -21,25 +21,59 @@ def recommendation_status(recommendations: DataFrame, approvals: DataFrame, appl
 KINDS = ("RANKING_TIE_BREAK_NUDGE", "SOFT_PREFERENCE_WEIGHT_HINT", "PROVIDER_PRIORITY_HINT", "DEEPER_VERIFICATION_HINT")
 
 
+def _last(events: DataFrame, keys: list[str]) -> DataFrame:
+    return events.groupBy(*keys, "fingerprint").agg(F.max(F.struct("at", "id", "kind", "event")).alias("top"))
+
+
+def configuration_state(versions: DataFrame, events: DataFrame) -> DataFrame:
+    """What is in force, as rows: icp_id, icp_version, kind, fingerprint, effect.
+
+    SHARED rows, without a version, are in force for every version but those
+    that have a REMOVED row of that kind and fingerprint; ADDED rows are in
+    force for their version. ``events`` has fingerprint, kind, event, icp_id,
+    icp_version, is_global, at and id. In scope are a version's own events
+    and the global ones; of a fingerprint's events in scope the last decides,
+    and only APPLIED counts. So a version has rows only for fingerprints on
+    which it departs, and a change of a global one is a change of one row.
+    """
+    c, scope = F.col, ["icp_id", "icp_version"]
+    log = events.select("fingerprint", "kind", "event", *scope, F.coalesce("is_global", F.lit(False)).alias("is_global"), "at", "id")
+    shared = _last(log.where("is_global"), []).withColumnRenamed("top", "all")
+    own = _last(log.where("not is_global"), scope).join(versions.select(*scope).distinct(), scope, "left_semi").join(shared, "fingerprint", "left")
+    # Where the version's own event is the later one, it decides.
+    own = own.where(c("all").isNull() | (c("top") > c("all")))
+    was, now = F.coalesce(c("all.event") == "APPLIED", F.lit(False)), c("top.event") == "APPLIED"
+    moved = c("top.kind") != c("all.kind")
+    row = lambda effect, kind: F.struct(kind.alias("kind"), F.lit(effect).alias("effect"))
+    changes = F.array_compact(F.array(F.when(was & (~now | moved), row("REMOVED", c("all.kind"))), F.when(now & (~was | moved), row("ADDED", c("top.kind")))))
+    departs = own.select(*scope, "fingerprint", F.explode(changes).alias("x")).select(*scope, "x.kind", "fingerprint", "x.effect")
+    none = [F.lit(None).cast(departs.schema[k].dataType).alias(k) for k in scope]
+    return shared.where(c("all.event") == "APPLIED").select(*none, "all.kind", "fingerprint", F.lit("SHARED").alias("effect")).unionByName(departs)
+
+
+#: Fingerprints that go together when shared ones are listed for versions.
+PAGE = 1000
+
+
 def effective_configuration(versions: DataFrame, events: DataFrame) -> DataFrame:
     """For each of ``versions`` (icp_id, icp_version): the fingerprints in force, as one sorted list a kind, and whether all are empty.
 
-    ``events`` has fingerprint, kind, event, icp_id, icp_version, is_global,
-    at and id. In scope are a version's own events and the global ones; of a
-    fingerprint's events in scope the last decides, and only APPLIED counts.
-    Global events are few, and the only ones that meet every version.
+    The lists of :func:`configuration_state`, spelled out. Shared fingerprints
+    go in pages of PAGE, which versions meet by the page's number.
     """
     c, scope = F.col, ["icp_id", "icp_version"]
-    log = events.select("fingerprint", "kind", "event", *scope, "is_global", "at", "id")
-    last = lambda df, keys: df.groupBy(*keys, "fingerprint").agg(F.max(F.struct("at", "id", "kind", "event")).alias("top"))
-    own = last(log.where(~F.coalesce("is_global", F.lit(False))), scope).join(versions.select(*scope).distinct(), scope, "left_semi")
-    shared = last(log.where("is_global"), [])
-    # All global ones are one row, which every version gets.
-    row = shared.agg(F.collect_list(F.struct("fingerprint", "top")).alias("all")).withColumn("__one", F.lit(1))
-    every = versions.select(*scope).distinct().withColumn("__one", F.lit(1)).join(row, "__one").select(*scope, F.inline("all"))
-    top = own.select(*scope, "fingerprint", "top").unionByName(every.select(*scope, "fingerprint", "top")).groupBy(*scope, "fingerprint").agg(F.max("top").alias("top"))
-    lists = [F.array_sort(F.collect_list(F.when((c("top.event") == "APPLIED") & (c("top.kind") == k), c("fingerprint")))).alias(k.lower()) for k in KINDS]
-    made = versions.select(*scope).distinct().join(top.groupBy(*scope).agg(*lists), scope, "left")
+    state = cut(configuration_state(versions, events), "state")
+    asked = cut(versions.select(*scope).distinct(), "versions")
+    pages = numbered(state.where("effect = 'SHARED'").select("kind", "fingerprint"), [], [c("kind"), c("fingerprint")], "k")
+    pages = cut(pages.groupBy(F.floor((c("k") - 1) / PAGE).alias("page")).agg(F.collect_list(F.struct("kind", "fingerprint")).alias("rows")), "pages")
+    many = pages.count()
+    met = asked.select(*scope, F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("page")).join(pages, "page") if many else None
+    rows = state.where("effect = 'ADDED'").select(*scope, "kind", "fingerprint")
+    if met is not None:
+        gone = state.where("effect = 'REMOVED'").select(*scope, "kind", "fingerprint")
+        rows = rows.unionByName(met.select(*scope, F.inline("rows")).join(gone, [*scope, "kind", "fingerprint"], "left_anti"))
+    lists = [F.array_sort(F.collect_list(F.when(c("kind") == k, c("fingerprint")))).alias(k.lower()) for k in KINDS]
+    made = asked.join(rows.groupBy(*scope).agg(*lists), scope, "left")
     empty = F.array().cast("array<string>")
     made = made.select(*scope, *[F.coalesce(k.lower(), empty).alias(k.lower()) for k in KINDS])
     return made.withColumn("is_default", sum((F.size(k.lower()) for k in KINDS[1:]), F.size(KINDS[0].lower())) == 0)

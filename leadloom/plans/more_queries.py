@@ -255,7 +255,7 @@ def recommendation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.recommendation_status(parts, log.where("l_returnflag = 'A'").withColumn("event", F.lit("APPROVED")), log.where("l_returnflag = 'R'"))
 
 
-def effective_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _versions_and_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers as versions of a profile, order lines as events on parts, every 50th for all."""
     k = c("l_orderkey") * 10 + c("l_linenumber")
     rows = A.table(spark, sf_dir, "lineitem").select(
@@ -263,7 +263,15 @@ def effective_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(c("l_suppkey") / 10).cast("int").alias("icp_version"), (F.pmod(k, F.lit(50)) == 0).alias("is_global"), c("l_shipdate").alias("at"), k.alias("id"),
     )
     versions = A.table(spark, sf_dir, "supplier").select((c("s_suppkey") % 10).alias("icp_id"), F.floor(c("s_suppkey") / 10).cast("int").alias("icp_version"))
-    made = U.effective_configuration(versions, rows)
+    return versions, rows
+
+
+def configuration_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.configuration_state(*_versions_and_events(spark, sf_dir))
+
+
+def effective_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = U.effective_configuration(*_versions_and_events(spark, sf_dir))
     return made.select("icp_id", "icp_version", *[F.array_join(k.lower(), ",").alias(k.lower()) for k in U.KINDS], "is_default")
 
 
@@ -289,7 +297,7 @@ def page_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     resolve_companies, resolve_people, new_provenance, headline_counts, headline_totals, quality_figures, reason_labels, business_models, commercial_signals, model_mentions, signal_mentions, commercial_scores, evidence_scores, icp_scores, company_quality, identity_confidence, lead_identity, final_scores, parse_verdicts, prescreens, verdict_gate,
     review_decisions, feedback_checks, readiness_levels, batch_outcomes, run_status, provider_usage, batch_usage, preview_ranking, version_icps, route_providers, recommendation_status,
-    effective_configuration, term_lists, page_texts, page_platforms,
+    configuration_state, effective_configuration, term_lists, page_texts, page_platforms,
 )
 
 
@@ -396,6 +404,10 @@ def oracle_sql(signals: str, rules: str, status: str, tiers: str) -> dict[str, s
         "recommendation_status": f"""WITH q AS (SELECT l_partkey, arg_max(l_linestatus, (l_shipdate, {order_id})) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
             SELECT p_partkey AS fingerprint, coalesce(s, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') THEN 'APPROVED' END, 'PENDING') AS status FROM part LEFT JOIN q ON p_partkey = l_partkey""",
         "batch_usage": """SELECT l_orderkey, bool_or(l_returnflag = 'R') AS used_mock, count(*) FILTER (l_tax > 0.04) AS n_fetched, count(*) FILTER (l_suppkey % 4 > 0 AND l_partkey % 3 <> 1) AS n_asked FROM lineitem GROUP BY 1""",
+        "configuration_state": f"""WITH v AS (SELECT DISTINCT s_suppkey % 10 AS icp_id, (s_suppkey // 10)::INT AS icp_version FROM supplier), e AS (SELECT l_partkey AS f, l_returnflag = 'N' AS on_, l_suppkey % 10 AS icp_id, (l_suppkey // 10)::INT AS icp_version, ({order_id}) % 50 = 0 AS g, l_shipdate AS tm, {order_id} AS id FROM lineitem),
+            g AS (SELECT f, arg_max(on_, (tm, id)) AS was, max((tm, id)) AS top FROM e WHERE g GROUP BY 1), o AS (SELECT icp_id, icp_version, f, arg_max(on_, (tm, id)) AS now_, max((tm, id)) AS top FROM e JOIN v USING (icp_id, icp_version) WHERE NOT g GROUP BY 1, 2, 3),
+            s AS (SELECT NULL AS icp_id, NULL AS icp_version, f, 'SHARED' AS effect FROM g WHERE was UNION ALL SELECT icp_id, icp_version, f, CASE WHEN now_ THEN 'ADDED' ELSE 'REMOVED' END FROM o LEFT JOIN g USING (f) WHERE (g.top IS NULL OR o.top > g.top) AND now_ <> coalesce(was, false))
+            SELECT icp_id, icp_version, (['RANKING_TIE_BREAK_NUDGE', 'SOFT_PREFERENCE_WEIGHT_HINT', 'PROVIDER_PRIORITY_HINT', 'DEEPER_VERIFICATION_HINT'])[f % 4 + 1] AS kind, f::VARCHAR AS fingerprint, effect FROM s""",
         "effective_configuration": f"""WITH v AS (SELECT DISTINCT s_suppkey % 10 AS icp_id, (s_suppkey // 10)::INT AS icp_version FROM supplier), e AS (SELECT l_partkey AS f, l_returnflag = 'N' AS on_, l_suppkey % 10 AS i, (l_suppkey // 10)::INT AS ver, ({order_id}) % 50 = 0 AS g, l_shipdate AS tm, {order_id} AS id FROM lineitem),
             q AS (SELECT icp_id, icp_version, f, arg_max(on_, (tm, id)) AS on_ FROM v JOIN e ON g OR (i = icp_id AND ver = icp_version) GROUP BY 1, 2, 3),
             r AS (SELECT icp_id, icp_version, {', '.join(f"coalesce(string_agg(f::VARCHAR, ',' ORDER BY f::VARCHAR) FILTER (on_ AND f % 4 = {k}), '') AS {n}" for k, n in enumerate(('ranking_tie_break_nudge', 'soft_preference_weight_hint', 'provider_priority_hint', 'deeper_verification_hint')))} FROM q GROUP BY 1, 2)
