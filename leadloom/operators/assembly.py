@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import cut
 from .ranking import latest, rank_leads, tier_reasons
 
 # The scores that order leads of one tier.
@@ -30,6 +31,34 @@ def _last(history: DataFrame, keys: list[str], values: dict[str, str]) -> DataFr
     return top.select(*keys, *[F.col(v).alias(name) for v, name in values.items()])
 
 
+def tagged(histories: dict[str, tuple[DataFrame, list[str], dict[str, str]]]) -> DataFrame:
+    """The latest row of every history by key, all in one table, one aggregate and one shuffle.
+
+    A history is its rows (at, id, keys, values), its keys and what its values
+    are called then. Rows go by what they are keyed by (scope) and their keys
+    as text (k0, k1, ...); each history has a column of that name, a struct of
+    its values, null where the key has none of it.
+    """
+    slots = max(len(keys) for _, keys, _ in histories.values())
+    one, kept = [], []
+    for name, (df, keys, values) in histories.items():
+        held = F.struct(F.struct("at", "id").alias("o"), F.struct(*[F.col(v).alias(n) for v, n in values.items()]).alias("v")).alias(name)
+        text = [(F.col(keys[k]).cast("string") if k < len(keys) else F.lit(None).cast("string")).alias(f"k{k}") for k in range(slots)]
+        one.append(df.select(F.lit(",".join(keys)).alias("scope"), *text, held))
+        kept.append(F.max_by(F.col(name)["v"], F.col(name)["o"]).alias(name))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one)
+    return every.groupBy("scope", *[f"k{k}" for k in range(slots)]).agg(*kept)
+
+
+def _looked_up(rows: DataFrame, told: DataFrame, scope: list[str], keys: list[str], names: dict[str, str]) -> DataFrame:
+    """``rows`` with the values of the named histories of :func:`tagged`; a name in ``names`` that is not its own stays a struct."""
+    right = told.where(F.col("scope") == ",".join(scope)).select(*[F.col(f"k{k}").alias(f"__k{k}") for k in range(len(keys))], *[F.col(n).alias(f"__v_{n}") for n in names])
+    same = reduce(lambda a, b: a & b, [F.col(key).cast("string").eqNullSafe(F.col(f"__k{k}")) for k, key in enumerate(keys)])
+    made = rows.join(right, same, "left").drop(*[f"__k{k}" for k in range(len(keys))])
+    out = [c for c in made.columns if not c.startswith("__v_")]
+    return made.select(*out, *[x for n, called in names.items() for x in ([F.col(f"__v_{n}.*")] if n == called else [F.col(f"__v_{n}").alias(called)])])
+
+
 LEAD, COMPANY = ["icp_id", "company_id", "person_id"], ["icp_id", "company_id"]
 
 
@@ -42,20 +71,25 @@ def lead_signals(members: DataFrame, validations: DataFrame, scores: DataFrame,
     counts. A member that repeats is one lead.
     """
     c = F.col
-    rows = members.select("icp_id", "lead_id", "company_id", "person_id").distinct()
     parts = ("final_score", "icp_score", "commercial_score", "evidence_score", "freshness_score", "identity_confidence")
-    rows = _joined(rows, _last(validations, LEAD, {"overall": "hard_rule_result", "reasons": "hard_rule_reason_codes", "id": "hard_validation_id"}), LEAD)
-    rows = _joined(rows, _last(scores, LEAD, {p: p for p in parts} | {"id": "score_id"}), LEAD)
-    rows = _joined(rows, _last(quality, COMPANY, {"score": "company_quality_score", "label": "company_quality_label"}), COMPANY)
-    rows = _joined(rows, _last(verdicts, LEAD, {"decision": "qualification_decision", "confidence": "qualification_confidence", "summary": "qualification_summary", "id": "qualification_id"}), LEAD)
-    rows = _joined(rows, _last(second.where("qualification_id is not null"), ["qualification_id"], {"result": "adversarial_result", "confidence": "adversarial_confidence", "id": "adversarial_review_id"}), ["qualification_id"])
-    rows = _joined(rows, _last(reviews, ["icp_id", "lead_id"], {"decision": "human_review_decision", "reasons": "human_review_reason_codes", "id": "human_review_id"}), ["icp_id", "lead_id"])
-    rows = _joined(rows, _last(items.where("lead_id is not null"), ["lead_id"], {"outcome": "batch_outcome"}), ["lead_id"])
-    flag = lambda df, key, name: df.select(c("entity_id").alias(key)).distinct().withColumn(name, F.lit(True))
     opened = verifications.where(c("outcome").isin("UNRESOLVED", "HOLD"))
+    flag = lambda df, name: df.where("entity_id is not null").select("entity_id", F.lit(0).alias("at"), F.lit(0).alias("id"), F.lit(True).alias(name))
+    told = cut(tagged({
+        "validation": (validations, LEAD, {"overall": "hard_rule_result", "reasons": "hard_rule_reason_codes", "id": "hard_validation_id"}),
+        "score": (scores, LEAD, {p: p for p in parts} | {"id": "score_id"}),
+        "verdict": (verdicts, LEAD, {"decision": "qualification_decision", "confidence": "qualification_confidence", "summary": "qualification_summary", "id": "qualification_id"}),
+        "quality": (quality, COMPANY, {"score": "company_quality_score", "label": "company_quality_label"}),
+        "second": (second.where("qualification_id is not null"), ["qualification_id"], {"result": "adversarial_result", "confidence": "adversarial_confidence", "id": "adversarial_review_id"}),
+        "review": (reviews, ["icp_id", "lead_id"], {"decision": "human_review_decision", "reasons": "human_review_reason_codes", "id": "human_review_id"}),
+        "item": (items.where("lead_id is not null"), ["lead_id"], {"outcome": "batch_outcome"}),
+        "conflict": (flag(conflicts, "conflict"), ["entity_id"], {"conflict": "conflict"}), "open": (flag(opened, "open"), ["entity_id"], {"open": "open"}),
+    }), "histories")
+    rows = members.select("icp_id", "lead_id", "company_id", "person_id").distinct()
+    for keys, names in ((LEAD, ("validation", "score", "verdict")), (COMPANY, ("quality",)), (["qualification_id"], ("second",)), (["icp_id", "lead_id"], ("review",)), (["lead_id"], ("item",))):
+        rows = _looked_up(rows, told, keys, keys, {n: n for n in names})
     for key in ("company_id", "person_id"):
-        rows = rows.join(flag(conflicts, key, f"conflict_{key}"), key, "left").join(flag(opened, key, f"open_{key}"), key, "left")
-    either = lambda name: F.coalesce(f"{name}_company_id", f"{name}_person_id", F.lit(False))
+        rows = _looked_up(rows, told, ["entity_id"], [key], {"conflict": f"conflict_{key}", "open": f"open_{key}"})
+    either = lambda name: F.coalesce(f"{name}_company_id.{name}", f"{name}_person_id.{name}", F.lit(False))
     rows = rows.withColumns({"evidence_has_conflicts": either("conflict"), "verification_unresolved": either("open")})
     return rows.drop(*[f"{n}_{k}" for n in ("conflict", "open") for k in ("company_id", "person_id")])
 

@@ -69,3 +69,24 @@ def test_configurations_are_shared_rows_and_departures(spark, monkeypatch):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     none = U.effective_configuration(v, e.limit(0)).collect()
     assert len(none) == len(versions) and all(r.is_default for r in none)
+
+
+def test_histories_shuffle_once_and_the_latest_row_decides(spark):
+    from leadloom.operators import assembly as Y
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["i", "j"]), rnd.randrange(4), rnd.choice([1, None]), rnd.randrange(5), k, f"v{k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "icp_id string, company_id int, person_id int, at int, id int, value string")
+    made = Y.tagged({"one": (df.where("id % 2 = 0"), ["icp_id", "company_id", "person_id"], {"value": "a", "id": "one_id"}), "two": (df.where("id % 2 = 1"), ["icp_id", "company_id", "person_id"], {"value": "b"}), "three": (df, ["company_id"], {"value": "c"})})
+    assert made._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") + made._jdf.queryExecution().sparkPlan().toString().count("ObjectHashAggregate") + made._jdf.queryExecution().sparkPlan().toString().count("SortAggregate") >= 1
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = {}
+    for i, company, p, at, k, v in rows:
+        for name, key in (("one" if k % 2 == 0 else "two", ("icp_id,company_id,person_id", i, str(company), p if p is None else str(p))), ("three", ("company_id", str(company), None, None))):
+            want[name, key] = max(want.get((name, key), (-1, -1, "")), (at, k, v))
+    got = {}
+    for r in made.collect():
+        for name, value in (("one", r.one and r.one.a), ("two", r.two and r.two.b), ("three", r.three and r.three.c)):
+            if value is not None:
+                got[name, (r.scope, r.k0, r.k1, r.k2)] = value
+    assert got == {k: v[2] for k, v in want.items()}
