@@ -432,6 +432,15 @@ def assembled_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("icp_id", "lead_id", "hard_rule_result", "final_score", "company_quality_score", "qualification_decision", "qualification_confidence", "adversarial_result", "human_review_decision", "batch_outcome", "evidence_has_conflicts", "verification_unresolved")
 
 
+def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ranked leads of their priority, copied on three days, one of them twice and without one profile; read as of a day between."""
+    o = A.table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).alias("icp_id"), c("o_orderkey").alias("lead_id"), c("o_orderdate").alias("day"), c("o_totalprice").alias("score"))
+    path = f"{application_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    for date, without in (("1996-01-01", ""), ("1998-01-01", "3"), ("1998-01-01", "3"), ("2000-01-01", "")):
+        X.append_snapshot(o.where((c("day") < date) & (c("icp_id") != without)), path, date)
+    return X.read_snapshot(spark, path, "1999-06-30").groupBy("icp_id", "snapshot_date").agg(F.count("*").alias("n"), F.sum("lead_id").alias("leads"))
+
+
 def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = Y.ranked(Y.lead_signals(**_histories(spark, sf_dir)))
     cust = A.table(spark, sf_dir, "customer")
@@ -517,7 +526,7 @@ def provider_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     comparison_keys, fact_status, all_fields, lead_fields, supported_values, conflicting_facts, supporting_evidence, verified_fields, field_freshness, split_seen, streamed_status, company_evidence, person_evidence, fact_evidence, discovery_matches, corroborated_terms, unprovable_industries,
     described_terms, validated_leads, cited_rows, profile_errors, canonical_profiles, projected_filters, extracted_filters, filter_spans, merged_strategies, size_buckets, directory_results, resolved_homepages, vendor_facts, vendor_records, profile_ids, branch_sightings,
-    allowed_sources, mock_entities, reopened_items, new_memberships, linked_repeats, run_summary, applied_matches, match_conflicts, applied_person_matches, assembled_signals, exported_leads, crm_leads, review_table, filtered_reviews, review_queue,
+    allowed_sources, mock_entities, reopened_items, new_memberships, linked_repeats, run_summary, applied_matches, match_conflicts, applied_person_matches, assembled_signals, snapshot_as_of, exported_leads, crm_leads, review_table, filtered_reviews, review_queue,
     newest_values, review_history, verdict_contexts, feedback_observations, provider_signals,
 )
 

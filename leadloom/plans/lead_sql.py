@@ -120,6 +120,8 @@ def oracle_sql(signals: str) -> dict[str, str]:
               UNION ALL SELECT id, 'current_title', l_orderkey * 10 + l_linenumber FROM (SELECT *, 'q' || l_partkey AS id FROM lineitem WHERE l_linenumber % 2 = 1) JOIN ps USING (id) WHERE field = 'current_title' AND status = 'SUPPORTED')
             SELECT icp_id, company_id, person_id, rule, evidence_id FROM y JOIN po ON po.src = y.src AND po.id = CASE WHEN y.src = 'current_title' THEN person_id ELSE company_id END
             UNION ALL SELECT icp_id, company_id, person_id, rule, k FROM y JOIN w ON id = company_id WHERE src = 'COVERED' AND field = 'industry' AND told IN (0, 1)""",
+        "snapshot_as_of": """WITH s AS (SELECT o_orderpriority[1] AS icp_id, o_orderkey AS k, o_orderdate AS d, CASE WHEN o_orderpriority[1] = '3' THEN '1996-01-01' ELSE '1998-01-01' END AS snapshot_date FROM orders)
+            SELECT icp_id, snapshot_date, count(*) AS n, sum(k)::BIGINT AS leads FROM s WHERE d < snapshot_date::DATE GROUP BY 1, 2""",
         "profile_errors": """SELECT c_custkey AS icp_id, concat_ws(',', CASE WHEN c_custkey % 14 = 0 THEN 'EMPLOYEE_RANGE_REVERSED' END,
             CASE WHEN c_custkey % 3 > 0 AND c_custkey % 4 > 0 AND c_custkey % 5 > 0 AND c_custkey % 7 > 0 AND c_custkey % 2 > 0 THEN 'PROFILE_EMPTY' END, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 = 0 THEN 'GEOGRAPHY_REPEATED' END,
             CASE WHEN c_custkey % 9 = 0 THEN 'EXCLUSION_IS_ALLOWED' END) AS errors FROM customer""",

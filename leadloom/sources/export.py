@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import split_person_name
@@ -103,6 +106,57 @@ def write_json(leads: DataFrame, path: str) -> None:
     heads.orderBy("icp_id").write.options(**keep).json(f"{path}/metadata")
 
 
+COMMIT_FOLDER = "commits"
+COMMIT = "snapshot_date string, icp_id string, take string, n_rows long"
+
+
+def _under(spark: SparkSession, path: str, name: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """(snapshot_date, icp_id, take, n_rows) of every committed snapshot; of one profile and day the first that was committed."""
+    if not _under(spark, path, COMMIT_FOLDER):
+        return spark.createDataFrame([], COMMIT)
+    made = spark.read.schema(COMMIT).parquet(f"{path}/{COMMIT_FOLDER}")
+    return made.groupBy("snapshot_date", "icp_id").agg(F.min(F.struct("take", "n_rows")).alias("x")).select("snapshot_date", "icp_id", "x.*")
+
+
+def _profile(icp: str) -> Column:
+    """A profile's folder; never read as a number."""
+    return F.coalesce(F.concat(F.lit("p:"), F.col(icp).cast("string")), F.lit("-"))
+
+
 def append_snapshot(rows: DataFrame, path: str, date: str) -> None:
-    """Add a dated copy by profile; what is there is never changed."""
-    rows.withColumn("snapshot_date", F.lit(date)).write.mode("append").partitionBy("icp_id", "snapshot_date").parquet(path)
+    """Add a dated copy by profile (icp_id); what is there is never changed.
+
+    Rows go to a folder of their own, which counts only once its commit, one
+    small file, is written after it. So a run that dies leaves nothing that is
+    read, and its repetition completes the day; a profile that already has a
+    snapshot of that day keeps it, and repeating a day changes nothing.
+    """
+    spark = rows.sparkSession
+    there = [r.icp_id for r in snapshots(spark, path).where(F.col("snapshot_date") == date).select("icp_id").collect()]  # profiles of one day: few
+    take = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    fresh = rows.where(~F.coalesce(F.col("icp_id").cast("string").isin(there), F.lit(False)))
+    fresh.withColumn("profile", _profile("icp_id")).write.partitionBy("profile").parquet(f"{path}/rows/take={take}")
+    back = spark.read.schema(rows.schema).parquet(f"{path}/rows/take={take}")
+    made = back.groupBy(F.col("icp_id").cast("string").alias("icp_id")).agg(F.count("*").alias("n_rows"))
+    made = made.select(F.lit(date).alias("snapshot_date"), "icp_id", F.lit(take).alias("take"), "n_rows")
+    made.coalesce(1).write.mode("append").parquet(f"{path}/{COMMIT_FOLDER}")
+
+
+def read_snapshot(spark: SparkSession, path: str, as_of: str) -> DataFrame:
+    """The rows of each profile's latest snapshot of ``as_of`` or before, with its snapshot_date; profiles without one have no rows.
+
+    Only folders that a commit names are opened, and in them only the
+    profiles that are asked for.
+    """
+    chosen = snapshots(spark, path).where(F.col("snapshot_date") <= as_of).groupBy("icp_id").agg(F.max(F.struct("snapshot_date", "take")).alias("x")).select("icp_id", "x.*")
+    takes = [r.take for r in chosen.select("take").distinct().collect()]  # at most one a profile
+    if not takes:
+        raise ValueError(f"no snapshot of {as_of} or before")
+    held = spark.read.option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/take={t}" for t in takes])
+    named = chosen.select(_profile("icp_id").alias("__profile"), F.col("take").alias("__take"), "snapshot_date")
+    return held.join(named, (F.col("profile") == F.col("__profile")) & (F.col("take") == F.col("__take"))).drop("profile", "take", "__profile", "__take")

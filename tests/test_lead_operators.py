@@ -109,9 +109,31 @@ def test_exports_are_read_back(spark, tmp_path):
     assert [(r["icp_id"], r["rank"]) for r in told] == places and told[0]["identity"]["person_title"] is None and told[0]["batch_id"] is None
     heads = [json.loads(x) for part in Path(f"{tmp_path}/json/metadata").glob("part-*") for x in part.open()]
     assert sum(h["lead_count"] for h in heads) == len(rows)
-    X.append_snapshot(leads.select("icp_id", "lead_id", "rank"), f"file://{tmp_path}/snap", "2024-02-01")
-    X.append_snapshot(leads.select("icp_id", "lead_id", "rank"), f"file://{tmp_path}/snap", "2024-02-02")
-    assert spark.read.parquet(f"file://{tmp_path}/snap").where("snapshot_date = '2024-02-01'").count() == len(rows)
+
+
+def test_snapshots_are_written_once_and_read_as_of_a_day(spark, tmp_path, monkeypatch):
+    """The same day twice, a run that dies before its commit, one that dies half way through its profiles, and days between."""
+    path = f"file://{tmp_path}/snap"
+    kind = "icp_id string, lead_id int, rank int"
+    day = lambda *rows: spark.createDataFrame(rows, kind)
+    read = lambda as_of: sorted((r.icp_id or "", r.lead_id, r["rank"], r.snapshot_date) for r in X.read_snapshot(spark, path, as_of).collect())
+    X.append_snapshot(day(("01", 1, 1), ("01", 2, 2), (None, 3, 1)), path, "2024-02-01")
+    first = [("", 3, 1, "2024-02-01"), ("01", 1, 1, "2024-02-01"), ("01", 2, 2, "2024-02-01")]
+    assert read("2024-02-01") == read("2024-02-09") == first
+    X.append_snapshot(day(("01", 1, 1), ("01", 2, 2), (None, 3, 1)), path, "2024-02-01")
+    X.append_snapshot(day(("01", 9, 9)), path, "2024-02-01")
+    assert read("2024-02-01") == first and X.snapshots(spark, path).count() == 2
+    # Rows without a commit are no snapshot.
+    with monkeypatch.context() as m:
+        m.setattr(X, "COMMIT_FOLDER", "no\0where")
+        with pytest.raises(Exception):  # noqa: B017
+            X.append_snapshot(day(("01", 5, 1), ("1", 6, 1)), path, "2024-02-05")
+    assert read("2024-02-06") == first
+    X.append_snapshot(day(("01", 7, 1), ("1", 8, 1)), path, "2024-02-05")
+    assert read("2024-02-04") == first
+    assert read("2024-02-06") == [("", 3, 1, "2024-02-01"), ("01", 7, 1, "2024-02-05"), ("1", 8, 1, "2024-02-05")]
+    with pytest.raises(ValueError, match="no snapshot"):
+        X.read_snapshot(spark, path, "2023-01-01")
 
 
 def test_review_table_quotes_what_needs_it(spark, tmp_path):
