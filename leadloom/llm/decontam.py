@@ -1,12 +1,15 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
-
-A window of a document is fingerprinted if it holds enough shingles of the
-benchmark to be similar to some item of its size; without that, no item can
-reach SIMILARITY. Eight blocks of eight bits, each widened to every value
-within RADIUS // 8 bits, then give every item of that size whose fingerprint is
-within RADIUS bits: by the pigeonhole principle none is missed. Those are
-verified by weighted-shingle similarity, min over max of the counts, which
-slides along with the window. Memory and time are linear in text and item.
+"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact verification.
+
+A window of a document is compared with an item of its size if it holds
+enough shingles of that item; without that, it can't reach SIMILARITY. Items
+that may reach it are found by their rarest shingles: of so many of them that a
+similar window must hold one. So a shingle that very many items share points
+to those only that have hardly another, and each pair of window and item is
+known. Of its fingerprint one of eight blocks of eight bits then lies within
+RADIUS // 8 bits of the item's, by the pigeonhole principle, if all bits lie
+within RADIUS; what is left is verified by weighted-shingle similarity, min
+over max of the counts, which slides along with the window. Memory and time are
+linear in text and item.
 """
 
 from __future__ import annotations
@@ -14,7 +17,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from .common import CACHE_WORDS, cut, joined, text_slices, unused
 
 #: Words in a shingle, least similarity, and the most differing bits of a candidate's fingerprint.
 SHINGLE_WORDS, SIMILARITY, RADIUS = 5, 0.8, 23
-BLOCKS, WIDTH = 8, 8
+BLOCKS = 8
 #: Windows that are fingerprinted at a time; bytes of item texts that one pass over the documents compares.
 STARTS, PASS_BYTES = 4096, 16_000_000
 EDGES = re.compile(r"^\W+|\W+$")
@@ -114,39 +116,22 @@ def sliding_similarity(h: np.ndarray, n: int, bag: Counter) -> list[float]:
     return out
 
 
-class Sized:
-    """The items of one number of shingles: their fingerprints in blocks."""
-
-    def __init__(self, n: int) -> None:
-        self.n, self.items, self.prints = n, [], []
-
-    def build(self) -> None:
-        self.prints = np.array(self.prints, np.uint64)
-        near = np.array([sum(1 << b for b in c) for d in range(RADIUS // BLOCKS + 1) for c in combinations(range(WIDTH), d)])
-        self.tables = np.zeros((BLOCKS, 1 << WIDTH, len(self.items)), bool)
-        for b in range(BLOCKS):
-            own = (self.prints >> np.uint64(WIDTH * b) & np.uint64(255)).astype(np.int64)
-            for k in range(len(self.items)):
-                self.tables[b, own[k] ^ near, k] = True
-
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of every pair within RADIUS bits: by a block first, then by all bits."""
-        found = np.zeros((len(prints), len(self.items)), bool)
-        for b in range(BLOCKS):
-            found |= self.tables[b, (prints >> np.uint64(WIDTH * b) & np.uint64(255)).astype(np.int64)]
-        window, item = np.nonzero(found)
-        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
-        return window[close], item[close]
+def within(prints: np.ndarray, item: np.uint64) -> np.ndarray:
+    """Which fingerprints lie within RADIUS bits of the item's: those with a block within its share of them, then by all bits."""
+    apart = prints ^ item
+    blocks = np.bitwise_count(apart.view(np.uint8).reshape(-1, BLOCKS))
+    near = np.flatnonzero((blocks <= RADIUS // BLOCKS).any(axis=1))
+    return near[blocks[near].sum(axis=1, dtype=np.int64) <= RADIUS]
 
 
 class Index:
     """Fingerprints and shingles of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]], finder: Words) -> None:
-        self.ids, self.bags, self.sized = [], [], {}
+        self.ids, self.bags, self.prints, self.own = [], [], [], []
         # Items under SHINGLE_WORDS words are one shingle, which a window of their size equals or doesn't.
         self.short: dict[int, dict[int, int]] = {}
-        holders: dict[int, list[int]] = {}
+        same: dict[bytes, int] = {}
         for item, text in items:
             words = finder.of(text)
             if not len(words):
@@ -156,44 +141,53 @@ class Index:
                 own = self.short.setdefault(len(words), {})
                 own[int(h[0])] = min(item, own.get(int(h[0]), item))
                 continue
-            for x in set(h.tolist()):
-                holders.setdefault(x, []).append(len(self.ids))
-            sized = self.sized.setdefault(len(h), Sized(len(h)))
-            sized.items.append(len(self.ids))
-            sized.prints.append(int(simhash(h)))
+            # Items of the same shingles are one, which goes by its least id.
+            key = np.sort(h).tobytes()
+            if key in same:
+                self.ids[same[key]] = min(item, self.ids[same[key]])
+                continue
+            same[key] = len(self.ids)
             self.ids.append(item)
             self.bags.append(Counter(h.tolist()))
-        for sized in self.sized.values():
-            sized.build()
-        self.all = np.array(sorted(holders), np.uint64)
-        sizes = np.array([len(holders[x]) for x in self.all.tolist()], np.int64)
-        self.begins, self.held = np.r_[0, np.cumsum(sizes)], np.array([k for x in self.all.tolist() for k in holders[x]], np.int64)
-
-    def windows(self, h: np.ndarray) -> dict[int, np.ndarray]:
-        """For each size the starts of windows that hold enough shingles of one item of that size."""
-        at = np.minimum(np.searchsorted(self.all, h), len(self.all) - 1)
-        hits = np.flatnonzero(self.all[at] == h)
-        if not len(hits):
-            return {}
-        row = at[hits]
-        count = self.begins[row + 1] - self.begins[row]
-        owner = self.held[np.repeat(self.begins[row] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
-        place = np.repeat(hits, count)
-        order = np.lexsort((place, owner))
-        owner, place = owner[order], place[order]
-        found: dict[int, list[np.ndarray]] = {}
-        for own in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
-            k = int(owner[own[0]])
-            places, total = place[own], self.bags[k].total()
-            n, last = total, max(0, len(h) - total)
+            self.prints.append(simhash(h))
+            self.own.append(np.unique(h))
+        values, of = np.unique(np.concatenate(self.own), return_counts=True) if self.own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        keys, holders = [], []
+        for k, own in enumerate(self.own):
+            bag = self.bags[k]
+            # A similar window lacks at most this many of the item's shingles, so it holds one of any more.
+            lacks = int(bag.total() - SIMILARITY * bag.total() + 1e-9)
+            rare = own[np.argsort(of[np.searchsorted(values, own)], kind="stable")].tolist()
+            taken = 0
+            for x in rare:
+                if taken > lacks:
+                    break
+                taken += bag[x]
+                keys.append(x)
+                holders.append(k)
+        keys, holders = np.array(keys, np.uint64), np.array(holders, np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.held = np.unique(keys), holders[order]
+        self.begins = np.r_[np.searchsorted(keys[order], self.keys), len(keys)]
+
+    def windows(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, starts of the windows of its size that hold enough of its shingles)."""
+        order = np.argsort(h, kind="stable")
+        values = h[order]
+        there = np.flatnonzero(np.isin(self.keys, values))
+        for k in np.unique(np.concatenate([self.held[self.begins[x] : self.begins[x + 1]] for x in there.tolist()])).tolist() if len(there) else ():
+            own, n = self.own[k], self.bags[k].total()
+            left, right = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
+            some = right > left
+            places = np.sort(order[spread(left[some], right[some] - 1)])
+            last = max(0, len(h) - n)
             low, high = np.clip(places - n + 1, 0, last), np.minimum(places, last)
             gap = np.flatnonzero(low[1:] > high[:-1] + 1)
             starts = spread(low[np.r_[0, gap + 1]], high[np.r_[gap, len(high) - 1]])
             inside = np.searchsorted(places, starts + n) - np.searchsorted(places, starts)
-            starts = starts[inside >= SIMILARITY * total - 1e-9]
+            starts = starts[inside >= SIMILARITY * n - 1e-9]
             if len(starts):
-                found.setdefault(n, []).append(starts)
-        return {n: np.unique(np.concatenate(own)) for n, own in found.items()}
+                yield k, starts
 
     def best(self, words: np.ndarray) -> tuple[float, int] | None:
         """The highest similarity of any window of a document with any item, and that item; ties: the least id."""
@@ -203,21 +197,19 @@ class Index:
                 if best is None or own[x] < best[1]:
                     best = (1.0, own[x])
         h = shingles(words)
-        if not len(h) or not len(self.all):
+        if not len(h) or not len(self.keys):
             return best
-        for n, starts in self.windows(h).items():
-            sized = self.sized[n]
+        for k, starts in self.windows(h):
+            n = self.bags[k].total()
             for own in runs_of(starts, n):
                 part = h[own[0] : own[-1] + n]
                 n_own = min(n, len(part))  # a document may be shorter than the item
-                window, item = sized.candidates(window_prints(part, n_own)[own - own[0]])
-                window = (own - own[0])[window]
-                for k in np.unique(item).tolist():
-                    scores = sliding_similarity(part, n_own, self.bags[sized.items[k]])
-                    top = max(scores[w] for w in window[item == k].tolist())
-                    who = self.ids[sized.items[k]]
-                    if top >= SIMILARITY and (best is None or (-top, who) < (-best[0], best[1])):
-                        best = (top, who)
+                window = (own - own[0])[within(window_prints(part, n_own)[own - own[0]], self.prints[k])]
+                if len(window):
+                    scores = sliding_similarity(part, n_own, self.bags[k])
+                    top = max(scores[w] for w in window.tolist())
+                    if top >= SIMILARITY and (best is None or (-top, self.ids[k]) < (-best[0], best[1])):
+                        best = (top, self.ids[k])
         return best
 
 

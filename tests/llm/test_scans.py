@@ -95,12 +95,43 @@ def test_no_similar_pair_lies_beyond_the_radius():
 
 def test_blocks_give_every_item_within_the_radius():
     rnd = np.random.default_rng(5)
-    sized = D.Sized(10)
-    sized.items, sized.prints = list(range(300)), rnd.integers(0, 1 << 64, 300, dtype=np.uint64).tolist()
-    sized.build()
-    prints = np.array([int(sized.prints[k % 300]) ^ sum(1 << int(b) for b in rnd.choice(64, int(rnd.integers(0, 30)), replace=False)) for k in range(600)], np.uint64)
-    want = {(w, i) for w in range(600) for i in range(300) if int(prints[w] ^ sized.prints[i]).bit_count() <= D.RADIUS}
-    assert set(zip(*(x.tolist() for x in sized.candidates(prints)), strict=True)) == want
+    items = rnd.integers(0, 1 << 64, 300, dtype=np.uint64)
+    prints = np.array([int(items[k % 300]) ^ sum(1 << int(b) for b in rnd.choice(64, int(rnd.integers(0, 30)), replace=False)) for k in range(600)], np.uint64)
+    want = {(w, i) for w in range(600) for i in range(300) if int(prints[w] ^ items[i]).bit_count() <= D.RADIUS}
+    assert {(w, i) for i in range(300) for w in D.within(prints, items[i]).tolist()} == want
+
+
+def peak_of(run):
+    tracemalloc.start()
+    out = run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_many_items_of_one_size_take_linear_memory():
+    """100,000 items of eight words, and texts that hold some of them."""
+    rnd = random.Random(4)
+    items = [(k, " ".join(f"w{rnd.randrange(3000)}" for _ in range(8))) for k in range(100_000)]
+    finder = D.Words()
+    index, peak = peak_of(lambda: D.Index(items, finder))
+    assert peak < 300e6
+    text = " ".join(f"w{rnd.randrange(3000)}" for _ in range(20_000))
+    found, peak = peak_of(lambda: index.best(finder.of(text + " " + items[77][1] + " " + text)))
+    assert found == (1.0, 77) and peak < 60e6
+
+
+def test_boilerplate_in_every_item_takes_memory_of_the_text_only():
+    """4,000 items begin alike; a text that repeats the beginning 1,000 times holds none of them, and one of them where it is planted."""
+    rnd = random.Random(5)
+    start = "all items begin with these very words as a rule"
+    items = [(k, start + " " + " ".join(f"v{rnd.randrange(5000)}" for _ in range(20))) for k in range(4000)]
+    items += [(9000 + k, items[5][1]) for k in range(500)]
+    finder = D.Words()
+    index = D.Index(items, finder)
+    found, peak = peak_of(lambda: index.best(finder.of((start + " and so on. ") * 1000)))
+    assert found is None and peak < 20e6
+    assert index.best(finder.of(start * 3 + " " + items[5][1])) == (1.0, 5)
 
 
 def test_sliding_windows_equal_plain_ones():
