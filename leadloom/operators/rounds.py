@@ -51,3 +51,44 @@ def run_summary(leads: DataFrame, failed: DataFrame, run: str) -> DataFrame:
     )
     both = made.join(failed.groupBy(run).agg(F.sum("failed_count").cast("long").alias("failed_count")), run, "full").na.fill(0)
     return both.withColumn("status", F.when(c("failed_count") > 0, "COMPLETED_WITH_ERRORS").otherwise("COMPLETED"))
+
+
+# The stages that every item of a batch goes through, in order, and those of its leads.
+BATCH_STAGES = (
+    "DISCOVERY", "COMPANY_RESOLUTION", "ENRICHMENT", "PEOPLE_DISCOVERY_RESOLUTION", "EVIDENCE", "HARD_VALIDATION", "VERIFICATION", "BUSINESS_MODEL_SIGNALS", "SCORING", "LLM_QUALIFICATION", "ADVERSARIAL_REVIEW", "DEDUPLICATION",
+)
+LEAD_STAGES = ("HUMAN_REVIEW", "RANKING", "CONFIDENCE", "EXPORT")
+
+
+def lead_statuses(leads: DataFrame, run: str) -> DataFrame:
+    """Where each lead of a run stands: its outcome, hard rules, readiness, tier, and whether a review is there or awaited.
+
+    ``leads`` has the run, lead_id, company_id, person_id, batch_outcome,
+    hard_rule_result, readiness (a level), tier and human_review_decision. A
+    lead that repeats in a run has one row.
+    """
+    c = F.col
+    waits = F.coalesce((c("hard_rule_result") == "PASS") & c("human_review_decision").isNull(), F.lit(False))
+    one = leads.dropDuplicates([run, "lead_id"])
+    return one.select(run, "lead_id", "company_id", "person_id", "batch_outcome", "hard_rule_result", "readiness", c("tier").alias("ranking_tier"), "human_review_decision", waits.alias("human_review_pending"))
+
+
+def stage_tallies(items: DataFrame, statuses: DataFrame, run: str) -> DataFrame:
+    """(run, position, stage, attempted, succeeded, failed, pending): what became of each stage of a run.
+
+    ``items`` are the batch's (run, outcome), which went through the stages of
+    the batch or failed; ``statuses`` its :func:`lead_statuses`. One sum a
+    side and run, spread into a row a stage; a run that only one side knows
+    has all stages.
+    """
+    c, none = F.col, F.lit(0).cast("long")
+    n = lambda cond: F.count(F.when(cond, 1))
+    batch = items.groupBy(run).agg(F.count("*").alias("__items"), n(c("outcome") == "FAILED").alias("__failed"))
+    known = statuses.groupBy(run).agg(F.count("*").alias("__leads"), n(c("human_review_decision").isNotNull()).alias("__reviewed"), n(c("human_review_pending")).alias("__waiting"), n(c("ranking_tier").isNotNull()).alias("__ranked"))
+    both = batch.join(known, run, "full").na.fill(0)
+    row = lambda k, stage, attempted, succeeded, failed, pending: F.struct(F.lit(k).alias("position"), F.lit(stage).alias("stage"), attempted.alias("attempted"), succeeded.alias("succeeded"), failed.alias("failed"), pending.alias("pending"))
+    rows = [row(k, s, c("__items"), c("__items") - c("__failed"), c("__failed"), none) for k, s in enumerate(BATCH_STAGES)]
+    one = F.lit(1).cast("long")
+    of_leads = ((c("__leads"), c("__reviewed"), c("__waiting")), (c("__leads"), c("__ranked"), none), (c("__leads"), c("__leads"), none), (one, one, none))
+    rows += [row(len(BATCH_STAGES) + k, s, attempted, done, none, waiting) for k, (s, (attempted, done, waiting)) in enumerate(zip(LEAD_STAGES, of_leads, strict=True))]
+    return both.select(run, F.inline(F.array(*rows)))

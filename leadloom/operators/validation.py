@@ -208,20 +208,17 @@ def canonical_profiles(icps: DataFrame, clean, country) -> DataFrame:
     """Profiles in canonical form: every list cleaned, places split into countries (each code once, with the text that named it first) and others.
 
     ``clean`` and ``country`` are the column functions for term lists and for
-    country codes. Takes the columns of :func:`profile_errors`.
+    country codes. Takes the columns of :func:`profile_errors`; labels of
+    custom rules (custom_rules), where there are any, are cleaned and all kept.
     """
     c = F.col
     places = clean(F.coalesce("geography", _none()))
     coded = F.filter(F.transform(places, lambda p: F.struct(country(p).alias("code"), p.alias("raw"))), lambda s: s["code"].isNotNull())
     codes = F.array_distinct(F.transform(coded, lambda s: s["code"]))
     tidy = lambda n: clean(F.coalesce(n, _none())).alias(n)
+    labels = [F.transform(F.coalesce("custom_rules", _none()), clean_text).alias("custom_rules")] if "custom_rules" in icps.columns else []
     made = icps.select(
         "icp_id", *[tidy(n) for n in ("industries", "titles", "company_types", "excluded", "preferences")], "min_employees", "max_employees", codes.alias("country_codes"),
-        F.transform(codes, lambda k: F.get(F.filter(coded, lambda s: s["code"] == k), F.lit(0))["raw"]).alias("country_texts"), F.filter(places, lambda p: country(p).isNull()).alias("other_places"),
+        F.transform(codes, lambda k: F.get(F.filter(coded, lambda s: s["code"] == k), F.lit(0))["raw"]).alias("country_texts"), F.filter(places, lambda p: country(p).isNull()).alias("other_places"), *labels,
     )
     return made
-
-
-def cleaned_labels(labels: Column) -> Column:
-    """Labels of custom rules, cleaned, all of them."""
-    return F.transform(F.coalesce(labels, _none()), clean_text)

@@ -23,6 +23,7 @@ from ..operators import rounds as B
 from ..operators import search as S
 from ..operators import tuning as U
 from ..operators import validation as Z
+from ..operators import verdicts as V
 from ..sources import export as X
 from ..sources import records as D
 from ..streaming.ingest import create_store, ingest_batch
@@ -208,6 +209,7 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("icp_id"), some(3, array(" Skin  care ", "skin CARE", "Beauty", " ")).alias("industries"), some(4, array("usa", "EMEA", "U.S.", "emea "), some(5, array("France", "Narnia", "france"))).alias("geography"),
         some(6, array("VP")).alias("titles"), F.lit(None).cast("array<string>").alias("company_types"), some(9, array("beauty")).alias("excluded"), some(2, array("b2b")).alias("preferences"),
         F.when(F.pmod(k, F.lit(7)) == 0, 50).alias("min_employees"), F.when(F.pmod(k, F.lit(14)) == 0, 10).alias("max_employees"),
+        F.array(F.concat(F.lit("  sells to  "), "c_mktsegment", F.lit("\t")), F.lit("Ships  abroad")).alias("custom_rules"),
     )
 
 
@@ -217,7 +219,7 @@ def profile_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def canonical_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = Z.canonical_profiles(_profiles(spark, sf_dir), U.clean_terms, T.country_code)
-    return made.select("icp_id", text_list("industries"), text_list("country_codes"), text_list("country_texts"), text_list("other_places"), text_list("excluded"), "min_employees")
+    return made.select("icp_id", text_list("industries"), text_list("country_codes"), text_list("country_texts"), text_list("other_places"), text_list("excluded"), text_list("custom_rules"), "min_employees")
 
 
 def projected_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,6 +373,28 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.run_summary(leads, failed, "icp_id")
 
 
+def _lead_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as leads of their customer's segment."""
+    k, none = c("lead_id"), F.array().cast("array<string>")
+    ready = V.readiness(
+        c("hard_rule_result"), F.lit(True), F.when(F.pmod(k, F.lit(9)) == 0, F.array(F.lit("x"))).otherwise(none), F.when(F.pmod(k, F.lit(4)) == 0, F.array(F.lit("x"))).otherwise(none), F.lit(None).cast("string"),
+        c("qualification_decision"), c("adversarial_result"), c("human_review_decision"), F.coalesce(c("batch_outcome") == "DUPLICATE", F.lit(False)),
+    )
+    leads = A.lead_signals(spark, sf_dir).withColumns({"tier": R.tier(), "readiness": ready["level"], "company_id": F.pmod(k, F.lit(97)), "person_id": F.when(F.pmod(k, F.lit(3)) == 0, k + 1)})
+    return B.lead_statuses(leads, "icp_id")
+
+
+def lead_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lead_statuses(spark, sf_dir)
+
+
+def stage_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as the items of their customer's segment; those that were returned failed."""
+    o = A.table(spark, sf_dir, "orders").join(A.table(spark, sf_dir, "customer"), c("o_custkey") == c("c_custkey"))
+    items = A.table(spark, sf_dir, "lineitem").join(o, c("l_orderkey") == c("o_orderkey")).select(c("c_mktsegment").alias("icp_id"), F.when(c("l_returnflag") == "R", "FAILED").otherwise("HELD").alias("outcome"))
+    return B.stage_tallies(items, _lead_statuses(spark, sf_dir), "icp_id")
+
+
 # --- matches
 
 
@@ -508,6 +532,28 @@ def verdict_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.array_join(F.array_sort(F.transform(F.from_json("context", "evidence array<struct<field:string,value:string>>")["evidence"], lambda e: F.concat_ws("=", e["field"], e["value"]))), "|").alias("told"))
 
 
+def full_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a judge is told of a lead: rule results, covered terms, signals, scores, fields in conflict and missing, and evidence."""
+    asked, icps = A.asked(spark, sf_dir), A.evidence_profiles(spark)
+    rows, status = _with_values(spark, sf_dir)
+    pair = ["icp_id", "company_id"]
+    judged = Z.validate(asked, icps, rows, status).select("company_id", F.col("overall").alias("hard_rule_result"), "reasons", F.transform("results", lambda r: F.struct(r["rule"].alias("rule"), r["status"].alias("status"))).alias("rule_results"))
+    terms = Z.covered_by_keywords(rows, asked, icps).select(*pair, F.col("corroborated").alias("keyword_terms"))
+    fields = status.where("entity_type = 'COMPANY'").groupBy(F.col("entity_id").alias("company_id")).agg(
+        F.array_sort(F.collect_list(F.when(c("status") == "CONFLICT", c("field")))).alias("conflicting_fields"), F.array_sort(F.collect_set("field")).alias("__seen")
+    )
+    fields = fields.select("company_id", "conflicting_fields", F.array_except(F.array(*map(F.lit, E.COMPANY_CRITICAL)), "__seen").alias("missing_fields"))
+    bought = A.table(spark, sf_dir, "orders").groupBy(c("o_custkey").cast("string").alias("company_id")).agg(F.struct(F.max("o_totalprice").alias("commercial_score"), F.count("*").alias("n_orders")).alias("scores"), F.array_sort(F.collect_set("o_orderpriority")).alias("signals"))
+    leads = asked.select(c("company_id").alias("lead_id"), "company_id", "person_id", "icp_id").join(judged, "company_id").join(terms, pair, "left").join(fields, "company_id", "left").join(bought, "company_id", "left")
+    made = Y.verdict_context(leads, rows.withColumn("id", c("id").cast("string")))
+    kind = "hard_rule_result string, reasons array<string>, rule_results array<struct<rule:string,status:string>>, keyword_terms array<string>, conflicting_fields array<string>, missing_fields array<string>, scores struct<commercial_score:double,n_orders:long>, signals array<string>, evidence array<struct<field:string>>"
+    told = made.select("lead_id", F.from_json("context", kind).alias("x"))
+    return told.select(
+        "lead_id", "x.hard_rule_result", F.array_join("x.reasons", ",").alias("reasons"), F.size("x.rule_results").alias("n_rules"), F.array_join("x.keyword_terms", ",").alias("keyword_terms"), F.array_join("x.conflicting_fields", ",").alias("conflicting_fields"),
+        F.array_join("x.missing_fields", ",").alias("missing_fields"), "x.scores.n_orders", F.array_join("x.signals", ",").alias("signals"), F.size("x.evidence").alias("n_evidence"),
+    )
+
+
 def feedback_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, cust = A.table(spark, sf_dir, "orders"), A.table(spark, sf_dir, "customer")
     given = o.select((c("o_orderkey") + 5).alias("lead_ref"), c("o_orderstatus").alias("icp_id"), pick(W.DECISIONS, c("o_orderkey")).alias("decision"), F.array(F.lit("A")).alias("reason_codes"))
@@ -526,8 +572,8 @@ def provider_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     comparison_keys, fact_status, all_fields, lead_fields, supported_values, conflicting_facts, supporting_evidence, verified_fields, field_freshness, split_seen, streamed_status, company_evidence, person_evidence, fact_evidence, discovery_matches, corroborated_terms, unprovable_industries,
     described_terms, validated_leads, cited_rows, profile_errors, canonical_profiles, projected_filters, extracted_filters, filter_spans, merged_strategies, size_buckets, directory_results, resolved_homepages, vendor_facts, vendor_records, profile_ids, branch_sightings,
-    allowed_sources, mock_entities, reopened_items, new_memberships, linked_repeats, run_summary, applied_matches, match_conflicts, applied_person_matches, assembled_signals, snapshot_as_of, exported_leads, crm_leads, review_table, filtered_reviews, review_queue,
-    newest_values, review_history, verdict_contexts, feedback_observations, provider_signals,
+    allowed_sources, mock_entities, reopened_items, new_memberships, linked_repeats, run_summary, lead_statuses, stage_tallies, applied_matches, match_conflicts, applied_person_matches, assembled_signals, snapshot_as_of, exported_leads, crm_leads, review_table, filtered_reviews, review_queue,
+    newest_values, review_history, verdict_contexts, full_contexts, feedback_observations, provider_signals,
 )
 
 

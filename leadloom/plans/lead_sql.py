@@ -48,6 +48,22 @@ rl AS (SELECT lead, tier, score, fit, c_name AS name, 'c' || co || '.com' AS dom
 def oracle_sql(signals: str) -> dict[str, str]:
     full = f"a AS (SELECT c_custkey::VARCHAR AS id, unnest({COMPANY}) AS field FROM customer), al AS (SELECT id, field, status, list_contains({COMPANY}, field) AS critical FROM st UNION ALL SELECT id, field, 'UNKNOWN', true FROM a ANTI JOIN st USING (id, field))"
     status = lambda src: f"SELECT id, field, CASE WHEN count(DISTINCT key) > 1 THEN 'CONFLICT' WHEN count(*) >= 2 OR max(confidence) IN ('MEDIUM', 'HIGH') THEN 'SUPPORTED' ELSE 'INSUFFICIENT' END AS status FROM {src} GROUP BY 1, 2"
+    validated = f"""WITH {FACTS}, {PEOPLE}, {ASKED}, {COVERED}, g AS (SELECT id, {', '.join(f"max(CASE WHEN field = '{f}' AND status = 'SUPPORTED' AND NOT (field = 'country' AND key = 'null') THEN {'key' if f in ('industry', 'country', 'company_type') else 'value'} END) AS {f}" for f in ('company_identity', 'domain', 'industry', 'country', 'employee_count', 'employee_range', 'company_type'))} FROM st GROUP BY 1),
+            j AS (SELECT l.*, company_identity, domain, country, employee_count::INT AS emp, employee_range AS rng, vals, trim(regexp_replace(lower(vals[1]), '\\s+', ' ', 'g')) AS v1, list_transform(vals, lambda v: trim(regexp_replace(lower(v), '\\s+', ' ', 'g'))) AS vk,
+                CASE WHEN un.company_id IS NULL OR cv.vals IS NOT NULL THEN industry END AS proved, d1.stated AS s1, coalesce(company_type, CASE WHEN d2.stated IS NOT NULL THEN 'dtc brand' END) AS kind,
+                EXISTS (SELECT 1 FROM ps WHERE ps.id = person_id AND field = 'company_association' AND status = 'SUPPORTED' AND value = l.company_id) AND EXISTS (SELECT 1 FROM ps WHERE ps.id = person_id AND field = 'current_title' AND status = 'SUPPORTED') AS titled
+              FROM l LEFT JOIN g ON g.id = l.company_id LEFT JOIN cv USING (icp_id, company_id) LEFT JOIN un USING (icp_id, company_id) LEFT JOIN ds d1 ON d1.company_id = l.company_id AND d1.icp_id = l.icp_id AND d1.list = 'industries'
+              LEFT JOIN ds d2 ON d2.company_id = l.company_id AND d2.icp_id = l.icp_id AND d2.list = 'company_types'),
+            h AS (SELECT *, coalesce(proved, v1, CASE WHEN s1 IS NOT NULL THEN 'skincare' END) AS ind FROM j),
+            z AS (SELECT icp_id, company_id, person_id,
+              CASE WHEN icp_id = 'icp2' THEN 'NA' WHEN emp IS NOT NULL THEN CASE WHEN icp_id = 'icp0' AND emp < 10 THEN 'F:EMPLOYEE_TOO_SMALL' WHEN emp > CASE icp_id WHEN 'icp0' THEN 5000 ELSE 3000 END THEN 'F:EMPLOYEE_TOO_LARGE' ELSE 'P' END WHEN rng IS NOT NULL THEN 'P' ELSE 'H:EMPLOYEE_COUNT_UNKNOWN' END AS r1,
+              CASE WHEN icp_id = 'icp2' THEN 'NA' WHEN country IS NULL THEN 'H:GEOGRAPHY_UNKNOWN' WHEN (icp_id = 'icp0' AND country = 'US') OR (icp_id = 'icp1' AND country IN ('DE', 'atlantis')) THEN 'P' WHEN icp_id = 'icp0' AND country = 'DE' THEN 'F:WRONG_GEOGRAPHY' ELSE 'H:GEOGRAPHY_UNRESOLVED' END AS r2,
+              CASE WHEN ind IS NULL THEN 'H:INDUSTRY_UNKNOWN' WHEN list_contains(coalesce(vk, []), ind) OR (icp_id <> 'icp2' AND ind IN ('skincare', 'beauty')) OR (icp_id = 'icp1' AND ind = 'gift sets') OR (icp_id = 'icp2' AND ind = 'building') THEN 'P' ELSE 'F:INDUSTRY_MISMATCH' END AS r3,
+              CASE WHEN icp_id <> 'icp0' OR person_id IS NULL THEN 'NA' WHEN titled THEN 'P' ELSE 'H:TITLE_UNKNOWN' END AS r4, CASE WHEN icp_id <> 'icp1' THEN 'NA' WHEN kind IS NULL THEN 'H:COMPANY_TYPE_UNKNOWN' WHEN kind = 'dtc brand' THEN 'P' ELSE 'F:COMPANY_TYPE_EXCLUDED' END AS r5,
+              CASE WHEN icp_id <> 'icp0' THEN 'NA' WHEN kind = 'agency' THEN 'F:EXPLICIT_EXCLUSION' WHEN coalesce(company_identity, domain, ind, country, kind) IS NULL AND NOT titled THEN 'H:INSUFFICIENT_EVIDENCE' ELSE 'P' END AS r6 FROM h),
+            y AS (SELECT *, [r1, r2, r3, r4, r5, r6] AS rs FROM z)
+            SELECT icp_id, company_id, person_id, CASE WHEN len(list_filter(rs, lambda r: r LIKE 'F:%')) > 0 THEN 'FAIL' WHEN len(list_filter(rs, lambda r: r LIKE 'H:%')) > 0 THEN 'HOLD' ELSE 'PASS' END AS overall,
+              array_to_string(list_transform(list_concat(list_filter(rs, lambda r: r LIKE 'F:%'), list_filter(rs, lambda r: r LIKE 'H:%')), lambda r: r[3:]), ',') AS reasons FROM y"""
     return {
         "comparison_keys": """SELECT o_orderkey, CASE WHEN o_orderkey % 9 < 2 THEN CASE WHEN (o_orderkey // 9) % 2 = 0 THEN 'geo:US' ELSE (['u.s.a.', 'united states'])[o_orderkey % 9 + 1] END
             ELSE (['', '', 'emea', '50', '50', '50.0', '{"a": 1, "b": [1, {"c": 1, "d": 2}]}', 'null', 'true'])[o_orderkey % 9 + 1] END AS key FROM orders""",
@@ -91,22 +107,7 @@ def oracle_sql(signals: str) -> dict[str, str]:
         "corroborated_terms": f"WITH {FACTS}, {ASKED}, {COVERED} SELECT icp_id, company_id, corroborated FROM cv",
         "unprovable_industries": f"WITH {FACTS}, {ASKED}, {COVERED} SELECT * FROM un",
         "described_terms": f"WITH {FACTS}, {ASKED}, {COVERED} SELECT * FROM ds",
-        "validated_leads": f"""WITH {FACTS}, {PEOPLE}, {ASKED}, {COVERED}, g AS (SELECT id, {', '.join(f"max(CASE WHEN field = '{f}' AND status = 'SUPPORTED' AND NOT (field = 'country' AND key = 'null') THEN {'key' if f in ('industry', 'country', 'company_type') else 'value'} END) AS {f}" for f in ('company_identity', 'domain', 'industry', 'country', 'employee_count', 'employee_range', 'company_type'))} FROM st GROUP BY 1),
-            j AS (SELECT l.*, company_identity, domain, country, employee_count::INT AS emp, employee_range AS rng, vals, trim(regexp_replace(lower(vals[1]), '\\s+', ' ', 'g')) AS v1, list_transform(vals, lambda v: trim(regexp_replace(lower(v), '\\s+', ' ', 'g'))) AS vk,
-                CASE WHEN un.company_id IS NULL OR cv.vals IS NOT NULL THEN industry END AS proved, d1.stated AS s1, coalesce(company_type, CASE WHEN d2.stated IS NOT NULL THEN 'dtc brand' END) AS kind,
-                EXISTS (SELECT 1 FROM ps WHERE ps.id = person_id AND field = 'company_association' AND status = 'SUPPORTED' AND value = l.company_id) AND EXISTS (SELECT 1 FROM ps WHERE ps.id = person_id AND field = 'current_title' AND status = 'SUPPORTED') AS titled
-              FROM l LEFT JOIN g ON g.id = l.company_id LEFT JOIN cv USING (icp_id, company_id) LEFT JOIN un USING (icp_id, company_id) LEFT JOIN ds d1 ON d1.company_id = l.company_id AND d1.icp_id = l.icp_id AND d1.list = 'industries'
-              LEFT JOIN ds d2 ON d2.company_id = l.company_id AND d2.icp_id = l.icp_id AND d2.list = 'company_types'),
-            h AS (SELECT *, coalesce(proved, v1, CASE WHEN s1 IS NOT NULL THEN 'skincare' END) AS ind FROM j),
-            z AS (SELECT icp_id, company_id, person_id,
-              CASE WHEN icp_id = 'icp2' THEN 'NA' WHEN emp IS NOT NULL THEN CASE WHEN icp_id = 'icp0' AND emp < 10 THEN 'F:EMPLOYEE_TOO_SMALL' WHEN emp > CASE icp_id WHEN 'icp0' THEN 5000 ELSE 3000 END THEN 'F:EMPLOYEE_TOO_LARGE' ELSE 'P' END WHEN rng IS NOT NULL THEN 'P' ELSE 'H:EMPLOYEE_COUNT_UNKNOWN' END AS r1,
-              CASE WHEN icp_id = 'icp2' THEN 'NA' WHEN country IS NULL THEN 'H:GEOGRAPHY_UNKNOWN' WHEN (icp_id = 'icp0' AND country = 'US') OR (icp_id = 'icp1' AND country IN ('DE', 'atlantis')) THEN 'P' WHEN icp_id = 'icp0' AND country = 'DE' THEN 'F:WRONG_GEOGRAPHY' ELSE 'H:GEOGRAPHY_UNRESOLVED' END AS r2,
-              CASE WHEN ind IS NULL THEN 'H:INDUSTRY_UNKNOWN' WHEN list_contains(coalesce(vk, []), ind) OR (icp_id <> 'icp2' AND ind IN ('skincare', 'beauty')) OR (icp_id = 'icp1' AND ind = 'gift sets') OR (icp_id = 'icp2' AND ind = 'building') THEN 'P' ELSE 'F:INDUSTRY_MISMATCH' END AS r3,
-              CASE WHEN icp_id <> 'icp0' OR person_id IS NULL THEN 'NA' WHEN titled THEN 'P' ELSE 'H:TITLE_UNKNOWN' END AS r4, CASE WHEN icp_id <> 'icp1' THEN 'NA' WHEN kind IS NULL THEN 'H:COMPANY_TYPE_UNKNOWN' WHEN kind = 'dtc brand' THEN 'P' ELSE 'F:COMPANY_TYPE_EXCLUDED' END AS r5,
-              CASE WHEN icp_id <> 'icp0' THEN 'NA' WHEN kind = 'agency' THEN 'F:EXPLICIT_EXCLUSION' WHEN coalesce(company_identity, domain, ind, country, kind) IS NULL AND NOT titled THEN 'H:INSUFFICIENT_EVIDENCE' ELSE 'P' END AS r6 FROM h),
-            y AS (SELECT *, [r1, r2, r3, r4, r5, r6] AS rs FROM z)
-            SELECT icp_id, company_id, person_id, CASE WHEN len(list_filter(rs, lambda r: r LIKE 'F:%')) > 0 THEN 'FAIL' WHEN len(list_filter(rs, lambda r: r LIKE 'H:%')) > 0 THEN 'HOLD' ELSE 'PASS' END AS overall,
-              array_to_string(list_transform(list_concat(list_filter(rs, lambda r: r LIKE 'F:%'), list_filter(rs, lambda r: r LIKE 'H:%')), lambda r: r[3:]), ',') AS reasons FROM y""",
+        "validated_leads": validated,
         "cited_rows": f"""WITH {FACTS}, {PEOPLE}, {ASKED}, {COVERED}, ok AS (SELECT id, field FROM st WHERE status = 'SUPPORTED'), hit AS (SELECT id, list(field) AS fs FROM ok GROUP BY 1),
             x AS (SELECT l.icp_id, l.company_id, person_id, CASE WHEN list_contains(fs, 'industry') AND NOT (un.company_id IS NOT NULL AND cv.vals IS NULL) THEN 'industry' WHEN cv.vals IS NOT NULL THEN 'COVERED' WHEN d1.stated IS NOT NULL THEN 'DESCRIBED' END AS ind,
                 CASE WHEN d2.stated IS NOT NULL AND NOT coalesce(list_contains(fs, 'company_type'), false) THEN 'DESCRIBED' ELSE 'company_type' END AS kind, CASE WHEN list_contains(fs, 'employee_count') THEN 'employee_count' ELSE 'employee_range' END AS emp,
@@ -125,8 +126,8 @@ def oracle_sql(signals: str) -> dict[str, str]:
         "profile_errors": """SELECT c_custkey AS icp_id, concat_ws(',', CASE WHEN c_custkey % 14 = 0 THEN 'EMPLOYEE_RANGE_REVERSED' END,
             CASE WHEN c_custkey % 3 > 0 AND c_custkey % 4 > 0 AND c_custkey % 5 > 0 AND c_custkey % 7 > 0 AND c_custkey % 2 > 0 THEN 'PROFILE_EMPTY' END, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 = 0 THEN 'GEOGRAPHY_REPEATED' END,
             CASE WHEN c_custkey % 9 = 0 THEN 'EXCLUSION_IS_ALLOWED' END) AS errors FROM customer""",
-        "canonical_profiles": """WITH k AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 0 WHEN c_custkey % 5 = 0 THEN 1 ELSE 2 END AS g FROM customer)
-            SELECT k AS icp_id, CASE WHEN k % 3 = 0 THEN 'Skin care,Beauty' ELSE '' END AS industries, (['US', 'FR', ''])[g + 1] AS country_codes, (['usa', 'France', ''])[g + 1] AS country_texts, (['EMEA', 'Narnia', ''])[g + 1] AS other_places, CASE WHEN k % 9 = 0 THEN 'beauty' ELSE '' END AS excluded,
+        "canonical_profiles": """WITH k AS (SELECT c_custkey AS k, c_mktsegment, CASE WHEN c_custkey % 4 = 0 THEN 0 WHEN c_custkey % 5 = 0 THEN 1 ELSE 2 END AS g FROM customer)
+            SELECT k AS icp_id, CASE WHEN k % 3 = 0 THEN 'Skin care,Beauty' ELSE '' END AS industries, (['US', 'FR', ''])[g + 1] AS country_codes, (['usa', 'France', ''])[g + 1] AS country_texts, (['EMEA', 'Narnia', ''])[g + 1] AS other_places, CASE WHEN k % 9 = 0 THEN 'beauty' ELSE '' END AS excluded, 'sells to ' || c_mktsegment || ',Ships abroad' AS custom_rules,
               CASE WHEN k % 7 = 0 THEN 50 END AS min_employees FROM k""",
         "projected_filters": """WITH e AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS p, (l_linenumber + (l_orderkey % 10 = 0)::INT - 1) % 8 AS i FROM lineitem), b AS (SELECT *, CASE WHEN i = 7 THEN 'UNKNOWN_KEY:colour' WHEN i = 4 AND o % 17 = 0 THEN 'INVALID_OPERATOR:custom' END AS bad FROM e),
             g AS (SELECT o, coalesce(string_agg(bad, ',' ORDER BY bad), '') AS errors, coalesce(string_agg('t' || p, ',' ORDER BY p) FILTER (i IN (0, 6)), '') AS industry, coalesce(string_agg('t' || p, ',' ORDER BY p) FILTER (i = 1), '') AS geography, coalesce(max('t' || p) FILTER (i = 3), '') AS exclusions,
@@ -168,6 +169,13 @@ def oracle_sql(signals: str) -> dict[str, str]:
               count(*) FILTER (hard = 'PASS' AND human IS NULL) AS review_pending_count, count(human) AS reviewed_count, count(tier) AS ranked_count FROM t GROUP BY 1)
             SELECT *, CASE icp_id WHEN 'BUILDING' THEN 2 ELSE 0 END::BIGINT AS failed_count, CASE icp_id WHEN 'BUILDING' THEN 'COMPLETED_WITH_ERRORS' ELSE 'COMPLETED' END AS status FROM g
             UNION ALL SELECT 'OTHER', 0, 0, 0, 0, 0, 0, 0, 0, 0, 'COMPLETED'""",
+        "lead_statuses": f"""WITH {signals} SELECT icp_id, k AS lead_id, k % 97 AS company_id, CASE WHEN k % 3 = 0 THEN k + 1 END AS person_id, outcome AS batch_outcome, hard AS hard_rule_result,
+            CASE WHEN k % 9 = 0 THEN 'CONFLICTED' WHEN hard <> 'PASS' THEN 'INSUFFICIENT_EVIDENCE' WHEN k % 4 = 0 THEN 'PARTIALLY_VERIFIED' ELSE 'VERIFIED' END AS readiness, tier AS ranking_tier, human AS human_review_decision, hard = 'PASS' AND human IS NULL AS human_review_pending FROM t""",
+        "stage_tallies": f"""WITH {signals}, i AS (SELECT c_mktsegment AS icp_id, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS bad FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+            g AS (SELECT icp_id, count(*) AS leads, count(human) AS done, count(*) FILTER (hard = 'PASS' AND human IS NULL) AS waiting, count(tier) AS ranked FROM t GROUP BY 1), b AS (SELECT icp_id, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, coalesce(leads, 0) AS leads, coalesce(done, 0) AS done, coalesce(waiting, 0) AS waiting, coalesce(ranked, 0) AS ranked FROM i FULL JOIN g USING (icp_id)),
+            s(position, stage) AS (VALUES (0, 'DISCOVERY'), (1, 'COMPANY_RESOLUTION'), (2, 'ENRICHMENT'), (3, 'PEOPLE_DISCOVERY_RESOLUTION'), (4, 'EVIDENCE'), (5, 'HARD_VALIDATION'), (6, 'VERIFICATION'), (7, 'BUSINESS_MODEL_SIGNALS'), (8, 'SCORING'), (9, 'LLM_QUALIFICATION'), (10, 'ADVERSARIAL_REVIEW'), (11, 'DEDUPLICATION'))
+            SELECT icp_id, position, stage, n AS attempted, n - bad AS succeeded, bad AS failed, 0::BIGINT AS pending FROM b, s UNION ALL SELECT icp_id, 12, 'HUMAN_REVIEW', leads, done, 0, waiting FROM b UNION ALL SELECT icp_id, 13, 'RANKING', leads, ranked, 0, 0 FROM b
+            UNION ALL SELECT icp_id, 14, 'CONFIDENCE', leads, leads, 0, 0 FROM b UNION ALL SELECT icp_id, 15, 'EXPORT', 1, 1, 0, 0 FROM b""",
         "applied_matches": f"WITH {MATCHED} SELECT company_id, domain, 'Old name' || coalesce('|' || alias, '') AS aliases, coalesce(ids, '') AS ids FROM af",
         "match_conflicts": f"""WITH {MATCHED}, x AS (SELECT concat_ws(',', CASE WHEN m.dom IS NOT NULL AND m.dom IS DISTINCT FROM af.domain THEN 'domain_conflict' END, CASE WHEN m.ext <> id.own THEN 'provider_identity_conflict' END) AS conflicts
             FROM m JOIN af ON m.s = company_id JOIN id ON id.s = m.s AND id.prov = m.prov) SELECT conflicts, count(*) AS n FROM x GROUP BY 1""",
@@ -205,6 +213,11 @@ def oracle_sql(signals: str) -> dict[str, str]:
             x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY f, field, left(value, 9)) AS n FROM e), y AS (SELECT company_id, 0 AS side, x.n, field, value FROM l JOIN x ON id = company_id WHERE x.n <= 6 UNION ALL SELECT company_id, 1, x.n, field, value FROM l JOIN x ON id = person_id WHERE x.n <= 6),
             z AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY side, n) AS p FROM y), t AS (SELECT company_id, count(*) AS n, string_agg(field || '=' || left(value, 9), '|' ORDER BY field || '=' || left(value, 9)) AS told FROM z WHERE p <= 6 GROUP BY 1)
             SELECT l.company_id AS lead_id, coalesce(t.n, 0)::INT AS n, 'company_id' AS first, coalesce(told, '') AS told FROM l LEFT JOIN t USING (company_id)""",
+        "full_contexts": f"""WITH q AS ({validated}), {FACTS}, {PEOPLE}, {ASKED}, {COVERED}, cf AS (SELECT id, coalesce(string_agg(field, ',' ORDER BY field) FILTER (status = 'CONFLICT'), '') AS bad, list(field) AS seen FROM st GROUP BY 1),
+            od AS (SELECT o_custkey::VARCHAR AS id, count(*) AS n, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS s FROM orders GROUP BY 1), ec AS (SELECT id, count(DISTINCT (field, value)) AS n FROM w GROUP BY 1), ep AS (SELECT id, count(DISTINCT (field, value)) AS n FROM pw GROUP BY 1)
+            SELECT l.company_id AS lead_id, overall AS hard_rule_result, q.reasons, 6 AS n_rules, array_to_string(vals, ',') AS keyword_terms, bad AS conflicting_fields, array_to_string(list_filter({COMPANY}, lambda x: NOT list_contains(seen, x)), ',') AS missing_fields,
+              od.n AS n_orders, od.s AS signals, least(40, coalesce(ec.n, 0) + coalesce(ep.n, 0))::INT AS n_evidence
+            FROM l JOIN q USING (company_id) LEFT JOIN cv ON cv.company_id = l.company_id AND cv.icp_id = l.icp_id LEFT JOIN cf ON cf.id = l.company_id LEFT JOIN od ON od.id = l.company_id LEFT JOIN ec ON ec.id = l.company_id LEFT JOIN ep ON ep.id = l.person_id""",
         "feedback_observations": """WITH h AS (SELECT o_orderstatus AS icp, o_custkey AS co, max((['FAIL', 'HOLD', 'PASS'])[o_orderkey % 3 + 1]) AS hard FROM orders GROUP BY 1, 2), g AS (SELECT o_orderkey + 5 AS ref, o_orderstatus AS icp, (['GOOD_FIT', 'WEAK_FIT', 'NOT_FIT', 'HOLD'])[o_orderkey % 4 + 1] AS decision FROM orders),
             s AS (SELECT ref, g.icp, decision, o.o_custkey AS co, unnest(list_filter([CASE WHEN hard IS NOT NULL THEN 'hard_rule_result:' || hard END, CASE WHEN c_custkey % 3 IN (0, 1) THEN 'business_model:DTC' END, CASE WHEN c_custkey % 3 = 1 THEN 'business_model:HYBRID' END, CASE WHEN c_custkey % 3 = 1 THEN 'business_model:B2B' END,
               CASE WHEN c_nationkey % 2 = 0 THEN 'commercial_signal:NATION_' || c_nationkey END, ''], lambda v: v IS NOT NULL)) AS v FROM g LEFT JOIN orders o ON o.o_orderkey = ref LEFT JOIN customer ON c_custkey = o.o_custkey LEFT JOIN h ON h.icp = g.icp AND h.co = o.o_custkey)
