@@ -7,7 +7,7 @@ from leadloom.operators import leads as L
 from leadloom.operators import ranking as R
 from leadloom.operators import rules as P
 from leadloom.sources import export as S
-from leadloom.streaming.ingest import create_store, ingest_batch
+from leadloom.streaming.ingest import create_store, ingest_batch, read_store
 from pyspark.sql import functions as F
 
 
@@ -110,5 +110,5 @@ def test_a_stream_of_evidence_adds_each_row_once(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(source)
         stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{tmp_path}/offsets").trigger(availableNow=True).start().awaitTermination()
     run(spark.createDataFrame(second, KIND), 2)
-    assert spark.read.parquet(store).count() == 3
+    assert read_store(spark, store).count() == 3
     assert seen == {0: {"a": "INSUFFICIENT", "b": "INSUFFICIENT"}, 1: {"a": "CONFLICT", "b": "INSUFFICIENT"}, 2: {"a": "CONFLICT", "b": "INSUFFICIENT"}}
