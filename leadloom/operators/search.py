@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import email_confidence, normalize_domain
+from ..functions.text import email_confidence, normalize_domain, profile_id
 
 # Size buckets; hosts that are nobody's homepage; paths of directories; words that tell nothing; what block pages say.
 SIZES = (("1-10", 1, 10), ("11-50", 11, 50), ("51-200", 51, 200), ("201-500", 201, 500), ("501-1000", 501, 1000), ("1001-5000", 1001, 5000), ("5001-10000", 5001, 10000), ("10001+", 10001, None))
@@ -90,26 +90,69 @@ def homepages(candidates: DataFrame, results: DataFrame) -> DataFrame:
     return good.where("domain is not null").groupBy("candidate_id").agg(F.min_by("domain", F.struct("position", "domain")).alias("domain"))
 
 
-#: How stored answers of person and company services are read.
-PROFILE = "name string, headline string, public_identifier string, current_positions array<struct<role: string, company: string>>, email string, email_status string, phone string, inception string, employees string, valid struct<value: boolean>"
+# For each form of stored answer where its rows, their id and their name are, and what each field is read from, as (path, kind).
+FORMS = {
+    "people_search": ("$.items", "$.id", "$.name", {"current_title": ("$.current_positions[0].role", "text"), "company_association": ("$.current_positions[0].company", "text")}),
+    "person_match": ("$.person", "$.id", "$.name", {"current_title": ("$.title", "text"), "email": ("$.email", "text"), "email_status": ("$.email_status", "text"), "linkedin_url": ("$.linkedin_url", "text"), "organization_name": ("$.organization_name", "text")}),
+    "registry": ("$.results.bindings", None, "$.itemLabel.value", {"industry": ("$.industryLabel.value", "text"), "country": ("$.countryLabel.value", "text"), "founded_year": ("$.inception.value", "year")}),
+    "filings": (None, None, None, {"industry": ("$.sicDescription", "text"), "country": ("$.addresses.business.stateOrCountryDescription", "text")}),
+    "email_check": (None, None, None, {"email_is_disposable": ("$.is_disposable_email.value", "flag"), "email_is_role_address": ("$.is_role_email.value", "flag"), "email_is_catchall": ("$.is_catchall_email.value", "flag")}),
+    "phone_check": (None, None, None, {"phone_is_valid": ("$.valid", "flag"), "phone_line_type": ("$.type", "word"), "phone_carrier": ("$.carrier", "word")}),
+}
+PROFILE_HOST = "https://www.linkedin.com/"
+
+
+def _value(row: Column, path: str, kind: str) -> Column:
+    """What a path of a parsed row holds, as text: a flag only if it is a boolean, a word only if it is a string, of a date the year; blanks are nothing."""
+    text = F.nullif(F.try_variant_get(row, path, "string"), F.lit(""))
+    if kind == "text":
+        return text
+    if kind == "year":
+        return F.nullif(F.regexp_extract(text, r"^(\d{4})", 1), F.lit(""))
+    held = F.schema_of_variant(F.try_variant_get(row, path, "variant"))
+    return F.when(held == ("BOOLEAN" if kind == "flag" else "STRING"), text)
+
+
+def _profile_link(row: Column) -> Column:
+    """A person's public address: the one given, else of the identifier, else the profile's if it is public."""
+    given, handle, other = (_value(row, f"$.{n}", "text") for n in ("public_profile_url", "public_identifier", "profile_url"))
+    return F.coalesce(given, F.concat(F.lit(PROFILE_HOST + "in/"), handle), F.when(F.contains(other, F.lit("linkedin.com/in/")), other))
 
 
 def vendor_facts(answers: DataFrame) -> DataFrame:
-    """(entity_id, provider, field, value) for each fact that a stored answer (entity_id, provider, body as JSON) states.
+    """(entity_id, provider, external_id, name, field, value) for each fact that a stored answer (entity_id, provider, form, body as JSON) states.
 
-    Of a profile the first position's role is the current title; of a registry
-    date the year; a check's verdict is its boolean. What is absent stays absent.
+    Each body is parsed once, and read by the table of its form. A people
+    search gives a record a person who has an id and a name; a registry
+    answer the first value of each field in its rows. What is absent or blank
+    stays absent; bodies that are no JSON and forms that are not known give
+    nothing. An answer without a record's id goes by its entity.
     """
-    b = F.from_json("body", PROFILE)
-    role = F.coalesce(F.get(b["current_positions"], F.lit(0))["role"], b["headline"])
-    items = F.array(*[
-        F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"))
-        for f, v in (
-            ("person_identity", b["name"]), ("current_title", role), ("linkedin_id", b["public_identifier"]), ("email", b["email"]), ("email_status", b["email_status"]), ("phone", b["phone"]),
-            ("founded_year", F.nullif(F.regexp_extract(b["inception"], r"^[+]?(\d{4})-", 1), F.lit(""))), ("employee_count", b["employees"].try_cast("int")), ("is_valid", b["valid"]["value"]),
-        )
-    ])
-    return answers.select("entity_id", "provider", F.inline(F.filter(items, lambda i: i["value"].isNotNull() & (i["value"] != ""))))
+    c = F.col
+    known = answers.where(c("form").isin(*FORMS)).select("entity_id", "provider", "form", F.explode(F.array(F.try_parse_json("body"))).alias("v")).where(c("v").isNotNull())
+    out = None
+    for form, (rows, key, name, fields) in FORMS.items():
+        own = known.where(c("form") == form)
+        if form == "people_search":
+            own = own.select("entity_id", "provider", F.explode(F.try_variant_get("v", rows, "array<variant>")).alias("v"))
+            link = profile_id(F.create_map(F.lit("linkedin_id"), F.lit(None).cast("string"), F.lit("linkedin_url"), _profile_link(c("v"))))
+            read = {f: _value(c("v"), *how) for f, how in fields.items()} | {"linkedin_id": link, "linkedin_url": F.concat(F.lit(PROFILE_HOST), link)}
+        elif form == "registry":
+            own = own.select("entity_id", "provider", F.try_variant_get("v", rows, "array<variant>").alias("v"))
+            first = lambda path, kind: F.get(F.filter(F.transform("v", lambda x: _value(x, path, kind)), lambda x: x.isNotNull()), F.lit(0))
+            read = {f: first(*how) for f, how in fields.items()}
+        else:
+            if rows:
+                own = own.select("entity_id", "provider", F.try_variant_get("v", rows, "variant").alias("v")).where(c("v").isNotNull())
+            read = {f: _value(c("v"), *how) for f, how in fields.items()}
+        ident = _value(c("v"), key, "text") if key else F.lit(None).cast("string")
+        called = F.lit(None).cast("string") if not name else first(name, "text") if form == "registry" else _value(c("v"), name, "text")
+        facts = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), x.alias("value")) for f, x in read.items()]), lambda i: i["value"].isNotNull())
+        if form == "people_search":
+            own = own.where(ident.isNotNull() & called.isNotNull())
+        made = own.select("entity_id", "provider", F.coalesce(ident, c("entity_id").cast("string")).alias("external_id"), called.alias("name"), F.inline(facts))
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 def stated_confidence(facts: DataFrame) -> DataFrame:

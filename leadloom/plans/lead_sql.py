@@ -150,8 +150,15 @@ def oracle_sql(signals: str) -> dict[str, str]:
               CASE u WHEN 0 THEN (['Acme', 'Acme - Crunchbase Company Profile & Funding', 'Acme Ltd - Engineer', 'acme-co'])[t + 1] WHEN 2 THEN (['Acme: the shop | Y Combinator', 'Acme', 'Acme Ltd - Engineer', 'acme'])[t + 1]
                 WHEN 3 THEN (['Acme: the shop', 'Acme', 'Acme Ltd', 'acme-co'])[t + 1] WHEN 4 THEN 'Acme Labs' END AS name, u = 5 AS homepage, b > 0 AS blocked FROM k""",
         "resolved_homepages": """SELECT o_custkey AS candidate_id, 'shop' || min(o_orderkey) || '.com' AS domain FROM orders WHERE o_orderkey % 8 IN (0, 2) AND ((o_custkey % 3 = 0 AND (o_orderkey // 8) % 3 = 0) OR (o_custkey % 3 = 2 AND (o_orderkey // 8) % 3 <> 1)) GROUP BY 1""",
-        "vendor_facts": """WITH v(i, field, value, confidence) AS (VALUES (0, 'person_identity', 'Ann Lee', 'UNKNOWN'), (0, 'current_title', 'CEO', 'UNKNOWN'), (0, 'linkedin_id', 'ann', 'UNKNOWN'), (1, 'email', 'a@b.c', 'HIGH'), (1, 'email_status', 'verified', 'UNKNOWN'), (2, 'email', 'a@b.c', 'LOW'),
-            (2, 'email_status', 'guessed', 'UNKNOWN'), (3, 'founded_year', '1998', 'UNKNOWN'), (3, 'employee_count', '120', 'UNKNOWN'), (4, 'is_valid', 'true', 'UNKNOWN')) SELECT o_orderkey AS entity_id, 'v' || i AS provider, field, value, confidence FROM orders JOIN v ON i = o_orderkey % 6""",
+        "vendor_facts": """WITH a AS (SELECT o_orderkey AS k, c_name, c_mktsegment AS seg, o_orderpriority AS pri, o_orderdate, c_nationkey, (['verified', 'guessed', NULL, NULL])[(o_orderkey // 6) % 4 + 1] AS st FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 11 <> 0),
+            f AS (SELECT k, k::VARCHAR AS external_id, c_name AS name, unnest(['current_title', 'company_association', 'linkedin_id', 'linkedin_url']) AS field, unnest(['Head of ' || pri, seg, 'in/p' || k, 'https://www.linkedin.com/in/p' || k]) AS value FROM a WHERE k % 6 = 0
+              UNION ALL SELECT k, k || 'b', 'Bo', unnest(['linkedin_id', 'linkedin_url']), unnest(['in/bo', 'https://www.linkedin.com/in/bo']) FROM a WHERE k % 6 = 0
+              UNION ALL SELECT k, k::VARCHAR, c_name, unnest(['current_title', 'email', 'email_status']), unnest([seg, k || '@x.com', st]) FROM a WHERE k % 6 = 1
+              UNION ALL SELECT k, k::VARCHAR, 'first', unnest(['industry', 'founded_year']), unnest([seg, year(o_orderdate)::VARCHAR]) FROM a WHERE k % 6 = 2
+              UNION ALL SELECT k, k::VARCHAR, NULL, unnest(['industry', 'country']), unnest([seg, 'N' || c_nationkey]) FROM a WHERE k % 6 = 3
+              UNION ALL SELECT k, k::VARCHAR, NULL, 'email_is_disposable', (k % 4 = 0)::VARCHAR FROM a WHERE k % 6 = 4
+              UNION ALL SELECT k, k::VARCHAR, NULL, unnest(['phone_is_valid', 'phone_line_type']), unnest([(k % 4 = 1)::VARCHAR, (['mobile', 'fixed'])[(k // 6) % 2 + 1]]) FROM a WHERE k % 6 = 5)
+            SELECT f.k AS entity_id, 'v' || (f.k % 6) AS provider, external_id, name, field, value, CASE WHEN field = 'email' AND st = 'verified' THEN 'HIGH' WHEN field = 'email' AND st = 'guessed' THEN 'LOW' ELSE 'UNKNOWN' END AS confidence FROM f JOIN a USING (k) WHERE value IS NOT NULL""",
         "vendor_records": """SELECT o_custkey AS run_id, o_orderkey::VARCHAR AS external_id, CASE o_orderkey % 3 WHEN 0 THEN 'Acme' ELSE 'B "x"' END AS name, 'employee_count' AS only, (o_orderkey % 5)::VARCHAR AS employee_count FROM orders WHERE o_orderkey % 7 > 0 AND o_orderkey % 3 <> 1""",
         "profile_ids": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'in/ann' ELSE (['in/bob', 'in/x', ' company/y', NULL])[(o_orderkey // 3) % 4 + 1] END AS profile_id FROM orders",
         "branch_sightings": """WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS seq, min(l_partkey) AS p, min(l_returnflag) AS f, min(l_linestatus) AS st, min(l_quantity) AS q FROM lineitem GROUP BY 1),
