@@ -88,16 +88,16 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-OP5_SQL = f"""
+OP5_SQL = """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 h AS (SELECT *, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM d),
 e AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines)
-        OR (i > 1 AND (hs[i - 1] * {line_dedup.FACTOR} + hs[i]) % {line_dedup.DIVISOR} = 0)) AS ends FROM h),
+        OR (i > 1 AND (hs[i - 1] * 31 + hs[i]) % 3 = 0)) AS ends FROM h),
 c AS (SELECT doc_id, k, CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END AS b, ends[k] AS e, lines
       FROM e, LATERAL (SELECT unnest(range(1, len(ends) + 1)) AS k)),
 t AS (SELECT doc_id, k, e - b AS n_lines, array_to_string(lines[b + 1 : e], chr(10)) AS body FROM c),
-r AS (SELECT *, n_lines >= {line_dedup.MIN_LINES} AND length(body) >= {line_dedup.MIN_CHARS}
-        AND row_number() OVER (PARTITION BY body, n_lines >= {line_dedup.MIN_LINES} ORDER BY doc_id, k) > 1 AS gone FROM t)
+r AS (SELECT *, n_lines >= 2 AND length(body) >= 40
+        AND row_number() OVER (PARTITION BY body, n_lines >= 2 ORDER BY doc_id, k) > 1 AS gone FROM t)
 SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS n_removed,
   sha256(coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
 FROM r GROUP BY doc_id

@@ -310,4 +310,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def not_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below their language's threshold; all of them without both labels."""
     model = train(docs, labels, id_col, text_col, lang_col)
-    return docs.where(score_column(docs, model, text_col) < threshold_column(model, lang_col if lang_col in docs.columns else "")).select(*docs.columns)
+    return docs.where(score_column(docs, model, text_col) < threshold_column(model, lang_col if lang_col in docs.columns else "")).select(*[F.col(f"`{c}`") for c in docs.columns])

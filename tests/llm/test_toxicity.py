@@ -60,6 +60,8 @@ def test_defined_cases(spark):
     assert T.toxicity(docs.limit(0), made).collect() == []
     kept = T.not_toxic(docs, made)
     assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
+    odd = docs.selectExpr("*", "1 AS `a.b`", "4 AS `x y`")
+    assert T.not_toxic(odd, made).columns == odd.columns and T.not_toxic(odd, made).count() == kept.count()
 
 
 def test_without_both_labels_nothing_is_rejected(spark):
