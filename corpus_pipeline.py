@@ -15,8 +15,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the chunks of lines that an earlier one has; n_chars follows the text."""
-    return line_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Every document without the runs of lines that occurred before; n_chars follows the text."""
+    return line_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

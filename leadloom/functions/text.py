@@ -75,7 +75,7 @@ def _sorted_json(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     def one(text: str | None) -> str | None:
         try:
             return None if text is None else json.dumps(json.loads(text), sort_keys=True)
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested too deep to be read
             return text
 
     for part in texts:

@@ -223,3 +223,21 @@ def test_rules_cite_the_branch_that_decided(spark):
     assert got[("c", "p")] == company | {"allowed_titles": [102, 103], "exclusions": [8, 9, 102, 103]}
     assert got[("c", "q")] == company | {"exclusions": [8, 9]}
     assert got[("d", None)] == {"company_type": [16], "exclusions": [16, 17, 18]}
+
+
+def test_stored_answers_are_read_by_their_form(spark):
+    """Wrong types, missing parts, rows without a name, answers that are no JSON and forms nobody knows."""
+    from leadloom.operators import search as S
+
+    rows = [
+        (1, "people_search", '{"items": [{"id": 7, "name": "Ann", "current_positions": []}, {"id": null, "name": "x", "public_identifier": "x"}, "text", {"id": "8", "name": "Bo", "public_profile_url": "https://www.linkedin.com/in/Bo/", "public_identifier": "no"}]}'),
+        (2, "people_search", '{"items": "none"}'), (3, "person_match", '{"person": null}'), (4, "person_match", '{"person": {"title": "", "email": "a@b.c"}}'),
+        (5, "registry", '{"results": {"bindings": [{"countryLabel": {}}, {"countryLabel": {"value": "France"}, "inception": {"value": "c. 1999"}}, {"countryLabel": {"value": "Spain"}, "inception": {"value": "2010-01-01T00:00:00Z"}}]}}'),
+        (6, "filings", '{"addresses": null, "sicDescription": "Tea"}'), (7, "email_check", '{"is_role_email": {"value": "true"}, "is_catchall_email": {"value": false}}'),
+        (8, "phone_check", '{"valid": "yes", "type": 3, "carrier": "Tel"}'), (9, "filings", "{broken"), (10, "nobody", '{"name": "x"}'), (11, None, None), (12, "filings", None),
+    ]
+    got = S.vendor_facts(spark.createDataFrame([(k, "p", f, b) for k, f, b in rows], "entity_id long, provider string, form string, body string")).collect()
+    assert sorted((r.entity_id, r.external_id, r.field, r.value) for r in got) == [
+        (1, "8", "linkedin_id", "in/bo"), (1, "8", "linkedin_url", "https://www.linkedin.com/in/bo"), (4, "4", "email", "a@b.c"), (5, "5", "country", "France"), (5, "5", "founded_year", "2010"),
+        (6, "6", "industry", "Tea"), (7, "7", "email_is_catchall", "false"), (8, "8", "phone_carrier", "Tel"),
+    ]
