@@ -21,6 +21,7 @@ from ..operators import provenance as O
 from ..operators import ranking as R
 from ..operators import rounds as B
 from ..operators import search as S
+from ..operators import signals as N
 from ..operators import tuning as U
 from ..operators import validation as Z
 from ..operators import verdicts as V
@@ -500,6 +501,25 @@ def exported_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.export_values(_exported(spark, sf_dir).select(*X.COLUMNS))
 
 
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested export, written and read again: leads by profile and tier, beside what the export's heads say of the profile."""
+    path = f"{application_folder(spark)}/export-{uuid.uuid4().hex}"
+    X.write_json(_exported(spark, sf_dir), path)
+    leads, heads = spark.read.json(f"{path}/leads"), spark.read.json(f"{path}/metadata")
+    made = leads.groupBy("icp_id", "tier").agg(F.count("*").alias("n"), F.min("rank").alias("best"), F.count(c("identity.person_id")).alias("n_people"))
+    return made.join(heads.select("icp_id", "lead_count"), "icp_id")
+
+
+def value_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON values: lists, objects, strings, numbers and nothing."""
+    k = c("c_custkey")
+    forms = (F.to_json(F.array("c_name", "c_mktsegment")), F.to_json(F.struct(c("c_mktsegment").alias("b"), k.alias("a"))), F.concat(F.lit('"'), "c_name", F.lit('"')), k.cast("string"))
+    value = F.lit(None).cast("string")
+    for n, form in enumerate(forms):
+        value = F.when(F.pmod(k, F.lit(5)) == n, form).otherwise(value)
+    return A.table(spark, sf_dir, "customer").select(k.alias("id"), N.value_text(value).alias("text"))
+
+
 def crm_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _exported(spark, sf_dir)
     one, other = X.crm_rows(rows, "hubspot"), X.crm_rows(rows, "salesforce")
@@ -589,7 +609,7 @@ def provider_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     comparison_keys, fact_status, all_fields, lead_fields, supported_values, conflicting_facts, supporting_evidence, verified_fields, field_freshness, split_seen, streamed_status, company_evidence, person_evidence, fact_evidence, discovery_matches, corroborated_terms, unprovable_industries,
     described_terms, validated_leads, cited_rows, profile_errors, canonical_profiles, projected_filters, extracted_filters, filter_spans, merged_strategies, size_buckets, directory_results, resolved_homepages, vendor_facts, vendor_records, profile_ids, branch_sightings,
-    allowed_sources, mock_entities, reopened_items, new_memberships, linked_repeats, run_summary, lead_statuses, stage_tallies, applied_matches, match_conflicts, applied_person_matches, assembled_signals, snapshot_as_of, exported_leads, crm_leads, review_table, filtered_reviews, review_queue,
+    allowed_sources, mock_entities, reopened_items, new_memberships, linked_repeats, run_summary, lead_statuses, stage_tallies, applied_matches, match_conflicts, applied_person_matches, assembled_signals, snapshot_as_of, value_texts, json_export, exported_leads, crm_leads, review_table, filtered_reviews, review_queue,
     newest_values, review_history, verdict_contexts, full_contexts, feedback_observations, provider_signals,
 )
 

@@ -289,6 +289,13 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", text.alias("text")).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), W.page_state(c("text")).alias("state"))
 
 
+def page_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a judge is shown of each page."""
+    kept = W.page_excerpt(c("text"))
+    pages = A.table(spark, sf_dir, "pages").select("page_id", W.page_text(c("html")).alias("text"))
+    return pages.select("page_id", F.length(kept).alias("n_chars"), F.sha2(kept, 256).alias("excerpt_sha256"))
+
+
 def page_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = F.concat(c("html"), _pick(("<script src='//cdn.shopify.com/x'>", "<link href=/wp-content/plugins/woocommerce>", "HTTPS://JS.HS-SCRIPTS.COM", ""), c("page_id")))
     return A.table(spark, sf_dir, "pages").select("page_id", W.platforms(marks).alias("p")).select("page_id", *[F.coalesce(f"p.{k}", F.lit("")).alias(k) for k in W.PLATFORMS])
@@ -297,7 +304,7 @@ def page_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     resolve_companies, resolve_people, new_provenance, headline_counts, headline_totals, quality_figures, reason_labels, business_models, commercial_signals, model_mentions, signal_mentions, commercial_scores, evidence_scores, icp_scores, company_quality, identity_confidence, lead_identity, final_scores, parse_verdicts, prescreens, verdict_gate,
     review_decisions, feedback_checks, readiness_levels, batch_outcomes, run_status, provider_usage, batch_usage, preview_ranking, version_icps, route_providers, recommendation_status,
-    configuration_state, effective_configuration, term_lists, page_texts, page_platforms,
+    configuration_state, effective_configuration, term_lists, page_texts, page_excerpts, page_platforms,
 )
 
 

@@ -1,6 +1,7 @@
 import html
 import re
 
+from leadloom.functions.text import canonical_json
 from leadloom.operators import pages as W
 from leadloom.operators import scores as C
 from leadloom.operators import signals as G
@@ -78,5 +79,14 @@ def test_pages(spark):
     df = spark.createDataFrame([(k, r) for k, r in enumerate([*raws, None])], "k int, raw string").select("k", W.page_text(F.col("raw")).alias("t"), W.platforms(F.concat("raw", F.lit("/WP-includes/"))).alias("p"))
     got = df.select("k", "t", W.page_state(F.col("t")).alias("s"), "p.cms_platform").orderBy("k").collect()
     assert [r.t for r in got] == [*map(plain_text, raws), None]
+    kept = df.select("k", W.page_excerpt(F.col("t"), 12).alias("e")).orderBy("k").collect()
+    assert [r.e for r in kept] == [None] * 5 + ["word word wo", None]
     assert [r.s for r in got] == ["empty_content"] * 4 + ["block_page", "ok", "empty_content"]
     assert [r.cms_platform for r in got] == ["WordPress"] * 4 + [None, "WordPress", None]
+
+
+def test_json_that_is_nested_too_deep_stays_as_it_is(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    rows = [(1, deep), (2, '{"b": 1, "a": [2]}'), (3, "{no"), (4, None)]
+    got = spark.createDataFrame(rows, "k int, t string").select("k", canonical_json(F.col("t")).alias("c")).orderBy("k").collect()
+    assert [r.c for r in got] == [deep, '{"a": [2], "b": 1}', "{no", None]
