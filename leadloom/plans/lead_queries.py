@@ -501,6 +501,18 @@ def exported_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.export_values(_exported(spark, sf_dir).select(*X.COLUMNS))
 
 
+def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a store of leads, memberships and evidence, written with some of the declared columns and read with all of them."""
+    folder, o = f"{application_folder(spark)}/stored-{uuid.uuid4().hex}", A.table(spark, sf_dir, "orders")
+    o.select(c("o_orderkey").cast("string").alias("id"), c("o_custkey").cast("string").alias("company_id")).write.parquet(f"{folder}/canonical_leads")
+    o.select(c("o_orderkey").cast("string").alias("lead_id"), c("o_orderstatus").alias("icp_id"), F.lit("not declared").alias("note")).write.parquet(f"{folder}/lead_icp_memberships")
+    A.facts(spark, sf_dir).select(c("id").cast("string").alias("id"), "entity_type", "entity_id", "field", "value_json").write.parquet(f"{folder}/evidence")
+    leads, members, rows = (D.read_table(spark, folder, n) for n in ("canonical_leads", "lead_icp_memberships", "evidence"))
+    told = rows.groupBy(c("entity_id").alias("company_id")).agg(F.count("*").alias("n_rows"), F.count("source_url").alias("n_urls"))
+    made = members.join(leads, c("lead_id") == c("id")).groupBy("icp_id", "company_id").agg(F.count("*").alias("n_leads"), F.count("person_id").alias("n_people"), F.count("icp_version").alias("n_versions"))
+    return made.join(told, "company_id")
+
+
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested export, written and read again: leads by profile and tier, beside what the export's heads say of the profile."""
     path = f"{application_folder(spark)}/export-{uuid.uuid4().hex}"
@@ -609,7 +621,7 @@ def provider_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     comparison_keys, fact_status, all_fields, lead_fields, supported_values, conflicting_facts, supporting_evidence, verified_fields, field_freshness, split_seen, streamed_status, company_evidence, person_evidence, fact_evidence, discovery_matches, corroborated_terms, unprovable_industries,
     described_terms, validated_leads, cited_rows, profile_errors, canonical_profiles, projected_filters, extracted_filters, filter_spans, merged_strategies, size_buckets, directory_results, resolved_homepages, vendor_facts, vendor_records, profile_ids, branch_sightings,
-    allowed_sources, mock_entities, reopened_items, new_memberships, linked_repeats, run_summary, lead_statuses, stage_tallies, applied_matches, match_conflicts, applied_person_matches, assembled_signals, snapshot_as_of, value_texts, json_export, exported_leads, crm_leads, review_table, filtered_reviews, review_queue,
+    allowed_sources, mock_entities, reopened_items, new_memberships, linked_repeats, run_summary, lead_statuses, stage_tallies, applied_matches, match_conflicts, applied_person_matches, assembled_signals, snapshot_as_of, value_texts, stored_tables, json_export, exported_leads, crm_leads, review_table, filtered_reviews, review_queue,
     newest_values, review_history, verdict_contexts, full_contexts, feedback_observations, provider_signals,
 )
 

@@ -122,6 +122,8 @@ def oracle_sql(signals: str) -> dict[str, str]:
             SELECT icp_id, company_id, person_id, rule, evidence_id FROM y JOIN po ON po.src = y.src AND po.id = CASE WHEN y.src = 'current_title' THEN person_id ELSE company_id END
             UNION ALL SELECT icp_id, company_id, person_id, rule, k FROM y JOIN w ON id = company_id WHERE src = 'COVERED' AND field = 'industry' AND told IN (0, 1)""",
         "json_export": f"WITH {TIERED} SELECT icp AS icp_id, tier, count(*) AS n, min(rank) AS best, count(pe) AS n_people, (sum(count(*)) OVER (PARTITION BY icp))::BIGINT AS lead_count FROM rk GROUP BY icp, tier",
+        "stored_tables": """SELECT o_custkey::VARCHAR AS company_id, o_orderstatus AS icp_id, count(*) AS n_leads, 0::BIGINT AS n_people, 0::BIGINT AS n_versions, any_value(n) AS n_rows, 0::BIGINT AS n_urls
+            FROM orders JOIN (SELECT o_custkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) USING (o_custkey) GROUP BY o_custkey, o_orderstatus""",
         "value_texts": "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN c_name || ' ' || c_mktsegment WHEN 1 THEN c_mktsegment || ' ' || c_custkey WHEN 2 THEN c_name WHEN 3 THEN c_custkey::VARCHAR END AS text FROM customer",
         "snapshot_as_of": """WITH s AS (SELECT o_orderpriority[1] AS icp_id, o_orderkey AS k, o_orderdate AS d, CASE WHEN o_orderpriority[1] = '3' THEN '1996-01-01' ELSE '1998-01-01' END AS snapshot_date FROM orders)
             SELECT icp_id, snapshot_date, count(*) AS n, sum(k)::BIGINT AS leads FROM s WHERE d < snapshot_date::DATE GROUP BY 1, 2""",
