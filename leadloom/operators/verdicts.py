@@ -36,6 +36,11 @@ def _fits(v: Column, name: str, kind, required: bool, most: int | None) -> Colum
     return F.when(shape.isNull(), F.lit(not required)).otherwise(F.coalesce(good, F.lit(False)))
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse(raw: Column, known_ids: Column, spec: dict = QUALIFICATION) -> Column:
     """struct(status, verdict, confidence, evidence_ids) of a stored answer.
 
@@ -44,22 +49,26 @@ def parse(raw: Column, known_ids: Column, spec: dict = QUALIFICATION) -> Column:
     range), and one that cites an id outside ``known_ids`` (null: none)
     INVALID_EVIDENCE_IDS; none of these has a verdict. Else SUCCESS.
     """
-    v = F.try_parse_json(raw)
-    verdict = next(iter(spec))
+    verdict, empty = next(iter(spec)), F.array().cast("array<string>")
     keys = F.json_object_keys(raw)
-    valid = keys.isNotNull() & (F.size(F.array_except(keys, F.array(*map(F.lit, spec)))) == 0)
-    for name, (kind, required, most) in spec.items():
-        valid = valid & _fits(v, name, kind, required, most)
-    empty = F.array().cast("array<string>")
-    cited = [F.coalesce(F.try_variant_get(v, f"$.{n}", "array<string>"), empty) for n in spec if n.endswith("_evidence_ids")]
-    ids = F.array_distinct(F.concat(*cited)) if cited else empty
-    status = (
-        F.when(F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", " ")) == "", "EMPTY_RESPONSE").when(v.isNull(), "MALFORMED_OUTPUT")
-        .when(~F.coalesce(valid, F.lit(False)), "SCHEMA_INVALID").when(F.size(F.array_except(ids, F.coalesce(known_ids, empty))) > 0, "INVALID_EVIDENCE_IDS").otherwise("SUCCESS")
-    )
-    fine = status == "SUCCESS"
-    told = F.struct(status.alias("status"), F.try_variant_get(v, f"$.{verdict}", "string").alias("verdict"), F.try_variant_get(v, "$.confidence", "double").alias("confidence"), ids.alias("evidence_ids"))
-    return F.struct(status.alias("status"), F.when(fine, told["verdict"]).alias("verdict"), F.when(fine, told["confidence"]).alias("confidence"), F.when(fine, ids).alias("evidence_ids"))
+    known_keys = keys.isNotNull() & (F.size(F.array_except(keys, F.array(*map(F.lit, spec)))) == 0)
+    blank = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", " ")) == ""
+
+    def read(v: Column) -> Column:
+        valid = known_keys
+        for name, (kind, required, most) in spec.items():
+            valid = valid & _fits(v, name, kind, required, most)
+        cited = [F.coalesce(F.try_variant_get(v, f"$.{n}", "array<string>"), empty) for n in spec if n.endswith("_evidence_ids")]
+        ids = F.array_distinct(F.concat(*cited)) if cited else empty
+        return F.struct(F.coalesce(valid, F.lit(False)).alias("valid"), ids.alias("ids"), F.try_variant_get(v, f"$.{verdict}", "string").alias("verdict"), F.try_variant_get(v, "$.confidence", "double").alias("confidence"), v.isNull().alias("broken"))
+
+    def told(x: Column) -> Column:
+        unknown = F.size(F.array_except(x["ids"], F.coalesce(known_ids, empty))) > 0
+        status = F.when(blank, "EMPTY_RESPONSE").when(x["broken"], "MALFORMED_OUTPUT").when(~x["valid"], "SCHEMA_INVALID").when(unknown, "INVALID_EVIDENCE_IDS").otherwise("SUCCESS")
+        fine = ~blank & ~x["broken"] & x["valid"] & ~unknown
+        return F.struct(status.alias("status"), F.when(fine, x["verdict"]).alias("verdict"), F.when(fine, x["confidence"]).alias("confidence"), F.when(fine, x["ids"]).alias("evidence_ids"))
+
+    return _once(_once(F.try_parse_json(raw), read), told)
 
 
 def prescreen(page_text: Column, page_state: Column, snippet: Column, answer: Column) -> Column:
