@@ -29,6 +29,11 @@ def _key(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(kind), *[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)])
 
 
+def _once(value: Column) -> Column:
+    """A column ``once`` that is computed once a row: a generator's result is not merged into the keys that read it."""
+    return F.explode(F.array(value)).alias("once")
+
+
 def _first(rows: DataFrame, *value: str) -> DataFrame:
     """The first entity of each key."""
     return rows.where("key is not null").groupBy("key").agg(F.min(F.struct("ord", "entity", *value)).alias("top")).select("key", "top.*")
@@ -108,8 +113,8 @@ def resolve_companies(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     c = F.col
     cand = candidates.select(
         c("candidate_id").cast("string").alias("candidate_id"), F.struct(F.lit(1).alias("tier"), c("discovered_at").cast("timestamp").alias("at"), c("candidate_id").cast("string").alias("id")).alias("ord"),
-        c("provider_id").cast("string").alias("provider_id"), c("external_id").cast("string").alias("external_id"), normalize_domain(c("domain")).alias("domain"), normalize_company_name(c("name")).alias("name"),
-    )
+        c("provider_id").cast("string").alias("provider_id"), c("external_id").cast("string").alias("external_id"), _once(F.struct(normalize_domain(c("domain")).alias("domain"), normalize_company_name(c("name")).alias("name"))),
+    ).select("candidate_id", "ord", "provider_id", "external_id", "once.*")
     cand = cand.withColumns({"p": _key("p", c("provider_id"), c("external_id")), "d": _key("d", c("domain")), "n": _key("n", c("name")), "q": _key("q", c("provider_id"), c("name"))})
     minted = F.sha2(F.concat_ws("|", F.lit("company"), F.coalesce("provider_id", F.lit("")), F.coalesce("external_id", "candidate_id")), 256)
     cand = cut(cand.withColumn("minted", minted), "candidates")
@@ -175,8 +180,8 @@ def resolve_people(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     text = lambda x: c(x).cast("string").alias(x)
     cand = candidates.select(
         text("candidate_id"), F.struct(F.lit(1).alias("tier"), c("discovered_at").cast("timestamp").alias("at"), c("candidate_id").cast("string").alias("id")).alias("ord"),
-        text("provider_id"), text("external_id"), F.nullif(c("profile_id").cast("string"), F.lit("")).alias("profile"), F.nullif(c("company_id").cast("string"), F.lit("")).alias("company"), normalize_person_name(c("name")).alias("name"),
-    )
+        text("provider_id"), text("external_id"), F.nullif(c("profile_id").cast("string"), F.lit("")).alias("profile"), F.nullif(c("company_id").cast("string"), F.lit("")).alias("company"), _once(F.struct(normalize_person_name(c("name")).alias("name"))),
+    ).select("candidate_id", "ord", "provider_id", "external_id", "profile", "company", "once.*")
     minted = F.sha2(F.concat_ws("|", F.lit("person"), F.coalesce("provider_id", F.lit("")), F.coalesce("external_id", "candidate_id")), 256)
     company = c("company").isNotNull()
     at_provider = F.when(company, _key("r", c("provider_id"), c("name"), c("company"))).otherwise(_key("q", c("provider_id"), c("name")))
