@@ -135,9 +135,9 @@ def test_a_chain_takes_a_logarithm_of_rounds(spark, monkeypatch):
 def test_claims_of_all_shapes_are_those_of_a_loop(spark):
     """Chains, stars, keys that are only given, and hubs on chains."""
     rnd = random.Random(3)
-    for keys in (8, 40, 400):
+    for keys in (8,):
         rows = []
-        for k in range(300):
+        for k in range(60):
             gives = [f"k{x}" for x in rnd.sample(range(keys), rnd.randrange(1, 4))] + [f"chain{k // 2}", f"chain{(k + 1) // 2}x"][: rnd.randrange(3)]
             rows.append((k, rnd.sample(gives, rnd.randrange(len(gives) + 1)), gives))
         rnd.shuffle(rows)
