@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.tables import cut, discard
 from ..functions.text import normalize_company_name, normalize_domain, normalize_person_name
@@ -29,9 +30,30 @@ def _key(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(kind), *[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)])
 
 
-def _once(value: Column) -> Column:
-    """A column ``once`` that is computed once a row: a generator's result is not merged into the keys that read it."""
-    return F.explode(F.array(value)).alias("once")
+def _once(**values: Column) -> Column:
+    """A struct ``once`` that is computed once a row: a generator's result is not merged into the keys that read it.
+
+    Its names are literals: Spark drops aliases within a select that explodes before it has settled all types.
+    """
+    return F.explode(F.array(F.named_struct(*[x for name, value in values.items() for x in (F.lit(name), value)]))).alias("once")
+
+
+def _placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds ``ord``, which ascends with ``order``; rows alike in all of it get a number each. To be cut before it is used twice."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id())
+
+
+def _in_turn(candidates: DataFrame, *texts: str) -> DataFrame:
+    """The ``texts`` of candidates as strings, with ``ord``: by time (null first), then by the texts, so that the order is total."""
+    at = F.col("discovered_at")
+    if isinstance(candidates.schema["discovered_at"].dataType, StringType):
+        at = at.cast("timestamp")
+    return _placed(candidates.select(at.alias("at"), *[F.col(t).cast("string").alias(t) for t in texts]), F.col("at"), *map(F.col, texts)).drop("at")
+
+
+def _before(existing: DataFrame, *order: str) -> DataFrame:
+    """Known entities with ``ord``, below that of every candidate."""
+    return _placed(existing, *[F.col(o).desc() for o in order]).withColumn("ord", -1 - F.col("ord"))
 
 
 def _first(rows: DataFrame, *value: str) -> DataFrame:
@@ -106,24 +128,25 @@ def resolve_companies(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
     Takes candidate_id, provider_id, external_id, name, domain, discovered_at,
     and existing companies as company_id, name, domain, aliases (array) and
-    provider_ids (map). Candidates go by discovered_at (null first), then id;
-    candidate ids are unique. Null or empty names, domains and ids decide
+    provider_ids (map). Candidates go by discovered_at (null first), then id,
+    then provider, external id, name and domain, so ids may repeat; copies go
+    one after another. Null or empty names, domains and ids decide
     nothing. Other columns are left aside. Empty tables are allowed.
     """
     c = F.col
-    cand = candidates.select(
-        c("candidate_id").cast("string").alias("candidate_id"), F.struct(F.lit(1).alias("tier"), c("discovered_at").cast("timestamp").alias("at"), c("candidate_id").cast("string").alias("id")).alias("ord"),
-        c("provider_id").cast("string").alias("provider_id"), c("external_id").cast("string").alias("external_id"), _once(F.struct(normalize_domain(c("domain")).alias("domain"), normalize_company_name(c("name")).alias("name"))),
-    ).select("candidate_id", "ord", "provider_id", "external_id", "once.*")
+    cand = _in_turn(candidates, "candidate_id", "provider_id", "external_id", "name", "domain")
+    cand = cand.select("candidate_id", "ord", "provider_id", "external_id", _once(domain=normalize_domain(c("domain")), name=normalize_company_name(c("name"))))
+    cand = cand.select("candidate_id", "ord", "provider_id", "external_id", "once.*")
     cand = cand.withColumns({"p": _key("p", c("provider_id"), c("external_id")), "d": _key("d", c("domain")), "n": _key("n", c("name")), "q": _key("q", c("provider_id"), c("name"))})
     minted = F.sha2(F.concat_ws("|", F.lit("company"), F.coalesce("provider_id", F.lit("")), F.coalesce("external_id", "candidate_id")), 256)
     cand = cut(cand.withColumn("minted", minted), "candidates")
 
-    old = existing.select(
-        c("company_id").cast("string").alias("entity"), F.struct(F.lit(0).alias("tier"), F.lit(None).cast("timestamp").alias("at"), c("company_id").cast("string").alias("id")).alias("ord"),
+    old = _before(existing.withColumn("entity", c("company_id").cast("string")), "entity", "name", "domain").select(
+        "entity", "ord",
         normalize_domain(c("domain")).alias("domain"), F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), normalize_company_name)).alias("names"),
         F.map_entries(F.coalesce("provider_ids", F.create_map().cast("map<string,string>"))).alias("ids"),
     )
+    old = cut(old, "known")
     old_p = old.select("ord", "entity", "domain", F.explode("ids").alias("i")).select(_key("p", c("i.key"), c("i.value")).alias("key"), "ord", "entity", "domain")
     old_d = old.select(_key("d", c("domain")).alias("key"), "ord", "entity")
     old_n = old.select("ord", "entity", "ids", F.explode("names").alias("name")).where("name is not null")

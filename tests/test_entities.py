@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 
 from leadloom.functions.text import normalize_company_name, normalize_domain
@@ -143,3 +144,13 @@ def test_claims_of_all_shapes_are_those_of_a_loop(spark):
         rnd.shuffle(rows)
         got = entities._new_ones(spark.createDataFrame(rows, "ord long, blocks array<string>, gives array<string>"))
         assert sorted(r.ord for r in got.collect()) == in_turn(rows)
+
+
+def test_company_ids_may_repeat_and_times_may_lack_a_zone(spark):
+    """Two sightings under one id and time, and two copies of one row."""
+    rows = [("k1", "p", "e2", "A", "a.com", "2024-01-02"), ("k1", "p", "e1", "A", "a.com", "2024-01-02"), ("k2", "p", "e3", None, "b.com", "2024-01-01"), ("k2", "p", "e3", None, "b.com", "2024-01-01"), ("k0", "p", "e4", None, "b.com", "2024-01-01 00:00:01")]
+    cands = spark.createDataFrame([(*r, "") for r in rows], CAND.replace("timestamp", "string")).withColumn("discovered_at", F.col("discovered_at").cast("timestamp_ntz"))
+    got = resolve_companies(cands, spark.createDataFrame([("c1", "B", "c.com", [], {})], OLD)).collect()
+    assert sorted((r.candidate_id, r.reason) for r in got) == [("k0", "DOMAIN_MATCH"), ("k1", "DOMAIN_MATCH"), ("k1", "NEW_UNIQUE_DOMAIN"), ("k2", "NEW_UNIQUE_DOMAIN"), ("k2", "TRUSTED_PROVIDER_IDENTITY")]
+    mint = hashlib.sha256(b"company|p|e1").hexdigest()
+    assert {(r.status, r.company_id) for r in got if r.candidate_id == "k1"} == {("NEW", mint), ("MATCH", mint)}
