@@ -196,14 +196,14 @@ def resolve_people(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     aliases, profile_id, company_id, companies (array) and provider_ids (map).
     Deciding keys are the provider's id, and the profile or, without one, the
     name within the company (without a company: the name at the provider). A
-    match that contradicts the company, profile or name is UNRESOLVED. Order,
-    nulls and other columns are as for companies.
+    match that contradicts the company, profile or name is UNRESOLVED. Order
+    (after the external id by name, profile and company), copies, nulls and
+    other columns are as for companies.
     """
     c = F.col
-    text = lambda x: c(x).cast("string").alias(x)
-    cand = candidates.select(
-        text("candidate_id"), F.struct(F.lit(1).alias("tier"), c("discovered_at").cast("timestamp").alias("at"), c("candidate_id").cast("string").alias("id")).alias("ord"),
-        text("provider_id"), text("external_id"), F.nullif(c("profile_id").cast("string"), F.lit("")).alias("profile"), F.nullif(c("company_id").cast("string"), F.lit("")).alias("company"), _once(F.struct(normalize_person_name(c("name")).alias("name"))),
+    cand = _in_turn(candidates, "candidate_id", "provider_id", "external_id", "name", "profile_id", "company_id")
+    cand = cand.select(
+        "candidate_id", "ord", "provider_id", "external_id", F.nullif(c("profile_id"), F.lit("")).alias("profile"), F.nullif(c("company_id"), F.lit("")).alias("company"), _once(name=normalize_person_name(c("name")))
     ).select("candidate_id", "ord", "provider_id", "external_id", "profile", "company", "once.*")
     minted = F.sha2(F.concat_ws("|", F.lit("person"), F.coalesce("provider_id", F.lit("")), F.coalesce("external_id", "candidate_id")), 256)
     company = c("company").isNotNull()
@@ -211,12 +211,13 @@ def resolve_people(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     cand = cand.withColumns({"p": _key("p", c("provider_id"), c("external_id")), "l": _key("l", c("profile")), "n": _key("n", c("name"), c("company")), "q": _key("q", c("provider_id"), c("name")), "r": at_provider, "a": _key("a", c("name"))})
     cand = cut(cand.withColumn("minted", minted), "people")
 
-    old = existing.select(
-        c("person_id").cast("string").alias("entity"), F.struct(F.lit(0).alias("tier"), F.lit(None).cast("timestamp").alias("at"), c("person_id").cast("string").alias("id")).alias("ord"),
+    old = _before(existing.withColumn("entity", c("person_id").cast("string")), "entity", "name", "profile_id", "company_id").select(
+        "entity", "ord",
         F.nullif(c("profile_id").cast("string"), F.lit("")).alias("profile"), c("company_id").cast("string").alias("company"), F.coalesce(c("companies").cast("array<string>"), F.array().cast("array<string>")).alias("companies"),
         F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), normalize_person_name)).alias("names"),
         F.map_entries(F.coalesce("provider_ids", F.create_map().cast("map<string,string>"))).alias("ids"),
     )
+    old = cut(old, "known")
     about = ("profile", "company", "companies")
     by_name = old.select("ord", "entity", "ids", "companies", F.explode("names").alias("name")).where("name is not null")
     by_both = by_name.select("ord", "entity", "ids", "name", F.explode(F.array_distinct("companies")).alias("at"))

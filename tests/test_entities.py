@@ -154,3 +154,13 @@ def test_company_ids_may_repeat_and_times_may_lack_a_zone(spark):
     assert sorted((r.candidate_id, r.reason) for r in got) == [("k0", "DOMAIN_MATCH"), ("k1", "DOMAIN_MATCH"), ("k1", "NEW_UNIQUE_DOMAIN"), ("k2", "NEW_UNIQUE_DOMAIN"), ("k2", "TRUSTED_PROVIDER_IDENTITY")]
     mint = hashlib.sha256(b"company|p|e1").hexdigest()
     assert {(r.status, r.company_id) for r in got if r.candidate_id == "k1"} == {("NEW", mint), ("MATCH", mint)}
+
+
+def test_person_ids_may_repeat_and_times_may_lack_a_zone(spark):
+    """Two sightings under one id and time, and two copies of one row."""
+    rows = [("k1", "p", "e2", "A", "l1", "c1", "2024-01-02"), ("k1", "p", "e1", "A", "l1", "c1", "2024-01-02"), ("k2", "p", "e3", "B", None, "c2", "2024-01-01"), ("k2", "p", "e3", "B", None, "c2", "2024-01-01"), ("k0", "q", "e4", "B", None, "c2", "2024-01-01 00:00:01")]
+    cands = spark.createDataFrame(rows, PERSON.replace("timestamp", "string")).withColumn("discovered_at", F.col("discovered_at").cast("timestamp_ntz"))
+    got = resolve_people(cands, spark.createDataFrame([("h1", "C", [], None, None, [], {})], OLD_PERSON)).collect()
+    assert sorted((r.candidate_id, r.reason) for r in got) == [("k0", "NAME_AND_COMPANY_INSUFFICIENT"), ("k1", "LINKEDIN_ID_MATCH"), ("k1", "NEW_UNIQUE_LINKEDIN_ID"), ("k2", "NO_IDENTITY_SIGNALS"), ("k2", "TRUSTED_PROVIDER_IDENTITY")]
+    mint = hashlib.sha256(b"person|p|e1").hexdigest()
+    assert {(r.status, r.person_id) for r in got if r.candidate_id == "k1"} == {("NEW", mint), ("MATCH", mint)}
