@@ -90,8 +90,8 @@ def _new_ones(open_rows: DataFrame) -> DataFrame:
     """``ord`` of the candidates that are new; takes ord, blocks (deciding keys, all of them among gives) and gives (all keys)."""
     keys = open_rows.select("ord", F.explode("gives").alias("key"), "blocks").select("ord", "key", F.array_contains("blocks", F.col("key")).alias("decides"))
     keys = cut(keys, "keys")
-    found = [open_rows.where(F.size("blocks") == 0).select("ord")]
-    while keys.where("decides").limit(1).count():
+    free, found = open_rows.where(F.size("blocks") == 0).select("ord"), []
+    while not found or keys.where("decides").limit(1).count():
         # Of each key the first that is open; a key of two leaves its second one candidate before it.
         tops = keys.groupBy("key").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
         behind = F.col("first") < F.col("ord")
@@ -101,6 +101,8 @@ def _new_ones(open_rows: DataFrame) -> DataFrame:
             ), "each",
         )
         ready = each.where("one is null").select("ord")
+        if not found:  # What nothing decides is new at once, and gives its keys.
+            ready = ready.unionByName(free)
         # Who has one open candidate before it is new if that one is not.
         links = cut(each.where("one = other and not many").select("ord", F.col("one").alias("to"), F.lit(True).alias("odd")), "links")
         ends = cut(_settled(links).join(ready.withColumnRenamed("ord", "root"), "root", "left_semi"), "ends")

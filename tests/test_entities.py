@@ -164,3 +164,10 @@ def test_person_ids_may_repeat_and_times_may_lack_a_zone(spark):
     assert sorted((r.candidate_id, r.reason) for r in got) == [("k0", "NAME_AND_COMPANY_INSUFFICIENT"), ("k1", "LINKEDIN_ID_MATCH"), ("k1", "NEW_UNIQUE_LINKEDIN_ID"), ("k2", "NO_IDENTITY_SIGNALS"), ("k2", "TRUSTED_PROVIDER_IDENTITY")]
     mint = hashlib.sha256(b"person|p|e1").hexdigest()
     assert {(r.status, r.person_id) for r in got if r.candidate_id == "k1"} == {("NEW", mint), ("MATCH", mint)}
+
+
+def test_what_nothing_decides_gives_its_keys(spark):
+    """The first claim has no deciding key, the second meets it, the third meets only the second."""
+    rows = [(1, [], ["a"]), (2, ["a"], ["a", "b"]), (3, ["b"], ["b"]), (4, [], [])]
+    got = entities._new_ones(spark.createDataFrame(rows, "ord long, blocks array<string>, gives array<string>"))
+    assert sorted(r.ord for r in got.collect()) == in_turn(rows) == [1, 3, 4]
