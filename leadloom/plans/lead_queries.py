@@ -488,8 +488,9 @@ def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = A.table(spark, sf_dir, "customer")
     companies = cust.select(c("c_custkey").alias("company_id"), c("c_name").alias("name"), F.concat(F.lit("c"), "c_custkey", F.lit(".com")).alias("domain"), F.create_map(F.lit("pa"), F.lit("1")).alias("provider_ids"))
     people = A.table(spark, sf_dir, "orders").select((c("o_orderkey") + 1).alias("person_id"), F.concat(F.lit("Ann Lee "), pick(("Roe", "Jr.", "x"), c("o_orderkey"))).alias("name"), F.concat(F.lit("in/"), "o_orderkey").alias("profile_id"), F.create_map(F.lit("pb"), F.lit("1")).alias("provider_ids"))
-    fields = ranked.select("lead_id", F.array(F.lit("industry")).alias("conflicting"), F.array().cast("array<string>").alias("missing"))
-    mail = ranked.select("lead_id", F.when(F.pmod("lead_id", F.lit(4)) == 0, F.create_map(F.lit("person.email"), F.lit("a@b.c"))).otherwise(F.create_map().cast("map<string,string>")).alias("verified"))
+    leads = A.table(spark, sf_dir, "orders").select(c("o_orderkey").alias("lead_id")).distinct()
+    fields = leads.select("lead_id", F.array(F.lit("industry")).alias("conflicting"), F.array().cast("array<string>").alias("missing"))
+    mail = leads.select("lead_id", F.when(F.pmod("lead_id", F.lit(4)) == 0, F.create_map(F.lit("person.email"), F.lit("a@b.c"))).otherwise(F.create_map().cast("map<string,string>")).alias("verified"))
     line = A.table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("lead_id"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("id"))
     ids = {"evidence_ids": line, "verification_ids": line.where("pmod(id, 3) = 0"), "deduplication_ids": line.where("pmod(id, 10) = 1")}
     resolutions = {"company_resolution_id": cust.select(c("c_custkey").alias("company_id"), c("c_custkey").alias("id")), "person_resolution_id": people.select("person_id", c("person_id").alias("id"))}
