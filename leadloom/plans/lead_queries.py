@@ -517,7 +517,7 @@ def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested export, written and read again: leads by profile and tier, beside what the export's heads say of the profile."""
     path = f"{application_folder(spark)}/export-{uuid.uuid4().hex}"
-    X.write_json(_exported(spark, sf_dir), path)
+    X.write_json(_exported(spark, sf_dir), path, "gzip")
     leads, heads = spark.read.json(f"{path}/leads"), spark.read.json(f"{path}/metadata")
     made = leads.groupBy("icp_id", "tier").agg(F.count("*").alias("n"), F.min("rank").alias("best"), F.count(c("identity.person_id")).alias("n_people"))
     return made.join(heads.select("icp_id", "lead_count"), "icp_id")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import shuffles_freed
 from ..functions.text import split_person_name
 
 # The columns of the full export, of the two import layouts, and of the review table with their headers.
@@ -98,10 +99,11 @@ def nested(leads: DataFrame) -> DataFrame:
     )
 
 
-def write_json(leads: DataFrame, path: str) -> None:
+def write_json(leads: DataFrame, path: str, compression: str = "none") -> None:
     """The nested export, a lead a line in order of rank, under ``leads``; under ``metadata`` one line a profile with its number of leads."""
-    keep = {"ignoreNullFields": "false"}
-    nested(leads.orderBy("icp_id", "rank")).write.options(**keep).json(f"{path}/leads")
+    keep = {"ignoreNullFields": "false", "compression": compression}
+    with shuffles_freed(leads.sparkSession):
+        nested(leads.orderBy("icp_id", "rank")).write.options(**keep).json(f"{path}/leads")
     heads = leads.groupBy("icp_id").agg(F.max("schema_version").alias("schema_version"), F.max("icp_version").alias("icp_version"), F.max("batch_id").alias("batch_id"), F.count("*").alias("lead_count"), F.max("exported_at").alias("generated_at"))
     heads.orderBy("icp_id").write.options(**keep).json(f"{path}/metadata")
 

@@ -8,7 +8,7 @@ from contextlib import suppress
 import pytest
 from leadloom.functions import tables
 from leadloom.operators.entities import resolve_companies, resolve_people
-from leadloom.plans.lead_queries import exported_leads
+from leadloom.plans.lead_queries import exported_leads, json_export
 from pyspark.sql import functions as F
 
 
@@ -77,7 +77,7 @@ def test_resolved_people_take_little_disk(spark, no_broadcast):
     assert most_of(spark, lambda: resolve_people(sightings(spark), old)) < 400 * SIGHTINGS
 
 
-@pytest.mark.parametrize("query, most", [(exported_leads, 500)])
+@pytest.mark.parametrize("query, most", [(exported_leads, 500), (json_export, 700)])
 def test_exports_take_little_disk(spark, no_broadcast, query, most):
     """Bytes a lead; there are 15,000."""
     assert most_of(spark, lambda: query(spark, "/root/testdata/sf0.01")) < most * 15_000
